@@ -1,0 +1,5 @@
+"""Deliberately empty: the analysis is a batch job and defines no stream operator.
+
+The extraction functions (``operators.rules_scan``, ``operators.symbols`` ...) are
+narrow, so they also run unchanged on a streaming DataFrame of files.
+"""
