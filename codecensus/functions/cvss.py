@@ -13,45 +13,56 @@ USER_INTERACTION = {"N": 0.85, "R": 0.62}
 IMPACT = {"H": 0.56, "L": 0.22, "N": 0.0}
 
 
-def _weight(metrics: Column, key: str, table: dict[str, float]) -> Column:
-    out = F.lit(None).cast("double")
-    for level, weight in table.items():
-        out = F.when(F.try_element_at(metrics, F.lit(key)) == level, weight).otherwise(out)
+def _let(value: Column, body) -> Column:
+    """Name an intermediate value: a one-element transform computes it once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _metric(v: Column, key: str) -> Column:
+    """Last value of a metric in an upper-cased vector."""
+    return F.regexp_extract(v, f"^(?:.*/)?{key}:([^/]*)", 1)
+
+
+def _weight(level: Column, table: dict[str, float]) -> Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, weight in table.items():
+        out = out.when(level == name, weight)
     return out
 
 
 def base_score(vector: Column | str) -> Column:
     """Score 0.0 to 10.0; NULL when a metric is missing or unknown."""
-    v = F.col(vector) if isinstance(vector, str) else vector
-    pairs = F.filter(F.split(F.upper(F.btrim(v)), "/"), lambda p: p.contains(":"))
-    # A repeated metric counts with its last value.
-    metrics = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, ":", 1))),
-            lambda k: F.struct(
-                k.alias("key"),
-                F.regexp_replace(
-                    F.element_at(F.filter(pairs, lambda p: F.substring_index(p, ":", 1) == k), -1), "^[^:]*:", ""
-                ).alias("value"),
-            ),
+    raw = F.col(vector) if isinstance(vector, str) else vector
+    keys = ("AV", "AC", "PR", "UI", "S", "C", "I", "A")
+
+    def weights(m: Column) -> Column:
+        changed = m["S"] == "C"
+        return F.struct(
+            changed.alias("changed"), (m["S"] != "").alias("scoped"),
+            *[_weight(m[k], IMPACT).alias(k) for k in ("C", "I", "A")],
+            F.when(changed, _weight(m["PR"], PRIVILEGES_CHANGED)).otherwise(_weight(m["PR"], PRIVILEGES_UNCHANGED)).alias("PR"),
+            _weight(m["AV"], ATTACK_VECTOR).alias("AV"), _weight(m["AC"], ATTACK_COMPLEXITY).alias("AC"),
+            _weight(m["UI"], USER_INTERACTION).alias("UI"),
         )
-    )
-    changed = F.try_element_at(metrics, F.lit("S")) == "C"
-    c, i, a = (_weight(metrics, k, IMPACT) for k in ("C", "I", "A"))
-    sub = 1 - (1 - c) * (1 - i) * (1 - a)
-    impact = F.when(changed, 7.52 * (sub - 0.029) - 3.25 * F.pow(sub - 0.02, F.lit(15.0))).otherwise(6.42 * sub)
-    privileges = F.when(changed, _weight(metrics, "PR", PRIVILEGES_CHANGED)).otherwise(
-        _weight(metrics, "PR", PRIVILEGES_UNCHANGED)
-    )
-    exploit = (
-        8.22 * _weight(metrics, "AV", ATTACK_VECTOR) * _weight(metrics, "AC", ATTACK_COMPLEXITY)
-        * privileges * _weight(metrics, "UI", USER_INTERACTION)
-    )
-    total = F.least(F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit), F.lit(10.0))
-    scaled = (total * 100000).cast("long")
-    rounded = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
-    known = F.try_element_at(metrics, F.lit("S")).isNotNull() & (impact + exploit).isNotNull()
-    return F.when(known, F.when(impact <= 0, 0.0).otherwise(rounded))
+
+    def parts(w: Column) -> Column:
+        sub = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
+        impact = F.when(w["changed"], 7.52 * (sub - 0.029) - 3.25 * F.pow(sub - 0.02, F.lit(15.0))).otherwise(6.42 * sub)
+        return F.struct(
+            w["changed"].alias("changed"), w["scoped"].alias("scoped"), impact.alias("impact"),
+            (8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]).alias("exploit"))
+
+    def scaled(p: Column) -> Column:
+        both = p["impact"] + p["exploit"]
+        total = F.least(F.when(p["changed"], 1.08 * both).otherwise(both), F.lit(10.0))
+        return F.when(p["scoped"] & both.isNotNull(), F.struct(p["impact"].alias("impact"), (total * 100000).cast("long").alias("n")))
+
+    def rounded(s: Column) -> Column:
+        up = F.when(s["n"] % 10000 == 0, s["n"] / 100000.0).otherwise((F.floor(s["n"] / 10000) + 1) / 10.0)
+        return F.when(s["n"].isNotNull(), F.when(s["impact"] <= 0, 0.0).otherwise(up))
+
+    metrics = _let(F.upper(F.btrim(raw)), lambda v: F.struct(*[_metric(v, k).alias(k) for k in keys]))
+    return _let(_let(_let(_let(metrics, weights), parts), scaled), rounded)
 
 
 def severity(score: Column | str) -> Column:

@@ -14,13 +14,8 @@ from codecensus.functions.text import strip
 
 OPEN, CLOSE = "\x01", "\x02"
 DOC_OPEN, DOC_CLOSE = "\x03", "\x04"
-_MARKS = f"[{OPEN}{CLOSE}{DOC_OPEN}{DOC_CLOSE}]"
 
-# Triple-quoted spans; match marks may sit between the quotes.
-_M = f"[{OPEN}{CLOSE}]*"
-_DOCSTRING = "|".join(
-    f"{OPEN}?{ch}{_M}{ch}{_M}{ch}.*?{ch}{_M}{ch}{_M}{ch}" for ch in ('"', "'")
-)
+_TRIPLE = r"(?s)\"\"\".*?\"\"\"|'''.*?'''"
 
 
 def _c(col: Column | str) -> Column:
@@ -28,41 +23,92 @@ def _c(col: Column | str) -> Column:
 
 
 def _unmark(col: Column) -> Column:
-    return F.regexp_replace(col, _MARKS, "")
+    return F.translate(col, OPEN + CLOSE + DOC_OPEN + DOC_CLOSE, "")
 
 
-def _mute_docstrings(marked: Column) -> Column:
-    """Remove the marks of matches that start inside a triple-quoted span."""
-    spans = F.regexp_replace(marked, f"(?s){_DOCSTRING}", f"{DOC_OPEN}$0{DOC_CLOSE}")
-    muted = F.regexp_replace(spans, f"{OPEN}(?=[^{DOC_OPEN}{DOC_CLOSE}]*{DOC_CLOSE})", "")
-    has_span = marked.contains('"""') | marked.contains("'''") | marked.rlike(f"[\"'][{OPEN}{CLOSE}]+[\"']")
-    return F.when(has_span, F.regexp_replace(muted, f"[{DOC_OPEN}{DOC_CLOSE}]", "")).otherwise(marked)
+def quoted(value: str) -> str:
+    """A Python string as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def find_lines(text: Column | str, pattern: str, mute_docstrings: Column | None = None) -> Column:
-    """``array<struct<line:int, text:string, hits:array<string>>>`` for lines where matches start.
+def hits_sql(text: str, pattern: str, index: int) -> str:
+    """SQL for ``array<struct<i:int, line:int, col:int, text:string, hit:string>>`` of one rule.
 
-    ``text`` is the stripped line, ``hits`` the matched strings that start on it (cut at
-    the end of the line for patterns that span lines).
+    Every match is marked; only marked lines are looked at further. A text without the
+    pattern pays for one search. Built as SQL text because rule tables yield hundreds of these.
     """
-    t = F.regexp_replace(_c(text), _MARKS, "")
+    p = quoted("(?m)" + pattern)
+    return (
+        f"CASE WHEN {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
+        f"regexp_replace({text}, {p}, '{OPEN}$0{CLOSE}'), '\\n'), (l, n) -> named_struct('n', n + 1, 'l', l)), x -> contains(x.l, '{OPEN}')), "
+        f"x -> transform(regexp_extract_all(x.l, '{OPEN}([^{CLOSE}]*)', 1), (h, k) -> named_struct('i', {index}, 'line', x.n, "
+        f"'col', length(replace(array_join(slice(split(x.l, '{OPEN}'), 1, k + 1), ''), '{CLOSE}', '')), "
+        f"'text', btrim(translate(x.l, '{OPEN}{CLOSE}', ''), ' \\t\\r\\f'), 'hit', h)))) END"
+    )
+
+
+def groups_sql(text: str, pattern: str, groups: int, index: int) -> str:
+    """SQL for ``array<struct<i:int, line:int, col:int, g:array<string>, text:string>>`` of one rule.
+
+    The groups are copied in front of each match, between marks, so they may not hold line
+    breaks. With a negative number the first group only leads up to the match.
+    """
+    p = quoted("(?m)" + pattern)
+    lead = groups < 0
+    caught = DOC_OPEN.join(f"${k}" for k in range(2 if lead else 1, abs(groups) + 1))
+    replacement = f"$1{OPEN}{caught}{CLOSE}" if lead else f"{OPEN}{caught}{CLOSE}$0"
+    marks = f"'{OPEN}[^{CLOSE}]*{CLOSE}'"
+    return (
+        f"CASE WHEN {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
+        f"regexp_replace({text}, {p}, '{replacement}'), '\\n'), (l, n) -> named_struct('n', n + 1, 'l', l)), x -> contains(x.l, '{OPEN}')), "
+        f"x -> transform(regexp_extract_all(x.l, '{OPEN}([^{CLOSE}]*){CLOSE}', 1), (m, k) -> named_struct('i', {index}, 'line', x.n, "
+        f"'col', length(regexp_replace(array_join(slice(split(x.l, '{OPEN}'), 1, k + 1), '{OPEN}'), {marks}, '')), "
+        f"'g', split(m, '{DOC_OPEN}'), 'text', btrim(regexp_replace(x.l, {marks}, ''), ' \\t\\r\\f'))))) END"
+    )
+
+
+def docstring_spans(text: str) -> str:
+    """SQL for the (line, col) spans of triple-quoted strings, start inclusive, end exclusive."""
+    pieces = f"split(regexp_replace({text}, {quoted(_TRIPLE)}, '{DOC_OPEN}$0{DOC_OPEN}'), '{DOC_OPEN}')"
+    return (
+        f"CASE WHEN {text} RLIKE {quoted(_TRIPLE)} THEN aggregate({pieces}, "
+        "named_struct('doc', false, 'line', 1, 'col', 0, 'out', cast(array() as array<struct<l0:int,c0:int,l1:int,c1:int>>)), "
+        "(a, p) -> named_struct('doc', not a.doc, "
+        "'line', a.line + length(p) - length(replace(p, '\\n', '')), "
+        "'col', CASE WHEN contains(p, '\\n') THEN length(substring_index(p, '\\n', -1)) ELSE a.col + length(p) END, "
+        "'out', CASE WHEN a.doc THEN array_append(a.out, named_struct('l0', a.line, 'c0', a.col, "
+        "'l1', a.line + length(p) - length(replace(p, '\\n', '')), "
+        "'c1', CASE WHEN contains(p, '\\n') THEN length(substring_index(p, '\\n', -1)) ELSE a.col + length(p) END)) ELSE a.out END), "
+        "a -> a.out) END"
+    )
+
+
+def in_spans(spans: Column, line: Column, col: Column) -> Column:
+    at = F.struct(line.cast("int").alias("l"), col.cast("int").alias("c"))
+    return F.coalesce(F.exists(spans, lambda s: (
+        F.struct(s["l0"].alias("l"), s["c0"].alias("c")) <= at) & (at < F.struct(s["l1"].alias("l"), s["c1"].alias("c")))), F.lit(False))
+
+
+def unmarked(text: Column | str) -> Column:
+    return F.translate(_c(text), OPEN + CLOSE + DOC_OPEN + DOC_CLOSE, "")
+
+
+def find_lines(text: Column | str, pattern: str) -> Column:
+    """``array<struct<line:int, text:string, hits:array<string>>>`` for lines where matches start."""
+    t = unmarked(text)
     marked = F.regexp_replace(t, f"(?m){pattern}", f"{OPEN}$0{CLOSE}")
-    if mute_docstrings is not None:
-        marked = F.when(mute_docstrings, _mute_docstrings(marked)).otherwise(marked)
     numbered = F.transform(
         F.split(marked, "\n"),
         lambda line, i: F.struct((i + 1).cast("int").alias("line"), line.alias("text")),
     )
-    hit = F.filter(numbered, lambda x: x["text"].contains(OPEN))
     found = F.transform(
-        hit,
+        F.filter(numbered, lambda x: x["text"].contains(OPEN)),
         lambda x: F.struct(
             x["line"].alias("line"),
             strip(_unmark(x["text"])).alias("text"),
             F.regexp_extract_all(x["text"], F.lit(f"{OPEN}([^{CLOSE}]*)"), F.lit(1)).alias("hits"),
         ),
     )
-    # Texts without the pattern pay for one search and nothing else.
     return F.when(_c(text).rlike(f"(?m){pattern}"), found)
 
 
@@ -72,7 +118,7 @@ def find_groups(text: Column | str, pattern: str, groups: int) -> Column:
     The captured groups are copied in front of each match between marks; groups that took
     no part are ''. Line numbers hold as long as no group captures a line break.
     """
-    t = F.regexp_replace(_c(text), _MARKS, "")
+    t = unmarked(text)
     caught = DOC_OPEN.join(f"${i}" for i in range(1, groups + 1))
     marked = F.regexp_replace(t, f"(?m){pattern}", f"{OPEN}{caught}{CLOSE}$0")
     numbered = F.transform(
@@ -110,14 +156,6 @@ def first_hit(text: Column | str, pattern: str) -> Column:
     )
 
 
-def inside_docstring(text: Column | str, pattern: str) -> Column:
-    """Does the first match of the pattern start inside a triple-quoted span?"""
-    t = F.regexp_replace(_c(text), _MARKS, "")
-    at = F.regexp_instr(t, F.lit(pattern))
-    marked = F.concat(F.left(t, at - 1), F.lit(OPEN), F.substr(t, F.greatest(at, F.lit(1))))
-    return (at > 0) & ~_mute_docstrings(marked).contains(OPEN)
-
-
 def blocks(text: Column | str, header: str) -> Column:
     """Split a text in front of every line that matches ``header``."""
     return F.split(_c(text), f"(?m)(?={header})")
