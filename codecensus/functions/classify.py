@@ -35,29 +35,21 @@ def language(path: Column | str) -> Column:
     )
 
 
-def comment_pattern(path: Column | str, text: Column | str) -> Column:
+def code_lines(path: Column | str, text: Column | str) -> Column:
     """Significant lines under the comment prefixes of the file's own name or extension."""
     from codecensus.functions.text import code_line_total
 
-    name, suffix = F.lower(basename(path)), ext(path)
-    by_prefix: dict[tuple[str, ...], list[Column]] = {}
-    for key, (_, prefixes) in R.FILENAMES.items():
-        by_prefix.setdefault(prefixes, []).append(name == key)
-    by_prefix.setdefault(("#",), []).extend([name.startswith("dockerfile"), name.startswith(".env")])
-    known_name = F.lit(False)
-    out = F.lit(None).cast("long")
-    for prefixes, tests in by_prefix.items():
-        hit = tests[0]
-        for test in tests[1:]:
-            hit = hit | test
-        out = F.coalesce(out, F.when(hit, code_line_total(text, prefixes)))
-        known_name = known_name | hit
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for key, (_, prefixes) in R.EXTENSIONS.items():
-        groups.setdefault(prefixes, []).append(key)
-    for prefixes, keys in groups.items():
-        out = F.coalesce(out, F.when(suffix.isin(keys), code_line_total(text, prefixes)))
-    return F.coalesce(out, code_line_total(text, ("#", "//")))
+    # Few distinct prefix sets serve all names: look the set up, then count with its pattern.
+    sets = list(dict.fromkeys([("#", "//"), ("#",), *(v[1] for v in (*R.FILENAMES.values(), *R.EXTENSIONS.values()))]))
+    ids = lambda table: F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, sets.index(v[1]))])
+    name = F.lower(basename(path))
+    which = F.coalesce(
+        F.try_element_at(ids(R.FILENAMES), name), F.when(name.startswith("dockerfile") | name.startswith(".env"), 1),
+        F.try_element_at(ids(R.EXTENSIONS), ext(path)), F.lit(0))
+    out = F.when(F.lit(False), F.lit(0).cast("long"))
+    for i, prefixes in enumerate(sets):
+        out = out.when(which == i, code_line_total(text, prefixes))
+    return out
 
 
 def is_code(lang: Column | str) -> Column:

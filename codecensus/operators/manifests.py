@@ -341,7 +341,7 @@ def ts_aliases(files: DataFrame, keys: Keys) -> DataFrame:
     based = opts.select(*keys, "path", normal_path(F.concat(base, F.lit("/."))).alias("base"), F.map_entries("o.paths").alias("p"))
     default = F.when((F.col("base") != ""), F.array(*[F.struct(F.lit(p).alias("key"), F.array(F.lit("")).alias("value")) for p in ("~/", "@/")]))
     rows = based.select(*keys, "path", "base", F.posexplode(F.coalesce("p", default)).alias("ord", "e")).where(F.size("e.value") > 0)
-    target = F.rtrim(F.replace(F.col("e.value")[0], F.lit("*"), F.lit("")), F.lit("/"))
+    target = F.rtrim(F.replace(F.get("e.value", 0), F.lit("*"), F.lit("")), F.lit("/"))
     return rows.select(
         *keys, "path", "ord", F.replace(F.col("e.key"), F.lit("*"), F.lit("")).alias("prefix"),
         normal_path(F.concat_ws("/", F.nullif(F.col("base"), F.lit("")), target, F.lit("."))).alias("target"))

@@ -177,7 +177,7 @@ def endpoints(files: DataFrame, keys: Keys, rules=L.ENDPOINTS) -> DataFrame:
     nest = r"""@Controller\(\s*[`'"]?([^`'")]*)[`'"]?\s*\)"""
     body = F.col("body")
     stem = F.regexp_extract("path", r"([^/]*?)(?:Controller)?(?:\.[^./]*)?$", 1)
-    last_service = F.element_at(F.regexp_extract_all(body, F.lit(r"(?m)^\s*service\s+(\w+)"), F.lit(1)), -1)
+    last_service = F.try_element_at(F.regexp_extract_all(body, F.lit(r"(?m)^\s*service\s+(\w+)"), F.lit(1)), F.lit(-1))
     class_at = F.regexp_instr(body, F.lit(spring))
     context = src.select(
         *keys, "path", "language", "body", "frameworks",
