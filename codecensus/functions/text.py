@@ -149,11 +149,27 @@ def dir_segments(path: Column | str) -> Column:
     return F.slice(segs, F.lit(1), F.size(segs) - 1)
 
 
+def _one_decimal(x: Column) -> Column:
+    """One decimal place of 1 <= |x| < 2048, rounded by the exact binary value of x.
+
+    x * 2^52 is a whole number there, so the comparison with the midpoint is exact.
+    """
+    unit = 2**52
+    m = (F.abs(x) * F.lit(float(unit))).cast("long").cast("decimal(38,0)") * F.lit(10).cast("decimal(2,0)")
+    q = F.floor(m / F.lit(unit).cast("decimal(20,0)")).cast("decimal(20,0)")
+    rest = m - q * F.lit(unit).cast("decimal(20,0)")
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (q % 2 == 1))
+    tenths = (q + F.when(up, 1).otherwise(0)).cast("long")
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_bytes(col: Column | str) -> Column:
     v = _c(col).cast("double")
     out = F.when(F.abs(v) < 1024, F.concat(v.cast("long").cast("string"), F.lit("B")))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
-        out = out.when(F.abs(v) < 1024.0 ** (power + 1), F.format_string(f"%.1f{unit}", v / 1024.0**power))
+        out = out.when(F.abs(v) < 1024.0 ** (power + 1), F.concat(_one_decimal(v / 1024.0**power), F.lit(unit)))
     return out.otherwise(F.format_string("%.1fPB", v / 1024.0**5))
 
 
@@ -161,7 +177,7 @@ def human_number(col: Column | str) -> Column:
     v = _c(col).cast("double")
     out = F.when(F.abs(v) < 1000, F.format_string("%.0f", F.bround(v, 0)))
     for power, unit in enumerate(("k", "M", "B"), start=1):
-        out = out.when(F.abs(v) < 1000.0 ** (power + 1), F.format_string(f"%.1f{unit}", v / 1000.0**power))
+        out = out.when(F.abs(v) < 1000.0 ** (power + 1), F.concat(_one_decimal(v / 1000.0**power), F.lit(unit)))
     return out.otherwise(F.format_string("%.1fT", v / 1000.0**4))
 
 

@@ -97,7 +97,7 @@ def reachable(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int = 4
 
 def _spread(steps: DataFrame, start: DataFrame, keys: Keys, max_depth: int) -> DataFrame:
     by = [*keys, "start", "node"]
-    steps = steps.where(F.col("at") != F.col("node")).persist()
+    steps = cut(steps.where(F.col("at") != F.col("node")))
     seen = start.select(*keys, "start", F.col("start").alias("node")).distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -123,9 +123,13 @@ def pagerank(
 ) -> DataFrame:
     """PageRank per graph; dangling mass spreads evenly, ranks sum to one.
 
-    A node with very many out-edges is cut into slices of about ``edges_per_slice``
-    edges, and its rank is handed to each slice, so no task owns a hub. Edges are placed
-    once by (source, slice) and kept; every round moves ranks and pre-summed shares only.
+    Let M spread a vector along the edges, times the damping. Every round adds the same
+    constant c_t to all nodes of a graph, so after t rounds the rank is a sum of
+    a_j * M^j(1). The powers need one join and one pre-combined sum per round and no value
+    that depends on the whole graph; the few constants follow at the end, per graph.
+
+    A node with very many out-edges is cut into slices of about ``edges_per_slice`` edges,
+    and its value is handed to each slice, so no task owns a hub.
     """
     node = [*keys, "node"]
     inner = (
@@ -133,41 +137,47 @@ def pagerank(
         .join(nodes.select(*node), node, "left_semi")
         .join(nodes.select(*keys, F.col("node").alias("target")), [*keys, "target"], "left_semi")
     )
-    degree = inner.groupBy(*node).agg(F.count(F.lit(1)).alias("deg"))
-    slices = F.ceil(F.col("deg") / edges_per_slice).cast("int")
-    steps = (
-        inner.join(degree, node)
-        .withColumn("slice", F.pmod(F.xxhash64("target"), slices).cast("int"))
-        .select(*node, "slice", "target")
-    )
+    degree = cut(inner.groupBy(*node).agg(F.count(F.lit(1)).alias("deg")))
+    hubs = degree.where(F.col("deg") > edges_per_slice).select(*node, F.ceil(F.col("deg") / edges_per_slice).cast("int").alias("slices"))
+    has_hubs = not hubs.isEmpty()
+    steps = inner.join(degree, node)
+    by = node
+    if has_hubs:
+        slices = F.ceil(F.col("deg") / edges_per_slice).cast("int")
+        steps = steps.withColumn("slice", F.pmod(F.xxhash64("target"), slices).cast("int"))
+        by = [*node, "slice"]
     width = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = steps.repartition(width, *node, "slice").persist()
-    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if keys else nodes.agg(F.count(F.lit(1)).alias("__n"))
-    base = _with_scalar(nodes.select(*node).join(degree, node, "left"), counts, keys).select(
-        *node, F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce(slices, F.lit(0)).alias("slices"), "__n"
-    )
-    base = base.repartition(width, *node).persist()
-    ranks = base.withColumn("rank", 1.0 / F.col("__n"))
-    for _ in range(iterations):
-        handed = (
-            ranks.where("deg > 0")
-            .select(*node, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), (F.col("rank") / F.col("deg")).alias("share"))
-        )
-        gained = (
-            handed.join(steps, [*node, "slice"])
-            .groupBy(*keys, F.col("target").alias("node")).agg(F.sum("share").alias("gain"))
-        )
-        loose = ranks.where("deg = 0").groupBy(*keys).agg(F.sum("rank").alias("__loose")) if keys else (
-            ranks.where("deg = 0").agg(F.sum("rank").alias("__loose")))
-        ranks = _with_scalar(base.join(gained, node, "left"), loose, keys).withColumn(
-            "rank",
-            (1 - damping) / F.col("__n")
-            + damping * (F.coalesce("gain", F.lit(0.0)) + F.coalesce("__loose", F.lit(0.0)) / F.col("__n")),
-        ).select(*node, "deg", "slices", "__n", "rank")
-        # Two readers per round: without a cut the plan would double every round.
-        ranks = cut(ranks)
-    totals = ranks.groupBy(*keys).agg(F.sum("rank").alias("__sum")) if keys else ranks.agg(F.sum("rank").alias("__sum"))
-    return _with_scalar(ranks, totals, keys).select(*node, F.round(F.col("rank") / F.col("__sum"), digits).alias("rank"))
+    # Placed once by their source, checkpointed: later rounds plan against a leaf and, as the
+    # placement is kept, do not move the edges again.
+    steps = cut(steps.select(*by, "target", (F.lit(damping) / F.col("deg")).alias("w")).repartition(width, *by))
+    power = cut(nodes.select(*node, F.lit(0).alias("j"), F.lit(1.0).alias("value")))
+    terms = [power]
+    for j in range(1, iterations + 1):
+        held = power
+        if has_hubs:
+            held = power.join(hubs, node, "left").select(
+                *node, "value", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
+        power = cut(held.drop("j").join(steps, by).groupBy(*keys, F.col("target").alias("node")).agg(
+            F.sum(F.col("value") * F.col("w")).alias("value")).select(*node, F.lit(j).alias("j"), "value"))
+        terms.append(power)
+    while len(terms) > 1:  # pairwise, so that the plan stays shallow
+        terms = [x.union(y) for x, y in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2:]
+    terms = terms[0]
+    # Per graph: its size, and the full and the dangling sum of every power.
+    flagged = terms.join(degree.select(*node, F.lit(True).alias("linked")), node, "left")
+    per_power = flagged.groupBy(*keys, "j").agg(
+        F.sum("value").alias("s"), F.sum(F.when(F.col("linked").isNull(), F.col("value")).otherwise(0.0)).alias("z"), F.count(F.lit(1)).alias("c"))
+    graph = per_power.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("j", "s"))).alias("whole"), F.map_from_entries(F.collect_list(F.struct("j", "z"))).alias("loose"),
+        F.max(F.when(F.col("j") == 0, F.col("c"))).alias("n"))
+    at = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))
+    dot = lambda a, m: F.aggregate(F.transform(a, lambda x, i: x * at(m, i.cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    coefficients = F.aggregate(
+        F.sequence(F.lit(1), F.lit(iterations)), F.array(1.0 / F.col("n")),
+        lambda a, _: F.concat(F.array(((1 - damping) + damping * dot(a, "loose")) / F.col("n")), a))
+    graph = cut(graph.withColumn("a", coefficients).withColumn("total", dot(F.col("a"), "whole")).select(*keys, "a", "total"))
+    return _with_scalar(terms, graph, keys).groupBy(*node).agg(
+        F.round(F.sum(F.col("value") * F.element_at("a", F.col("j") + 1) / F.col("total")), digits).alias("rank"))
 
 
 def _with_scalar(df: DataFrame, per_graph: DataFrame, keys: Keys) -> DataFrame:

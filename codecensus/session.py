@@ -50,3 +50,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     probe = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if probe <= max_rows else df
+
+
+def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write once as Parquet below the checkpoint folder and read back.
+
+    Unlike a checkpoint the result keeps column pruning and filter pushdown, so a wide
+    table (such as file texts) can serve many readers that each need little of it.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
