@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from codecensus.functions.guards import guard_sql
 from codecensus.functions.text import strip
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -31,15 +32,17 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def hits_sql(text: str, pattern: str, index: int) -> str:
+def hits_sql(text: str, pattern: str, index: int, low: str | None = None) -> str:
     """SQL for ``array<struct<i:int, line:int, col:int, text:string, hit:string>>`` of one rule.
 
     Every match is marked; only marked lines are looked at further. A text without the
-    pattern pays for one search. Built as SQL text because rule tables yield hundreds of these.
+    pattern pays for one search, or, when ``low`` names the lower-cased text, mostly for a
+    few substring tests. Built as SQL text because rule tables yield hundreds of these.
     """
     p = quoted("(?m)" + pattern)
+    guard = guard_sql(pattern, low) if low else "true"
     return (
-        f"CASE WHEN {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
+        f"CASE WHEN {guard} AND {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
         f"regexp_replace({text}, {p}, '{OPEN}$0{CLOSE}'), '\\n'), (l, n) -> named_struct('n', n + 1, 'l', l)), x -> contains(x.l, '{OPEN}')), "
         f"x -> transform(regexp_extract_all(x.l, '{OPEN}([^{CLOSE}]*)', 1), (h, k) -> named_struct('i', {index}, 'line', x.n, "
         f"'col', length(replace(array_join(slice(split(x.l, '{OPEN}'), 1, k + 1), ''), '{CLOSE}', '')), "

@@ -263,7 +263,7 @@ def manifests(files: DataFrame, keys: Keys) -> DataFrame:
 
 def declared(manifest_rows: DataFrame, keys: Keys) -> DataFrame:
     """Dependency rows of the manifests, in declaration order."""
-    d = manifest_rows.select(*keys, F.col("path").alias("declared_in"), "ecosystem", F.posexplode("deps").alias("ord", "d"))
+    d = manifest_rows.select(*keys, F.col("path").alias("declared_in"), "ecosystem", F.posexplode_outer("deps").alias("ord", "d")).where("d IS NOT NULL")
     return d.select(
         *keys, "declared_in", "ord", F.col("d.name").alias("name"), F.col("d.version").alias("version"), "ecosystem", F.col("d.scope").alias("scope"),
         F.col("d.direct").alias("direct"), purl(F.col("d.name"), F.col("d.version"), "ecosystem").alias("purl"))

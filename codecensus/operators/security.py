@@ -42,7 +42,7 @@ def _rule_sql(rule: dict, index: int) -> str:
         first = f"array(named_struct('i', {index}, 'line', 1, 'col', 0, 'text', btrim(substring_index(text, '\\n', 1), ' \\t\\r'), 'hit', ''))"
         found = f"CASE WHEN {hit} THEN {first} END"
     else:
-        found = hits_sql("text", rule["pattern"], index)
+        found = hits_sql("text", rule["pattern"], index, "low")
     return f"coalesce(CASE WHEN {_scope_sql(rule)} THEN {found} END, cast(array() as {HIT}))"
 
 
@@ -81,7 +81,7 @@ def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: i
     raw = F.expr("concat(" + ", ".join(_rule_sql(r, i) for i, r in enumerate(rules)) + ")")
     scanned = (
         files.where(F.col("text") != "")
-        .select(*keys, "path", "language", unmarked("text").alias("text"))
+        .select(*keys, "path", "language", unmarked("text").alias("text"), F.lower("text").alias("low"))
         .select(*keys, "path", "language", raw.alias("raw"),
                 F.when(path.rlike(r"\.pyi?$"), F.expr(docstring_spans("text"))).alias("docs"))
     )
@@ -131,9 +131,9 @@ def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy
     rules = list(rules)
     # The secret is group 1, so the mark goes around the whole match and the value is cut out later.
     raw = F.expr("concat(" + ", ".join(
-        f"coalesce({hits_sql('text', r[2], i)}, cast(array() as {HIT}))" for i, r in enumerate(rules)) + ")")
+        f"coalesce({hits_sql('text', r[2], i, 'low')}, cast(array() as {HIT}))" for i, r in enumerate(rules)) + ")")
     found = (
-        files.where(F.col("text") != "").select(*keys, "path", unmarked("text").alias("text"))
+        files.where(F.col("text") != "").select(*keys, "path", unmarked("text").alias("text"), F.lower("text").alias("low"))
         .select(*keys, "path", raw.alias("raw"), F.when(path.rlike(r"\.pyi?$"), F.expr(docstring_spans("text"))).alias("docs"))
         .select(*keys, "path", F.explode(F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
             F.filter("raw", lambda h: ~in_spans(F.col("docs"), h["line"], h["col"])))).alias("h"))

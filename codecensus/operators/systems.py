@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import evidence as V
 from codecensus.functions.classify import env_kind
+from codecensus.functions.guards import guard_sql
 from codecensus.functions.matching import docstring_spans, find_lines, in_spans, quoted
 from codecensus.functions.text import slug, strip
 from codecensus.operators.windows import capped_list, first_wins, top_per_group
@@ -24,8 +25,8 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
     signatures = list(signatures)
     text, path = F.col("text"), F.col("path")
     per_sig = ", ".join(
-        f"CASE WHEN text RLIKE {p} THEN named_struct('i', {i}, 'at', regexp_instr(text, {p}), 'hit', regexp_extract(text, {p}, 0)) END"
-        for i, p in enumerate(quoted("(?i)" + s[4]) for s in signatures))
+        f"CASE WHEN {guard_sql(s[4], 'low')} AND text RLIKE {p} THEN named_struct('i', {i}, 'at', regexp_instr(text, {p}), 'hit', regexp_extract(text, {p}, 0)) END"
+        for i, (s, p) in enumerate((s, quoted("(?i)" + s[4])) for s in signatures))
     meta = F.expr("array(" + ", ".join(
         f"named_struct('id', {quoted(s[0])}, 'name', {quoted(s[1])}, 'kind', {quoted(s[2])}, 'technology', {quoted(s[3])})"
         for s in signatures) + ")")
@@ -42,7 +43,7 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
             V.is_whole_raw_string(shown, h["hit"]).alias("raw"))
 
     hits = (
-        files.where(F.col("text") != "")
+        files.where(F.col("text") != "").select(*keys, "path", "kind", "text", F.lower("text").alias("low"))
         .select(*keys, "path", "kind", "text", F.expr(f"array_compact(array({per_sig}))").alias("found"))
         .withColumn("docs", F.when(path.endswith(".py"), F.expr(docstring_spans("text"))))
         .select(*keys, "path", "kind", F.transform("found", place).alias("hits"))
@@ -55,8 +56,10 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
     raw_lines = F.transform(F.filter(hs, lambda h: h["raw"]), lambda h: h["line"])
     judged = hits.select(
         *keys, "path", F.col("kind").alias("file_kind"), catalogue.alias("catalogue"),
-        prose_lines.alias("pl"), raw_lines.alias("rl"), F.explode("hits").alias("h"),
-    )
+        prose_lines.alias("pl"), raw_lines.alias("rl"), F.explode_outer("hits").alias("h"),
+    ).where("h IS NOT NULL")
+    # explode_outer: a plain explode of a computed column lets the optimizer repeat the whole
+    # scan in a "has elements" filter below it.
     documented = F.col("file_kind").isin(*PROSE_KINDS) | F.array_contains("pl", F.col("h.line"))
     defining = F.col("catalogue") | V.is_pattern_definition(F.col("h.snippet")) | F.array_contains("rl", F.col("h.line"))
     note = F.when(documented, "mentioned in prose").when(defining, "matches a pattern definition").otherwise("")

@@ -18,25 +18,26 @@ from codecensus.plans.registry import query, table
 from codecensus.plans.text_queries import DEFINITION_SQL
 from codecensus.rules import secrets as K
 from codecensus.rules import systems as R
+from codecensus.session import spread
 
 KEYS = ["repo"]
 
 
 def doc_files(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("repo"), F.concat(F.lit("d/"), "doc_id", F.lit(".cfg")).alias("path"), F.lit("INI").alias("language"),
         F.lit("config").alias("kind"), "text")
 
 
 def page_files(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages").select("page_id", "html")).select(
         F.lit("web").alias("repo"), F.concat(F.lit("p/"), "page_id", F.lit(".html")).alias("path"), F.lit("HTML").alias("language"),
         F.lit("config").alias("kind"), F.col("html").alias("text"))
 
 
 def part_files(spark, d, name: Column, text: Column, language: str = "", kind: str = "source") -> DataFrame:
     """One file per part; the brand is the repository."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     return p.select(
         F.col("p_brand").alias("repo"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("path"),
         F.lit(language).alias("language"), F.lit(kind).alias("kind"), text.alias("text"))

@@ -9,6 +9,7 @@ from codecensus.functions import cvss, evidence, packages, text as T
 from codecensus.operators import report as RP
 from codecensus.plans.registry import query, table
 from codecensus.rules import security as S
+from codecensus.session import spread
 
 
 @query("line_counts", r"""
@@ -17,7 +18,7 @@ SELECT doc_id,
   len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND NOT regexp_matches(ltrim(l), '^(#|//|--|\*|%)')))::BIGINT AS sloc
 FROM documents""")
 def line_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.line_total("text").alias("loc"), T.code_line_total("text").alias("sloc"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.line_total("text").alias("loc"), T.code_line_total("text").alias("sloc"))
 
 
 @query("slugs", r"""

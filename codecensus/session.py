@@ -68,3 +68,15 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a CPU-heavy pass over few input splits.
+
+    A table written as one row group arrives in one task. Only when the scan has fewer
+    splits than the cluster has cores are the rows dealt out; a large input, which has
+    many splits anyway, is never shuffled. Apply to a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.rdd().getNumPartitions()
+    return df.repartition(cores * 2) if splits < cores else df
