@@ -502,3 +502,72 @@ def model_lines(spark, d):
     t = {"files": doc.select(F.col("source").alias("repo"), "doc_id", "lang", "n_chars"), "labels": doc.join(table(spark, d, "labels"), "doc_id").select(F.col("source").alias("repo"), "doc_id", "quality", "toxic")}
     lines = X.model_lines(t, KEYS)
     return lines.where(F.get_json_object("json", "$.doc_id").isNotNull()).groupBy("repo", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------- flows, systems, tops
+
+@query("flow_edges", """
+WITH e AS (SELECT 'n' || (o_custkey % 25) AS repo, 'app' || (o_custkey % 3) AS app, CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'POST' ELSE 'DELETE' END AS method,
+  lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS s, 'f' || (o_orderkey % 9) || '.py' AS file, (o_orderkey % 1000)::INT AS line FROM orders),
+g AS (SELECT repo, app, s, method FROM e QUALIFY row_number() OVER (PARTITION BY repo, app, s ORDER BY file, line, '/api/' || s, method) = 1),
+k AS (SELECT repo, 'flow-' || app || '-http-' || s AS flow, method <> 'GET' AS writes FROM g)
+SELECT repo, flow, 'start' AS source, 'entry' AS target, '' AS label, 'sequence' AS kind FROM k
+UNION ALL SELECT repo, flow, 'entry', 'end', '', 'sequence' FROM k WHERE NOT writes
+UNION ALL SELECT repo, flow, unnest(['entry', 'd0', 'd0']), unnest(['d0', 'd0-no', 'end']), unnest(['', 'no', 'yes']), unnest(['sequence', 'conditional', 'sequence']) FROM k WHERE writes""")
+def flow_edges(spark, d):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    _, _, edges = FL.build_flows(
+        _endpoints(spark, d), empty("repo string, source string, target string"), empty("repo string, path string, app string"), empty("repo string, file string, id string"),
+        empty("repo string, id string, name string, kind string"), empty("repo string, path string, text string"), empty("repo string, id string, name string"), KEYS)
+    return edges.select("repo", "flow", "source", "target", "label", "kind")
+
+
+@query("merge_systems", """
+WITH c AS (SELECT p_brand AS repo, p_name AS name, 'c' || min(p_partkey) AS id FROM part WHERE p_size <= 20 GROUP BY 1, 2), i AS (SELECT p_brand AS repo, p_name AS name, 'i' || min(p_partkey) AS id, count(*) AS n FROM part WHERE p_size > 15 GROUP BY 1, 2)
+SELECT coalesce(c.repo, i.repo) AS repo, coalesce(c.name, i.name) AS name, coalesce(c.id, i.id) AS id, CASE WHEN c.id IS NULL THEN i.n ELSE 1 + least(coalesce(i.n, 0), 3) END AS evidence FROM c FULL OUTER JOIN i ON c.repo = i.repo AND c.name = i.name""")
+def merge_systems(spark, d):
+    from codecensus.operators import systems as S
+
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("name"), "p_partkey", "p_size")
+    ev = F.struct(F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit("").alias("snippet"), F.lit("").alias("note"))
+    one = lambda df, prefix, arr: df.groupBy("repo", "name").agg(F.concat(F.lit(prefix), F.min("p_partkey")).alias("id"), F.count(F.lit(1)).alias("n")).select(
+        "repo", "name", "id", F.lit("api").alias("kind"), F.lit("x").alias("technology"), arr.alias("evidence"))
+    code = one(p.where("p_size <= 20"), "c", F.array(ev))
+    infra = one(p.where("p_size > 15"), "i", F.array_repeat(ev, F.col("n").cast("int")))
+    return S.merge_systems(code, infra, KEYS).select("repo", "name", "id", F.size("evidence").alias("evidence"))
+
+
+@query("top_components", """
+WITH e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem), i AS (SELECT target AS id, count(*) AS fan_in FROM e GROUP BY 1)
+SELECT p_brand AS repo, 'p' || p_partkey AS id, p_retailprice AS rank, coalesce(fan_in, 0) AS fan_in, 0 AS fan_out, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, 'p' || p_partkey)::INT AS place
+FROM part LEFT JOIN i ON i.id = 'p' || p_partkey QUALIFY place <= 10""")
+def top_components(spark, d):
+    from codecensus.operators import graph as G
+
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("a").alias("app"), F.col("p_size").alias("files"), F.col("p_size").alias("loc"), "p_retailprice")
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    fans = G.fan(e, []).join(p.select("repo", F.col("id").alias("node")), "node")
+    ranks = p.select("repo", F.col("id").alias("node"), F.col("p_retailprice").alias("rank"))
+    return RP.top_components(p.drop("p_retailprice"), ranks, fans, KEYS).select("repo", "id", "rank", "fan_in", "fan_out", "place")
+
+
+@query("dependency_rollup", "SELECT p_brand AS repo, p_type AS ecosystem, count(*) AS total, count(*) FILTER (p_size > 20) AS direct FROM part GROUP BY 1, 2")
+def dependency_rollup(spark, d):
+    return RP.dependency_rollup(table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("ecosystem"), (F.col("p_size") > 20).alias("direct")), KEYS)
+
+
+@query("largest_files", "SELECT source AS repo, 'd' || doc_id AS path, n_chars AS loc, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, 'd' || doc_id)::INT AS rank FROM documents QUALIFY rank <= 25")
+def largest_files(spark, d):
+    return RP.largest_files(table(spark, d, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("d"), "doc_id").alias("path"), F.col("n_chars").alias("loc")), KEYS)
+
+
+@query("graph_links", """
+WITH sz AS (SELECT p_brand AS repo, 'p' || p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, 'p' || p_partkey) AS rn FROM part), s AS (SELECT repo, id FROM sz WHERE rn <= 20),
+e AS (SELECT a.p_brand AS repo, 'p' || a.p_partkey AS source, 'p' || b.p_partkey AS target FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 AND a.p_brand = b.p_brand)
+SELECT repo, source, target, 1::BIGINT AS weight FROM e WHERE (repo, source) IN (SELECT repo, id FROM s) AND (repo, target) IN (SELECT repo, id FROM s)""")
+def graph_links(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("a").alias("app"), F.col("p_size").alias("files"), "p_partkey")
+    half = p.select("repo", F.col("p_partkey").alias("h"), F.col("id").alias("target"))
+    e = p.withColumn("h", F.floor(F.col("p_partkey") / 2)).join(half, ["repo", "h"]).select("repo", F.col("id").alias("source"), "target", F.lit("imports").alias("kind"), F.lit(1).cast("long").alias("weight"))
+    none = spark.createDataFrame([], "repo string, id string, name string, kind string, evidence array<string>")
+    return X.graph_payload(p.drop("p_partkey"), none, e, KEYS, max_nodes=20)[1]
