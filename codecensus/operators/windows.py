@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 Keys = list[str]
+GROUP_LIMIT = 1000
+SLICES = 64
 
 
 def _cols(order) -> list[Column]:
@@ -18,6 +20,12 @@ def top_per_group(df: DataFrame, keys: Keys, order, n: int, rank: str | None = N
     (window group limit), so a hot group ships n rows per task and no more.
     """
     name = rank or "__rn"
+    if n > GROUP_LIMIT:
+        # Beyond Spark's threshold the cut before the shuffle does not apply: deal every group
+        # out over slices, cut each slice to n, and only rank what is left.
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
+        part = W.partitionBy(*keys, "__salt").orderBy(*_cols(order))
+        df = df.withColumn("__salt", salt).withColumn("__pre", F.row_number().over(part)).where(F.col("__pre") <= n).drop("__salt", "__pre")
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*_cols(order)))).where(F.col(name) <= n)
     return out if rank else out.drop(name)
 

@@ -125,7 +125,7 @@ def numbered(df: DataFrame, keys: Keys, order: list, name: str = "n") -> DataFra
     Rows are range-partitioned by (keys, order); a partition's offset is the number of
     the group's rows in earlier partitions, so only counts meet, never the rows.
     """
-    from codecensus.session import cut
+    from codecensus.session import broadcast_if_small, cut
 
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     from pyspark.sql import Window as W
@@ -135,7 +135,7 @@ def numbered(df: DataFrame, keys: Keys, order: list, name: str = "n") -> DataFra
     counts = placed.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.withColumn("__off", F.coalesce(F.sum("__c").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     local = placed.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*cols[len(keys):])))
-    return local.join(F.broadcast(before), [*keys, "__p"]).withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("long")).drop("__p", "__off", "__r")
+    return local.join(broadcast_if_small(before), [*keys, "__p"]).withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("long")).drop("__p", "__off", "__r")
 
 
 def cyclonedx_components(deps: DataFrame, keys: Keys, tool: str = "codecensus") -> DataFrame:
