@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codecensus.llm.common import query, table
 from codecensus.llm.language_id import identify
+from codecensus.llm.pii_redaction import find_personal_data
 from codecensus.llm.quality_rules import quality_rules
 from codecensus.llm.secret_scan import secret_scan
 
@@ -43,3 +44,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_pii_boosting")
+def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
