@@ -18,6 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codecensus.llm.native import bounded
+from codecensus.session import cut
+
 SPACE, BREAK, UNKNOWN, FIRST = 0, 1, 2, 3
 PIECE = 512
 #: Sizes of the labelled sample: documents and pieces of text for each language, code points in a piece.
@@ -186,7 +189,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     # A hash below a bound that follows from the language's count leaves a few times the sample before rows are ranked.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = bounded(cut(rows.groupBy("lang").agg(F.count("*").alias("n"))))
     dice = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**40)) / 2**40
     few = rows.withColumn("dice", dice).join(counts, "lang").where(F.col("dice") * F.col("n") < 4 * documents + 16)
     order = Window.partitionBy("lang").orderBy("dice", "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codecensus.llm.common import query, table
+from codecensus.llm.html_text import extract_pages
 from codecensus.llm.language_id import identify
 from codecensus.llm.pii_redaction import find_personal_data
 from codecensus.llm.quality_rules import quality_rules
@@ -49,3 +50,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii_boosting")
 def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))

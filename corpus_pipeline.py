@@ -1,23 +1,74 @@
-"""Corpus pipeline: filled in below as its stages are written."""
+"""Corpus pipeline: language identification, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs``; ``run`` writes each result as Parquet to the
+shared folder and reads it again for the next stage. All stages but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codecensus.llm.decontaminate import leaks
+from codecensus.llm.language_id import held_out, language, learn
+from codecensus.llm.line_dedup import dedup_lines
 from codecensus.llm.minhash_dedup import near_duplicates
+from codecensus.llm.mixing import mix
+from codecensus.session import stored
+
+#: Letters per phrase under which a text is in none of the learned languages: nearly every letter is a phrase of its own.
+LEAST_PHRASE = 1.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those that fit no learned language. Without any label nothing is learned and all stay."""
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs
+    known = docs.withColumn("_language", language(model, F.col("text")))
+    return known.where((F.col("_language.lang_pred") != "und") & (F.col("_language.phrase_length") >= LEAST_PHRASE)).select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops boilerplate lines from texts and sets ``n_chars`` anew; no document goes. Whole copies are left to the next stage."""
+    lines = dedup_lines(docs, spare_emptied=True)
+    if "n_chars" in docs.columns:
+        lines = lines.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return lines.select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of every class of near-duplicates, and one row of it."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.expr("doc_id <=> _id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item."""
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.expr("doc_id <=> _id"), "left_anti")
+
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds to each document how many of its words the mix takes; see ``mix``."""
+    return mix(docs)
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate),
+    ("minhash_near_dedup", keep_one_of_each),
+    ("benchmark_decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
 
-STAGES = [("minhash near-dedup", near_dedup)]
+#: The first stage is a fitted model and the last a seeded choice, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
