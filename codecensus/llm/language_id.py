@@ -189,9 +189,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     # A hash below a bound that follows from the language's count leaves a few times the sample before rows are ranked.
-    counts = bounded(cut(rows.groupBy("lang").agg(F.count("*").alias("n"))))
+    counts = bounded(cut(rows.groupBy("lang").agg(F.count("*").alias("n"))).select(F.col("lang").alias("of"), "n"))
     dice = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**40)) / 2**40
-    few = rows.withColumn("dice", dice).join(counts, "lang").where(F.col("dice") * F.col("n") < 4 * documents + 16)
+    few = rows.withColumn("dice", dice).join(counts, F.expr("lang = of")).where(F.col("dice") * F.col("n") < 4 * documents + 16)
     order = Window.partitionBy("lang").orderBy("dice", "id")
     chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= documents).select("id").distinct()
     texts = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
