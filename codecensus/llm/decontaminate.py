@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codecensus.llm.native import bounded, contained, hashes, weighted_shingles, words
+from codecensus.llm.native import bounded, contained, exploded, hashes, weighted_shingles, words
 from codecensus.session import cut
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -107,7 +107,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     pairs = None
     if sizes:
         every = F.flatten(F.array(*[_sized(w, _windows(F.col(f"s{min(w // 2, 4)}"), w, min(w // 2, 4), w // 2)) for w in sizes]))
-        seen = summed.select("_id", F.explode(every).alias("w")).select("_id", F.col("w.f").alias("f2"), F.explode(_blocks(F.col("w.size"), F.col("w.f"))).alias("key"))
+        seen = exploded(summed, every, "w", "_id").select("_id", "w.size", F.col("w.f").alias("f2"))
+        seen = exploded(seen, _blocks(F.col("size"), F.col("f2")), "key", "_id", "f2")
         pairs = seen.join(bounded(filed), "key").where(F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS).select("_id", "item_id").distinct()
     else:
         pairs = texts.select("_id").limit(0).crossJoin(items.select(F.col(item_id).alias("item_id")).limit(0))

@@ -18,7 +18,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codecensus.llm.native import SHINGLE, bounded, contained, hashes, shingle_hashes, weighted_shingles, words
+from codecensus.llm.native import SHINGLE, bounded, contained, exploded, hashes, shingle_hashes, weighted_shingles, words
 from codecensus.session import cut
 
 GAP = r"[^a-z0-9]+"
@@ -115,8 +115,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # Of the windows 0, S, 2 S, ... those that reach a mark; one that begins past the last shingle is empty.
         near = F.flatten(F.transform("marks", lambda m: _starts_near(m, t + step + SHINGLE - 1, step)))
         starts = F.filter(F.array_distinct(near), lambda i: i < F.size("s"))
-        windows = shingled.select("_id", F.explode(_slices("s", starts, t + step)).alias("w"))
-        keys = windows.select("_id", F.explode(_minima(F.col("w"), t, bands)).alias("key"))
+        windows = exploded(shingled, _slices("s", starts, t + step), "w", "_id")
+        keys = exploded(windows, _minima(F.col("w"), t, bands), "key", "_id")
         filed = sets.where(F.size("xs").between(t // 2 + 1, t)).select("license", F.explode(_minima(F.col("xs"), t, bands)).alias("key"))
         met.append(keys.join(bounded(filed), "key").select("_id", "license"))
     pairs = met[0] if met else texts.select("_id", F.lit("").alias("license")).limit(0)

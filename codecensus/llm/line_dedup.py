@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codecensus.llm.native import exploded
+
 BREAK = "\n"
 
 
@@ -24,7 +26,7 @@ def _key(line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float, min_pages: int) -> DataFrame:
     """(host, line) above the ratio, from (host, array of distinct line hashes)."""
     totals = pages.groupBy(host).agg(F.count("*").alias("pages"))
-    held = pages.select(host, F.explode(lines).alias("line")).groupBy(host, "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    held = exploded(pages, F.col(lines), "line", host).groupBy(host, "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return held.alias("h").join(totals.alias("t"), F.expr(f"h.{host} <=> t.{host}")).where(F.col("n") > max_ratio * F.col("pages")).select(f"h.{host}", "line")
 
 
@@ -39,7 +41,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), _key))).alias("_lines"))
     bad = boilerplate(slim, "_host", "_lines", max_ratio, min_pages)
-    hits = slim.select("_id", "_host", F.explode("_lines").alias("line")).alias("s").join(bad.alias("b"), F.expr("s._host <=> b._host and s.line = b.line"))
+    hits = exploded(slim, F.col("_lines"), "line", "_id", "_host").alias("s").join(bad.alias("b"), F.expr("s._host <=> b._host and s.line = b.line"))
     # Of one page only: it can hold no more of them than it has lines.
     dropped = hits.groupBy("s._id", "s._host").agg(F.collect_set("s.line").alias("_bad"))
     whole = docs.join(dropped, docs[id_col].eqNullSafe(F.col("_id")) & docs[host_col].eqNullSafe(F.col("_host")), "left")

@@ -24,6 +24,14 @@ def shingle_hashes(word_hashes: Column, size: int = SHINGLE) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(size)]))
 
 
+def exploded(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """One row for each item of a computed array.
+
+    A plain explode lets the optimizer repeat the whole computation in a "has elements" filter below it.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a table that has been counted and is small; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -32,7 +40,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def weighted_shingles(texts: DataFrame, id_col: str, text_col: str, name: str, gap: str, size: int = SHINGLE) -> DataFrame:
     """(name, x, weight): distinct shingles of small texts; a shingle that d texts hold weighs 1000 / d, rounded down."""
     hashed = texts.select(F.col(id_col).alias(name), hashes(words(F.col(text_col), gap)).alias("h"))
-    each = hashed.select(name, F.explode(F.array_distinct(shingle_hashes(F.col("h"), size))).alias("x")).distinct()
+    each = exploded(hashed, F.array_distinct(shingle_hashes(F.col("h"), size)), "x", name).distinct()
     held = each.groupBy("x").agg(F.count("*").alias("d"))
     return each.join(held, "x").select(name, "x", F.floor(F.lit(1000) / F.col("d")).cast("long").alias("weight"))
 
@@ -44,7 +52,7 @@ def contained(docs: DataFrame, pairs: DataFrame, parts: DataFrame, name: str, ga
     """
     ids = pairs.select(F.col("_id").alias("_want")).distinct()
     asked = docs.join(ids, F.expr("_id <=> _want"), "left_semi").select("_id", hashes(words(F.col("text"), gap)).alias("h"))
-    held = asked.select("_id", F.explode(F.array_distinct(shingle_hashes(F.col("h"), size))).alias("x"))
+    held = exploded(asked, F.array_distinct(shingle_hashes(F.col("h"), size)), "x", "_id")
     total = parts.groupBy(name).agg(F.sum("weight").alias("total"))
     # Rows that repeat an id are one document: a shingle counts once.
     found = held.join(bounded(parts), "x").select("_id", name, "x", "weight").distinct().groupBy("_id", name).agg(F.sum("weight").alias("shared"))
