@@ -9,7 +9,8 @@ A fingerprint has 64 bits, each the majority of that bit over the hashes of the
 blocks: two fingerprints that differ in at most three bits agree in one block, so a join on blocks misses none. Candidates
 are confirmed by the weighted share of the item's shingles that the document holds.
 
-Bits are counted eight at a time: a long holds eight lanes of eight bits, and four words are added into eight such longs.
+Bits are counted for all 64 places at once: a count is a few longs, the k-th of which holds the k-th binary digit of every
+place's count, and two counts are added by a chain of XOR and AND. Sums over pairs of words give those over four, eight, ...
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ GAP = r"[\x20\x09-\x0D]+"
 RADIUS = 3
 BLOCKS = RADIUS + 1
 BITS = 64 // BLOCKS
-SMALLEST, LARGEST = 4, 64
+SIZES = (4, 8, 16, 32, 64)
+SMALLEST, LARGEST = SIZES[0], SIZES[-1]
 SIMILAR_PERCENT = 80
-ONES, HIGH = 0x0101010101010101, 0x4040404040404040
 
 
 def window_size(n: Column) -> Column:
@@ -38,34 +39,59 @@ def window_size(n: Column) -> Column:
     return F.when(n >= 5, size.otherwise(LARGEST))
 
 
-def _sums(word_hashes: Column, step: int) -> Column:
-    """For words 0, step, 2 step, ...: eight longs of lane sums over ``step`` words from there, whole groups only."""
-    last = F.floor(F.size(word_hashes) / step).cast("int") - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _starts(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def lanes(i: Column) -> Column:
-        each = [F.get(word_hashes, i * step + j) for j in range(step)]
-        return F.array(*[reduce(lambda a, b: a + b, [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES)) for h in each]) for k in range(8)])
 
-    return F.transform(starts, lanes)
+def _digits(values: list[Column]) -> Column:
+    return F.struct(*[v.alias(f"d{k}") for k, v in enumerate(values)])
 
 
-def _fingerprint(groups: list[Column], size: int) -> Column:
-    """Fingerprint of a window from the lane sums of its groups of words: bits that more than half of the words have."""
-    bias = F.lit((63 - size // 2) * ONES)
-    out = []
-    for k in range(8):
-        total = reduce(lambda a, b: a + b, [F.get(g, F.lit(k)) for g in groups]) + bias
-        out.append(F.shiftleft(F.shiftrightunsigned(total.bitwiseAND(F.lit(HIGH)), 6), k))
-    return reduce(lambda a, b: a.bitwiseOR(b), out)
+def _pairs(word_hashes: Column) -> Column:
+    """Counts of words 2 i and 2 i + 1."""
+    def both(i: Column) -> Column:
+        a, b = F.get(word_hashes, 2 * i), F.get(word_hashes, 2 * i + 1)
+        return _digits([a.bitwiseXOR(b), a.bitwiseAND(b)])
 
+    return F.transform(_starts(F.floor(F.size(word_hashes) / 2).cast("int")), both)
 
-def _windows(sums: Column, size: int, group: int, stride: int) -> Column:
-    """Fingerprints of windows of ``size`` words, one each ``stride`` words, from sums over groups of ``group`` words."""
-    parts, hop = size // group, stride // group
-    last = F.floor((F.size(sums) - parts) / hop).cast("int")
-    starts = F.when(F.size(sums) >= parts, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: _fingerprint([F.get(sums, i * hop + j) for j in range(parts)], size))
+
+def _added(counts: Column, digits: int, hop: int, apart: int) -> Column:
+    """Counts ``hop`` i and ``hop`` i + ``apart``, added; each has ``digits`` digits, the sums have one more."""
+    n = F.floor((F.size(counts) - apart - 1) / hop).cast("int") + 1
+
+    def add(x: Column) -> Column:
+        out, carry = [], None
+        for k in range(digits):
+            a, b = x["a"][f"d{k}"], x["b"][f"d{k}"]
+            out.append(a.bitwiseXOR(b) if carry is None else a.bitwiseXOR(b).bitwiseXOR(carry))
+            carry = a.bitwiseAND(b) if carry is None else a.bitwiseAND(b).bitwiseOR(carry.bitwiseAND(a.bitwiseXOR(b)))
+        return _digits([*out, carry])
+
+    # The pairs stand in an array of their own, so that each is looked up once.
+    return F.transform(F.transform(_starts(n), lambda i: F.struct(F.get(counts, hop * i).alias("a"), F.get(counts, hop * i + apart).alias("b"))), add)
+
+
+def _majority(counts: Column, digits: int) -> Column:
+    """Bits that more than half of 2 ** (digits - 1) words have: all of them, or a half and more."""
+    def vote(c: Column) -> Column:
+        rest = reduce(lambda a, b: a.bitwiseOR(b), [c[f"d{k}"] for k in range(digits - 2)])
+        return c[f"d{digits - 1}"].bitwiseOR(c[f"d{digits - 2}"].bitwiseAND(rest))
+
+    return F.transform(counts, vote)
+
+
+def windows(hashed: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """(keep, size, fingerprint) of (keep, h): windows of each of the sizes, one each half of a window."""
+    # Counts over 4 words stand 2 or 4 words apart, later ones half of their size.
+    first = 2 if SMALLEST in sizes else 4
+    df = hashed.withColumn("c2", _pairs(F.col("h"))).drop("h").withColumn("c4", _added(F.col("c2"), 2, first // 2, 1)).drop("c2")
+    digits, size, hop = 3, 4, 8 // first // 2
+    while size < max(sizes):
+        df = df.withColumn(f"c{2 * size}", _added(F.col(f"c{size}"), digits, hop, 2 if hop == 2 else 1))
+        digits, size, hop = digits + 1, 2 * size, 2
+    every = F.flatten(F.array(*[_sized(w, _majority(F.col(f"c{w}"), w.bit_length())) for w in sizes]))
+    return exploded(df, every, "w", *keep).select(*keep, "w.size", "w.fingerprint")
 
 
 def _blocks(size: Column, fingerprint: Column) -> Column:
@@ -75,19 +101,18 @@ def _blocks(size: Column, fingerprint: Column) -> Column:
 
 
 def _sized(size: int, prints: Column) -> Column:
-    return F.transform(prints, lambda f: F.struct(F.lit(size).alias("size"), f.alias("f")))
+    return F.transform(prints, lambda f: F.struct(F.lit(size).alias("size"), f.alias("fingerprint")))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, size, fingerprint) of every window of every item."""
     hashed = items.select(F.col(id_col).alias("item_id"), hashes(words(F.col(text_col), GAP)).alias("h")).withColumn("size", window_size(F.size("h"))).where("size is not null")
-    # A window may start at any word: the words from each of ``size`` offsets on, in groups of a window.
+    # Windows stand half a window apart: with every offset below that, one starts at each word.
     found = None
-    sizes = [SMALLEST * 2**k for k in range(5)]
-    for w in sizes:
-        shifted = hashed.where(F.col("size") == w).select("item_id", "size", "h", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("o"))
-        rest = shifted.select("item_id", "size", F.slice("h", F.col("o") + 1, F.greatest(F.lit(0), F.size("h") - F.col("o"))).alias("g"))
-        prints = rest.select("item_id", "size", _sums(F.col("g"), SMALLEST).alias("s")).select("item_id", "size", F.explode(_windows(F.col("s"), w, SMALLEST, w)).alias("fingerprint"))
+    for w in SIZES:
+        shifted = hashed.where(F.col("size") == w).select("item_id", "h", F.explode(F.sequence(F.lit(0), F.lit(w // 2 - 1))).alias("o"))
+        rest = shifted.select("item_id", F.slice("h", F.col("o") + 1, F.greatest(F.lit(0), F.size("h") - F.col("o"))).alias("h"))
+        prints = windows(rest, [w], "item_id")
         found = prints if found is None else found.union(prints)
     return found.distinct()
 
@@ -103,11 +128,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # five sizes at most
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     filed = prints.select("item_id", F.col("fingerprint").alias("f1"), F.explode(_blocks(F.col("size"), F.col("fingerprint"))).alias("key"))
-    summed = texts.select("_id", hashes(words(F.col("text"), GAP)).alias("h")).select("_id", *[_sums(F.col("h"), g).alias(f"s{g}") for g in sorted({min(w // 2, 4) for w in sizes})])
-    pairs = None
     if sizes:
-        every = F.flatten(F.array(*[_sized(w, _windows(F.col(f"s{min(w // 2, 4)}"), w, min(w // 2, 4), w // 2)) for w in sizes]))
-        seen = exploded(summed, every, "w", "_id").select("_id", "w.size", F.col("w.f").alias("f2"))
+        seen = windows(texts.select("_id", hashes(words(F.col("text"), GAP)).alias("h")), sizes, "_id").withColumnRenamed("fingerprint", "f2")
         seen = exploded(seen, _blocks(F.col("size"), F.col("f2")), "key", "_id", "f2")
         pairs = seen.join(bounded(filed), "key").where(F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS).select("_id", "item_id").distinct()
     else:

@@ -18,6 +18,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codecensus.llm.common import any_of
 from codecensus.llm.native import SHINGLE, bounded, contained, exploded, hashes, shingle_hashes, weighted_shingles, words
 from codecensus.session import cut
 
@@ -104,11 +105,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = parts.groupBy("license").agg(F.collect_set("x").alias("xs"))
     classes = sorted({class_of(n) for t in templates.values() if (n := len([w for w in re.split(GAP, t.lower()) if w]) - SHINGLE + 1) > 0})
     guards = guard_words(templates, percent) or [""]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(guards)})(?![a-z0-9])"))
-    # Places of guard words; window i begins with shingle i + 1 and ends four words after its last shingle.
+    holds = any_of([F.contains(F.lower("text"), F.lit(g)) for g in guards])
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(holds)
+    # Places of guard words; window i begins with shingle i and ends four words after its last shingle.
     read = texts.select("_id", words(F.col("text"), GAP).alias("w"))
     marked = F.filter(F.transform("w", lambda x, i: F.when(x.isin(guards), i)), lambda i: i.isNotNull())
-    shingled = read.select("_id", shingle_hashes(hashes(F.col("w"))).alias("s"), marked.alias("marks"))
+    shingled = cut(read.select("_id", shingle_hashes(hashes(F.col("w"))).alias("s"), marked.alias("marks")))
     met = []
     for t in classes:
         step = max(1, t // 4)
