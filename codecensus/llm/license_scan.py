@@ -110,7 +110,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Places of guard words; window i begins with shingle i and ends four words after its last shingle.
     read = texts.select("_id", words(F.col("text"), GAP).alias("w"))
     marked = F.filter(F.transform("w", lambda x, i: F.when(x.isin(guards), i)), lambda i: i.isNotNull())
-    shingled = cut(read.select("_id", shingle_hashes(hashes(F.col("w"))).alias("s"), marked.alias("marks")))
+    shingled = cut(read.select("_id", hashes(F.col("w")).alias("h"), marked.alias("marks")).select("_id", shingle_hashes(F.col("h")).alias("s"), "marks"))
     met = []
     for t in classes:
         step = max(1, t // 4)

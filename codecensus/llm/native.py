@@ -19,7 +19,10 @@ def hashes(items: Column) -> Column:
 
 
 def shingle_hashes(word_hashes: Column, size: int = SHINGLE) -> Column:
-    """Hash of every run of ``size`` words; none if there are fewer words."""
+    """Hash of every run of ``size`` words; none if there are fewer words.
+
+    Name a column: an expression would be computed again for every run.
+    """
     starts = F.when(F.size(word_hashes) >= size, F.sequence(F.lit(0), F.size(word_hashes) - size)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(size)]))
 
