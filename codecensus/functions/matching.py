@@ -32,6 +32,40 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
+#: A line of at most so many characters is shown whole; of a longer one its start and what stands around the hit.
+LONG_LINE, HEAD, AROUND = 2000, 24, 400
+#: Marks are counted in blocks of so many, so that many hits in one line take little more than linear time.
+MARK_BLOCK = 256
+
+
+def _marked_lines(text: str, pattern: str, replacement: str, mark: str, rest: str, fields: str, index: int) -> str:
+    """SQL that gives one struct for each mark ``OPEN`` that the replacement puts into the text.
+
+    ``p`` are the pieces of a marked line, cut once at the marks, and ``p[k]`` is the piece that begins with hit k;
+    ``rest`` turns a piece ``q`` into what it holds of the line itself. The column of a hit is the length of all pieces
+    before it: whole blocks come from a table of sums, the rest of the last block is added up. Nothing is done for each
+    hit that reads the whole line, unless the line is short.
+    """
+    lengths = f"transform(p.p, q -> length({rest}))"
+    sums = (
+        f"aggregate(sequence(0, (size(p.n) - 1) div {MARK_BLOCK}), named_struct('s', 0, 'o', cast(array() as array<int>)), "
+        f"(a, b) -> named_struct('s', a.s + aggregate(slice(p.n, b * {MARK_BLOCK} + 1, {MARK_BLOCK}), 0, (u, v) -> u + v), 'o', array_append(a.o, a.s)), a -> a.o)"
+    )
+    column = f"p.b[k div {MARK_BLOCK}] + aggregate(slice(p.n, k div {MARK_BLOCK} * {MARK_BLOCK} + 1, k % {MARK_BLOCK}), 0, (u, v) -> u + v)"
+    near = (
+        f"concat(left(p.c[0], {HEAD}), CASE WHEN k > 1 OR length(p.c[0]) > {HEAD} THEN right(concat(substring(p.c[0], {HEAD + 1}), array_join(slice(p.c, greatest(2, k - 3), greatest(0, least(4, k - 1))), '')), {AROUND}) ELSE '' END, "
+        f"left(array_join(slice(p.c, k + 1, 5), ''), {AROUND}))"
+    )
+    shown = f"btrim(CASE WHEN p.w IS NULL THEN {near} ELSE p.w END, ' \\t\\r\\f')"
+    hit = f"named_struct('i', {index}, 'line', p.line, 'col', {column}, {fields.replace('{text}', shown)})"
+    return (
+        f"flatten(transform(filter(transform(split(regexp_replace({text}, {pattern}, '{replacement}'), '\\n'), (l, n) -> named_struct('line', n + 1, 'p', split(l, '{mark}'))), x -> size(x.p) > 1), x -> "
+        f"transform(transform(transform(array(x), p -> named_struct('line', p.line, 'p', p.p, 'n', {lengths}, 'c', transform(p.p, q -> {rest}))), "
+        f"p -> named_struct('line', p.line, 'p', p.p, 'n', p.n, 'c', p.c, 'b', {sums}, 'w', CASE WHEN aggregate(p.n, 0, (u, v) -> u + v) <= {LONG_LINE} THEN array_join(p.c, '') END)), "
+        f"p -> transform(sequence(1, size(p.p) - 1), k -> {hit}))[0]))"
+    )
+
+
 def hits_sql(text: str, pattern: str, index: int, low: str | None = None) -> str:
     """SQL for ``array<struct<i:int, line:int, col:int, text:string, hit:string>>`` of one rule.
 
@@ -41,13 +75,8 @@ def hits_sql(text: str, pattern: str, index: int, low: str | None = None) -> str
     """
     p = quoted("(?m)" + pattern)
     guard = guard_sql(pattern, low) if low else "true"
-    return (
-        f"CASE WHEN {guard} AND {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
-        f"regexp_replace({text}, {p}, '{OPEN}$0{CLOSE}'), '\\n'), (l, n) -> named_struct('n', n + 1, 'l', l)), x -> contains(x.l, '{OPEN}')), "
-        f"x -> transform(regexp_extract_all(x.l, '{OPEN}([^{CLOSE}]*)', 1), (h, k) -> named_struct('i', {index}, 'line', x.n, "
-        f"'col', length(replace(array_join(slice(split(x.l, '{OPEN}'), 1, k + 1), ''), '{CLOSE}', '')), "
-        f"'text', btrim(translate(x.l, '{OPEN}{CLOSE}', ''), ' \\t\\r\\f'), 'hit', h)))) END"
-    )
+    found = _marked_lines(text, p, f"{OPEN}$0{CLOSE}", OPEN, f"translate(q, '{CLOSE}', '')", f"'text', {{text}}, 'hit', substring_index(p.p[k], '{CLOSE}', 1)", index)
+    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN {found} END"
 
 
 def groups_sql(text: str, pattern: str, groups: int, index: int) -> str:
@@ -60,14 +89,9 @@ def groups_sql(text: str, pattern: str, groups: int, index: int) -> str:
     lead = groups < 0
     caught = DOC_OPEN.join(f"${k}" for k in range(2 if lead else 1, abs(groups) + 1))
     replacement = f"$1{OPEN}{caught}{CLOSE}" if lead else f"{OPEN}{caught}{CLOSE}$0"
-    marks = f"'{OPEN}[^{CLOSE}]*{CLOSE}'"
-    return (
-        f"CASE WHEN {text} RLIKE {p} THEN flatten(transform(filter(transform(split("
-        f"regexp_replace({text}, {p}, '{replacement}'), '\\n'), (l, n) -> named_struct('n', n + 1, 'l', l)), x -> contains(x.l, '{OPEN}')), "
-        f"x -> transform(regexp_extract_all(x.l, '{OPEN}([^{CLOSE}]*){CLOSE}', 1), (m, k) -> named_struct('i', {index}, 'line', x.n, "
-        f"'col', length(regexp_replace(array_join(slice(split(x.l, '{OPEN}'), 1, k + 1), '{OPEN}'), {marks}, '')), "
-        f"'g', split(m, '{DOC_OPEN}'), 'text', btrim(regexp_replace(x.l, {marks}, ''), ' \\t\\r\\f'))))) END"
-    )
+    rest = f"CASE WHEN contains(q, '{CLOSE}') THEN substring(q, instr(q, '{CLOSE}') + 1) ELSE q END"
+    found = _marked_lines(text, p, replacement, OPEN, rest, f"'g', split(substring_index(p.p[k], '{CLOSE}', 1), '{DOC_OPEN}'), 'text', {{text}}", index)
+    return f"CASE WHEN {text} RLIKE {p} THEN {found} END"
 
 
 def docstring_spans(text: str) -> str:
@@ -115,33 +139,6 @@ def find_lines(text: Column | str, pattern: str) -> Column:
     return F.when(_c(text).rlike(f"(?m){pattern}"), found)
 
 
-def find_groups(text: Column | str, pattern: str, groups: int) -> Column:
-    """``array<struct<line:int, g:array<string>, text:string>>``, one element per match.
-
-    The captured groups are copied in front of each match between marks; groups that took
-    no part are ''. Line numbers hold as long as no group captures a line break.
-    """
-    t = unmarked(text)
-    caught = DOC_OPEN.join(f"${i}" for i in range(1, groups + 1))
-    marked = F.regexp_replace(t, f"(?m){pattern}", f"{OPEN}{caught}{CLOSE}$0")
-    numbered = F.transform(
-        F.split(marked, "\n"),
-        lambda line, i: F.struct((i + 1).cast("int").alias("line"), line.alias("text")),
-    )
-    per_line = F.transform(
-        F.filter(numbered, lambda x: x["text"].contains(OPEN)),
-        lambda x: F.transform(
-            F.regexp_extract_all(x["text"], F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)),
-            lambda m: F.struct(
-                x["line"].alias("line"),
-                F.split(m, DOC_OPEN).alias("g"),
-                strip(F.regexp_replace(x["text"], f"{OPEN}[^{CLOSE}]*{CLOSE}", "")).alias("text"),
-            ),
-        ),
-    )
-    return F.when(_c(text).rlike(f"(?m){pattern}"), F.flatten(per_line))
-
-
 def first_hit(text: Column | str, pattern: str) -> Column:
     """``struct<line, text, hit>`` of the first match, NULL without one."""
     t = _c(text)

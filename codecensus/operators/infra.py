@@ -49,7 +49,7 @@ def dockerfiles(files: DataFrame, keys: Keys) -> DataFrame:
         *keys, "file", _all(stage, 1).alias("base_images"), F.filter(_all(stage, 2), lambda s: s != "").alias("stages"),
         _all(r"(?im)^\s*EXPOSE\s+(\d+)", 1).cast("array<int>").alias("ports"),
         last(_all(r"(?im)^\s*USER\s+(\S+)", 1), "root (implicit)").alias("user"),
-        F.substring(F.btrim(last(_all(r"(?im)^\s*(?:ENTRYPOINT|CMD)\s+([^\n]+)$", 1), "")), 1, 200).alias("entrypoint"),
+        F.btrim(last(_all(r"(?im)^\s*(?:ENTRYPOINT|CMD)\s+([^\n]+)$", 1), "")).alias("entrypoint"),
         F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])).alias("env"),
         (F.size(_all(stage, 1)) > 1).alias("multistage"))
 
@@ -121,8 +121,8 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
         listed = M.yaml_items(need, 3)
         return job(
             M.yaml_key(b), "", M.yaml_scalar(M.yaml_child(parts, "runs-on")),
-            F.slice(F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?uses:[ \t]*([^\n]+)$"), F.lit(1)), M.unquote), 1, 12),
-            F.slice(F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?run:[ \t]*(?:[|>][-+]?[ \t]*\n\s*)?([^\n]+)"), F.lit(1)), lambda r: F.substring(r, 1, 120)), 1, 12),
+            F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?uses:[ \t]*([^\n]+)$"), F.lit(1)), M.unquote),
+            F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?run:[ \t]*(?:[|>][-+]?[ \t]*\n\s*)?([^\n]+)"), F.lit(1)),
             F.when(F.size(listed) > 0, listed).when(M.yaml_scalar(need) != "", F.array(M.yaml_scalar(need))).otherwise(none))
 
     acts = F.transform(M.yaml_blocks(M.yaml_inner(M.yaml_child(top, "jobs")), 1), action_job)
@@ -162,15 +162,20 @@ def helm(files: DataFrame, keys: Keys) -> DataFrame:
     return _routed(files, keys, "helm").select(*keys, "file", field("name"), field("version"), field("description"))
 
 
-def image_systems(cont: DataFrame, k8s: DataFrame, tf: DataFrame, keys: Keys, max_evidence: int = 12) -> DataFrame:
-    """Backing systems that images and resources reveal; the first matching rule names them."""
+def image_uses(cont: DataFrame, k8s: DataFrame, tf: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, file, line, note, service, name, kind, technology)``: every place where an image or resource reveals a
+    backing system; the first matching rule names it. ``service`` is the compose service, '' elsewhere."""
     c = cont.where("image <> ''").select(
-        *keys, "file", F.lit(0).alias("line"), F.concat(F.lit("service "), "name", F.lit(": "), "image").alias("note"), image_system("image").alias("s"))
+        *keys, "file", F.lit(0).alias("line"), F.concat(F.lit("service "), "name", F.lit(": "), "image").alias("note"), F.col("name").alias("service"), image_system("image").alias("s"))
     k = k8s.select(*keys, "file", "kind", "name", F.explode("images").alias("image")).select(
-        *keys, "file", F.lit(0).alias("line"), F.concat_ws(" ", "kind", "name").alias("note"), image_system("image").alias("s"))
+        *keys, "file", F.lit(0).alias("line"), F.concat_ws(" ", "kind", "name").alias("note"), F.lit("").alias("service"), image_system("image").alias("s"))
     t = tf.where("block = 'resource'").select(
-        *keys, "file", "line", F.col("type").alias("note"), image_system(F.replace(F.col("type"), F.lit("_"), F.lit(" "))).alias("s"))
-    rows = c.unionByName(k).unionByName(t).where("s IS NOT NULL").select(*keys, "file", "line", "note", "s.*")
+        *keys, "file", "line", F.col("type").alias("note"), F.lit("").alias("service"), image_system(F.replace(F.col("type"), F.lit("_"), F.lit(" "))).alias("s"))
+    return c.unionByName(k).unionByName(t).where("s IS NOT NULL").select(*keys, "file", "line", "note", "service", "s.*")
+
+
+def image_systems(rows: DataFrame, keys: Keys, max_evidence: int = 12) -> DataFrame:
+    """One row per backing system with the number of its uses and the first evidence rows; see ``image_uses``."""
     by = [*keys, "name", "kind", "technology"]
     item = F.struct("file", "line", F.lit("").alias("snippet"), "note")
     listed = capped_list(rows, by, ["file", "line", "note"], item, max_evidence, "evidence")
@@ -186,15 +191,19 @@ def container_edges(cont: DataFrame, apps: DataFrame, keys: Keys) -> DataFrame:
     at = apps.select(*keys, F.col("root").alias("build_dir"), F.col("id").alias("app"))
     owned = cont.select(*keys, "file", "name", _build_dir("build").alias("build_dir"), "depends_on").where("build_dir <> ''").join(at, [*keys, "build_dir"])
     wants = owned.select(*keys, "file", F.col("name").alias("from_name"), F.col("app").alias("source"), F.explode("depends_on").alias("name"))
-    return wants.join(owned.select(*keys, "name", F.col("app").alias("target")), [*keys, "name"]).select(
+    return wants.join(owned.select(*keys, "file", "name", F.col("app").alias("target")), [*keys, "file", "name"]).select(
         *keys, "source", "target", F.lit("deploy").alias("kind"), F.lit(1).cast("long").alias("weight"), F.lit("depends_on").alias("label"),
         F.struct("file", F.concat(F.col("from_name"), F.lit(" -> "), "name").alias("note")).alias("evidence"))
 
 
-def compose_systems(cont: DataFrame, systems: DataFrame, apps: DataFrame, keys: Keys) -> DataFrame:
-    """``(keys, id, app)``: a system that runs as a service belongs to the apps whose services depend on it."""
-    service = systems.select(*keys, "id", F.explode("evidence").alias("e")).where(F.col("e.note").startswith("service ")).select(
-        *keys, "id", F.btrim(F.substring_index(F.substr("e.note", F.lit(9)), ":", 1)).alias("name"))
+def compose_systems(cont: DataFrame, uses: DataFrame, systems: DataFrame, apps: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, id, app)``: a system that runs as a service belongs to the apps whose services depend on it.
+
+    ``uses`` are all places of ``image_uses``; evidence lists are for show and are not read.
+    """
+    named = systems.select(*keys, "id", F.col("name").alias("system"))
+    service = uses.where("service <> ''").select(*keys, "file", F.col("service"), F.col("name").alias("system")).distinct().join(named, [*keys, "system"]).select(
+        *keys, "file", "id", F.col("service").alias("name"))
     at = apps.where("root <> ''").select(*keys, F.col("root").alias("build_dir"), F.col("id").alias("app"))
-    wants = cont.select(*keys, _build_dir("build").alias("build_dir"), F.explode("depends_on").alias("name")).join(at, [*keys, "build_dir"])
-    return wants.join(service, [*keys, "name"]).select(*keys, "id", "app").distinct()
+    wants = cont.select(*keys, "file", _build_dir("build").alias("build_dir"), F.explode("depends_on").alias("name")).join(at, [*keys, "build_dir"])
+    return wants.join(service, [*keys, "file", "name"]).select(*keys, "id", "app").distinct()

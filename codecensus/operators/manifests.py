@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codecensus.functions import formats as M
 from codecensus.functions.packages import clean_version, purl, requirement_parts
 from codecensus.functions.text import basename, dirname, lines
+from codecensus.session import cut
 
 Keys = list[str]
 DEP = "struct<name:string,version:string,scope:string,direct:boolean>"
@@ -278,7 +279,7 @@ def locked(files: DataFrame, keys: Keys) -> DataFrame:
     pkgs = F.from_json(F.get_json_object("text", "$.packages"), "map<string,string>")
     v2 = F.transform(F.filter(F.map_entries(pkgs), lambda e: (e["key"] != "") & F.get_json_object(e["value"], "$.version").isNotNull()), lambda e: _dep(
         F.substring_index(e["key"], "node_modules/", -1), F.get_json_object(e["value"], "$.version"), dev(e["value"]), False))
-    v1 = _nested_npm(text)
+    is_v1 = (fmt == "npm_lock") & pkgs.isNull()
     yarn_blocks = F.split(text, r"(?m)(?=^[^\s#][^\n]*:[ \t]*$)")
     yarn_name = lambda b: F.regexp_extract(b, r"\A\"?(@?[^@\"\s,]+)", 1)
     yarn_version = lambda b: F.regexp_extract(b, r"(?m)^\s+version:?\s+\"?([^\"\s]+)", 1)
@@ -304,11 +305,13 @@ def locked(files: DataFrame, keys: Keys) -> DataFrame:
     pub = F.transform(M.yaml_blocks(M.yaml_inner(M.yaml_child(M.yaml_blocks(M.yaml_even(text), 0), "packages")), 1), lambda b: _dep(
         M.yaml_key(b), M.unquote(_one(M.yaml_inner(b), r"(?m)^\s*version:[ \t]*([^\n]*)")), "runtime", False))
     deps = (
-        F.when(fmt == "npm_lock", F.coalesce(v2, v1)).when(fmt == "yarn", yarn).when(fmt == "pnpm", pnpm)
+        F.when(fmt == "npm_lock", v2).when(fmt == "yarn", yarn).when(fmt == "pnpm", pnpm)
         .when(fmt.isin("poetry", "cargo_lock"), toml).when(fmt == "gem_lock", gem)
         .when(fmt == "composer_lock", _concat(php("packages", "runtime"), php("packages-dev", "dev")))
         .when(fmt == "gosum", gosum).when(fmt == "nuget_lock", nuget).when(fmt == "pub_lock", pub))
-    rows = src.select(*keys, "path", "format", F.posexplode(deps).alias("ord", "d")).select(
+    listed = src.where(~F.coalesce(is_v1, F.lit(False))).select(*keys, "path", "format", F.posexplode(deps).alias("ord", "d"))
+    nested = _nested_npm(src.where(is_v1), keys).select(*keys, "path", "format", F.posexplode("deps").alias("ord", "d"))
+    rows = listed.unionByName(nested).select(
         *keys, F.col("path").alias("declared_in"), "format", "ord", "d.*", _lookup(ECOSYSTEM, fmt).alias("ecosystem"))
     first_sum = rows.where("format = 'gosum'").groupBy(*keys, "declared_in", "format", "name", "scope", "direct", "ecosystem").agg(
         F.min("ord").alias("ord"), F.min_by("version", "ord").alias("version")).select(*rows.columns)
@@ -318,17 +321,22 @@ def locked(files: DataFrame, keys: Keys) -> DataFrame:
         F.when(F.col("version") != "", purl("name", "version", "ecosystem")).otherwise("").alias("purl"))
 
 
-def _nested_npm(text: Column, depth: int = 6) -> Column:
-    """Version-1 lockfiles nest dependencies; each level is one more parse of the level above."""
-    entries = lambda js: F.map_entries(F.from_json(js, "map<string,string>"))
-    level = F.coalesce(entries(F.get_json_object(text, "$.dependencies")), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
-    out = F.expr(NO_DEPS)
-    for _ in range(2 if depth < 3 else 3):
-        out = F.concat(out, F.transform(F.filter(level, lambda e: F.get_json_object(e["value"], "$.version").isNotNull()), lambda e: _dep(
-            e["key"], F.get_json_object(e["value"], "$.version"), F.when(F.get_json_object(e["value"], "$.dev") == "true", "dev").otherwise("runtime"), False)))
-        level = F.flatten(F.transform(level, lambda e: F.coalesce(
-            entries(F.get_json_object(e["value"], "$.dependencies")), F.expr("cast(array() as array<struct<key:string,value:string>>)"))))
-    return out
+def _nested_npm(locks: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, path, format, deps)`` of version-1 lockfiles, whose dependencies nest to any depth.
+
+    Every round takes the level that is open and opens the next; only the subtrees below are kept, so the text is read
+    once and the rounds follow the depth of the data.
+    """
+    none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
+    entries = lambda js: F.coalesce(F.map_entries(F.from_json(js, "map<string,string>")), none)
+    get = F.get_json_object
+    now = cut(locks.select(*keys, "path", "format", F.expr(NO_DEPS).alias("deps"), entries(get("text", "$.dependencies")).alias("level")))
+    while not now.where(F.size("level") > 0).isEmpty():
+        found = F.transform(F.filter("level", lambda e: get(e["value"], "$.version").isNotNull()), lambda e: _dep(
+            e["key"], get(e["value"], "$.version"), F.when(get(e["value"], "$.dev") == "true", "dev").otherwise("runtime"), False))
+        below = F.flatten(F.transform("level", lambda e: entries(get(e["value"], "$.dependencies"))))
+        now = cut(now.select(*keys, "path", "format", F.concat("deps", found).alias("deps"), below.alias("level")))
+    return now.drop("level")
 
 
 def ts_aliases(files: DataFrame, keys: Keys) -> DataFrame:

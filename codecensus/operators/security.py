@@ -56,25 +56,21 @@ def _meta(rules: list[dict]) -> Column:
 
 
 def _first_per_rule(hits: Column, limits: Column) -> Column:
-    """Keep the first hits of every rule; the array is ordered by rule, so one pass is enough."""
-    empty = F.expr(f"cast(array() as {HIT})")
-    return F.aggregate(
-        hits,
-        F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), empty.alias("out")),
-        lambda a, h: F.struct(
-            h["i"].alias("i"),
-            F.when(a["i"] == h["i"], a["n"] + 1).otherwise(1).alias("n"),
-            F.when((a["i"] != h["i"]) | (a["n"] < F.element_at(limits, h["i"] + 1)), F.array_append(a["out"], h)).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    """Keep the first hits of every rule; rules without a limit have NULL. The array is ordered by rule, so a hit is
+    over the limit n if the hit n places before it is of the same rule."""
+    def keep(h: Column, k: Column) -> Column:
+        n = F.element_at(limits, h["i"] + 1)
+        return n.isNull() | (k < n) | (F.get(hits, k - n)["i"] != h["i"])
+
+    return F.filter(hits, keep)
 
 
-def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: int = 5, id_prefix: str = "RG-") -> DataFrame:
+def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: int | None = None, id_prefix: str = "CC-") -> DataFrame:
     """Findings of all rules over ``files(keys, path, language, text)``.
 
     Every rule is a literal pattern, guarded by its language and path scope, so a regex
-    runs only where it applies and compiles once per task. ``rules`` may be extended.
+    runs only where it applies and compiles once per task. ``rules`` may be extended. Every hit
+    is a finding, but for rules that report a file once; ``max_per_rule`` limits the others.
     """
     rules = list(rules)
     path = F.col("path")
@@ -97,12 +93,13 @@ def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: i
         )
         return h["i"].isin(whole) | accepted
 
-    limits = F.array(*[F.lit(1 if r.get("once_per_file") else max_per_rule) for r in rules])
+    limits = F.array(*[F.lit(1 if r.get("once_per_file") else max_per_rule).cast("int") for r in rules])
     # ``docs`` is read twice on purpose: the optimizer then keeps it as a computed column
     # instead of moving the whole expression into the per-hit lambda.
     spoken = F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
         F.filter("raw", lambda h: h["i"].isin(whole) | ~in_spans(F.col("docs"), h["line"], h["col"])))
-    kept = scanned.select(*keys, "path", F.explode(_first_per_rule(F.filter(spoken, keep), limits)).alias("h"))
+    accepted = scanned.select(*keys, "path", F.filter(spoken, keep).alias("accepted"))
+    kept = accepted.select(*keys, "path", F.explode_outer(_first_per_rule(F.col("accepted"), limits)).alias("h")).where("h IS NOT NULL")
     named = kept.select(*keys, "path", "h", F.element_at(_meta(rules), F.col("h.i") + 1).alias("m"))
     fixture = C.is_fixture(path)
     mild = F.col("m.category").isin("config", "secret") & fixture
@@ -112,7 +109,7 @@ def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: i
         F.col("m.title").alias("title"),
         F.when(mild, C.downgrade("m.severity")).otherwise(F.col("m.severity")).alias("severity"),
         F.col("m.category").alias("category"), F.col("path").alias("file"), F.col("h.line").alias("line"),
-        F.substring("h.text", 1, 200).alias("snippet"), F.col("m.cwe").alias("cwe"),
+        F.col("h.text").alias("snippet"), F.col("m.cwe").alias("cwe"),
         F.lit("").alias("package"), F.lit("").alias("version"), F.lit("").alias("fixed_version"),
         F.concat(F.lit(id_prefix), F.upper("m.id")).alias("identifier"),
         F.when(fixture & (F.col("m.confidence") != "high"), "low").otherwise(F.col("m.confidence")).alias("confidence"),
@@ -125,7 +122,7 @@ def redact(value: Column) -> Column:
     return F.concat(F.substring(value, 1, 4), F.lit("****"))
 
 
-def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy: float = K.MIN_ENTROPY, id_prefix: str = "RG-") -> DataFrame:
+def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy: float = K.MIN_ENTROPY, id_prefix: str = "CC-") -> DataFrame:
     """Redacted credential findings over ``files(keys, path, text)``."""
     path = F.col("path")
     rules = list(rules)
@@ -156,7 +153,7 @@ def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy
         F.col("m.title").alias("title"),
         F.when(mild, C.downgrade("m.severity")).otherwise(F.col("m.severity")).alias("severity"),
         F.lit("secret").alias("category"), path.alias("file"), F.col("h.line").alias("line"),
-        F.substring(F.replace(F.col("h.text"), F.col("value"), redact(F.col("value"))), 1, 200).alias("snippet"),
+        F.replace(F.col("h.text"), F.col("value"), redact(F.col("value"))).alias("snippet"),
         F.lit(K.CWE).alias("cwe"), F.lit("").alias("package"), F.lit("").alias("version"), F.lit("").alias("fixed_version"),
         F.concat(F.lit(id_prefix + "SECRET-"), F.upper("m.id")).alias("identifier"),
         F.when(mild, "low").otherwise("high").alias("confidence"), F.lit(K.REMEDIATION).alias("remediation"),

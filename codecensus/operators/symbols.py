@@ -268,9 +268,11 @@ def graphql_fields(files: DataFrame, keys: Keys) -> DataFrame:
     """Fields of the operation types; a field belongs to the type opened last before it."""
     blocks = F.split(F.col("body"), r"(?m)(?=^[^\S\n]*(?:type|input|enum|interface|union)\s+\w+)")
     src = bodies(files.where(F.col("language") == "GraphQL"), keys)
-    per_block = src.select(*keys, "path", F.posexplode(F.transform(blocks, lambda b, i: F.struct(
-        b.alias("body"),
-        (F.length(F.array_join(F.slice(blocks, 1, i), "")) - F.length(F.replace(F.array_join(F.slice(blocks, 1, i), ""), F.lit("\n"), F.lit("")))).alias("offset")))).alias("n", "b"))
+    # One fold carries the line number along; earlier blocks are not read again.
+    breaks = lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))
+    offsets = F.aggregate("blocks", F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, b: F.struct(
+        (a["n"] + breaks(b)).alias("n"), F.array_append(a["out"], a["n"]).alias("out")), lambda a: a["out"])
+    per_block = src.select(*keys, "path", blocks.alias("blocks")).select(*keys, "path", F.explode(F.arrays_zip(F.col("blocks").alias("body"), offsets.alias("offset"))).alias("b"))
     typed = per_block.select(
         *keys, "path", F.regexp_extract("b.body", r"^\s*type\s+(\w+)", 1).alias("owner"), F.col("b.body").alias("body"), F.col("b.offset").alias("offset"),
         F.lit("GraphQL").alias("language")).where(F.col("owner").isin("Query", "Mutation", "Subscription"))

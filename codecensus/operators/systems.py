@@ -37,7 +37,7 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
         line = (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
         shown = strip(F.concat(head, F.substring_index(F.substr(text, h["at"]), "\n", 1)))
         return F.struct(
-            h["i"].alias("i"), line.alias("line"), F.substring(shown, 1, 160).alias("snippet"),
+            h["i"].alias("i"), line.alias("line"), shown.alias("snippet"),
             (V.is_comment_line(shown) | F.when(F.col("docs").isNull(), False).otherwise(
                 in_spans(F.col("docs"), line, F.length(head)))).alias("prose"),
             V.is_whole_raw_string(shown, h["hit"]).alias("raw"))
@@ -92,7 +92,7 @@ def hosts(files: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
     hit = files.where(F.col("kind").isin("source", "config", "infra")).select(
         *keys, "path", F.explode(found).alias("f")
     ).select(*keys, F.col("path").alias("file"), F.col("f.line").alias("line"),
-             F.substring(F.col("f.text"), 1, 160).alias("snippet"), F.explode("f.hits").alias("url"))
+             F.col("f.text").alias("snippet"), F.explode("f.hits").alias("url"))
     host = F.lower(F.regexp_extract("url", R.URL, 1))
     return (
         hit.withColumn("host", host)
@@ -128,7 +128,7 @@ def host_systems(host_rows: DataFrame, keys: Keys, max_evidence: int = 6) -> Dat
 
 
 def env_vars(files: DataFrame, keys: Keys, max_files: int = 10) -> DataFrame:
-    """Environment variables read by source, config and infra files, with their first files."""
+    """Environment variables read by source, config and infra files: number of files and the first of them."""
     names = F.array_distinct(F.flatten(F.array(*[
         F.regexp_extract_all("text", F.lit(R.ENV_READ), F.lit(g)) for g in range(1, 9)])))
     uses = (
@@ -136,7 +136,8 @@ def env_vars(files: DataFrame, keys: Keys, max_files: int = 10) -> DataFrame:
         .select(*keys, F.col("path").alias("file"), F.explode(names).alias("name"))
         .where((F.col("name") != "") & ~F.col("name").isin(*R.SHELL_NAMES))
     )
-    return capped_list(uses, [*keys, "name"], ["file"], F.col("file"), max_files, "files").withColumn("kind", env_kind("name"))
+    total = uses.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n_files"))
+    return capped_list(uses, [*keys, "name"], ["file"], F.col("file"), max_files, "files").join(total, [*keys, "name"]).withColumn("kind", env_kind("name"))
 
 
 def merge_systems(code: DataFrame, infra: DataFrame, keys: Keys, extra: int = 3) -> DataFrame:
@@ -153,10 +154,9 @@ def merge_systems(code: DataFrame, infra: DataFrame, keys: Keys, extra: int = 3)
     )
 
 
-def systems_by_file(systems: DataFrame, keys: Keys) -> DataFrame:
-    """Distinct (file, system) pairs from the evidence."""
-    return systems.select(*keys, "id", F.explode("evidence").alias("e")).where("e.file <> ''").select(
-        *keys, F.col("e.file").alias("file"), "id").distinct()
+def systems_by_file(uses: DataFrame, systems: DataFrame, keys: Keys) -> DataFrame:
+    """Distinct (file, system) pairs from all uses ``(keys, id, file)`` of the given systems."""
+    return uses.where("file <> ''").select(*keys, "file", "id").distinct().join(systems.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
 
 
 def with_apps(systems: DataFrame, uses: DataFrame, app_of_file: DataFrame, keys: Keys) -> DataFrame:

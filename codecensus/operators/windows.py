@@ -124,7 +124,6 @@ def merge_smallest(df: DataFrame, keys: Keys, label: str, size: str, limit: int
 
 
 def merge_evidence(df: DataFrame, keys: Keys, order, file="file", line="line", snippet="snippet", limit: int = 8) -> DataFrame:
-    """Distinct (file, line, snippet start) per group, first ``limit`` in order."""
-    tagged = df.withColumn("__cut", F.substring(F.col(snippet), 1, 80))
-    once = first_wins(tagged, [*keys, file, line, "__cut"], order)
-    return top_per_group(once, keys, order, limit, rank="rank").drop("__cut")
+    """Distinct (file, line, snippet) per group, first ``limit`` in order."""
+    once = first_wins(df, [*keys, file, line, snippet], order)
+    return top_per_group(once, keys, order, limit, rank="rank")

@@ -106,13 +106,15 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
     cols = [*k, "id", "name", "kind", "technology", "evidence"]
     found = code_systems.select(*cols).unionByName(S.host_systems(host_rows, k).select(*cols))
     cont, k8s, tf = (stored(f(inv, k)) for f in (I.containers, I.kubernetes, I.terraform))
-    infra_systems = I.image_systems(cont, k8s, tf, k)
+    image_uses = stored(I.image_uses(cont, k8s, tf, k))
+    infra_systems = I.image_systems(image_uses, k)
     merged = stored(S.merge_systems(found, infra_systems, k))
     uses = hits.where("note = ''").select(*k, F.concat(F.lit("ext-"), "id").alias("id"), "file").unionByName(
         host_rows.select(*k, F.concat(F.lit("ext-host-"), S.slug("host")).alias("id"), "file")).unionByName(
-        merged.select(*k, "id", F.explode("evidence").alias("e")).select(*k, "id", F.col("e.file").alias("file"))).distinct()
+        image_uses.select(*k, "name", "file").join(merged.select(*k, "name", "id"), [*k, "name"]).select(*k, "id", "file")).distinct()
+    uses = stored(uses)
     systems = S.with_apps(merged, uses, owner, k)
-    composed = I.compose_systems(cont, merged, apps0, k).groupBy(*k, "id").agg(F.collect_set("app").alias("more"))
+    composed = I.compose_systems(cont, image_uses, merged, apps0, k).groupBy(*k, "id").agg(F.collect_set("app").alias("more"))
     systems = stored(systems.join(composed, [*k, "id"], "left").withColumn(
         "apps", F.array_sort(F.array_union("apps", F.coalesce("more", F.expr("cast(array() as array<string>)"))))).drop("more"))
 
@@ -147,7 +149,7 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
     said = RP.purpose(apps0, endpoints, nouns, systems, app_edges.select(*links).unionByName(deploy.select(*links)), k)
     apps = stored(apps0.join(said, [*k, "id"]).withColumn("description", F.when(F.col("description") != "", F.col("description")).otherwise(F.col("purpose"))))
     texts = inv.join(endpoints.select(*k, F.col("file").alias("path")).distinct(), [*k, "path"], "left_semi").select(*k, "path", "text")
-    by_file = stored(S.systems_by_file(systems, k))
+    by_file = stored(S.systems_by_file(uses, systems, k))
     flows, flow_nodes, flow_edges = FL.build_flows(endpoints, file_edges, owner, by_file, systems, texts, apps, k, o.max_flows_per_app)
     flows = stored(flows)
     over_nodes, over_edges = FL.overview_flows(apps, endpoints, systems, k)

@@ -74,7 +74,7 @@ WITH {DOCS_SQL}, {LINES_SQL}, h AS ({' UNION ALL '.join(arms)}),
 k AS (SELECT * FROM h WHERE v <> '' AND NOT regexp_matches(v, '{_q(placeholder)}') AND length(replace(v, v[1], '')) > 0 AND NOT regexp_matches(v, '{_q(K.PROSE)}') AND NOT ({DEFINITION_SQL})),
 c AS (SELECT v, ch, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS ch FROM (SELECT DISTINCT v FROM k)) WHERE ch <> '' GROUP BY 1, 2),
 e AS (SELECT v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM c GROUP BY 1)
-SELECT repo, path AS file, line_no::INT AS line, 'RG-SECRET-' || upper(rule) AS identifier, severity, left(replace(line, v, left(v, 4) || '****'), 200) AS snippet
+SELECT repo, path AS file, line_no::INT AS line, 'CC-SECRET-' || upper(rule) AS identifier, severity, left(replace(line, v, left(v, 4) || '****'), 200) AS snippet
 FROM k JOIN e USING (v) WHERE rule <> 'high-entropy' OR bits >= {K.MIN_ENTROPY}"""
 
 
@@ -92,21 +92,28 @@ RULES = (
 )
 
 
-def _rule_sql() -> str:
-    arms = [f"SELECT repo, path, line_no, line, '{r['id']}' AS rule, '{r['severity']}' AS severity, {1 if r.get('once_per_file') else 5} AS cap, unnest(regexp_extract_all(line, '{_q(r['pattern'])}')) AS m FROM ln" for r in RULES]
+def _rule_sql(cap: int) -> str:
+    arms = [f"SELECT repo, path, line_no, line, '{r['id']}' AS rule, '{r['severity']}' AS severity, {1 if r.get('once_per_file') else cap} AS cap, unnest(regexp_extract_all(line, '{_q(r['pattern'])}')) AS m FROM ln" for r in RULES]
     return f"""
 WITH f AS (SELECT source AS repo, 'd/' || doc_id || '.cfg' AS path, text FROM documents UNION ALL SELECT 'web', 'p/' || page_id || '.html', html FROM pages),
 {LINES_SQL}, h AS (SELECT * FROM ({' UNION ALL '.join(arms)}) WHERE NOT ({DEFINITION_SQL})),
 n AS (SELECT *, row_number() OVER (PARTITION BY repo, path, rule ORDER BY line_no) AS rn FROM h)
-SELECT repo, path AS file, line_no::INT AS line, 'RG-' || upper(rule) AS identifier, severity, count(*) AS hits FROM n WHERE rn <= cap GROUP BY ALL"""
+SELECT repo, path AS file, line_no::INT AS line, 'CC-' || upper(rule) AS identifier, severity, count(*) AS hits FROM n WHERE rn <= cap GROUP BY ALL"""
 
 
-@query("rule_scan_capped", _rule_sql())
-def rule_scan_capped(spark, d):
+@query("code_rules_all", _rule_sql(1_000_000_000))
+def code_rules_all(spark, d):
+    """Every hit of every rule; no cap."""
     f = doc_files(spark, d).unionByName(page_files(spark, d))
     return SE.scan_rules(f, KEYS, RULES).groupBy("repo", "file", "line", "identifier", "severity").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query("rule_scan_capped", _rule_sql(5))
+def rule_scan_capped(spark, d):
+    f = doc_files(spark, d).unionByName(page_files(spark, d))
+    return SE.scan_rules(f, KEYS, RULES, max_per_rule=5).groupBy("repo", "file", "line", "identifier", "severity").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query("code_rules")
 def code_rules(spark, d):
     """All 46 rules over all documents and pages, read as Python and HTML."""
@@ -168,12 +175,12 @@ def hosts(spark, d):
 @query("env_vars", r"""
 WITH v AS (SELECT p_brand AS repo, p_partkey, unnest([upper(replace(p_type, ' ', '_')) || '_URL', 'DB_' || p_size, 'S3_' || upper(split_part(p_name, ' ', 1))]) AS name FROM part),
 w AS (SELECT repo, name, 'm' || p_partkey || '/x.py' AS file FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY file) AS rn FROM w WHERE length(name) >= 3)
-SELECT repo, name, CASE WHEN name LIKE 'DB_%' THEN 'database' WHEN name LIKE 'S3_%' THEN 'storage' ELSE 'config' END AS kind, string_agg(file, ' ' ORDER BY file) FILTER (rn <= 10) AS files FROM r GROUP BY 1, 2""")
+SELECT repo, name, CASE WHEN name LIKE 'DB_%' THEN 'database' WHEN name LIKE 'S3_%' THEN 'storage' ELSE 'config' END AS kind, string_agg(file, ' ' ORDER BY file) FILTER (rn <= 10) AS files, count(*) AS n_files FROM r GROUP BY 1, 2""")
 def env_vars(spark, d):
     first = F.upper(F.split("p_name", " ")[0])
     text = fmt('import os\na = os.getenv("%s_URL")\nb = process.env.DB_%d\nc = ENV["S3_%s"]\nd = "$PATH"\n', F.upper(F.replace(F.col("p_type"), F.lit(" "), F.lit("_"))), "p_size", first)
     out = S.env_vars(part_files(spark, d, F.lit("x.py"), text, "Python"), KEYS)
-    return out.select("repo", "name", "kind", F.array_join("files", " ").alias("files"))
+    return out.select("repo", "name", "kind", F.array_join("files", " ").alias("files"), "n_files")
 
 
 def py() -> Column:
@@ -310,8 +317,8 @@ def infra_facts(spark, d):
     df = I.dockerfiles(f, KEYS).select("repo", "file", F.lit("dockerfile").alias("what"), F.col("base_images")[0].alias("name"), F.col("ports")[0].cast("string").alias("detail"))
     by_file = ["repo", "path"]
     g = f.select("repo", F.col("path"), F.col("kind"), "text", F.col("path").alias("p2"))
-    sysn = I.image_systems(
-        I.containers(g, KEYS).withColumn("path", F.col("file")), I.kubernetes(g, KEYS).withColumn("path", F.col("file")), t.withColumn("path", F.col("file")), by_file)
+    sysn = I.image_systems(I.image_uses(
+        I.containers(g, KEYS).withColumn("path", F.col("file")), I.kubernetes(g, KEYS).withColumn("path", F.col("file")), t.withColumn("path", F.col("file")), by_file), by_file)
     return df.unionByName(c.select("repo", "file", F.lit("service").alias("what"), "name", F.col("image").alias("detail"))).unionByName(
         t.select("repo", "file", F.lit("resource").alias("what"), "name", F.col("type").alias("detail"))).unionByName(
         sysn.select("repo", F.col("path").alias("file"), F.lit("system").alias("what"), "name", F.explode("evidence").alias("e")).select("repo", "file", "what", "name", F.col("e.note").alias("detail")))
@@ -326,3 +333,17 @@ SELECT noun, count(*) AS n FROM s GROUP BY 1""")
 def identifier_nouns(spark, d):
     t = table(spark, d, "pages").select(F.explode(identifier_tokens(F.lower("url"))).alias("t"))
     return t.groupBy(singular("t").alias("noun")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lock_nested", r"""
+WITH p AS (SELECT p_brand AS repo, p_partkey AS k, p_size, 1 + p_partkey % 8 AS depth FROM part), l AS (SELECT *, unnest(range(1, 9)) AS n FROM p)
+SELECT repo, 'm' || k || '/package-lock.json' AS declared_in, 'l' || n || '-' || k AS name, p_size || '.' || n || '.0' AS version, CASE WHEN n % 2 = 0 THEN 'dev' ELSE 'runtime' END AS scope FROM l WHERE n <= depth""")
+def lock_nested(spark, d):
+    """Version-1 lockfiles whose packages nest one to eight levels deep."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    inner = F.lit("")
+    for n in range(8, 0, -1):
+        below = F.when(1 + F.col("p_partkey") % 8 > n, F.concat(F.lit(', "dependencies": {'), inner, F.lit("}"))).otherwise("")
+        inner = F.concat(F.lit(f'"l{n}-'), key, F.lit('": {"version": "'), size, F.lit(f'.{n}.0"' + (', "dev": true' if n % 2 == 0 else "")), below, F.lit("}"))
+    text = F.concat(F.lit('{"lockfileVersion": 1, "dependencies": {'), inner, F.lit("}}"))
+    return M.locked(part_files(spark, d, F.lit("package-lock.json"), text, kind="manifest"), KEYS).select("repo", "declared_in", "name", "version", "scope")

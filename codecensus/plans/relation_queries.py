@@ -16,6 +16,7 @@ from codecensus.operators import windows as W
 from codecensus.plans.registry import query, table
 from codecensus.sinks import exports as X
 from codecensus.sources import files as SF
+from codecensus.sources import tables as T
 
 KEYS = ["repo"]
 
@@ -216,10 +217,10 @@ def undeclared(spark, d):
 
 @query("dependency_findings", f"""
 WITH {DEPS_SQL}
-SELECT 'RG-DEP-NOLOCK' AS identifier, '' AS package, arg_min(f, name) AS file, 'low' AS severity FROM full_dep
-UNION ALL SELECT 'RG-DEP-UNPINNED', name, f, 'low' FROM full_dep WHERE scope <> 'dev' AND version = ''
-UNION ALL SELECT 'RG-DEP-UNUSED', name, f, 'info' FROM full_dep WHERE direct AND NOT used AND scope <> 'dev'
-UNION ALL SELECT 'RG-DEP-MISSING', name, name || '.js', 'medium' FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep)""")
+SELECT 'CC-DEP-NOLOCK' AS identifier, '' AS package, arg_min(f, name) AS file, 'low' AS severity FROM full_dep
+UNION ALL SELECT 'CC-DEP-UNPINNED', name, f, 'low' FROM full_dep WHERE scope <> 'dev' AND version = ''
+UNION ALL SELECT 'CC-DEP-UNUSED', name, f, 'info' FROM full_dep WHERE direct AND NOT used AND scope <> 'dev'
+UNION ALL SELECT 'CC-DEP-MISSING', name, name || '.js', 'medium' FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep)""")
 def dependency_findings(spark, d):
     declared, locked, usage = _deps(spark, d)
     deps = D.reconcile(declared, locked, KEYS)
@@ -248,11 +249,40 @@ def advisories(spark, d):
     return D.advisory_findings(deps, adv, KEYS).select("repo", "package", "version", "identifier", "severity", "fixed_version")
 
 
+@query("advisory_ranges", """
+WITH v AS (SELECT p_brand AS repo, replace(p_name, ' ', '_') AS package, p_name, p_size % 5 AS a, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 3 END AS b, p_partkey % 5 AS k FROM part),
+w AS (SELECT *, a || CASE k WHEN 0 THEN '' WHEN 1 THEN '.' || b WHEN 2 THEN '.' || b || '.0' WHEN 3 THEN '.' || b || '.0-rc1' ELSE '.' || b || '+build.7' END AS version, (10 * a + b) * 2 - (k = 3)::INT AS at FROM v),
+x AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1)
+SELECT DISTINCT repo, package, version, 'ADV-' || id AS identifier FROM w JOIN x USING (p_name)
+WHERE id % 7 <> 0 AND at >= 20 AND CASE WHEN id % 2 = 0 THEN at < 60 ELSE at <= 62 END""")
+def advisory_ranges(spark, d):
+    """Ranges that end with a fix or with the last affected version, over versions of unequal length, pre-releases and builds.
+
+    Names differ in case and dashes, and some advisories are withdrawn.
+    """
+    p = table(spark, d, "part")
+    a, b, k = F.col("p_size") % 5, F.col("p_partkey") % 3, F.col("p_partkey") % 5
+    version = F.concat(a, F.when(k == 0, "").when(k == 1, F.concat(F.lit("."), b)).when(k == 2, F.concat(F.lit("."), b, F.lit(".0"))).when(
+        k == 3, F.concat(F.lit("."), b, F.lit(".0-rc1"))).otherwise(F.concat(F.lit("."), b, F.lit("+build.7"))))
+    deps = p.select(F.col("p_brand").alias("repo"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"), version.alias("version"), F.lit("pypi").alias("ecosystem"),
+                    F.array(F.lit("requirements.txt")).alias("declared_in"))
+    none, null = F.expr("cast(array() as array<string>)"), F.lit(None).cast("string")
+    event = lambda i, f, e: F.struct(i.alias("introduced"), f.alias("fixed"), e.alias("last_affected"))
+    last = F.when(F.col("k") % 2 == 0, event(null, F.lit("3.0.0"), null)).otherwise(event(null, null, F.lit("3.1")))
+    ranges = F.array(F.struct(F.lit("ECOSYSTEM").alias("type"), F.array(event(F.lit("1"), null, null), last).alias("events")))
+    package = F.struct(F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("name"), F.lit("PyPI").alias("ecosystem"))
+    raw = p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(
+        F.concat(F.lit("ADV-"), "k").alias("id"), F.lit("").alias("summary"), F.lit("").alias("details"), none.alias("aliases"),
+        F.expr("cast(array() as array<struct<type:string,score:string>>)").alias("severity"), F.array(F.struct(package.alias("package"), none.alias("versions"), ranges.alias("ranges"))).alias("affected"),
+        F.expr("cast(array() as array<struct<type:string,url:string>>)").alias("references"), F.expr("named_struct('severity', '', 'cwe_ids', cast(array() as array<string>))").alias("database_specific"),
+        F.when(F.col("k") % 7 == 0, "2024-01-01").alias("withdrawn"))
+    return D.advisory_findings(deps, T.advisories(raw), KEYS).select("repo", "package", "version", "identifier")
+
+
 # ------------------------------------------------------------------- history
 
 @query("authors", """
-WITH c AS (SELECT o_orderstatus AS repo, o_custkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders),
-n AS (SELECT repo, 'c' || (o_custkey % 97) AS author, count(*) AS commits FROM c WHERE rn <= 4000 GROUP BY 1, 2)
+WITH n AS (SELECT o_orderstatus AS repo, 'c' || (o_custkey % 97) AS author, count(*) AS commits FROM orders GROUP BY 1, 2)
 SELECT repo, author, commits FROM n QUALIFY row_number() OVER (PARTITION BY repo ORDER BY commits DESC, author) <= 10""")
 def authors(spark, d):
     c = table(spark, d, "orders").select(F.col("o_orderstatus").alias("repo"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey") % 97).alias("author"))
@@ -261,14 +291,14 @@ def authors(spark, d):
 
 @query("commit_span", """
 WITH c AS (SELECT o_orderstatus AS repo, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
-SELECT repo, count(*) AS commits, count(DISTINCT o_custkey) AS contributors, strftime(arg_max(o_orderdate, rn), '%Y-%m-%d') AS first_commit, strftime(arg_min(o_orderdate, rn), '%Y-%m-%d') AS last_commit FROM c WHERE rn <= 4000 GROUP BY 1""")
+SELECT repo, count(*) AS commits, count(DISTINCT o_custkey) AS contributors, strftime(arg_max(o_orderdate, rn), '%Y-%m-%d') AS first_commit, strftime(arg_min(o_orderdate, rn), '%Y-%m-%d') AS last_commit FROM c GROUP BY 1""")
 def commit_span(spark, d):
     c = table(spark, d, "orders").select(F.col("o_orderstatus").alias("repo"), F.col("o_orderkey").alias("ord"), F.col("o_custkey").cast("string").alias("author"), F.col("o_orderdate").alias("ts"))
     return RP.commit_span(c, KEYS)
 
 
 @query("hotspots", """
-WITH c AS (SELECT l_returnflag AS repo, 'p' || l_partkey AS path, count(*) AS changes FROM lineitem WHERE l_orderkey < 1500 GROUP BY 1, 2)
+WITH c AS (SELECT l_returnflag AS repo, 'p' || l_partkey AS path, count(*) AS changes FROM lineitem GROUP BY 1, 2)
 SELECT repo, path, changes, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, path)::INT AS rank FROM c QUALIFY rank <= 25""")
 def hotspots(spark, d):
     c = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("repo"), F.col("l_orderkey").alias("ord"), F.concat(F.lit("p"), "l_partkey").alias("path"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ADVISORY_SCHEMA = (
     "id string, summary string, details string, aliases array<string>, "
     "severity array<struct<type:string,score:string>>, "
-    "affected array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>>>, "
-    "references array<struct<type:string,url:string>>, database_specific struct<severity:string,cwe_ids:array<string>>"
+    "affected array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>, "
+    "references array<struct<type:string,url:string>>, database_specific struct<severity:string,cwe_ids:array<string>>, withdrawn string"
 )
 ANSWER_SCHEMA = (
     "schema string, generated_by struct<tool:string,model:string,generated_at:string,notes:string>, "
@@ -50,17 +50,28 @@ def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     return advisories(raw)
 
 
+def _spans(r: Column) -> Column:
+    events = r["events"]
+
+    def span(e: Column, i: Column) -> Column:
+        end = F.get(F.filter(events, lambda x, j: (j > i) & x["introduced"].isNull()), 0)
+        return F.struct(e["introduced"].alias("introduced"), end["fixed"].alias("fixed"), end["last_affected"].alias("last_affected"))
+
+    return F.filter(F.transform(events, span), lambda s: s["introduced"].isNotNull())
+
+
 def advisories(raw: DataFrame) -> DataFrame:
+    """Rows of advisory documents; withdrawn ones are left out."""
+    if "withdrawn" in raw.columns:
+        raw = raw.where(F.coalesce("withdrawn", F.lit("")) == "")
     a = raw.select("*", F.explode("affected").alias("a"))
     return a.select(
         "id", F.coalesce("aliases", F.expr("cast(array() as array<string>)")).alias("aliases"), F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("package"),
         F.coalesce("a.versions", F.expr("cast(array() as array<string>)")).alias("versions"),
-        # An OSV range lists introduced and fixed as separate events; pair them up.
-        F.flatten(F.transform(F.coalesce("a.ranges", F.expr("cast(array() as array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>)")), lambda r: F.transform(
-            F.filter(r["events"], lambda e: e["introduced"].isNotNull()), lambda e, i: F.struct(
-                e["introduced"].alias("introduced"), F.get(F.filter(r["events"], lambda x: x["fixed"].isNotNull()), i)["fixed"].alias("fixed"))))).alias("events"),
+        # A range is a list of events: each introduction ends at the next event that is a fix or the last affected version.
+        F.flatten(F.transform(F.coalesce("a.ranges", F.expr("cast(array() as array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>)")), _spans)).alias("events"),
         F.coalesce("severity", F.expr("cast(array() as array<struct<type:string,score:string>>)")).alias("severity"), F.coalesce("database_specific.severity", F.lit("")).alias("label"),
-        F.coalesce(F.nullif("summary", F.lit("")), F.substring("details", 1, 160), F.lit("")).alias("summary"),
+        F.coalesce(F.nullif("summary", F.lit("")), F.col("details"), F.lit("")).alias("summary"),
         F.coalesce("database_specific.cwe_ids", F.expr("cast(array() as array<string>)")).alias("cwe_ids"),
         F.coalesce(F.transform("references", lambda r: r["url"]), F.expr("cast(array() as array<string>)")).alias("refs"))
 

@@ -78,9 +78,9 @@ def test_endpoints_and_systems(tables):
 
 def test_findings(tables):
     got = {f.identifier for f in tables["findings"].collect()}
-    for i in ("RG-SECRET-PASSWORD-ASSIGN", "RG-SECRET-CONN-STRING", "RG-PY-SQL-FORMAT", "RG-WEAK-HASH", "RG-DEBUG-ON", "RG-TF-PUBLIC-BUCKET", "RG-DOCKER-ROOT", "RG-DEP-NOLOCK", "RG-DEP-UNPINNED", "RG-DEP-MISSING"):
+    for i in ("CC-SECRET-PASSWORD-ASSIGN", "CC-SECRET-CONN-STRING", "CC-PY-SQL-FORMAT", "CC-WEAK-HASH", "CC-DEBUG-ON", "CC-TF-PUBLIC-BUCKET", "CC-DOCKER-ROOT", "CC-DEP-NOLOCK", "CC-DEP-UNPINNED", "CC-DEP-MISSING"):
         assert i in got, i
-    missing = {f.package for f in tables["findings"].where("identifier = 'RG-DEP-MISSING'").collect()}
+    missing = {f.package for f in tables["findings"].where("identifier = 'CC-DEP-MISSING'").collect()}
     assert {"kafka", "boto3", "stripe"} <= missing
     assert tables["findings"].where("file <> '' and category in ('secret','code','infra') and remediation = ''").count() == 0
     deps = {d.name: d for d in tables["dependencies"].collect()}

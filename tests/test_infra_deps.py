@@ -66,13 +66,14 @@ def test_infra(spark):
     s = I.serverless(f, ["repo"]).first()
     assert (s.service, s.provider, s.runtime, s.functions[0].name, s.functions[0].handler, s.functions[0].events) == ("pay", "aws", "python3.12", "charge", "a.b", ["http", "sqs"])
     assert I.helm(f, ["repo"]).first().name == "mychart"
-    sysd = {r.name: r for r in I.image_systems(c, I.kubernetes(f, ["repo"]), I.terraform(f, ["repo"]), ["repo"]).collect()}
+    sysd = {r.name: r for r in I.image_systems(I.image_uses(c, I.kubernetes(f, ["repo"]), I.terraform(f, ["repo"]), ["repo"]), ["repo"]).collect()}
     assert set(sysd) == {"PostgreSQL", "Redis", "Elasticsearch / OpenSearch"} and sysd["PostgreSQL"].evidence[0].note == "service db: postgres:15"
     apps = spark.createDataFrame([("r", "app-api", "apps/api"), ("r", "app-web", "apps/web")], "repo string, id string, root string")
     e = {(r.source, r.target, r.kind) for r in I.container_edges(c, apps, ["repo"]).collect()}
     assert e == {("app-api", "app-web", "deploy")}
-    systems = I.image_systems(c, I.kubernetes(f, ["repo"]), I.terraform(f, ["repo"]), ["repo"])
-    a = {(r.id, r.app) for r in I.compose_systems(c, systems, apps, ["repo"]).collect()}
+    systems = I.image_systems(I.image_uses(c, I.kubernetes(f, ["repo"]), I.terraform(f, ["repo"]), ["repo"]), ["repo"])
+    uses = I.image_uses(c, I.kubernetes(f, ["repo"]), I.terraform(f, ["repo"]), ["repo"])
+    a = {(r.id, r.app) for r in I.compose_systems(c, uses, systems, apps, ["repo"]).collect()}
     assert a == {("ext-postgresql", "app-api"), ("ext-postgresql", "app-web")}
 
 
@@ -101,8 +102,8 @@ def test_reconcile(spark):
     assert [r.name for r in miss.collect()] == ["ghost"]
     locks = spark.createDataFrame([("r", "poetry.lock")], "repo string, path string")
     f = {(r.identifier, r.package, r.file) for r in D.hygiene_findings(full, locks, ["repo"]).unionByName(D.usage_findings(full, miss, ["repo"])).collect()}
-    assert f == {("RG-DEP-NOLOCK", "", "n/package.json"), ("RG-DEP-UNPINNED", "request", "n/package.json"), ("RG-DEP-DEPRECATED", "request", "n/package.json"),
-                 ("RG-DEP-UNUSED", "unused", "a/pyproject.toml"), ("RG-DEP-UNUSED", "request", "n/package.json"), ("RG-DEP-MISSING", "ghost", "c.py")}
+    assert f == {("CC-DEP-NOLOCK", "", "n/package.json"), ("CC-DEP-UNPINNED", "request", "n/package.json"), ("CC-DEP-DEPRECATED", "request", "n/package.json"),
+                 ("CC-DEP-UNUSED", "unused", "a/pyproject.toml"), ("CC-DEP-UNUSED", "request", "n/package.json"), ("CC-DEP-MISSING", "ghost", "c.py")}
 
 
 def test_two_missing_lockfiles_stay_apart(spark):
@@ -114,7 +115,7 @@ def test_two_missing_lockfiles_stay_apart(spark):
     deps = D.reconcile(declared, none, ["repo"])
     out = D.hygiene_findings(deps, spark.createDataFrame([], "repo string, path string"), ["repo"])
     got = dedupe_findings(out, ["repo"], ["id"]).collect()
-    assert {(r.identifier, r.file) for r in got} == {("RG-DEP-NOLOCK", "p/pyproject.toml"), ("RG-DEP-NOLOCK", "w/package.json")}
+    assert {(r.identifier, r.file) for r in got} == {("CC-DEP-NOLOCK", "p/pyproject.toml"), ("CC-DEP-NOLOCK", "w/package.json")}
 
 
 def test_advisories(spark):
