@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from codecensus.llm.common import WordHashes, components, shingle_set
+from codecensus.llm.native import bounded
 from codecensus.session import cut
 
 COORDINATES = 32
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     stars = cut(_stars(_postings(reps, least_matches, coordinates)))
     ids = stars.select("id").union(stars.select("hub")).distinct().join(reps.select("id", "set_key"), "id")
-    sets = cut(_shingle_sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id"), size))
+    sets = cut(_shingle_sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(cut(ids)), "id"), size))
     links = cut(_linked(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, sets, least_matches, percent))
     found = components(links, "a", "b").withColumnRenamed("node", "id")
 

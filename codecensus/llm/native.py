@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codecensus.session import cut
+
 SHINGLE = 5
 #: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -53,8 +55,8 @@ def contained(docs: DataFrame, pairs: DataFrame, parts: DataFrame, name: str, ga
 
     docs: (_id, text); pairs: (_id, name); parts: weighted_shingles. Exact; only documents that a pair names are read.
     """
-    ids = pairs.select(F.col("_id").alias("_want")).distinct()
-    asked = docs.join(ids, F.expr("_id <=> _want"), "left_semi").select("_id", hashes(words(F.col("text"), gap)).alias("h"))
+    ids = cut(pairs.select(F.col("_id").alias("_want")).distinct())
+    asked = docs.join(bounded(ids), F.expr("_id <=> _want"), "left_semi").select("_id", hashes(words(F.col("text"), gap)).alias("h"))
     held = exploded(asked, F.array_distinct(shingle_hashes(F.col("h"), size)), "x", "_id")
     total = parts.groupBy(name).agg(F.sum("weight").alias("total"))
     # Rows that repeat an id are one document: a shingle counts once.

@@ -13,7 +13,8 @@ from codecensus.llm.language_id import held_out, language, learn
 from codecensus.llm.line_dedup import dedup_lines
 from codecensus.llm.minhash_dedup import near_duplicates
 from codecensus.llm.mixing import mix
-from codecensus.session import stored
+from codecensus.llm.native import bounded
+from codecensus.session import cut, stored
 
 #: Letters per phrase under which a text is in none of the learned languages: nearly every letter is a phrase of its own.
 LEAST_PHRASE = 1.5
@@ -37,15 +38,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every class of near-duplicates, and one row of it."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.expr("doc_id <=> _id"), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the smallest id of every class of near-duplicates, and one row of an id that is repeated. Rows without an id stay."""
+    gone = cut(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")))
+    repeated = cut(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+    # Texts of ids that occur once are not moved.
+    single = docs.join(bounded(cut(gone.union(repeated))), F.expr("doc_id = _id"), "left_anti")
+    one = docs.join(bounded(repeated), F.expr("doc_id = _id"), "left_semi").join(bounded(gone), F.expr("doc_id = _id"), "left_anti").dropDuplicates(["doc_id"])
+    return single.unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.expr("doc_id <=> _id"), "left_anti")
+    found = cut(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(bounded(found), F.expr("doc_id <=> _id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
