@@ -57,12 +57,9 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
     """
     o = options or Options()
     k = KEYS
-    if "text" not in raw.columns:
-        raw = raw.withColumn("text", SF.decode("content")).drop("content")
-    raw = stored(raw)
     rules = SF.ignore_rules(raw) if o.use_gitignore else None
-    tagged = SF.tag_files(raw, rules, o.extra_ignores, o.include_globs, o.max_file_size)
-    inv = stored(SF.inventory(tagged, o.include_tests))
+    tagged = stored(SF.tag_files(raw, rules, o.extra_ignores, o.include_globs, o.max_file_size))
+    inv = stored(SF.inventory(raw, tagged, o.include_tests))
     t: dict[str, DataFrame] = {"walk_stats": SF.walk_stats(tagged), "vendor_dirs": SF.vendor_dirs(tagged)}
     coded = inv.where(F.col("language").isin(*analysed_languages()))
 

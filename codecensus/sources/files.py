@@ -7,17 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codecensus.functions import classify as C
 from codecensus.functions.text import ancestors, basename, dirname, glob_regex, line_total
 from codecensus.rules import files as R
+from codecensus.session import broadcast_if_small
 
 PROJECT_FILES = r"(?i)\.(csproj|fsproj|vbproj|sln)$"
 
 
-def read_repositories(spark: SparkSession, parent: str, max_file_size: int = 2_000_000) -> DataFrame:
+def read_repositories(spark: SparkSession, parent: str) -> DataFrame:
     """Every file below ``parent/<repo>/...`` as ``(repo, path, size, content)``.
 
-    The size test is pushed into the reader, so oversized files are never opened.
+    Content is opened only where it is asked for; large files are judged, and counted, by ``tag_files``.
     """
     base = parent.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_file_size)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     inner = F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
     return raw.select(
         F.substring_index(inner, "/", 1).alias("repo"), F.regexp_replace(inner, "^[^/]*/", "").alias("path"),
@@ -27,14 +28,15 @@ def read_repositories(spark: SparkSession, parent: str, max_file_size: int = 2_0
 def decode(content: Column | str = "content") -> Column:
     """Text of a file: '' when a NUL byte shows it is binary, UTF-8 when valid, else Latin-1."""
     c = F.col(content) if isinstance(content, str) else content
-    head = F.decode(F.substring(c, 1, 4096), "ISO-8859-1")
-    return F.when(F.instr(head, "\0") > 0, "").when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))
+    return F.when(F.position(F.unhex(F.lit("00")), c) > 0, "").when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))
 
 
 def ignore_rules(files: DataFrame) -> DataFrame:
     """Rules of all ignore files: ``(repo, base, ord, pattern, negated, dir_only)``."""
     lines = F.posexplode(F.split("text", r"\r?\n"))
-    raw = files.where(basename("path") == ".gitignore").select("repo", dirname("path").alias("base"), lines.alias("ord", "raw"))
+    text = F.col("text") if "text" in files.columns else decode("content")
+    found = files.where(basename("path") == ".gitignore").select("repo", "path", text.alias("text"))
+    raw = found.select("repo", dirname("path").alias("base"), lines.alias("ord", "raw"))
     line = F.btrim(F.col("raw"), F.lit(" \t\r\f"))
     named = raw.where((line != "") & ~line.startswith("#")).select(
         "repo", "base", "ord", line.startswith("!").alias("negated"), F.regexp_replace(line, "^!", "").alias("p"))
@@ -104,15 +106,22 @@ def _first_index(segs: Column, test) -> Column:
     return F.array_position(F.transform(segs, test), F.lit(True)).cast("int")
 
 
-def tag_files(raw: DataFrame, rules: DataFrame | None = None, extra_ignores=(), include_globs=(), max_file_size: int = 2_000_000) -> DataFrame:
-    """``raw`` with ``cause``: '' for files to analyse, else why a file is left out.
-
-    ``prune`` is the directory that was cut off, for vendor and ignored directories.
-    """
+def _pruned_at() -> tuple[Column, Column, Column]:
+    """Directories of a path, and where a vendor or an ignored one stands first."""
     segs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     vendor = _first_index(segs, lambda s: s.isin(*R.VENDOR_DIRS))
     hidden = _first_index(segs, lambda s: s.isin(*R.IGNORED_DIRS) | (s.startswith(".") & ~s.isin(*R.KEPT_DOT_DIRS)))
-    bin_at = _first_index(segs, lambda s: s == "bin")
+    return segs, vendor, hidden
+
+
+def tag_files(raw: DataFrame, rules: DataFrame | None = None, extra_ignores=(), include_globs=(), max_file_size: int = 2_000_000) -> DataFrame:
+    """``(repo, path, size, cause, prune)``: '' for files to analyse, else why a file is left out.
+
+    ``prune`` is the directory that was cut off, for vendor and ignored directories. Only paths and sizes are read; no
+    text takes part in the joins.
+    """
+    raw = raw.select("repo", "path", "size")
+    segs, vendor, hidden = _pruned_at()
     slim = raw.select("repo", "path")
     # bin/ is build output where a project file or obj/ lies beside it.
     has_bin = slim.where(F.col("path").rlike("(^|/)bin/")).select("repo", "path", F.explode(ancestors("path")).alias("parent"))
@@ -163,10 +172,18 @@ def vendor_dirs(tagged: DataFrame) -> DataFrame:
     return tagged.where("cause = 'vendored'").select("repo", F.col("prune").alias("dir")).distinct()
 
 
-def inventory(tagged: DataFrame, include_tests: bool = True) -> DataFrame:
-    """Files to analyse with language, kind, line counts and text."""
-    kept = tagged.where("cause = ''")
-    text = F.col("text") if "text" in tagged.columns else decode("content")
+def inventory(raw: DataFrame, tagged: DataFrame, include_tests: bool = True) -> DataFrame:
+    """Files to analyse with language, kind, line counts and text, from ``raw`` and its judgements.
+
+    What a path alone decides is filtered in the row, so pruned folders are never decoded. The paths that need a look at
+    other files (ignore files, build output) and those too large are taken out by their list, which is broadcast after a
+    check of its size; only a longer list moves texts.
+    """
+    _, vendor, hidden = _pruned_at()
+    open_paths = (vendor == 0) & (hidden == 0)
+    out_list = tagged.where((F.col("cause") != "") & open_paths).select("repo", "path")
+    kept = raw.where(open_paths).join(broadcast_if_small(out_list), ["repo", "path"], "left_anti")
+    text = F.col("text") if "text" in raw.columns else decode("content")
     out = kept.select("repo", "path", "size", text.alias("text"), C.language("path").alias("language"))
     out = out.withColumn("kind", C.file_kind("path", "language"))
     if not include_tests:

@@ -26,11 +26,11 @@ def test_ignore_and_classify(spark):
     assert cause["a.min.js"] == "ignored_glob" and cause["proj/bin/D.cs"] == "ignored_dir"
     st = S.walk_stats(tagged).first()
     assert (st.vendored, st.skipped_dirs) == (1, 3)
-    inv = {r.path: (r.language, r.kind) for r in S.inventory(tagged).collect()}
+    inv = {r.path: (r.language, r.kind) for r in S.inventory(df, tagged).collect()}
     assert inv["a.py"] == ("Python", "source") and inv["tests/test_a.py"] == ("Python", "test") and inv["Dockerfile"] == ("Dockerfile", "infra")
     assert inv["infra/main.tf"][1] == "infra" and inv["README.md"] == ("Markdown", "docs") and inv["package.json"] == ("JSON", "build")
     assert inv["conf/app.yaml"] == ("YAML", "config") and inv["data.bin2"] == ("Unknown", "data")
-    assert S.inventory(tagged, include_tests=False).where("kind='test'").count() == 0
+    assert S.inventory(df, tagged, include_tests=False).where("kind='test'").count() == 0
 
 
 def test_decode_and_lines(spark):
@@ -43,8 +43,21 @@ def test_read_repositories(spark, tmp_path):
     (tmp_path / "one" / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "b.py").write_text("y" * 50)
-    got = {(r.repo, r.path, r.size) for r in S.read_repositories(spark, str(tmp_path), max_file_size=20).collect()}
-    assert got == {("one", "src/a.py", 6)}
+    (tmp_path / "two" / "late.py").write_bytes(b"a" * 5000 + b"\0")
+    df = S.read_repositories(spark, str(tmp_path))
+    assert {(r.repo, r.path, r.size) for r in df.collect()} == {("one", "src/a.py", 6), ("two", "b.py", 50), ("two", "late.py", 5001)}
+    tagged = S.tag_files(df, max_file_size=20)
+    assert {(r.repo, r.total_seen, r.kept, r.skipped_large) for r in S.walk_stats(tagged).collect()} == {("one", 1, 1, 0), ("two", 2, 0, 2)}
+    assert [(r.path, r.text) for r in S.inventory(df, tagged).collect()] == [("src/a.py", "x = 1\n")]
+    # A NUL anywhere makes a file binary.
+    assert {r.path: r.text for r in S.inventory(df, S.tag_files(df)).collect()}["late.py"] == ""
+
+
+def test_texts_are_not_shuffled(spark):
+    df = raw(spark, "a/x.py", "node_modules/y.js", "b/skip.py")
+    plan = S.inventory(df, S.tag_files(df, S.ignore_rules(df)))._jdf.queryExecution().executedPlan().toString()
+    above = [line for line in plan.split("\n") if "Exchange" in line and "BroadcastExchange" not in line and "text" in line]
+    assert not above
 
 
 def resolve(spark, paths, imports, extra=()):
