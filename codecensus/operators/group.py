@@ -187,7 +187,7 @@ def components(files: DataFrame, apps: DataFrame, keys: Keys, max_components: in
     other = large.join(held, by).select(
         *by, slug(F.lit("c"), "app", F.lit("other")).alias("id"), F.lit("(other)").alias("name"), F.lit("").alias("path"), F.lit("module").alias("kind"),
         _strings().alias("languages"), (F.col("__files") - F.col("f")).alias("files"), (F.col("__loc") - F.col("l")).alias("loc"),
-        F.format_string("%d smaller directories merged for readability", F.col("__n") - max_components + 1).alias("description"))
+        F.format_string("%d small directories together", F.col("__n") - max_components + 1).alias("description"))
     return whole.unionByName(kept).unionByName(other)
 
 

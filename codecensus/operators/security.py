@@ -47,11 +47,11 @@ def _rule_sql(rule: dict, index: int) -> str:
 
 
 def _meta(rules: list[dict]) -> Column:
-    """Rule texts as one constant array, looked up by position."""
+    """Rule facts as one constant array, looked up by position. A rule without a title is named by its id."""
     fields = ("id", "title", "severity", "cwe", "category", "confidence", "remediation")
     default = {"severity": "medium", "category": "code", "confidence": "medium"}
-    rows = ", ".join(
-        "named_struct(" + ", ".join(f"'{f}', {quoted(r.get(f, default.get(f, '')))}" for f in fields) + ")" for r in rules)
+    value = lambda r, f: r.get(f, r["id"].replace("-", " ") if f == "title" else default.get(f, ""))
+    rows = ", ".join("named_struct(" + ", ".join(f"'{f}', {quoted(value(r, f))}" for f in fields) + ")" for r in rules)
     return F.expr(f"array({rows})")
 
 

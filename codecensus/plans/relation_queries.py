@@ -380,7 +380,7 @@ EP_SQL = """e AS (SELECT 'n' || (o_custkey % 25) AS repo, 'app' || (o_custkey %
 @query("capabilities", f"""
 WITH {EP_SQL}, c AS (SELECT repo, s, count(*) AS n, bool_or(method = 'GET') AS g, bool_or(method = 'POST') AS p, bool_or(method = 'DELETE') AS x FROM e GROUP BY 1, 2),
 v AS (SELECT *, list_filter([CASE WHEN g THEN 'look up' END, CASE WHEN p THEN 'create' END, CASE WHEN x THEN 'remove' END], lambda a: a IS NOT NULL) AS verbs FROM c),
-t AS (SELECT repo, n, upper(s[1]) || s[2:] AS title, 'People and other systems can ' || CASE WHEN len(verbs) > 1 THEN array_to_string(verbs[1:len(verbs) - 1], ', ') || ' and ' ELSE '' END || verbs[len(verbs)] || ' ' || s || '.' AS plain FROM v)
+t AS (SELECT repo, n, upper(s[1]) || s[2:] AS title, array_to_string(verbs, ', ') || ': ' || s AS plain FROM v)
 SELECT repo, title, plain, n || CASE WHEN n = 1 THEN ' endpoint' ELSE ' endpoints' END AS detail, row_number() OVER (PARTITION BY repo ORDER BY n DESC, title)::INT AS ord FROM t""")
 def capabilities(spark, d):
     return RP.capabilities(_endpoints(spark, d), KEYS).select("repo", "title", "plain", "detail", "ord")
@@ -407,9 +407,9 @@ def endpoint_rollup(spark, d):
 
 
 @query("suggestions", f"""
-WITH {PROFILE_SQL}, s AS (SELECT repo, list_filter([CASE WHEN source_files > 8 THEN 'Give me a fix plan for the ' || source_files || ' highest severity findings, ordered by risk and effort.' END,
-  CASE WHEN test_files = 0 THEN 'Where should the first tests go to get the most safety for the least work?' END, CASE WHEN source_files % 3 > 1 THEN 'Which of these applications could be extracted or retired first, and why?' END,
-  CASE WHEN test_files % 2 = 1 AND source_files % 2 = 0 THEN 'Is the API surface consistent? Point out endpoints that break the pattern.' END, 'Explain this repository to a new engineer joining next week.', 'What would you build next here, and what would you leave alone?'], lambda x: x IS NOT NULL) AS qs FROM p)
+WITH {PROFILE_SQL}, s AS (SELECT repo, list_filter([CASE WHEN source_files > 8 THEN 'Order of work for ' || source_files || ' severe findings' END,
+  CASE WHEN test_files = 0 THEN 'First tests' END, CASE WHEN source_files % 3 > 1 THEN 'Applications to split off' END,
+  CASE WHEN test_files % 2 = 1 AND source_files % 2 = 0 THEN 'Endpoints out of pattern' END, 'Introduction', 'Next steps'], lambda x: x IS NOT NULL) AS qs FROM p)
 SELECT repo, unnest(qs) AS question, generate_subscripts(qs, 1)::INT AS ord FROM s""")
 def suggestions(spark, d):
     f = _facts(spark, d).withColumn("severe", F.when(F.col("source_files") > 8, F.col("source_files")).otherwise(0)).withColumn("cycles", F.lit(0))
