@@ -47,9 +47,9 @@ def is_language_comment(line: Column | str, language: Column | str) -> Column:
     return out
 
 
-def valid_citations(values: Column | str, limit: int = 8) -> Column:
-    """Distinct, trimmed ``path`` / ``path:line`` / range / list citations, first ``limit``."""
+def valid_citations(values: Column | str) -> Column:
+    """Distinct, trimmed ``path`` / ``path:line`` / range / list citations."""
     # Fixed value: path, path:line, path:from-to and path:line,line.
     shape = r"^[\w./\\@+-]+(?::\d+(?:-\d+)?(?:,\d+(?:-\d+)?)*)?$"
     trimmed = F.transform(_c(values), lambda v: F.btrim(v))
-    return F.slice(F.array_distinct(F.filter(trimmed, lambda v: v.rlike(shape))), 1, limit)
+    return F.array_distinct(F.filter(trimmed, lambda v: v.rlike(shape)))

@@ -6,6 +6,8 @@ job handles the graphs of every repository at once.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from codecensus.operators.windows import capped_list
@@ -80,8 +82,8 @@ def neighbours(edges: DataFrame, keys: Keys) -> DataFrame:
     return edges.select(*keys, "source", "target").distinct()
 
 
-def dependents(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int = 6) -> DataFrame:
-    """Nodes that reach a start node within ``max_depth`` hops, with the hop count.
+def dependents(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int | None = None) -> DataFrame:
+    """Nodes that reach a start node, with the number of hops; within ``max_depth`` if that is given.
 
     ``start(keys, start)``; all start nodes advance together, frontier by frontier.
     """
@@ -89,18 +91,18 @@ def dependents(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int =
     return _spread(back, start, keys, max_depth)
 
 
-def reachable(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int = 4) -> DataFrame:
-    """Nodes reached from a start node within ``max_depth`` hops, with the hop count."""
+def reachable(edges: DataFrame, start: DataFrame, keys: Keys, max_depth: int | None = None) -> DataFrame:
+    """Nodes reached from a start node, with the number of hops; within ``max_depth`` if that is given."""
     ahead = edges.select(*keys, F.col("source").alias("at"), F.col("target").alias("node")).distinct()
     return _spread(ahead, start, keys, max_depth)
 
 
-def _spread(steps: DataFrame, start: DataFrame, keys: Keys, max_depth: int) -> DataFrame:
+def _spread(steps: DataFrame, start: DataFrame, keys: Keys, max_depth: int | None) -> DataFrame:
     by = [*keys, "start", "node"]
     steps = cut(steps.where(F.col("at") != F.col("node")))
     seen = start.select(*keys, "start", F.col("start").alias("node")).distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = (
             frontier.select(*keys, "start", F.col("node").alias("at"))
             .join(steps, [*keys, "at"])

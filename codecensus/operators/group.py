@@ -248,7 +248,7 @@ def build_apps(files: DataFrame, roots: DataFrame, manifests: DataFrame, marks:
     f = files.select(*keys, "root", "path", "language", "loc")
     counts = f.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"))
     langs = capped_list(
-        f.where(is_code("language")).groupBy(*by, "language").agg(F.count(F.lit(1)).alias("c")), by, [F.desc("c"), "language"], F.col("language"), 40, "languages")
+        f.where(is_code("language")).groupBy(*by, "language").agg(F.count(F.lit(1)).alias("c")), by, [F.desc("c"), "language"], F.col("language"), 1000, "languages")  # no more than the language table has
     used = f.join(marks, [*keys, "path"]).select(*by, F.explode("frameworks").alias("fw")).groupBy(*by, "fw").agg(F.count(F.lit(1)).alias("c"))
     fws = capped_list(used, by, [F.desc("c"), "fw"], F.col("fw"), 200, "all_frameworks")
     dir_names = f.select(*by, F.explode(F.filter(F.split(dirname("path"), "/"), lambda s: s != "")).alias("d")).distinct()
@@ -271,9 +271,9 @@ def build_apps(files: DataFrame, roots: DataFrame, manifests: DataFrame, marks:
         F.when(F.coalesce("m_name", F.lit("")) != "", F.col("raw_name")).otherwise(title_case("raw_name")).alias("name"), "root",
         app_kind(F.when(F.col("root") != "", F.col("root")).otherwise(F.col("raw_name")), F.coalesce("kind_hint", F.lit("")), frameworks,
                  F.coalesce("has_endpoints", F.lit(False)), F.coalesce("has_dockerfile", F.lit(False))).alias("kind"),
-        F.coalesce("languages", empty).alias("languages"), F.slice(frameworks, 1, 12).alias("frameworks"),
+        F.coalesce("languages", empty).alias("languages"), frameworks.alias("frameworks"),
         F.when(F.col("manifest") != "", F.array("manifest")).otherwise(empty).alias("manifests"),
-        F.slice(F.filter(F.coalesce("m_entry", empty), lambda e: e != ""), 1, 6).alias("entrypoints"), "files", "loc",
+        F.filter(F.coalesce("m_entry", empty), lambda e: e != "").alias("entrypoints"), "files", "loc",
         F.coalesce(F.nullif("readme", F.lit("")), "m_desc", F.lit("")).alias("description"),
         architecture_style(F.coalesce("dirs", empty), frameworks).alias("architecture_style"))
 

@@ -111,6 +111,7 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
         image_uses.select(*k, "name", "file").join(merged.select(*k, "name", "id"), [*k, "name"]).select(*k, "id", "file")).distinct()
     uses = stored(uses)
     systems = S.with_apps(merged, uses, owner, k)
+    systems = systems.join(uses.groupBy(*k, "id").agg(F.countDistinct("file").alias("n_files")), [*k, "id"], "left").na.fill(0, ["n_files"])
     composed = I.compose_systems(cont, image_uses, merged, apps0, k).groupBy(*k, "id").agg(F.collect_set("app").alias("more"))
     systems = stored(systems.join(composed, [*k, "id"], "left").withColumn(
         "apps", F.array_sort(F.array_union("apps", F.coalesce("more", F.expr("cast(array() as array<string>)"))))).drop("more"))

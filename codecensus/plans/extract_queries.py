@@ -74,7 +74,7 @@ WITH {DOCS_SQL}, {LINES_SQL}, h AS ({' UNION ALL '.join(arms)}),
 k AS (SELECT * FROM h WHERE v <> '' AND NOT regexp_matches(v, '{_q(placeholder)}') AND length(replace(v, v[1], '')) > 0 AND NOT regexp_matches(v, '{_q(K.PROSE)}') AND NOT ({DEFINITION_SQL})),
 c AS (SELECT v, ch, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS ch FROM (SELECT DISTINCT v FROM k)) WHERE ch <> '' GROUP BY 1, 2),
 e AS (SELECT v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM c GROUP BY 1)
-SELECT repo, path AS file, line_no::INT AS line, 'CC-SECRET-' || upper(rule) AS identifier, severity, left(replace(line, v, left(v, 4) || '****'), 200) AS snippet
+SELECT repo, path AS file, line_no::INT AS line, 'CC-SECRET-' || upper(rule) AS identifier, severity, replace(line, v, left(v, 4) || '****') AS snippet
 FROM k JOIN e USING (v) WHERE rule <> 'high-entropy' OR bits >= {K.MIN_ENTROPY}"""
 
 

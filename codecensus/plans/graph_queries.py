@@ -171,6 +171,33 @@ def graph_dependents(spark, d):
     return G.dependents(links, links.select(F.col("target").alias("start")).distinct(), [], max_depth=6)
 
 
+def _start_sql(end: str, step: str) -> str:
+    """From two given nodes to the end of the graph; UNION stops the walk where nothing is new."""
+    a, b = ("source", "target") if end == "source" else ("target", "source")
+    return f"""
+WITH RECURSIVE {PART_SQL}, given AS (SELECT min({a}) AS start FROM links UNION SELECT max({a}) FROM links),
+walk(start, node, depth) AS (SELECT start, start, 0 FROM given
+  UNION SELECT w.start, l.{b}, w.depth + 1 FROM walk w JOIN links l ON l.{a} = w.node WHERE w.depth < (SELECT count(DISTINCT {step}) FROM links))
+SELECT start, node, min(depth)::INT AS depth FROM walk WHERE start <> node GROUP BY 1, 2"""
+
+
+def _given(links, end):
+    ends = links.agg(F.min(end).alias("a"), F.max(end).alias("b"))
+    return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("start"))
+
+
+@query("reachable_from_given", _start_sql("source", "source"))
+def reachable_from_given(spark, d):
+    links = part_links(spark, d)
+    return G.reachable(links, _given(links, "source"), [])
+
+
+@query("dependents_of_given", _start_sql("target", "target"))
+def dependents_of_given(spark, d):
+    links = part_links(spark, d)
+    return G.dependents(links, _given(links, "target"), [])
+
+
 @query("graph_cycles", f"""
 WITH RECURSIVE {RING_SQL}, walk(a, b) AS (
   SELECT source, target FROM links UNION SELECT w.a, l.target FROM walk w JOIN links l ON l.source = w.b),

@@ -251,10 +251,10 @@ def advisories(spark, d):
 
 @query("advisory_ranges", """
 WITH v AS (SELECT p_brand AS repo, replace(p_name, ' ', '_') AS package, p_name, p_size % 5 AS a, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 3 END AS b, p_partkey % 5 AS k FROM part),
-w AS (SELECT *, a || CASE k WHEN 0 THEN '' WHEN 1 THEN '.' || b WHEN 2 THEN '.' || b || '.0' WHEN 3 THEN '.' || b || '.0-rc1' ELSE '.' || b || '+build.7' END AS version, (10 * a + b) * 2 - (k = 3)::INT AS at FROM v),
+w AS (SELECT *, a || CASE k WHEN 0 THEN '' WHEN 1 THEN '.' || b WHEN 2 THEN '.' || b || '.0' WHEN 3 THEN '.' || b || '.0-rc1' ELSE '.' || b || '+build.7' END AS version, (10 * a + b) * 2 - (k = 3)::INT AS val FROM v),
 x AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1)
 SELECT DISTINCT repo, package, version, 'ADV-' || id AS identifier FROM w JOIN x USING (p_name)
-WHERE id % 7 <> 0 AND at >= 20 AND CASE WHEN id % 2 = 0 THEN at < 60 ELSE at <= 62 END""")
+WHERE id % 7 <> 0 AND val >= 20 AND CASE WHEN id % 2 = 0 THEN val < 60 ELSE val <= 62 END""")
 def advisory_ranges(spark, d):
     """Ranges that end with a fix or with the last affected version, over versions of unequal length, pre-releases and builds.
 

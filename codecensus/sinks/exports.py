@@ -35,10 +35,10 @@ def csv_tables(t: dict[str, DataFrame], keys: Keys) -> dict[str, DataFrame]:
         "findings": _cols(t["findings"], keys, same("severity", "category", "title", "identifier", "cwe", "file", "line", "package", "version", "fixed_version", "confidence")
                           + [("application", "app"), ("remediation", "remediation"), ("snippet", "snippet"), ("references", _join("references", " "))]),
         "dependencies": _cols(t["dependencies"], keys, same("name", "version", "ecosystem", "scope", "direct", "declared", "used", "purl")
-                              + [("declared_in", _join("declared_in")), ("used_by_count", F.size("used_by")), ("applications", _join("apps"))]),
+                              + [("declared_in", _join("declared_in")), ("used_by_count", F.col("n_used_by")), ("applications", _join("apps"))]),
         "endpoints": _cols(t["endpoints"], keys, same("kind", "method", "path", "handler", "framework") + [("application", "app")] + same("component", "file", "line", "description")),
         "external_systems": _cols(t["systems"], keys, same("id", "name", "kind", "technology") + [
-            ("direction", F.lit("outbound")), ("applications", _join("apps")), ("evidence_count", F.size("evidence")), ("first_evidence", first)]),
+            ("direction", F.lit("outbound")), ("applications", _join("apps")), ("evidence_count", F.col("n_files")), ("first_evidence", first)]),
         "applications": _cols(t["apps"].join(parts, [*keys, "id"], "left").na.fill(0, ["n_components"]), keys, same("id", "name", "kind", "root") + [
             ("languages", _join("languages")), ("frameworks", _join("frameworks"))] + same("files", "loc", "architecture_style") + [
             ("components", "n_components"), ("manifests", _join("manifests")), ("description", "description")]),
@@ -145,7 +145,7 @@ def cyclonedx_components(deps: DataFrame, keys: Keys, tool: str = "codecensus")
         F.lit("library").alias("type"), package_ref().alias("bom-ref"), F.col("name"), F.coalesce(F.nullif("version", F.lit("")), F.lit("unknown")).alias("version"), F.col("purl"),
         F.when(F.col("scope") == "runtime", "required").otherwise("optional").alias("scope"),
         F.array(prop("ecosystem", F.col("ecosystem")), prop("direct", F.col("direct").cast("string")), prop("used", F.col("used").cast("string")),
-                prop("declaredIn", F.array_join(F.slice("declared_in", 1, 4), ", "))).alias("properties"),
+                prop("declaredIn", F.array_join("declared_in", ", "))).alias("properties"),
         F.when(F.col("license") != "", F.array(F.struct(F.struct(F.col("license").alias("name")).alias("license")))).alias("licenses")).alias("component"))
 
 

@@ -21,7 +21,7 @@ def test_answers_are_checked(spark, tmp_path):
     k = ["repo"]
     apps = spark.createDataFrame([("r", "app-a"), ("r", "app-b")], "repo string, id string")
     finds = spark.createDataFrame([("r", f"f{i}") for i in (1, 2, 3)], "repo string, id string")
-    ok, bad = RV.judge_texts(T.answer_rows(a, "applications", "r"), apps, k, "application", "summary", 1200)
+    ok, bad = RV.judge_texts(T.answer_rows(a, "applications", "r"), apps, k, "application", "summary")
     assert [(r.id, r.summary) for r in ok.collect()] == [("app-a", "Takes orders.")]
     assert {r.id for r in bad.collect()} == {"app-zz", "app-b"}
     ok, bad = RV.judge_findings(T.answer_rows(a, "findings", "r"), finds, k)
