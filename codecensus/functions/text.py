@@ -78,8 +78,12 @@ def slug(*parts: Column | str, maxlen: int = 80) -> Column:
     return F.when(base == "", F.lit("n")).when(F.length(base) > maxlen, cut).otherwise(base)
 
 
+def one_line(col: Column | str) -> Column:
+    return F.regexp_replace(strip(col), r"\s+", " ")
+
+
 def truncate(col: Column | str, length: int = 160) -> Column:
-    flat = F.regexp_replace(strip(col), r"\s+", " ")
+    flat = one_line(col)
     return F.when(F.length(flat) <= length, flat).otherwise(
         F.concat(F.substring(flat, 1, length - 1), F.lit(ELLIPSIS))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import formats as M
@@ -321,6 +323,22 @@ def locked(files: DataFrame, keys: Keys) -> DataFrame:
         F.when(F.col("version") != "", purl("name", "version", "ecosystem")).otherwise("").alias("purl"))
 
 
+def extra_dependencies(files: DataFrame, keys: Keys, formats: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Dependency rows of formats that the caller brings, in the columns of ``declared`` and ``locked``.
+
+    ``formats`` maps a file name (any case) to its ecosystem and to a function from the text column to
+    ``array<struct<name, version, scope, direct>>``. Each format reads only its own files.
+    """
+    out = None
+    for name, (ecosystem, parse) in formats.items():
+        src = files.where((F.lower(basename("path")) == name.lower()) & (F.col("text") != "")).select(*keys, "path", parse(F.col("text")).cast(f"array<{DEP}>").alias("deps"))
+        rows = src.select(*keys, F.col("path").alias("declared_in"), F.posexplode_outer("deps").alias("ord", "d")).where("d IS NOT NULL").select(
+            *keys, "declared_in", "ord", F.col("d.name").alias("name"), F.col("d.version").alias("version"), F.lit(ecosystem).alias("ecosystem"), F.col("d.scope").alias("scope"),
+            F.col("d.direct").alias("direct"), purl(F.col("d.name"), F.col("d.version"), F.lit(ecosystem)).alias("purl"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _nested_npm(locks: DataFrame, keys: Keys) -> DataFrame:
     """``(keys, path, format, deps)`` of version-1 lockfiles, whose dependencies nest to any depth.
 

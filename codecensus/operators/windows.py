@@ -127,3 +127,14 @@ def merge_evidence(df: DataFrame, keys: Keys, order, file="file", line="line", s
     """Distinct (file, line, snippet) per group, first ``limit`` in order."""
     once = first_wins(df, [*keys, file, line, snippet], order)
     return top_per_group(once, keys, order, limit, rank="rank")
+
+
+def select_by(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose named columns hold one of the given values: point look-ups by id, kind, severity and so on.
+
+    The filters reach the scan. None asks for nothing; an empty list finds nothing.
+    """
+    for name, values in wanted.items():
+        if values is not None:
+            df = df.where(F.col(name).isin(*([values] if isinstance(values, (str, int)) else values)))
+    return df

@@ -45,6 +45,8 @@ class Options:
     import_rules: tuple = L.IMPORTS
     symbol_rules: tuple = L.SYMBOLS
     endpoint_rules: tuple = L.ENDPOINTS
+    manifest_formats: dict = field(default_factory=dict)
+    lock_formats: dict = field(default_factory=dict)
     advisories: DataFrame | None = field(default=None)
 
 
@@ -64,7 +66,11 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
     coded = inv.where(F.col("language").isin(*analysed_languages()))
 
     manifests = stored(M.manifests(inv, k))
-    locked = M.locked(inv, k)
+    locked, asked = M.locked(inv, k), M.declared(manifests, k)
+    if o.lock_formats:
+        locked = locked.unionByName(M.extra_dependencies(inv, k, o.lock_formats))
+    if o.manifest_formats:
+        asked = asked.unionByName(M.extra_dependencies(inv, k, o.manifest_formats))
     imports = SY.imports(coded, k, o.import_rules)
     symbols = stored(SY.symbols(coded, k, o.symbol_rules))
     endpoints = stored(SY.endpoints(coded, k, o.endpoint_rules))
@@ -89,7 +95,7 @@ def census(raw: DataFrame, options: Options | None = None) -> dict[str, DataFram
     resolved = stored(R.resolve(imports, inv.select(*k, "path", "language"), manifests, M.ts_aliases(inv, k), k))
     file_edges = stored(R.file_edges(resolved, k))
     usage = stored(R.external_usage(resolved, owner, k))
-    reconciled = D.reconcile(M.declared(manifests, k), locked, k)
+    reconciled = D.reconcile(asked, locked, k)
     matches = D.match_usage(reconciled, usage, k)
     optional = SE.optional_imports(inv, k)
     deps = stored(D.with_usage(reconciled, usage, matches, k))

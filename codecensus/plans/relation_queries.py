@@ -81,6 +81,12 @@ def merge_smallest(spark, d):
     return W.merge_smallest(s, KEYS, "label", "n", 10)
 
 
+@query("point_lookups", """
+SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'error') AND user_id IN (1, 2, 3, 5, 8, 13)""")
+def point_lookups(spark, d):
+    return W.select_by(table(spark, d, "events"), event_type=["purchase", "error"], user_id=[1, 2, 3, 5, 8, 13]).select("event_id", "user_id", "event_type")
+
+
 @query("merge_evidence", """
 WITH o AS (SELECT event_type AS repo, user_id::VARCHAR AS file, floor(value / 5)::INT AS line, props AS snippet, min(event_id) AS event_id FROM events GROUP BY ALL)
 SELECT repo, file, line, snippet, event_id FROM o QUALIFY row_number() OVER (PARTITION BY repo ORDER BY event_id) <= 8""")

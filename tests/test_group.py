@@ -61,7 +61,7 @@ def test_merge_small(spark):
     apps = spark.createDataFrame([("r", "a", "A")], "repo string, id string, name string")
     c = G.components(f, apps, ["repo"], max_components=10).collect()
     assert len(c) == 10 and sum(r.files for r in c) == f.count()
-    assert [r.description for r in c if r.name == "(other)"] == ["41 smaller directories merged for readability"]
+    assert [r.description for r in c if r.name == "(other)"] == ["41 small directories together"]
 
 
 def test_readme_and_nouns(spark):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from codecensus.operators import manifests as M
 
 
@@ -112,3 +114,16 @@ def test_ts_aliases(spark):
     got = {(r.path, r.prefix, r.target) for r in M.ts_aliases(f, ["repo"]).collect()}
     assert got == {("apps/web/tsconfig.json", "@/", "apps/web/src"), ("apps/web/tsconfig.json", "shared", "packages/shared"),
                    ("b/tsconfig.json", "~/", "b/src"), ("b/tsconfig.json", "@/", "b/src")}
+
+
+def test_formats_of_the_caller(spark):
+    from codecensus.operators.manifests import extra_dependencies
+    from codecensus.operators.windows import select_by
+
+    df = spark.createDataFrame([("r", "a/Deps.list", "x 1.0\ny 2.0\n"), ("r", "other.txt", "z 3.0")], "repo string, path string, text string")
+    lines = lambda text: F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.struct(
+        F.substring_index(x, " ", 1).alias("name"), F.substring_index(x, " ", -1).alias("version"), F.lit("runtime").alias("scope"), F.lit(True).alias("direct")))
+    got = extra_dependencies(df, ["repo"], {"deps.list": ("pypi", lines)})
+    assert [(r.declared_in, r.ord, r.name, r.version, r.ecosystem, r.purl) for r in got.orderBy("ord").collect()] == [
+        ("a/Deps.list", 0, "x", "1.0", "pypi", "pkg:pypi/x@1.0"), ("a/Deps.list", 1, "y", "2.0", "pypi", "pkg:pypi/y@2.0")]
+    assert [r.name for r in select_by(got, name=["y"], version=None).collect()] == ["y"] and select_by(got, name=[]).collect() == []
