@@ -33,24 +33,35 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|footer|header|masthead|breadcrumbs?|comments?|disqus|replies|cookies?|consent|"
                     r"gdpr|notices?|popup|modal|overlay|newsletter|subscribe|social|share|sharing|related|recommend\w*|widget|login|signup|paywall|pagination|pager|toolbar)(?=$|[\s_-])", re.IGNORECASE)
 LANDMARKS = frozenset(("article", "main"))
+#: Names of elements that hold an article where no landmark does.
+_CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?=$|[\s_-])", re.IGNORECASE)
+#: Names that tell what stands beside an element, or what it lacks, say nothing about itself.
+_BESIDE = re.compile(r"(?<![^\s])(?:has|with|without|no)[_-]\S+", re.IGNORECASE)
 
 
-def _is_furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
+def _judged(tag: str, attributes: str, in_landmark: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether its name says that it holds an article."""
     if tag in FURNITURE or (tag == "header" and not in_landmark):
-        return True
+        return True, False
     if tag in ("html", "body") or not attributes:
-        return False
+        return False, False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
-    return tag not in LANDMARKS and any(_NAMES.search(found.get(k, "")) for k in ("class", "id"))
+        return True, False
+    names = [_BESIDE.sub(" ", found.get(k, "")) for k in ("class", "id")]
+    if tag in LANDMARKS:
+        return False, False
+    if in_landmark:  # the head of an article is part of it
+        names = [re.sub(r"(?i)(?:^|(?<=[\s_-]))header(?=$|[\s_-])", " ", n) for n in names]
+    furniture = any(map(_NAMES.search, names))
+    return furniture, not furniture and tag not in INLINE and any(map(_CONTENT.search, names))
 
 
 class Page:
     """Elements in page order as parallel lists; items hold (element, text) in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skip, self.landmark = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.skip, self.landmark, self.named = ["#root"], [-1], [False], [False], [False]
         self.items: list[tuple[int, str]] = []  # a text, or "" where an element opens or closes
         self._stack, self._open = [0], {"#root": 1}
         self._read(source)
@@ -79,7 +90,9 @@ class Page:
         up = self._stack[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.skip.append(self.skip[up] or _is_furniture(tag, attributes, self.landmark[up]))
+        furniture, named = _judged(tag, attributes, self.landmark[up])
+        self.skip.append(self.skip[up] or furniture)
+        self.named.append(named)
         self.landmark.append(self.landmark[up] or tag in LANDMARKS)
         new = len(self.tag) - 1
         self.items.append((new, ""))
@@ -189,12 +202,15 @@ def main_text(source: str | None) -> str:
         dense[k] = not page.skip[k] and density[k] >= threshold and density[k] > 0 and (k in (0, body) or page.parent[k] < 0 or dense[page.parent[k]])
         if dense[k]:
             chosen.add(best[k])
-    # Content inside an article or a main part stands for the whole of it.
+    # Content inside an article or a main part stands for the whole of it, or else inside the nearest element named so.
     for k in list(chosen):
+        named = landmark = 0
         while k > 0:
-            if page.tag[k] in LANDMARKS:
-                chosen.add(k)
+            named = named or (k if page.named[k] else 0)
+            landmark = k if page.tag[k] in LANDMARKS else landmark
             k = page.parent[k]
+        if landmark or named:
+            chosen.add(landmark or named)
     inside = [False] * n
     for k in range(n):
         inside[k] = not page.skip[k] and (k in chosen or (page.parent[k] >= 0 and inside[page.parent[k]]))

@@ -23,6 +23,9 @@ FURNITURE = ('<nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></u
 @pytest.mark.parametrize(("source", "want"), [
     (page(FURNITURE + "<article><h1>Title &amp; more</h1><p>One  two\n three.<p><b>Four<br>five</b></article>"), "Title & more\nOne two three.\nFour five"),
     (page(FURNITURE + '<div class="content"><h2>Head</h2><p>Some longer text of the article.</p><ul><li>x<li>y</ul><p>More of it.</p></div>'), "Head\nSome longer text of the article.\nx\ny\nMore of it."),
+    (page('<div class="wrap has-sidebar"><div id="post-12" class="entry"><div class="part"><p>A long first paragraph of the story, with many words.</p><p>And a second one of it.</p></div><div class="part"><p>Ok.</p></div></div>'
+          '<div class="sidebar"><p>Elsewhere on this site there is much more to read about.</p></div></div>'), "A long first paragraph of the story, with many words.\nAnd a second one of it.\nOk."),
+    (page('<article><div class="article-header"><h1>Head</h1></div><p>Text of it.</p><section class="comments"><p>Reader says</p></section><div class="share-buttons"><a href="x">Share</a></div></article>'), "Head\nText of it."),
     ("<div>Hello <b>wor</b>ld<br>x</div>", "Hello world x"), ("plain &lt;text", "plain <text"), ("", ""), (None, ""), ("<", "<"), ("<p>cut <a hre", "cut <a hre"), (page(""), ""), ("<script>x", ""),
     (page("<main><table><tr><td>a<td>b<tr><td>c</table></main>"), "a\nb\nc"), ("<!-- never closed <p>x</p>", ""),
 ])
