@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """Hash of each word, kept while a task meets the word again; it forgets all when it has grown large."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -44,6 +45,17 @@ class WordHashes(dict):
         return value
 
 
+#: Rows that a task holds in worked-up form at a time; a batch from the JVM has many more.
+SLICE = 500
+
+
+def slices(batches: Iterator[pd.DataFrame | pd.Series]) -> Iterator[pd.DataFrame | pd.Series]:
+    """Batches in small pieces, so that a task's memory follows a few texts and not a whole batch."""
+    for batch in batches:
+        for k in range(0, len(batch), SLICE):
+            yield batch.iloc[k : k + SLICE].reset_index(drop=True)
+
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

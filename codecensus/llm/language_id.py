@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codecensus.llm.common import slices
 from codecensus.llm.native import bounded
 from codecensus.session import cut
 
@@ -210,7 +211,8 @@ def language(model: Model, text: Column) -> Column:
     """struct(lang_pred, score, n_letters, phrase_length) of a text column."""
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield model.decide(texts)
+            # A column function answers a batch with one frame; the texts are parsed a few at a time.
+            yield pd.concat([model.decide(part) for part in slices([texts])] or [model.decide(texts)], ignore_index=True)
 
     decide.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(decide, "lang_pred string, score double, n_letters long, phrase_length double")(text)

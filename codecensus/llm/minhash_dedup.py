@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codecensus.llm.common import WordHashes, components, shingle_set
+from codecensus.llm.common import WordHashes, components, shingle_set, slices
 from codecensus.llm.native import bounded
 from codecensus.session import cut
 
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, coordinates: int = C
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             counts, keys, signs = [], [], []
             for text in batch["text"]:
                 values = shingle_set(text, seen, size)
@@ -65,7 +65,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, shingles) of (id, text, set_key) rows; rows whose text has another key are left out."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [(i, s) for i, t, k in zip(batch["id"], batch["text"], batch["set_key"], strict=True)
                      if xxhash.xxh3_128_digest((s := shingle_set(t, seen, size)).tobytes()) == bytes(k)]
             yield pd.DataFrame({"id": [i for i, _ in found], "n": [len(s) for _, s in found], "shingles": [s.view(np.int64) for _, s in found]})

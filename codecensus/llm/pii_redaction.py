@@ -19,6 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codecensus.llm.common import slices
 from codecensus.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -92,7 +93,7 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
 def proposals(docs: DataFrame) -> DataFrame:
     """(row, doc_id, counts, base_sha256, found) of (row, doc_id, text); found: spans with label and features."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch["text"]:
                 text = text or ""

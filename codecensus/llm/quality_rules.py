@@ -14,6 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from codecensus.llm.common import slices
 from codecensus.session import cut
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -81,7 +82,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so repeated rows count again. An empty table gives an empty result; other columns are ignored.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             facts = pd.DataFrame([text_facts(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "sizes"])
             yield pd.concat([batch[["row", "doc_id", "host"]].reset_index(drop=True), facts], axis=1)
 

@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codecensus.llm.common import slices
 from codecensus.session import cut
 
 #: Base kinds first, in the order in which equal starts are listed; then the kinds this method adds.
@@ -70,7 +71,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result; other columns are ignored.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch["text"]:
                 found = candidates(text)
