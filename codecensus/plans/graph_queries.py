@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from codecensus.operators import graph as G
 from codecensus.operators.windows import top_per_group
 from codecensus.plans.registry import query, table
+from codecensus.session import cut
 
 TRADE_SQL = """
 trade AS (
@@ -224,7 +225,7 @@ def _pagerank_sql(rounds: int = 30) -> str:
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, d):
-    e = lifted_trade(spark, d).persist()
+    e = cut(lifted_trade(spark, d))
     return G.pagerank(G.endpoints_of(e, ["repo"]), e, ["repo"], digits=4)
 
 

@@ -78,5 +78,5 @@ def spread(df: DataFrame) -> DataFrame:
     many splits anyway, is never shuffled. Apply to a plain scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.rdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores * 2) if splits < cores else df
