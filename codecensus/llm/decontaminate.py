@@ -1,120 +1,28 @@
-"""Benchmark decontamination by SimHash windows and multi-index Hamming blocks, in column expressions only.
+"""Benchmark decontamination by the rarest shingles of each item, in column expressions only.
 
-Windows are sized by the items: an item of n words is searched by windows of W words, W the power of two with
-n / 6 < W <= n / 3 (8 for 14 to 47 words, 4 below). All windows of an item are fingerprinted and every second half of a
-window of the documents. A document that holds 80 % of an item's shingles has too few edits to break all runs of
-3 W / 2 - 1 words, so one of its windows equals one of the item's; the radius beyond that finds windows with small edits.
-
-A fingerprint has 64 bits, each the majority of that bit over the hashes of the window's words. It is cut into four
-blocks: two fingerprints that differ in at most three bits agree in one block, so a join on blocks misses none. Candidates
-are confirmed by the weighted share of the item's shingles that the document holds.
-
-Bits are counted for all 64 places at once: a count is a few longs, the k-th of which holds the k-th binary digit of every
-place's count, and two counts are added by a chain of XOR and AND. Sums over pairs of words give those over four, eight, ...
+A document that holds ``percent`` of an item's weight lacks at most the rest. So it holds one at least of any shingles that
+together weigh more than that rest, whatever its edits are and wherever they stand. Each item is filed under its heaviest
+shingles, those that the fewest items hold, until their weight is above the rest; documents are looked up by every shingle.
+No pair is missed. Candidates are confirmed by the weighted share of the item's shingles that the document holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from codecensus.llm.native import bounded, contained, exploded, hashes, weighted_shingles, words
+from codecensus.llm.native import bounded, contained, exploded, hashes, shingle_hashes, weighted_shingles, words
 from codecensus.session import cut
 
 GAP = r"[\x20\x09-\x0D]+"
-RADIUS = 3
-BLOCKS = RADIUS + 1
-BITS = 64 // BLOCKS
-SIZES = (4, 8, 16, 32, 64)
-SMALLEST, LARGEST = SIZES[0], SIZES[-1]
 SIMILAR_PERCENT = 80
 
 
-def window_size(n: Column) -> Column:
-    """Words in a window for an item of n words; items under five words have no shingle and no window."""
-    size = F.when(n < 14, SMALLEST).when(n < 48, 8)
-    for w in (16, 32):
-        size = size.when(n < 6 * w, w)
-    return F.when(n >= 5, size.otherwise(LARGEST))
-
-
-def _starts(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _digits(values: list[Column]) -> Column:
-    return F.struct(*[v.alias(f"d{k}") for k, v in enumerate(values)])
-
-
-def _pairs(word_hashes: Column) -> Column:
-    """Counts of words 2 i and 2 i + 1."""
-    def both(i: Column) -> Column:
-        a, b = F.get(word_hashes, 2 * i), F.get(word_hashes, 2 * i + 1)
-        return _digits([a.bitwiseXOR(b), a.bitwiseAND(b)])
-
-    return F.transform(_starts(F.floor(F.size(word_hashes) / 2).cast("int")), both)
-
-
-def _added(counts: Column, digits: int, hop: int, apart: int) -> Column:
-    """Counts ``hop`` i and ``hop`` i + ``apart``, added; each has ``digits`` digits, the sums have one more."""
-    n = F.floor((F.size(counts) - apart - 1) / hop).cast("int") + 1
-
-    def add(x: Column) -> Column:
-        out, carry = [], None
-        for k in range(digits):
-            a, b = x["a"][f"d{k}"], x["b"][f"d{k}"]
-            out.append(a.bitwiseXOR(b) if carry is None else a.bitwiseXOR(b).bitwiseXOR(carry))
-            carry = a.bitwiseAND(b) if carry is None else a.bitwiseAND(b).bitwiseOR(carry.bitwiseAND(a.bitwiseXOR(b)))
-        return _digits([*out, carry])
-
-    # The pairs stand in an array of their own, so that each is looked up once.
-    return F.transform(F.transform(_starts(n), lambda i: F.struct(F.get(counts, hop * i).alias("a"), F.get(counts, hop * i + apart).alias("b"))), add)
-
-
-def _majority(counts: Column, digits: int) -> Column:
-    """Bits that more than half of 2 ** (digits - 1) words have: all of them, or a half and more."""
-    def vote(c: Column) -> Column:
-        rest = reduce(lambda a, b: a.bitwiseOR(b), [c[f"d{k}"] for k in range(digits - 2)])
-        return c[f"d{digits - 1}"].bitwiseOR(c[f"d{digits - 2}"].bitwiseAND(rest))
-
-    return F.transform(counts, vote)
-
-
-def windows(hashed: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """(keep, size, fingerprint) of (keep, h): windows of each of the sizes, one each half of a window."""
-    # Counts over 4 words stand 2 or 4 words apart, later ones half of their size.
-    first = 2 if SMALLEST in sizes else 4
-    df = hashed.withColumn("c2", _pairs(F.col("h"))).drop("h").withColumn("c4", _added(F.col("c2"), 2, first // 2, 1)).drop("c2")
-    digits, size, hop = 3, 4, 8 // first // 2
-    while size < max(sizes):
-        df = df.withColumn(f"c{2 * size}", _added(F.col(f"c{size}"), digits, hop, 2 if hop == 2 else 1))
-        digits, size, hop = digits + 1, 2 * size, 2
-    every = F.flatten(F.array(*[_sized(w, _majority(F.col(f"c{w}"), w.bit_length())) for w in sizes]))
-    return exploded(df, every, "w", *keep).select(*keep, "w.size", "w.fingerprint")
-
-
-def _blocks(size: Column, fingerprint: Column) -> Column:
-    """Keys under which a fingerprint is filed: window size, block number and block."""
-    mask = (1 << BITS) - 1
-    return F.array(*[(size.cast("long") * BLOCKS + b) * (mask + 1) + F.shiftrightunsigned(fingerprint, b * BITS).bitwiseAND(F.lit(mask).cast("long")) for b in range(BLOCKS)])
-
-
-def _sized(size: int, prints: Column) -> Column:
-    return F.transform(prints, lambda f: F.struct(F.lit(size).alias("size"), f.alias("fingerprint")))
-
-
-def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, size, fingerprint) of every window of every item."""
-    hashed = items.select(F.col(id_col).alias("item_id"), hashes(words(F.col(text_col), GAP)).alias("h")).withColumn("size", window_size(F.size("h"))).where("size is not null")
-    # Windows stand half a window apart: with every offset below that, one starts at each word.
-    found = None
-    for w in SIZES:
-        shifted = hashed.where(F.col("size") == w).select("item_id", "h", F.explode(F.sequence(F.lit(0), F.lit(w // 2 - 1))).alias("o"))
-        rest = shifted.select("item_id", F.slice("h", F.col("o") + 1, F.greatest(F.lit(0), F.size("h") - F.col("o"))).alias("h"))
-        prints = windows(rest, [w], "item_id")
-        found = prints if found is None else found.union(prints)
-    return found.distinct()
+def keys(parts: DataFrame, percent: int) -> DataFrame:
+    """(item_id, x) of (item_id, x, weight): the heaviest shingles, of which a document with ``percent`` of the weight holds one at least."""
+    item = Window.partitionBy("item_id")
+    before = F.sum("weight").over(item.orderBy(F.desc("weight"), "x").rowsBetween(Window.unboundedPreceding, -1))
+    weighed = parts.select("item_id", "x", F.coalesce(before, F.lit(0)).alias("before"), F.sum("weight").over(item).alias("total"))
+    return weighed.where(100 * F.col("before") <= (100 - percent) * F.col("total")).select("item_id", "x")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *,
@@ -124,17 +32,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Items of fewer than five words match nothing. Null and empty texts hold nothing; rows that repeat an id are one
     document. Empty tables give an empty result; other columns are ignored.
     """
-    prints = cut(item_windows(items, item_id, item_text))
-    sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # five sizes at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    filed = prints.select("item_id", F.col("fingerprint").alias("f1"), F.explode(_blocks(F.col("size"), F.col("fingerprint"))).alias("key"))
-    if sizes:
-        seen = windows(texts.select("_id", hashes(words(F.col("text"), GAP)).alias("h")), sizes, "_id").withColumnRenamed("fingerprint", "f2")
-        seen = exploded(seen, _blocks(F.col("size"), F.col("f2")), "key", "_id", "f2")
-        pairs = seen.join(bounded(filed), "key").where(F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS).select("_id", "item_id").distinct()
-    else:
-        pairs = texts.select("_id").limit(0).crossJoin(items.select(F.col(item_id).alias("item_id")).limit(0))
-    pairs = cut(pairs)
     parts = cut(weighted_shingles(items, item_id, item_text, "item_id", GAP))
+    filed = cut(keys(parts, percent))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    hashed = texts.select("_id", hashes(words(F.col("text"), GAP)).alias("h"))
+    seen = exploded(hashed, shingle_hashes(F.col("h")), "x", "_id")
+    pairs = cut(seen.join(bounded(filed), "x").select("_id", "item_id").distinct())
     found = contained(texts, pairs, parts, "item_id", GAP, percent)
     return found.select(F.col("_id").alias("doc_id"), "item_id", "shared", "total", (F.col("shared") / F.col("total")).alias("similarity"))

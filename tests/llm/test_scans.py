@@ -132,6 +132,30 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(frame, listed.limit(0)).collect() == [] == leaks(frame.limit(0), listed).collect()
 
 
+def test_leaks_with_evenly_spaced_edits(spark):
+    """Just above and below the threshold, and for items whose weight lies in a few shingles of their own."""
+    def edited(words, count, kind):
+        out = list(words)
+        for e in range(count, 0, -1):
+            at = e * len(words) // (count + 1)
+            out[at:at + (kind != "insert")] = [] if kind == "delete" else [f"edit{e}"]
+        return " ".join(out)
+
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (48, 60, 96, 130, 200, 300, 400)}
+    common = [f"common{k}" for k in range(100)]
+    items |= {1000 + k: common + [f"own{k}w{j}" for j in range(40)] for k in range(12)}
+    docs = []
+    for n, words in items.items():
+        for kind, lost in (("insert", 4), ("substitute", 5), ("delete", 5)):
+            most = (len(words) - 4) // (5 * lost)
+            docs += [(len(docs) + k, edited(words, count, kind)) for k, count in enumerate((most, most + 1, most + 2))]
+    docs += [(5000, " ".join(items[1003][95:])), (5001, " ".join(f"{' '.join(items[96][k:k + 5])} apart" for k in range(92)))]
+    listed = {k: " ".join(v) for k, v in items.items()}
+    got = {tuple(r)[:4] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(listed.items()), "item_id long, text string")).collect()}
+    want = brute(docs, listed, str.split)
+    assert got == want and {48, 60, 96, 130, 200, 300, 400} <= {k for _, k, *_ in want} and {i for i, *_ in want} >= {5000, 5001}
+
+
 def test_licenses_equal_brute_force(spark):
     docs = [(k, f"Some words before. {v} And after, under the software rules.") for k, v in enumerate(TEMPLATES.values())]
     docs += [(50, TEMPLATES["MIT-text"].replace("furnished", "x").replace("sublicense", "rent")), (51, None), (52, ""), (53, "license"), (54, "thunder under licensed"), (55, docs[0][1]), (55, docs[0][1])]
