@@ -136,6 +136,14 @@ def orphan_parts(spark, d):
     return G.orphans(nodes, e.select((-F.col("source") - 1).alias("source"), "target"), [])
 
 
+@query("orphan_parts_all", """
+SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey - l_partkey % 3 FROM lineitem)""")
+def orphan_parts_all(spark, d):
+    """Edges of all lineitems, each to the first of three neighbouring parts."""
+    e = table(spark, d, "lineitem").select((-F.col("l_suppkey").cast("long") - 1).alias("source"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("target"))
+    return G.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("node")), e, [])
+
+
 @query("neighbour_pairs", f"WITH {TRADE_SQL} SELECT DISTINCT repo, source, target FROM trade")
 def neighbour_pairs(spark, d):
     return G.neighbours(trade_edges(spark, d), ["repo"])

@@ -13,7 +13,7 @@ from codecensus.operators import resolve as RS
 from codecensus.operators import review as RV
 from codecensus.operators import security as SE
 from codecensus.operators import windows as W
-from codecensus.plans.registry import query, table
+from codecensus.plans.registry import ORACLES, query, table
 from codecensus.sinks import exports as X
 from codecensus.sources import files as SF
 from codecensus.sources import tables as T
@@ -44,6 +44,14 @@ def forward_fill(spark, d):
     return W.forward_fill(c.select("conv_id", "turn", "head"), ["conv_id"], "turn", "head", "section", chunk_rows=4).select("conv_id", "turn", "section")
 
 
+@query("forward_fill_texts", """
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
+def forward_fill_texts(spark, d):
+    """As ``forward_fill``, over whole texts."""
+    c = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("text")))
+    return W.forward_fill(c.select("conv_id", "turn", "head"), ["conv_id"], "turn", "head", "section", chunk_rows=4).select("conv_id", "turn", "section")
+
+
 @query("forward_fill_events", """
 SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS last_purchase FROM events""")
 def forward_fill_events(spark, d):
@@ -207,7 +215,10 @@ full_dep AS (SELECT dep.*, us.name IS NOT NULL AS used FROM dep LEFT JOIN us ON
 
 @query("reconcile", f"WITH {DEPS_SQL} SELECT name, version, scope, direct, used, array_to_string(list_filter([CASE WHEN direct AND NOT used THEN 'unused' END, CASE WHEN version = '' THEN 'unpinned' END], lambda x: x IS NOT NULL), ',') AS marks FROM full_dep")
 def reconcile(spark, d):
-    declared, locked, usage = _deps(spark, d)
+    return _reconciled(*_deps(spark, d))
+
+
+def _reconciled(declared, locked, usage):
     deps = D.reconcile(declared, locked, KEYS)
     full = D.with_usage(deps, usage, D.match_usage(deps, usage, KEYS), KEYS)
     return full.select("name", "version", "scope", "direct", "used", F.array_join(D.flags(), ",").alias("marks"))
@@ -215,7 +226,10 @@ def reconcile(spark, d):
 
 @query("undeclared", f"WITH {DEPS_SQL} SELECT name, n AS n_files FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep) AND name NOT LIKE '%7'")
 def undeclared(spark, d):
-    declared, locked, usage = _deps(spark, d)
+    return _undeclared(*_deps(spark, d))
+
+
+def _undeclared(declared, locked, usage):
     deps = D.reconcile(declared, locked, KEYS)
     optional = usage.where(F.col("name").endswith("7")).select("repo", "name")
     return D.undeclared(usage, D.match_usage(deps, usage, KEYS), optional, KEYS).select("name", "n_files")
@@ -228,7 +242,10 @@ UNION ALL SELECT 'CC-DEP-UNPINNED', name, f, 'low' FROM full_dep WHERE scope <>
 UNION ALL SELECT 'CC-DEP-UNUSED', name, f, 'info' FROM full_dep WHERE direct AND NOT used AND scope <> 'dev'
 UNION ALL SELECT 'CC-DEP-MISSING', name, name || '.js', 'medium' FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep)""")
 def dependency_findings(spark, d):
-    declared, locked, usage = _deps(spark, d)
+    return _dependency_findings(spark, *_deps(spark, d))
+
+
+def _dependency_findings(spark, declared, locked, usage):
     deps = D.reconcile(declared, locked, KEYS)
     m = D.match_usage(deps, usage, KEYS)
     full = D.with_usage(deps, usage, m, KEYS)
@@ -238,6 +255,53 @@ def dependency_findings(spark, d):
     return out.select("identifier", "package", "file", "severity")
 
 
+def _deps_all(spark, d):
+    """All parts as declared packages, all lineitems as locked or used by their status.
+
+    Some parts are locked, used or both under names that no part declares, so every join has matches and rows without.
+    """
+    p = table(spark, d, "part")
+    li = table(spark, d, "lineitem").select("l_partkey", "l_linestatus")
+    k = F.col("l_partkey")
+    declared = p.select(
+        F.lit("r").alias("repo"), F.concat("p_brand", F.lit("/package.json")).alias("declared_in"), F.col("p_partkey").cast("int").alias("ord"), F.concat(F.lit("pkg_"), "p_partkey").alias("name"),
+        F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat(F.lit("^"), "p_size")).otherwise(F.col("p_size").cast("string")).alias("version"),
+        F.lit("npm").alias("ecosystem"), F.when(F.col("p_size") % 10 == 0, "dev").otherwise("runtime").alias("scope"), F.lit(True).alias("direct"), F.lit("").alias("purl"))
+    locked = li.where(F.col("l_linestatus") == "F").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("r").alias("repo"), F.lit("package-lock.json").alias("declared_in"), k.cast("int").alias("ord"), F.concat(F.when(k % 5 == 0, "sub_").otherwise("pkg_"), k).alias("name"),
+        F.concat(F.lit("9."), "n").alias("version"), F.lit("npm").alias("ecosystem"), F.lit("runtime").alias("scope"), F.lit(False).alias("direct"), F.lit("").alias("purl"))
+    named = F.concat(F.when(k % 7 == 0, "sub-").when(k % 11 == 0, "extra_").when(k % 3 == 0, "pkg_").otherwise("pkg-"), k)
+    used = li.where(F.col("l_linestatus") != "F").groupBy(named.alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
+    usage = used.select(F.lit("r").alias("repo"), "name", F.lit("npm").alias("ecosystem"), "n_files", F.array(F.concat("name", F.lit(".js"))).alias("files"), F.array(F.lit("app")).alias("apps"))
+    return declared, locked, usage
+
+
+DEPS_ALL_SQL = """
+dc AS (SELECT 'pkg_' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '^' || p_size ELSE p_size::VARCHAR END AS v, CASE WHEN p_size % 10 = 0 THEN 'dev' ELSE 'runtime' END AS scope, p_brand || '/package.json' AS f FROM part),
+lk AS (SELECT CASE WHEN l_partkey % 5 = 0 THEN 'sub_' ELSE 'pkg_' END || l_partkey AS name, '9.' || count(*) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_partkey),
+us AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'sub-' WHEN l_partkey % 11 = 0 THEN 'extra_' WHEN l_partkey % 3 = 0 THEN 'pkg_' ELSE 'pkg-' END || l_partkey AS name, count(*) AS n FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1),""" + DEPS_SQL[DEPS_SQL.index("\ndep AS"):]
+
+
+def _over_all(name: str) -> str:
+    """The SQL of a query, over whole tables."""
+    return ORACLES[name].replace(DEPS_SQL, DEPS_ALL_SQL)
+
+
+@query("reconcile_all", _over_all("reconcile"))
+def reconcile_all(spark, d):
+    return _reconciled(*_deps_all(spark, d))
+
+
+@query("undeclared_all", _over_all("undeclared"))
+def undeclared_all(spark, d):
+    return _undeclared(*_deps_all(spark, d))
+
+
+@query("dependency_findings_all", _over_all("dependency_findings"))
+def dependency_findings_all(spark, d):
+    return _dependency_findings(spark, *_deps_all(spark, d))
+
+
 @query("advisories", """
 WITH v AS (SELECT p_brand AS repo, replace(p_name, ' ', '-') AS name, p_size || '.' || (p_partkey % 10) || '.0' AS version, p_size FROM part),
 a AS (SELECT replace(p_name, ' ', '-') AS name, max(p_size) AS top, 'ADV-' || min(p_partkey) AS id FROM part GROUP BY 1)

@@ -64,6 +64,28 @@ def common_dirs(spark, d):
     return g.select("source", T.common_dir(F.col("a"), F.col("b")).alias("dir"))
 
 
+@query("common_dirs_all", r"""
+WITH w AS (SELECT source, string_split(lang || '/' || source || '/' || text, '/') AS s FROM documents),
+m AS (SELECT source, min(s[:-2]) AS a, max(s[:-2]) AS b FROM w GROUP BY 1)
+SELECT source, array_to_string(a[1:len(list_filter(range(1, len(a) + 1), lambda k: a[1:k] = b[1:k]))], '/') AS dir FROM m""")
+def common_dirs_all(spark, d):
+    """As ``common_dirs``, with whole texts as the rest of the path."""
+    segs = T.dir_segments(F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), F.col("text")))
+    g = table(spark, d, "documents").groupBy("source").agg(F.min(segs).alias("a"), F.max(segs).alias("b"))
+    return g.select("source", T.common_dir(F.col("a"), F.col("b")).alias("dir"))
+
+
+@query("word_entropy_all", r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents),
+c AS (SELECT word, unnest(string_split(word, '')) AS ch FROM w WHERE word <> ''),
+n AS (SELECT word, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2)
+SELECT word, round(-sum(k / length(word) * log2(k / length(word))), 4) + 0 AS entropy FROM n GROUP BY word""")
+def word_entropy_all(spark, d):
+    """As ``word_entropy``, of words of any length."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").distinct()
+    return words.select("word", F.round(T.entropy("word"), 4).alias("entropy"))
+
+
 @query("word_entropy", r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents),
 long AS (SELECT word FROM w WHERE length(word) >= 12),
