@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership.
 
 Patterns find candidates in whole texts. The hash of each candidate's value is counted over all texts: by how many
-repositories and by how many owners it is held. A value that many owners hold is a copied example; one that few hold,
-with the entropy of a random string and no placeholder word in it, looks live.
+repositories and by how many owners it is held. A value that many owners hold, or many of one owner's repositories, is a
+copied example; another that few owners hold, with the entropy of a random string and no placeholder word in it, looks live.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.llm.common import slices
+from codecensus.llm.native import bounded
 from codecensus.session import cut
 
 #: Base kinds first, in the order in which equal starts are listed; then the kinds this method adds.
@@ -55,20 +56,22 @@ def entropy(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
 
 
-def _joined(spans: Column) -> Column:
+def _joined(spans: Column, *more: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))))
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), *[s[x].cast("string") for x in ("start", "stop", *more)])))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, *,
-                copied_owners: int = 3, live_owners: int = 1, min_entropy: float = 3.0) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live).
-
-    ``spans`` lists the base spans and, of the added kinds, those that fewer than ``copied_owners`` owners hold. ``live``
-    lists spans whose value at most ``live_owners`` owners hold and that look random; ``n_example`` counts those that
-    ``copied_owners`` or more hold. A document is its own repository unless ``repo_col`` names one. Null and empty texts
-    have no span; null owners are one owner; repeated rows give repeated rows and count as one repository. An empty table
-    gives an empty result; other columns are ignored.
+                copied_owners: int = 3, live_owners: int = 1, min_entropy: float = 3.0, copied_repos: int = 10, copied_share: float = 0.001) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live, held).
+
+    A value is a copied example if ``copied_owners`` owners or more hold it, or if one owner holds it in ``copied_repos``
+    repositories or more that are ``copied_share`` of the owner's repositories or more. ``spans`` lists the base spans
+    and, of the added kinds, those that are no copied example; ``n_example`` counts copied examples. ``live`` lists other
+    spans whose value at most ``live_owners`` owners hold and that look random. ``held`` lists all spans with the numbers
+    of owners and of repositories that hold the value. A document is its own repository unless ``repo_col`` names one.
+    Null and empty texts have no span; null owners are one owner; repeated rows give repeated rows and count as one
+    repository. An empty table gives an empty result; other columns are ignored.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
@@ -89,12 +92,18 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(rows.mapInPandas(scan, f"row long, doc_id {kind}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, "
                                       "found array<struct<start: long, kind: int, stop: long, value: binary, random: boolean>>"))
     each = rows.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    owners = each.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(
-        F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(owners, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "random", "owners", "repos"))).alias("judged"))
+    totals = rows.select("owner", "repo").distinct().groupBy("owner").agg(F.count("*").alias("all_repos"))
+    owners = each.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos"))
+    owners = owners.alias("o").join(bounded(cut(totals)).alias("t"), F.expr("o.owner <=> t.owner")).withColumn(
+        "spread", (F.col("repos") >= copied_repos) & (F.col("repos") >= copied_share * F.col("all_repos")))
+    owners = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("spread").alias("spread"))
+    owners = owners.select("value", "owners", "repos", ((F.col("owners") >= copied_owners) | F.col("spread")).alias("copied"))
+    judged = each.join(owners, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "random", "owners", "repos", "copied"))).alias("judged"))
     spans = F.col("judged")
-    out = rows.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start: bigint, kind: int, stop: bigint, random: boolean, owners: bigint, repos: bigint>>")))
-    live = F.filter(spans, lambda s: (s["owners"] <= live_owners) & s["random"])
+    none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint, random: boolean, owners: bigint, repos: bigint, copied: boolean>>")
+    out = rows.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", none))
+    live = F.filter(spans, lambda s: (s["owners"] <= live_owners) & ~s["copied"] & s["random"])
     return out.select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _joined(F.filter(spans, lambda s: (s["kind"] < BASE) | (s["owners"] < copied_owners))).alias("spans"),
-        F.size(live).cast("long").alias("n_live"), F.size(F.filter(spans, lambda s: s["owners"] >= copied_owners)).cast("long").alias("n_example"), _joined(live).alias("live"))
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _joined(F.filter(spans, lambda s: (s["kind"] < BASE) | ~s["copied"])).alias("spans"),
+        F.size(live).cast("long").alias("n_live"), F.size(F.filter(spans, lambda s: s["copied"])).cast("long").alias("n_example"), _joined(live).alias("live"),
+        _joined(spans, "owners", "repos").alias("held"))

@@ -78,6 +78,19 @@ def test_secrets_by_ownership(spark):
     assert secret_scan.secret_scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_secrets_copied_within_one_owner(spark):
+    own = "6b86b273ff34fce19d6b804eff5a3f5747ada4ea"
+    rows = [(k, f"see {COPIED}, glpat-ABCDEFGHIJKLMNOPQRST12", "hot") for k in range(40)] + [(100 + k, f'token = "{LIVE}"', "hot") for k in range(9)]
+    rows += [(200, own, "hot"), (201, own, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    by = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
+    assert by[0].live == "" and by[0].n_example == 2 and by[0].spans == "hex:4:44" and by[0].held == "hex:4:44:1:40,vendor:46:74:1:40"
+    assert by[100].n_live == 2 and by[100].n_example == 0  # nine repositories are too few for an example
+    assert by[200].held == "hex:0:40:2:2" and by[200].n_live == by[200].n_example == by[201].n_live == 0
+    # The number is relative to the owner's repositories, 50 here.
+    assert {r.n_example for r in secret_scan.secret_scan(docs, copied_share=0.9).collect()} == {0}
+
+
 def test_personal_data_with_and_without_training(spark):
     rows = [(k, f"call +1 (017) 555-{7000 + k} or mail a{k}@b{k}.com, host 10.0.0.{k}, build 900.{k}.3.4" if k % 2 else f"pay 4539578763621486 for {10**11 + k * 7}", "s") for k in range(60)]
     rows += [(100, None, None), (101, "", None), (101, "", None), (102, "write to me at[at]home.org", "s")]
