@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting.
 
 Generators with high recall propose overlapping spans in whole texts. Each span is described by its format and by what
-stands around it; boosted trees estimate how likely it is personal data, and a threshold calibrated on held-out spans for
-each kind decides. The trees learn from a bounded sample of the corpus: a span is a positive if the strict format check of
+stands around it; boosted trees estimate how likely it is personal data, and a threshold calibrated for each kind on the
+spans of all held-out documents decides. The trees learn from a bounded sample of the other documents, dealt out evenly by
+kind and document: a span is a positive if the strict format check of
 its kind accepts it (Luhn sum, octets, top-level domain, digit count). The checks themselves are no features, so that spans
 that look alike but are mistyped or written another way are found as well. Spans that pass a strict check always stay.
 """
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codecensus.llm.common import slices
 from codecensus.session import cut
@@ -34,8 +35,9 @@ _CONTEXT = re.compile(r"mail|contact|write|phone|tel|call|fax|mobile|card|visa|c
 
 FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "length", "digits", "letters", "separators", "groups", "longest_group", "starts_plus", "brackets",
             "word_before", "word_after", "keyword")
-#: Documents whose spans the trees may learn from, and spans of these.
+#: Documents whose spans the trees may learn from, and spans of these, a fourth of them for each kind; spans of a kind from one document.
 SAMPLE_DOCUMENTS, SAMPLE_SPANS = 3000, 4000
+DOCUMENT_SPANS = 4
 PRECISION = 0.9
 
 
@@ -120,19 +122,41 @@ def _chance(model: GBTClassificationModel, spans: DataFrame) -> DataFrame:
     return model.transform(_vectors(spans)).withColumn("chance", vector_to_array("probability")[1]).drop("vector", "rawPrediction", "probability", "prediction")
 
 
-def train(spans: DataFrame, seed: int = 11) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """Trees and a threshold for each kind, from a bounded sample of spans; nothing if only one class is seen.
-
-    Half of the documents of the sample fit the trees. On the others the lowest chance is found at and above which
-    ``PRECISION`` of a kind's spans are positives, one half at least; a kind without one gets no threshold and adds no span.
+def fitting_sample(rows: DataFrame) -> DataFrame:
+    """(kind, strict, features, label) of a bounded sample of (dice, found): for each kind the same number of documents, and of
+    these first one span each, then the next. Equal dice are one document."""
+    def some(kind: int) -> Column:
+        dealt = F.array_sort(F.transform(F.filter("found", lambda f: f["kind"] == kind), lambda f: F.struct(F.xxhash64(f["start"], f["stop"]).alias("order"), f.alias("f"))))
+        return F.struct(F.lit(kind).alias("kind"), F.slice(dealt, 1, DOCUMENT_SPANS).alias("some"))
+
+    of_kind = rows.select("dice", F.explode(F.array(*[some(k) for k in range(len(KINDS))])).alias("x")).select("dice", "x.*").where(F.size("some") > 0)
+    most = SAMPLE_DOCUMENTS // len(KINDS)
+    # Thinned by hash to about twice the number, so that what meets in one place does not grow with the corpus.
+    shares = {r["kind"]: min(1.0, 2 * most / r["n"]) for r in of_kind.groupBy("kind").agg(F.count_distinct("dice").alias("n")).collect()}
+    if not shares:
+        return of_kind.select("kind", F.lit(True).alias("strict"), F.array(F.lit(0.0)).alias("features"), F.lit(0.0).alias("label")).limit(0)
+    share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])
+    thin = of_kind.where(F.pmod(F.xxhash64("dice"), F.lit(1 << 31)) < F.try_element_at(share, F.col("kind")) * (1 << 31)).dropDuplicates(["kind", "dice"])
+    chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("dice"))).where(F.col("n") <= most)
+    spans = chosen.select("dice", "kind", F.posexplode("some").alias("nth", "x")).withColumn(
+        "n", F.row_number().over(Window.partitionBy("kind").orderBy("nth", "dice"))).where(F.col("n") <= SAMPLE_SPANS // len(KINDS))
+    return spans.orderBy("kind", "n").select("kind", "x.f.strict", "x.f.features", F.col("x.f.strict").cast("double").alias("label"))
+
+
+def train(rows: DataFrame, seed: int = 11) -> tuple[GBTClassificationModel, dict[int, float]] | None:
+    """Trees and a threshold for each kind, from (doc_id, found); nothing if only one class is seen.
+
+    A bounded sample of half of the documents fits the trees. On all spans of all others the lowest chance is found at and
+    above which ``PRECISION`` of a kind's spans are positives, one half at least; a kind without one, or that no held-out
+    document holds, gets no threshold and adds no span.
     """
-    dice = F.xxhash64("doc_id", F.lit(seed))
-    sample = cut(spans.select("doc_id", "start", "kind", "strict", "features", dice.alias("dice")).orderBy("dice", "doc_id", "start", "kind").limit(SAMPLE_SPANS).coalesce(1))
-    sample = sample.withColumn("label", F.col("strict").cast("double")).withColumn("fit", F.pmod("dice", F.lit(2)) == 0)
-    if sample.where("fit").select("label").distinct().count() < 2:
+    halves = rows.select("found", F.xxhash64("doc_id", "found", F.lit(seed)).alias("dice")).withColumn("fit", F.pmod("dice", F.lit(2)) == 0)
+    sample = cut(fitting_sample(halves.where("fit")).coalesce(1))
+    if sample.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, maxBins=16).fit(_vectors(sample.where("fit")))
-    scored = _chance(model, sample.where("not fit")).withColumn("chance", F.floor(F.col("chance") * 100) / 100)
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, maxBins=16).fit(_vectors(sample))
+    held = halves.where("not fit").select(F.explode("found").alias("f")).select("f.kind", "f.features", F.col("f.strict").cast("double").alias("label"))
+    scored = _chance(model, held).withColumn("chance", F.floor(F.col("chance") * 100) / 100)
     limits: dict[int, float] = {}
     seen: dict[int, tuple[int, int]] = {}
     for row in scored.groupBy("kind", "chance").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("chance")).collect():
@@ -157,8 +181,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(proposals(rows))
-    spans = rows.select("row", "doc_id", F.explode("found").alias("f")).select("row", "doc_id", "f.*")
-    trained = train(spans)
+    trained = train(rows)
     if trained and trained[1]:
         model, limits = trained
         # A strict span settles every span that touches it.

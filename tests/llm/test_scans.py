@@ -91,6 +91,23 @@ def test_secrets_copied_within_one_owner(spark):
     assert {r.n_example for r in secret_scan.secret_scan(docs, copied_share=0.9).collect()} == {0}
 
 
+def test_personal_data_added_beside_a_document_of_many_spans(spark):
+    """A document with more spans than the sample holds, first in the order of the sample, and mistyped card numbers elsewhere."""
+    from pyspark.sql import functions as F
+
+    def card(k, wrong):
+        stem = f"45395787{k * 7919 % 10**7:07}"
+        right = next(d for d in range(10) if pii_redaction.luhn(f"{stem}{d}"))
+        return f"{stem}{(right + wrong) % 10}"
+
+    first = spark.range(1000, 3000).orderBy(F.xxhash64("id", F.lit(11))).first().id
+    rows = [(k, f"pay by card {card(k, k % 25 == 0)} now", "s") for k in range(1, 400)]
+    rows += [(first, " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(4500)), "s")]
+    got = {r.doc_id: r for r in pii_redaction.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k in range(1, 400) if got[k].n_added] == list(range(25, 400, 25))
+    assert got[25].spans == "card:12:28" and got[25].n_card == 0 and got[first].n_ip == 4500
+
+
 def test_personal_data_with_and_without_training(spark):
     rows = [(k, f"call +1 (017) 555-{7000 + k} or mail a{k}@b{k}.com, host 10.0.0.{k}, build 900.{k}.3.4" if k % 2 else f"pay 4539578763621486 for {10**11 + k * 7}", "s") for k in range(60)]
     rows += [(100, None, None), (101, "", None), (101, "", None), (102, "write to me at[at]home.org", "s")]
