@@ -19,7 +19,7 @@ brute = _beside("test_scans").brute
 
 
 def brute_leaks(docs, items):
-    return brute(docs, items, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t))
+    return brute(docs, items, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), whole=True)
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -3,9 +3,10 @@ import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from codecensus.llm import pii_redaction, secret_scan
-from codecensus.llm.decontaminate import leaks
+from codecensus.llm.decontaminate import leaks, window_size
 from codecensus.llm.license_scan import TEMPLATES, guard_words, scan_licenses
 
 SCHEMA = "doc_id long, text string, source string"
@@ -125,17 +126,20 @@ def shingles(words):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(docs, parts, find):
-    sets = {k: shingles(find(v.lower())) for k, v in parts.items()}
+def brute(docs, parts, find, whole=False):
+    def shingles_of(words):
+        return {tuple(words)} if whole and 0 < len(words) < 5 else shingles(words)
+
+    sets = {k: shingles_of(find(v.lower())) for k, v in parts.items()}
     count = {}
     for s in sets.values():
         for x in s:
             count[x] = count.get(x, 0) + 1
     out = set()
     for i, text in docs:
-        held = shingles(find((text or "").lower()))
+        held = shingles_of(find((text or "").lower()))
         for k, s in sets.items():
-            total, shared = sum(1000 // count[x] for x in s), sum(1000 // count[x] for x in s & held)
+            total, shared = sum(max(1, 1000 // count[x]) for x in s), sum(max(1, 1000 // count[x]) for x in s & held)
             if total and 100 * shared >= 80 * total:
                 out.add((i, k, shared, total))
     return out
@@ -157,7 +161,7 @@ def test_leaks_equal_brute_force(spark):
     frame = spark.createDataFrame([(i, t, "s") for i, t in docs], SCHEMA).withColumnRenamed("source", "item_id")
     listed = spark.createDataFrame([(k, v) for k, v in items.items()] + [(99, None), (98, "")], "item_id long, text string")
     got = {tuple(r)[:4] for r in leaks(frame, listed).collect()}
-    want = brute(docs, items, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t))
+    want = brute(docs, items, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), whole=True)
     assert got == want and len(want) > 30
     assert leaks(frame, listed.limit(0)).collect() == [] == leaks(frame.limit(0), listed).collect()
 
@@ -182,10 +186,30 @@ def test_leaks_with_evenly_spaced_edits(spark):
     docs += [(5000, " ".join(items[1003][95:])), (5001, " ".join(f"{' '.join(items[96][k:k + 5])} apart" for k in range(92)))]
     listed = {k: " ".join(v) for k, v in items.items()}
     got = {tuple(r)[:4] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(listed.items()), "item_id long, text string")).collect()}
-    want = brute(docs, listed, str.split)
+    want = brute(docs, listed, str.split, whole=True)
     assert got == want and {48, 60, 96, 130, 200, 300, 400} <= {k for _, k, *_ in want} and {i for i, *_ in want} >= {5000, 5001}
 
 
+def test_windows_find_evenly_spaced_edits_alone(spark):
+    """The item-sized windows without the short ones: every copy with the shingles that the size asks for keeps a window."""
+    for n in (20, 48, 96, 200, 400):
+        for percent in (80, 95):
+            size = spark.range(1).select(window_size(F.lit(n), percent)).first()[0]
+            run = 3 * size // 2 - 1
+            cuts = range(1, n)
+            for gap in range(1, run):  # breaks every ``gap`` words, the cheapest way to leave no run
+                lost = {s for c in cuts if c % gap == 0 for s in range(max(0, c - 4), min(c, n - 4))}
+                assert size == 4 or len(lost) * 100 > (100 - percent) * (n - 4)
+
+
+def test_items_that_share_all_their_shingles(spark):
+    listed = [(k, "one two three four five six seven") for k in range(1001)] + [(2000, "other words of one two three four five here"), (2001, "just three words")]
+    docs = [(1, "begin one two three four five end"), (2, "one two three four five six seven"), (3, "just three words"), (4, "it is just three words"), (None, "other words of one two three four five here")]
+    got = {tuple(r)[:4] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string")).collect()}
+    assert got == brute(docs, dict(listed), str.split, whole=True)
+    assert {i for i, *_ in got} == {2, 3, None}
+
+
 def test_licenses_equal_brute_force(spark):
     docs = [(k, f"Some words before. {v} And after, under the software rules.") for k, v in enumerate(TEMPLATES.values())]
     docs += [(50, TEMPLATES["MIT-text"].replace("furnished", "x").replace("sublicense", "rent")), (51, None), (52, ""), (53, "license"), (54, "thunder under licensed"), (55, docs[0][1]), (55, docs[0][1])]
