@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a small tree of elements. Elements that are furniture by their kind (menus, footers, forms, adverts, reader
-comments, ...) are left out. For every other element the characters per tag are computed and adjusted for links; the
+A page becomes a small tree of elements. Elements that are furniture by their kind (menus, footers, scripts, ...) are left
+out. Those that are so by a name, a role or as a form or header (adverts, reader comments, ...) are left out unless they
+hold the article: most of what stands in articles of the page, or, without such elements, most of its text with little
+beside it. For every other element the characters per tag are computed and adjusted for links; the
 element whose block children have the largest sum of densities holds the article. The least density on the way from there
 to the body is the threshold at which other subtrees count as content too.
 """
@@ -30,7 +32,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
-FURNITURE = frozenset("head script style noscript template nav footer aside form iframe object svg button select textarea input dialog menu title canvas audio video".split())
+FURNITURE = frozenset("head script style noscript template nav footer aside iframe object svg button select textarea input dialog menu title canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|footer|header|masthead|breadcrumbs?|comments?|disqus|replies|cookies?|consent|"
                     r"gdpr|notices?|popup|modal|overlay|newsletter|subscribe|social|share|sharing|related|recommend\w*|widget|login|signup|paywall|pagination|pager|toolbar)(?=$|[\s_-])", re.IGNORECASE)
@@ -41,32 +43,36 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?=
 _BESIDE = re.compile(r"(?<![^\s])(?:has|with|without|no)[_-]\S+", re.IGNORECASE)
 
 
-def _judged(tag: str, attributes: str, in_landmark: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether its name says that it holds an article."""
-    if tag in FURNITURE or (tag == "header" and not in_landmark):
-        return True, False
+def _judged(tag: str, attributes: str, in_landmark: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture for sure, whether it is by its name, and whether its name says that it holds an article."""
+    if tag in FURNITURE:
+        return True, False, False
+    doubtful = tag == "form" or (tag == "header" and not in_landmark)
     if tag in ("html", "body") or not attributes:
-        return False, False
-    found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True, False
+        return False, doubtful, False
+    found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in reversed(list(_ATTRIBUTE.finditer(attributes)))}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return True, False, False
+    doubtful = doubtful or found.get("role", "").lower() in ROLES
     names = [_BESIDE.sub(" ", found.get(k, "")) for k in ("class", "id")]
     if tag in LANDMARKS:
-        return False, False
+        return False, doubtful, False
     if in_landmark:  # the head of an article is part of it
         names = [re.sub(r"(?i)(?:^|(?<=[\s_-]))header(?=$|[\s_-])", " ", n) for n in names]
-    furniture = any(map(_NAMES.search, names))
-    return furniture, not furniture and tag not in INLINE and any(map(_CONTENT.search, names))
+    doubtful = doubtful or any(map(_NAMES.search, names))
+    return False, doubtful, not doubtful and tag not in INLINE and any(map(_CONTENT.search, names))
 
 
 class Page:
     """Elements in page order as parallel lists; items hold (element, text) in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skip, self.landmark, self.named = ["#root"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.skip, self.doubtful, self.landmark, self.named = ["#root"], [-1], [False], [False], [False], [False]
         self.items: list[tuple[int, str]] = []  # a text, or "" where an element opens or closes
         self._stack, self._open = [0], {"#root": 1}
         self._read(source)
+        if any(self.doubtful):
+            self._settle()
 
     def _text(self, text: str) -> None:
         if text and not self.skip[self._stack[-1]]:
@@ -92,8 +98,9 @@ class Page:
         up = self._stack[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        furniture, named = _judged(tag, attributes, self.landmark[up])
+        furniture, doubtful, named = _judged(tag, attributes, self.landmark[up])
         self.skip.append(self.skip[up] or furniture)
+        self.doubtful.append(doubtful)
         self.named.append(named)
         self.landmark.append(self.landmark[up] or tag in LANDMARKS)
         new = len(self.tag) - 1
@@ -145,6 +152,41 @@ class Page:
                 at = source.find(">", end) + 1 or len(source)
 
 
+    def _settle(self) -> None:
+        """Leave out the doubtful elements that do not hold the article."""
+        n = len(self.tag)
+        own = [0] * n
+        for element, text in self.items:
+            if text:
+                own[element] += sum(map(len, text.split()))
+        # In a subtree: all text, text in landmarks, text in elements named as content, text under no doubtful element.
+        whole, articles, contents, loose = own[:], [0] * n, [0] * n, own[:]
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            articles[k] = whole[k] if self.tag[k] in LANDMARKS else articles[k]
+            contents[k] = whole[k] if self.named[k] else contents[k]
+            for sums in (whole, articles, contents):
+                sums[up] += sums[k]
+            loose[up] += 0 if self.doubtful[k] else loose[k]
+        clear = loose[0]
+        gone = [False] * n
+        for k in range(1, n):
+            gone[k] = gone[self.parent[k]]
+            if not self.doubtful[k] or gone[k] or self.skip[k]:
+                continue
+            if articles[0]:
+                holds = 2 * articles[k] > articles[0]
+            elif contents[0]:
+                holds = 2 * contents[k] > contents[0] and 2 * whole[k] > whole[0]
+            else:
+                holds = 2 * whole[k] > whole[0] and 4 * clear < whole[k]
+            if holds:
+                clear += loose[k]
+            gone[k] = not holds
+        self.skip = [a or b for a, b in zip(self.skip, gone, strict=True)]
+        self.items = [(k, t) for k, t in self.items if not (t and self.skip[k])]
+
+
 def _density(chars: float, tags: float, link_chars: float, link_tags: float, body_ratio: float) -> float:
     """Characters per tag, less the more of them are in links."""
     if not chars:
@@ -234,8 +276,9 @@ def main_text(source: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: (page_id, url, text, n_chars).
 
-    A null or empty page, and one without an article, has the text ''. Repeated rows give repeated rows; an empty table
-    gives an empty result; other columns are ignored.
+    A null or empty page, and one without an article, has the text ''. Pages of any length and nesting are read whole. Of a
+    repeated attribute the first counts. Repeated rows give repeated rows, null ids and addresses stay null; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 

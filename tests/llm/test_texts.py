@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -33,6 +34,69 @@ def test_main_text(source, want):
     assert main_text(source) == want
 
 
+STORY = "<h1>Head of it</h1><p>A long first paragraph of the story, with many words.</p><p>And a second one of it.</p>"
+PLAIN = "Head of it\nA long first paragraph of the story, with many words.\nAnd a second one of it."
+
+
+@pytest.mark.parametrize("around", ['<form id="aspnetForm">{}</form>', '<div class="share-price-story">{}</div>', '<div class="with-sidebar page-menu-open">{}</div>', '<header>{}</header>',
+                                    '<div role="dialog">{}</div>', '<form><div class="social-wrap"><div id="newsletter-page">{}</div></div></form>', '<div class="ad" class="post">{}</div>'])
+@pytest.mark.parametrize("story", [STORY, f"<article>{STORY}</article>", f'<div class="content">{STORY}</div>', f"<main><div>{STORY}</div></main>"])
+def test_articles_in_doubtful_elements(around, story):
+    assert main_text(page(around.format(story))) == PLAIN
+    furniture = '<nav><a href="/">Home</a></nav><div class="ad">Buy this now.</div><footer>&copy; us</footer>'
+    comments = '<div class="comments"><p>First!</p><p>I have a comment to make on it.</p></div>'
+    assert main_text(page(furniture + around.format(story + comments) + '<form><label>Search</label></form>')) == PLAIN
+
+
+@pytest.mark.parametrize("story", [f"<article>{STORY}</article>", f'<div class="content">{STORY}</div>'])
+def test_long_comments_and_teasers_are_no_article(story):
+    comments = '<div class="comments">' + "<p>A reader has very much to say on this matter, again and again and on.</p>" * 30 + "</div>"
+    teasers = '<div class="related"><article><p>Short.</p></article></div>' if "<article>" in story else ""
+    assert main_text(page(comments + story + teasers)) == PLAIN
+
+
+def test_nesting_without_end():
+    assert main_text("<div>" * 20_000 + "<p>Deep text of some words.</p>") == "Deep text of some words."
+
+
+class Reference(HTMLParser):
+    """Text in <article> by the standard library's parser; the pages' articles hold no furniture."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.now = 0, [], []
+        self.feed(source or "")
+        self.close()
+
+    def _end(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] * bool(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self._end()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+            self._end()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.now.append(data)
+
+
+def test_whole_table_equals_a_reference(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: "\n".join(Reference(r.html).blocks) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_pages(pages).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()} and all(want.values())
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", page("<article><p>x y</p></article>")), (1, "u", page("<article><p>x y</p></article>")), (2, None, None), (None, "v", "<p>" + "long " * 100_000)]
     got = sorted((tuple(r) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect()), key=str)
