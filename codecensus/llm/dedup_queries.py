@@ -23,4 +23,4 @@ WITH RECURSIVE {SHINGLES_SQL},
 SELECT d.doc_id, CAST(len(d.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
 FROM sets d JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, len(d.sh)""")
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codecensus.llm.native import exploded
+from codecensus.llm.minhash_dedup import text_key
+from codecensus.llm.native import bounded, exploded
+from codecensus.session import cut
 
 BREAK = "\n"
 
@@ -31,28 +33,30 @@ def boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float, min_p
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5,
-                spare_emptied: bool = False) -> DataFrame:
+                uncounted: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with their own columns and, beside them, (_n_lines, _n_dropped): the text has lost its boilerplate lines.
 
     A line is boilerplate on a host if at least ``min_pages`` pages of the host and more than ``max_ratio`` of them hold
-    it; blanks at its ends do not count, and blank lines are never boilerplate. With ``spare_emptied`` a page all of whose
-    lines are boilerplate stays whole: such a page is a copy, which a dedup of documents judges. Null texts stay null,
-    null hosts are one host, every row counts as a page, so repeated rows count again. An empty table gives an empty result.
+    it; blanks at its ends do not count, and blank lines are never boilerplate. Rows named in ``uncounted`` (doc_id,
+    text_key), copies of others say, are not counted as pages but lose their lines like all. Null texts stay null, null
+    hosts are one host, every row counts as a page, so repeated rows count again. Texts are read whole. An empty table
+    gives an empty result. Other columns keep their names and values, but for those named _n_lines and _n_dropped, which
+    give way.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), _key))).alias("_lines"))
-    bad = boilerplate(slim, "_host", "_lines", max_ratio, min_pages)
-    hits = exploded(slim, F.col("_lines"), "line", "_id", "_host").alias("s").join(bad.alias("b"), F.expr("s._host <=> b._host and s.line = b.line"))
-    # Of one page only: it can hold no more of them than it has lines.
-    dropped = hits.groupBy("s._id", "s._host").agg(F.collect_set("s.line").alias("_bad"))
-    whole = docs.join(dropped, docs[id_col].eqNullSafe(F.col("_id")) & docs[host_col].eqNullSafe(F.col("_host")), "left")
     none = F.array().cast("array<bigint>")
-    keys = F.transform(_lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
-    whole = whole.withColumn("_keys", keys).withColumn("_bad", F.coalesce("_bad", none))
-    kept = F.filter("_keys", lambda x: x["key"].isNull() | ~F.array_contains("_bad", x["key"]))
-    lines = F.size(F.filter("_keys", lambda x: x["key"].isNotNull())).cast("long")
-    whole = whole.withColumn("_kept", kept).withColumn("_n_lines", lines).withColumn("_n_dropped", (F.size("_keys") - F.size("_kept")).cast("long"))
-    if spare_emptied:
-        spared = (F.col("_n_dropped") == F.col("_n_lines"))
-        whole = whole.withColumn("_kept", F.when(spared, F.col("_keys")).otherwise(F.col("_kept"))).withColumn("_n_dropped", F.when(spared, F.lit(0).cast("long")).otherwise(F.col("_n_dropped")))
-    text = F.when(F.col("_n_dropped") > 0, F.concat_ws(BREAK, F.transform("_kept", lambda x: x["line"]))).otherwise(F.col(text_col))
-    return whole.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else docs[c] for c in docs.columns], "_n_lines", "_n_dropped")
+    read = docs.select(F.col(host_col).alias("host"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
+                       F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), _key))).alias("lines"))
+    if uncounted is not None:
+        gone = uncounted.select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key"))
+        read = read.join(bounded(gone), F.expr("id <=> gone and key = gone_key"), "left_anti")
+    bad = boilerplate(read.select("host", "lines"), "host", "lines", max_ratio, min_pages)
+    # A host has few: each stands on a share of its pages, so there are at most the lines of an average page over the ratio.
+    by_host = bounded(cut(bad.groupBy("host").agg(F.collect_set("line").alias("bad"))))
+    rows = docs.select(F.struct("*").alias("d")).join(by_host, F.col(f"d.{host_col}").eqNullSafe(F.col("host")), "left")
+    keys = F.transform(_lines(F.col("d")[text_col]), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    rows = rows.select("d", F.coalesce("bad", none).alias("bad"), keys.alias("keys"))
+    rows = rows.withColumn("kept", F.filter("keys", lambda x: x["key"].isNull() | ~F.array_contains("bad", x["key"])))
+    rows = rows.withColumn("n", F.size(F.filter("keys", lambda x: x["key"].isNotNull())).cast("long")).withColumn("dropped", (F.size("keys") - F.size("kept")).cast("long"))
+    text = F.when(F.col("dropped") > 0, F.concat_ws(BREAK, F.transform("kept", lambda x: x["line"]))).otherwise(F.col("d")[text_col])
+    own = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    return rows.select(*[(text if c == text_col else F.col("d")[c]).alias(c) for c in own], F.col("n").alias("_n_lines"), F.col("dropped").alias("_n_dropped"))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.llm.common import WordHashes, components, shingle_set, slices
 from codecensus.llm.native import bounded
@@ -42,8 +42,13 @@ def _odd_numbers(n: int, seed: int = 20) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, coordinates: int = COORDINATES, size: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, set_key, signature) of every row; set_key is equal for equal shingle sets, null for empty ones."""
+    """(doc_id, text_key, n_shingles, set_key, signature) of every row; set_key is equal for equal shingle sets, null for empty ones."""
     factors = _odd_numbers(coordinates)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,10 +60,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, coordinates: int = C
                 counts.append(len(values))
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                 signs.append(np.array([(values * f).min() for f in factors]).view(np.int64) if len(values) else None)
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": counts, "set_key": keys, "signature": signs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": counts, "set_key": keys, "signature": signs})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        scan, "id long, n_shingles long, set_key binary, signature array<long>")
+    slim = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(scan, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, set_key binary, signature array<long>")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -109,7 +114,7 @@ def _rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Da
     """(a, b): members of different classes that may be linked, by their rarest shingles and the places of these."""
     held = members.join(sets, "id").select("id", "c", "n", F.explode("shingles").alias("x"))
     common = held.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = held.join(common, "x").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    ordered = held.join(common, "x").groupBy("id", "c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "x"))).alias("xs"))
     alone = F.col("n") - F.size("xs")
     places = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
     posted = ordered.select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("xs", 1, places)).alias("p", "v"))
@@ -126,22 +131,25 @@ SHORT = 8
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = SIMILAR_PERCENT,
                     coordinates: int = COORDINATES, least_matches: int = LEAST_MATCHES) -> DataFrame:
-    """One row per distinct id: (doc_id, n_shingles, component_id, kept).
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept, text_key).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; a class is what links
-    reach, named by its smallest id, and ``kept`` marks that document. Null and empty texts, and texts without words,
-    have an empty set and are linked with nothing. Rows that repeat an id count as one document; of different texts under
-    one id the one with the smallest set key counts. A null id is a document like any other. An empty table gives an empty
-    result. Other columns are ignored.
+    reach, named by its smallest id, and ``kept`` marks that document. Ids may be of any type that can be ordered. A row
+    is a document: different texts under one id are judged apart, and of those of one class and id that with the smallest
+    ``text_key`` is kept; rows that repeat id and text are kept together. Null ids come last in a class, and a class of
+    such rows alone has a null name. Null and empty texts, and texts without words, have an empty set and are linked with
+    nothing. Texts are read whole, of any length. An empty table gives an empty result; other columns are ignored.
     """
-    rows = signatures(docs, id_col, text_col, coordinates, size)
-    rows = cut(rows.groupBy("id").agg(F.min(F.struct("set_key", "n_shingles", "signature")).alias("s")).select("id", "s.*"))
-    # Equal sets are one node: their smallest id.
-    reps = cut(rows.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    rows = cut(signatures(docs, id_col, text_col, coordinates, size))
+    # Equal sets are one node, numbered once and for all by the checkpoint; its first row is where its text is read.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    reps = cut(rows.where("n_shingles > 0").groupBy("set_key").agg(
+        first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()))
     stars = cut(_stars(_postings(reps, least_matches, coordinates)))
-    ids = stars.select("id").union(stars.select("hub")).distinct().join(reps.select("id", "set_key"), "id")
-    sets = cut(_shingle_sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(cut(ids)), "id"), size))
+    ids = stars.select("id").union(stars.select("hub")).distinct().join(reps.select("id", "set_key", "first.doc_id", F.col("first.text_key").alias("key")), "id")
+    texts = docs.select(F.col(id_col).alias("at"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    texts = texts.join(bounded(cut(ids)), F.expr("at <=> doc_id and text_key = key")).select("id", "text", "set_key")
+    sets = cut(_shingle_sets(texts, size))
     links = cut(_linked(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, sets, least_matches, percent))
     found = components(links, "a", "b").withColumnRenamed("node", "id")
 
@@ -154,8 +162,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent)
     classes = components(links.union(more), "a", "b")
 
-    named = reps.select("set_key", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
-        "set_key", F.coalesce("component", "id").alias("component"))
+    placed = reps.select("set_key", "first", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
+        "set_key", "first", F.coalesce("component", "id").alias("class"))
+    named = placed.join(placed.groupBy("class").agg(F.min("first").alias("best")), "class").select("set_key", "best")
+    empty = F.col("best").isNull()
     return rows.join(named, "set_key", "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
+        (empty | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))).alias("kept"), "text_key")

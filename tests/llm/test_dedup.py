@@ -1,7 +1,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from codecensus.llm.line_dedup import dedup_lines
@@ -72,8 +71,7 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize("spare", [False, True])
-def test_line_dedup_equals_brute_force(spark, spare):
+def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(4)
     lines = ["menu", "  menu ", "imprint", "a", "b", "c", "", "unique {k}", "menu\t"]
     rows = [(k % 70, "\n".join(rng.choice(lines).format(k=k) for _ in range(rng.randrange(5))), f"h{k % 3}", "en") for k in range(80)]
@@ -92,14 +90,32 @@ def test_line_dedup_equals_brute_force(spark, spare):
         kept = [x for x in all_lines if not bare(x) or held[host, bare(x)] < 5 or held[host, bare(x)] <= 0.05 * pages[host]]
         n = sum(bool(bare(x)) for x in all_lines)
         dropped = len(all_lines) - len(kept)
-        if spare and dropped == n:
-            kept, dropped = all_lines, 0
         want.append((i, "\n".join(kept) if dropped else text, host, lang, n, dropped))
-    got = [tuple(r) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA), spare_emptied=spare).collect()]
+    got = [tuple(r) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert any(r[5] for r in want)
 
 
+def test_near_duplicates_of_any_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b", text), ("a", text), ("a", text), ("a", "other words that are like nothing else here"), (None, text.upper()), (None, "alone and without any id at all"), (None, None), ("c", ""), (None, "alone and without any id at all")]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == sorted([("b", 6, "a", False), ("a", 6, "a", True), ("a", 6, "a", True), ("a", 4, "a", True), ("None", 6, "a", False), ("None", 3, "None", True), ("None", 3, "None", True),
+                          ("None", 0, "None", True), ("c", 0, "c", True)])
+
+
+def test_copies_do_not_make_boilerplate(spark):
+    rng = random.Random(8)
+    article = [" ".join(rng.choices("abcdefghij", k=12)) for _ in range(30)]
+    docs = [(k, "\n".join(article)) for k in range(9)] + [(9, "\n".join([*article[:-1], "edited"]))]
+    docs += [(k, "menu\n" + " ".join(rng.choices("klmnopqr", k=30))) for k in range(10, 30)] + [(40, "menu")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"source": F.lit("h"), "_n_lines": F.lit("x"), "host": F.lit(1), "bad": F.lit(2), "d": F.lit(3)})
+    copies = near_duplicates(frame).where("not kept").select("doc_id", "text_key")
+    got = {r.doc_id: (r.text, r._n_dropped) for r in dedup_lines(frame, uncounted=copies).collect()}
+    for i, text in docs:
+        assert got[i] == ((text, 0) if i < 10 else (text.replace("menu", "", 1).lstrip("\n"), 1))
+
+
 def test_line_dedup_of_nothing(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA).withColumn("_text2", F.lit(1))).columns == ["doc_id", "text", "source", "lang", "_text2", "_n_lines", "_n_dropped"]
