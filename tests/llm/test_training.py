@@ -24,7 +24,7 @@ LETTERS = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'aestnb01.-éß
 
 
 def ids_of(text):
-    return np.frombuffer(ENCODER.packed(text), "<u4").tolist()
+    return np.frombuffer(ENCODER.packed([text])[0], "<u4").tolist()
 
 
 # --- importance resampling
@@ -129,14 +129,30 @@ def test_merges_equal_brute_force(tokens, text):
     ranks = {bytes([b]): b for b in range(256)}
     for k, token in enumerate(tokens):
         ranks.setdefault(token, 300 + k)
-    assert B.merged(text.encode(), ranks, max(map(len, ranks))) == brute_merge(text.encode(), ranks)
+    want = brute_merge(text.encode(), ranks)
+    assert B.merged(text.encode(), ranks, max(map(len, ranks))) == want
+    pieces = [text.encode(), b"b" + text.encode(), text.encode()[:5], b"", b"a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in B.Merges(ranks).packed(pieces)] == [brute_merge(p, ranks) if p not in ranks else [ranks[p]] for p in pieces]
 
 
-def test_pieces_forget():
-    few = B.Pieces(RANKS)
-    few.MOST = 3
-    for word in ("one", "two", "three", "four", "five", "q" * 100):
-        assert few[word] == B.Pieces(RANKS)[word] and len(few) <= 3 and "q" * 100 not in few
+def test_pieces_of_every_length_side_by_side():
+    rng = random.Random(6)
+    pieces = ["".join(rng.choices("etaoin shrdlué日", k=k)).encode() for k in range(90) for _ in range(3)]
+    want = [[RANKS[p]] if p in RANKS else B.merged(p, RANKS, 128) for p in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in B.Merges(RANKS).packed(pieces)] == want
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    few = B.Encoder(RAW, B.split_pattern(), B.younger())
+    few.MOST_PIECES = 3
+    monkeypatch.setattr(B, "LONG_TEXT", 20)
+    texts = ["one two three four five", None, "short", "q" * 100, "six " * 30, ""]
+    assert few.packed(texts) == ENCODER.packed(texts) and not any(len(p) > 64 for p in few.known)
+
+
+def test_vocabulary_must_hold_every_byte():
+    with pytest.raises(ValueError):
+        B.Merges({b"a": 0})
 
 
 def test_encode_and_decode_frames(spark):
