@@ -79,15 +79,15 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _postings(reps: DataFrame, least_matches: int, coordinates: int) -> DataFrame:
-    """(key, id, weight): the prefix of each set, rarest pairs first, without pairs that only one set holds."""
-    posted = reps.select("id", F.explode("signature").alias("key"))
+    """(key, id, at, weight): the prefix of each set, rarest pairs first, without pairs that only one set holds."""
+    posted = reps.select("id", F.col("first.doc_id").alias("at"), F.explode("signature").alias("key"))
     common = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = posted.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs"))
+    held = posted.join(common, "key").groupBy("id").agg(F.first("at").alias("at"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs"))
     held = held.where(F.size("pairs") >= least_matches)
     # c - m + 1 places, of which the pairs nobody else holds take the first.
     room = F.lit(coordinates - least_matches + 1) - (F.lit(coordinates) - F.size("pairs"))
     weight = F.aggregate("pairs", F.lit(0).cast("long"), lambda s, p: s + p["df"])
-    return held.select("id", weight.alias("weight"), F.explode(F.slice("pairs", 1, room)).alias("p")).select(F.col("p.key").alias("key"), "id", "weight")
+    return held.select("id", "at", weight.alias("weight"), F.explode(F.slice("pairs", 1, room)).alias("p")).select(F.col("p.key").alias("key"), "id", "at", "weight")
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least_matches: int, percent: int) -> DataFrame:
@@ -105,8 +105,8 @@ def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least_matches: i
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """(hub, id): every member of a list beside its hub. Lists with the same hub are one."""
-    hubs = postings.groupBy("key").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("h"), F.count("*").alias("members")).where("members > 1")
+    """(hub, id): every member of a list beside its hub, of the commonest pairs, then of the smallest document id. Lists with the same hub are one."""
+    hubs = postings.groupBy("key").agg(F.min(F.struct(-F.col("weight"), F.col("at"), F.col("id"))).alias("h"), F.count("*").alias("members")).where("members > 1")
     return postings.join(hubs, "key").where("id != h.id").select(F.col("h.id").alias("hub"), "id").distinct()
 
 
