@@ -22,6 +22,16 @@ LEAST_PHRASE = 1.5
 JUDGED_LETTERS, LIMIT_QUANTILE, LIMIT_PART = 100, 0.1, 0.45
 
 
+#: Rows that go to a Python worker at a time; texts are long, and executors hold two workers beside the heap.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def phrase_limits(model: Model, docs: DataFrame) -> DataFrame:
     """(of, least): letters per phrase that a text of a language must have, from the labelled texts that taught nothing."""
     known = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("lang"), language(model, F.col("text")).alias("found"))
@@ -37,6 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     of its language have (see ``phrase_limits``), a shorter one ``LEAST_PHRASE``. Rows are judged one by one, so repeated
     rows fare alike; ids may be null; all columns stay as they are, whatever their names; texts are read whole.
     """
+    _small_batches(spark)
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
@@ -53,6 +64,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     does not make its own text boilerplate; what is boilerplate is then dropped from every document. Null texts stay null
     and a text of boilerplate alone becomes empty; null sources are one host; other columns stay, whatever their names.
     """
+    _small_batches(spark)
     copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_key").distinct()
     lines = dedup_lines(docs.select(F.struct("*").alias("whole"), "doc_id", "text", "source"), uncounted=cut(copies))
     changed = {"text": F.col("text")}
@@ -68,6 +80,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are documents of their own. Of repeated rows the first in the order of their columns written as JSON stays. Other
     columns stay, whatever their names. The result is the same on every run.
     """
+    _small_batches(spark)
     found = cut(near_duplicates(docs).select("doc_id", "text_key", "kept", "n_shingles"))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).distinct()
     same = found.where(F.col("kept") & (F.col("doc_id").isNotNull() | (F.col("n_shingles") > 0))).groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
