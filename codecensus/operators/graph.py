@@ -10,8 +10,8 @@ from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from codecensus.operators.windows import capped_list
-from codecensus.session import cut
+from codecensus.operators.windows import capped_list, numbered, top_per_group
+from codecensus.session import cut as checkpoint, cut_round as cut
 
 Keys = list[str]
 
@@ -139,7 +139,7 @@ def pagerank(
         .join(nodes.select(*node), node, "left_semi")
         .join(nodes.select(*keys, F.col("node").alias("target")), [*keys, "target"], "left_semi")
     )
-    degree = cut(inner.groupBy(*node).agg(F.count(F.lit(1)).alias("deg")))
+    degree = checkpoint(inner.groupBy(*node).agg(F.count(F.lit(1)).alias("deg")))
     hubs = degree.where(F.col("deg") > edges_per_slice).select(*node, F.ceil(F.col("deg") / edges_per_slice).cast("int").alias("slices"))
     has_hubs = not hubs.isEmpty()
     steps = inner.join(degree, node)
@@ -151,15 +151,15 @@ def pagerank(
     width = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Placed once by their source, checkpointed: later rounds plan against a leaf and, as the
     # placement is kept, do not move the edges again.
-    steps = cut(steps.select(*by, "target", (F.lit(damping) / F.col("deg")).alias("w")).repartition(width, *by))
-    power = cut(nodes.select(*node, F.lit(0).alias("j"), F.lit(1.0).alias("value")))
+    steps = checkpoint(steps.select(*by, "target", (F.lit(damping) / F.col("deg")).alias("w")).repartition(width, *by))
+    power = checkpoint(nodes.select(*node, F.lit(0).alias("j"), F.lit(1.0).alias("value")))
     terms = [power]
     for j in range(1, iterations + 1):
         held = power
         if has_hubs:
             held = power.join(hubs, node, "left").select(
                 *node, "value", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
-        power = cut(held.drop("j").join(steps, by).groupBy(*keys, F.col("target").alias("node")).agg(
+        power = checkpoint(held.drop("j").join(steps, by).groupBy(*keys, F.col("target").alias("node")).agg(
             F.sum(F.col("value") * F.col("w")).alias("value")).select(*node, F.lit(j).alias("j"), "value"))
         terms.append(power)
     while len(terms) > 1:  # pairwise, so that the plan stays shallow
@@ -177,7 +177,7 @@ def pagerank(
     coefficients = F.aggregate(
         F.sequence(F.lit(1), F.lit(iterations)), F.array(1.0 / F.col("n")),
         lambda a, _: F.concat(F.array(((1 - damping) + damping * dot(a, "loose")) / F.col("n")), a))
-    graph = cut(graph.withColumn("a", coefficients).withColumn("total", dot(F.col("a"), "whole")).select(*keys, "a", "total"))
+    graph = checkpoint(graph.withColumn("a", coefficients).withColumn("total", dot(F.col("a"), "whole")).select(*keys, "a", "total"))
     return _with_scalar(terms, graph, keys).groupBy(*node).agg(
         F.round(F.sum(F.col("value") * F.element_at("a", F.col("j") + 1) / F.col("total")), digits).alias("rank"))
 
@@ -191,8 +191,8 @@ def _with_scalar(df: DataFrame, per_graph: DataFrame, keys: Keys) -> DataFrame:
     return df
 
 
-def _trim(edges: DataFrame, keys: Keys, rounds: int = 50) -> DataFrame:
-    """Drop edges whose ends cannot lie on a cycle (no way in, or no way out)."""
+def _trim(edges: DataFrame, keys: Keys, rounds: int = 3) -> DataFrame:
+    """Drop edges whose ends cannot lie on a cycle (no way in, or no way out). Long tails are left to the contraction of chains."""
     n = edges.count()
     for _ in range(rounds):
         has_out = edges.select(*keys, F.col("source").alias("target")).distinct()
@@ -205,18 +205,98 @@ def _trim(edges: DataFrame, keys: Keys, rounds: int = 50) -> DataFrame:
     return edges
 
 
+def chains(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """``(links, rings)`` of the nodes with one way in and one way out.
+
+    ``links(keys, node, tail)``: the last node of the chain a node stands in. ``rings(keys, node, component)``: nodes of
+    rings that nothing enters or leaves, named by their smallest. By pointer jumping: in every round a node takes over
+    the pointer of the node it points to, so a chain of n nodes takes log2 n rounds. On a ring the smallest name of the
+    nodes passed doubles its reach likewise; it stops changing when it has gone round.
+    """
+    node = [*keys, "node"]
+    out = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.first("target").alias("next")).where("o = 1")
+    into = edges.groupBy(*keys, F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("i")).where("i = 1")
+    single = cut(out.join(into, node, "left_semi").select(*node, "next"))
+    inner = single.select(*keys, F.col("node").alias("next"), F.lit(True).alias("goes"))
+    state = cut(single.join(inner, [*keys, "next"], "left").select(
+        *node, F.when(F.col("goes"), F.col("next")).otherwise(F.col("node")).alias("at"), F.col("goes").isNull().alias("done"), F.col("node").alias("low"), F.lit(True).alias("moved")))
+    settled, before = state.where("done"), None
+    while True:
+        now = state.where("NOT done").agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        if now[0] == 0 or (now[1] == 0 and before == now[0]):
+            break
+        before = now[0]
+        there = state.select(*keys, F.col("node").alias("at"), F.col("at").alias("onward"), F.col("done").alias("ended"), F.col("low").alias("lower"))
+        going = state.where("NOT done").join(there, [*keys, "at"]).select(
+            *node, F.col("onward").alias("at"), F.col("ended").alias("done"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("moved"))
+        state = cut(going.unionByName(state.where("done")))
+        settled = state.where("done")
+    return settled.select(*node, F.col("at").alias("tail")), state.where("NOT done").select(*node, F.col("low").alias("component"))
+
+
+def contract(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """``(edges, members, rings)`` with every chain replaced by one edge; None if there is no chain.
+
+    ``members(keys, node, before, after)``: nodes of a chain with the nodes it leads from and to. A node of a chain lies on
+    a cycle just if those two do, and on the same.
+    """
+    links, rings = chains(edges, keys)
+    links = cut(links)
+    if links.isEmpty() and rings.isEmpty():
+        return None
+    at = links.select(*keys, F.col("node").alias("source"), F.col("tail").alias("from_tail"))
+    to = links.select(*keys, F.col("node").alias("target"), F.col("tail").alias("to_tail"))
+    ring = rings.select(*keys, F.col("node").alias("source"))
+    placed = cut(edges.join(ring, [*keys, "source"], "left_anti").join(at, [*keys, "source"], "left").join(to, [*keys, "target"], "left"))
+    head = placed.where("from_tail IS NULL AND to_tail IS NOT NULL").select(*keys, F.col("to_tail").alias("tail"), F.col("source").alias("before"))
+    last = placed.where("from_tail = source AND to_tail IS NULL").select(*keys, F.col("from_tail").alias("tail"), F.col("target").alias("after"))
+    ends = cut(head.join(last, [*keys, "tail"]))
+    kept = placed.where("from_tail IS NULL AND to_tail IS NULL").select(*keys, "source", "target")
+    short = ends.where("before <> after").select(*keys, F.col("before").alias("source"), F.col("after").alias("target"))
+    return cut(kept.unionByName(short).distinct()), cut(links.join(ends, [*keys, "tail"]).select(*keys, "node", "before", "after")), cut(rings)
+
+
 def components(edges: DataFrame, keys: Keys) -> DataFrame:
-    """Strongly connected components of more than one node: ``(keys, component, node)``.
+    """Strongly connected components of more than one node: ``(keys, component, node)``, named by the smallest member.
 
-    Colouring: the smallest label spreads forward until stable, then each colour's
-    root walks backward inside its colour; what it reaches is one component. Trimming
-    first removes everything that is not on a cycle, which is most of a code graph.
-    The component is named after its smallest member.
+    First what cannot lie on a cycle is trimmed and chains are contracted to single edges, again and again while that
+    leaves fewer edges; long rings and tails go in as many rounds as their length has binary digits. What is left has
+    short ways, and is coloured: the smallest label spreads forward until stable, then each colour's root walks backward
+    inside its colour, and what it reaches is one component. Then the chains are put back.
     """
-    spark = edges.sparkSession
+    left = cut(edges.where(F.col("source") != F.col("target")).select(*keys, "source", "target").distinct())
+    # Names of members that trimming leaves; a column of the nodes' type without rows to begin with.
+    found = left.select(*keys, F.col("source").alias("component"), F.col("source").alias("node")).limit(0)
+    put_back: list[DataFrame] = []
+    size = None
+    while True:
+        left = _trim(left, keys)
+        now = left.count()
+        if now == 0 or now == size:
+            break
+        size = now
+        smaller = contract(left, keys)
+        if smaller is None:
+            break
+        left, members, rings = smaller
+        put_back.append(members)
+        found = found.unionByName(rings.select(*keys, "component", "node"))
+    found = cut(found.unionByName(_coloured(left, keys)))
+    name = lambda n, c: found.select(*keys, F.col("node").alias(n), F.col("component").alias(c))
+    for members in reversed(put_back):
+        # The two ends are on one cycle, or are one node, which then is on a cycle by this chain.
+        both = members.join(name("before", "cb"), [*keys, "before"], "left").join(name("after", "ca"), [*keys, "after"], "left").select(
+            *keys, "node", "before", F.col("cb").isNull().alias("alone"), F.coalesce("cb", "before").alias("component"), F.coalesce("ca", "after").alias("other")).where("component = other")
+        both = cut(both)
+        found = cut(found.unionByName(both.select(*keys, "component", "node")).unionByName(both.where("alone").select(*keys, "component", F.col("before").alias("node")).distinct()))
+    smallest = found.groupBy(*keys, "component").agg(F.min("node").alias("least"))
+    return cut(found.join(smallest, [*keys, "component"]).select(*keys, F.col("least").alias("component"), "node"))
+
+
+def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
+    """Components by colouring: ``(keys, component, node)``; the component is some member."""
     node = [*keys, "node"]
-    left = _trim(edges.where(F.col("source") != F.col("target")).select(*keys, "source", "target").distinct(), keys)
-    found: DataFrame | None = None
+    found = left.select(*keys, F.col("source").alias("component"), F.col("source").alias("node")).limit(0)
     while not left.isEmpty():
         colour = cut(endpoints_of(left, keys).withColumn("colour", F.col("node")))
         while True:
@@ -239,7 +319,7 @@ def components(edges: DataFrame, keys: Keys) -> DataFrame:
         inner = cut(tinted.where("cs = ct").select(*keys, "source", "target", F.col("cs").alias("colour")))
         member = cut(colour.where(F.col("node") == F.col("colour")).select(*keys, "colour", "node"))
         frontier = member
-        while True:
+        for hop in count(1):
             frontier = cut(
                 frontier.select(*keys, "colour", F.col("node").alias("target"))
                 .join(inner, [*keys, "colour", "target"])
@@ -249,27 +329,21 @@ def components(edges: DataFrame, keys: Keys) -> DataFrame:
             if frontier.isEmpty():
                 break
             member = member.unionByName(frontier)
-        sized = member.groupBy(*keys, "colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        done = member.join(sized.select(*keys, "colour", "component"), [*keys, "colour"]).select(*keys, "component", "node")
-        found = done if found is None else found.unionByName(done)
+            if hop % 8 == 0:  # keeps the plan short
+                member = cut(member)
+        sized = member.groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.unionByName(member.join(sized.select(*keys, "colour"), [*keys, "colour"]).select(*keys, F.col("colour").alias("component"), "node"))
         # What was settled leaves the graph, so do edges between colours.
         settled = member.select(*keys, F.col("node").alias("source"))
         left = _trim(cut(
             inner.select(*keys, "source", "target").join(settled, [*keys, "source"], "left_anti")
             .join(settled.withColumnRenamed("source", "target"), [*keys, "target"], "left_anti")
         ), keys)
-    if found is None:
-        typ = edges.schema["source"].dataType
-        empty = edges.select(*keys, F.col("source").alias("component"), F.col("source").alias("node")).where(F.lit(False))
-        return empty.select(*keys, F.col("component").cast(typ), F.col("node").cast(typ))
-    return cut(found) if spark else found
-
+    return found
 
-def layers(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | None = None) -> DataFrame:
-    """Layer per node: 0 without outgoing edges, else one above the highest target.
 
-    Members of a cycle are condensed to one node first, so they share a layer.
-    """
+def condensed(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(group, dag)``: the condensed node ``grp`` of every node, and the edges between condensed nodes."""
     node = [*keys, "node"]
     links = edges.where(F.col("source") != F.col("target")).select(*keys, "source", "target").distinct()
     if scc is None:
@@ -283,26 +357,116 @@ def layers(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | None
         .join(group.select(*keys, F.col("node").alias("target"), F.col("grp").alias("gt")), [*keys, "target"])
         .where("gs <> gt").select(*keys, F.col("gs").alias("source"), F.col("gt").alias("target")).distinct()
     )
-    # Peel from the bottom: a node is ready once none of its remaining targets is open.
-    left = dag
+    return group, dag
+
+
+def peeled(group: DataFrame, dag: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, grp, layer)`` of a graph without cycles: 0 without outgoing edges, else one above the highest target.
+
+    The graph is peeled from the bottom: a node is ready once none of its remaining targets is open. A round is one
+    checkpoint of the edges left, each with the word whether its source is ready now.
+    """
+    node = [*keys, "node"]
+    left = dag.withColumn("ready", F.lit(False))
     done = cut(
         group.select(*keys, F.col("grp").alias("node")).distinct()
         .join(dag.select(*keys, F.col("source").alias("node")), node, "left_anti")
         .withColumn("layer", F.lit(0))
     )
-    depth = 0
-    while not left.isEmpty():
-        depth += 1
-        open_nodes = left.select(*keys, F.col("source").alias("node")).distinct()
-        # Edges into settled nodes fall away; sources with no edge left become this layer.
-        rest = cut(left.join(open_nodes.select(*keys, F.col("node").alias("target")), [*keys, "target"], "left_semi"))
-        ready = cut(
-            open_nodes.join(rest.select(*keys, F.col("source").alias("node")), node, "left_anti").withColumn("layer", F.lit(depth))
-        )
+    for depth in count(1):
+        # Edges into settled nodes fall away; sources that keep no edge are this layer.
+        open_nodes = left.select(*keys, F.col("source").alias("target"), F.lit(True).alias("open")).distinct()
+        now = left.join(open_nodes, [*keys, "target"], "left").select(*keys, "source", "target", F.col("open").isNotNull().alias("open"))
+        held = now.groupBy(*keys, "source").agg(F.max("open").alias("waits"))
+        now = cut(now.join(held, [*keys, "source"]).where("open OR NOT waits"))
+        ready = now.where("NOT waits").select(*keys, F.col("source").alias("node")).distinct().withColumn("layer", F.lit(depth))
+        if ready.isEmpty():
+            break
         done = done.unionByName(ready)
-        left = rest
-    named = done.select(*keys, F.col("node").alias("grp"), "layer")
-    return group.join(named, [*keys, "grp"]).select(*node, "layer").join(nodes.select(*node), node, "left_semi")
+        if depth % 8 == 0:
+            done = cut(done)
+        left = now.where("waits").select(*keys, "source", "target")
+    return done.select(*keys, F.col("node").alias("grp"), "layer")
+
+
+def layers(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | None = None) -> DataFrame:
+    """Layer per node: 0 without outgoing edges, else one above the highest target.
+
+    Members of a cycle are condensed to one node first, so they share a layer.
+    """
+    node = [*keys, "node"]
+    group, dag = condensed(nodes, edges, keys, scc)
+    return group.join(peeled(group, dag, keys), [*keys, "grp"]).select(*node, "layer").join(nodes.select(*node), node, "left_semi")
+
+
+def impact_counts(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, node, dependents)``: how many other nodes lead to a node, over any number of edges. Exact, and never lists the pairs.
+
+    Cycles are condensed, and nodes get numbers; a condensed node holds the nodes that lead to it as bitmaps, one row for
+    each 32,768 numbers. Going down the layers, the bitmaps of the nodes that lead to a node directly, and of these nodes
+    themselves, are united; uniting is summed per task before it is shuffled, so a node that everything uses is no hot key.
+    Swap ``source`` and ``target`` for the nodes that a node leads to.
+    """
+    group, dag = condensed(nodes, edges, keys)
+    grp = [*keys, "grp"]
+    # Layers from the top: 0 has no edge coming in.
+    flipped = dag.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
+    layer = peeled(group, flipped, keys)
+    placed = numbered(group.join(layer, grp), keys, ["layer", "grp", "node"], "number")
+    placed = cut(placed)
+    bits = lambda b: F.bitmap_or_agg(b).alias("bits")
+    own = cut(placed.groupBy(*grp, "layer", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
+    size = placed.groupBy(*grp).agg(F.count(F.lit(1)).alias("size"))
+    used = cut(dag.join(layer.withColumnRenamed("grp", "target"), [*keys, "target"]).select(*keys, F.col("source").alias("grp"), "target", "layer"))
+    # What a node hands on: itself and what leads to it.
+    whole = own.where("layer = 0").select(*grp, "bucket", "bits")
+    reach: DataFrame | None = None
+    for depth in range(1, (layer.agg(F.max("layer")).first()[0] or 0) + 1):
+        into = cut(used.where(F.col("layer") == depth).select(*grp, "target").join(whole, grp).groupBy(*keys, F.col("target").alias("grp"), "bucket").agg(bits("bits")))
+        counted = into.groupBy(*grp).agg(F.sum(F.bitmap_count("bits")).alias("above"))
+        reach = counted if reach is None else reach.unionByName(counted)
+        passed = into.unionByName(own.where(F.col("layer") == depth).select(*grp, "bucket", "bits")).groupBy(*grp, "bucket").agg(bits("bits"))
+        whole = whole.unionByName(cut(passed))
+        if depth % 16 == 0:
+            whole, reach = cut(whole), cut(reach)
+    known = group.join(size, grp)
+    known = known.join(reach, grp, "left") if reach is not None else known.withColumn("above", F.lit(0).cast("long"))
+    return known.select(*keys, "node", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).cast("long").alias("dependents")).join(
+        nodes.select(*keys, "node"), [*keys, "node"], "left_semi")
+
+
+def nearest(edges: DataFrame, start: DataFrame, keys: Keys, k: int, max_depth: int | None = None) -> DataFrame:
+    """``(keys, start, node, depth, seq)``: the first ``k`` nodes that a start node reaches, in the order of hops and names.
+
+    Every round keeps the best of what is new, up to what a start still lacks, so no start ever has more than ``k`` rows.
+    That loses nothing: a node is dropped only when ``k`` nearer or smaller ones are held, and the way to any other leads
+    through held ones. As at most ``k`` neighbours of a node are held already, its first 2 k + 1 are all that is asked for.
+    """
+    ahead = edges.where(F.col("source") != F.col("target")).select(*keys, F.col("source").alias("at"), F.col("target").alias("node")).distinct()
+    steps = cut(top_per_group(ahead, [*keys, "at"], ["node"], 2 * k + 1))
+    begin = [*keys, "start"]
+    seen = cut(start.select(*begin, F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("seq")).distinct())
+    frontier = seen
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        new = frontier.select(*begin, F.col("node").alias("at")).join(steps, [*keys, "at"]).select(*begin, "node").distinct().join(
+            seen.select(*begin, "node"), [*begin, "node"], "left_anti")
+        held = seen.groupBy(*begin).agg((F.count(F.lit(1)) - 1).cast("int").alias("held")).where(F.col("held") < k)
+        first = top_per_group(new, begin, ["node"], k, rank="place").join(held, begin).where(F.col("place") + F.col("held") <= k)
+        frontier = cut(first.select(*begin, "node", F.lit(depth).alias("depth"), (F.col("place") + F.col("held")).alias("seq")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = cut(seen)
+    return seen.where("depth > 0")
+
+
+def flow_reach(edges: DataFrame, start: DataFrame, keys: Keys, k: int, max_depth: int | None = None) -> DataFrame:
+    """``nearest`` with ``total`` beside it: all nodes that the start leads to, over any number of edges."""
+    near = nearest(edges, start, keys, k, max_depth)
+    back = edges.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
+    total = impact_counts(start.select(*keys, F.col("start").alias("node")).distinct(), back, keys)
+    return near.join(total.select(*keys, F.col("node").alias("start"), F.col("dependents").alias("total")), [*keys, "start"])
 
 
 def system_edges(systems: DataFrame, keys: Keys) -> DataFrame:

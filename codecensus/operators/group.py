@@ -123,36 +123,43 @@ def app_roots(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
 # -------------------------------------------------------------- components
 
 def split_components(files: DataFrame, keys: Keys, max_components: int = 40) -> DataFrame:
-    """``(keys, app, key, path, files)``: directory groups small enough to read.
+    """``(keys, app, root, key, path, dir, n)``: directory groups small enough to read.
 
-    ``files(keys, app, root, path)``. Works on directories with counts, not on files; each
-    round splits the groups that are still too large one level deeper, so the number of
-    rounds is bounded by the directory depth.
+    ``files(keys, app, root, path)``. A roll-up over the ancestors of each directory gives every directory the files and
+    the branches below it. Then one walk from the top takes the choice for each directory from these sums and from what
+    was chosen for its parent: a directory is a group of its own if it is small, if nothing is below it, or if three
+    branchings lie above it; all below it belong to it. Otherwise only its own files do. A level is one join of
+    directories with their parents, so no group ever holds all directories of an app.
     """
     by = [*keys, "app"]
     inner = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
-    dirs = files.select(*by, "root", dirname(inner).alias("dir")).groupBy(*by, "root", "dir").agg(F.count(F.lit(1)).alias("n"))
-    target = F.greatest(F.lit(6), F.least(F.lit(60), F.floor(F.sum("n") / 12)))
-    sizes = dirs.groupBy(*by).agg(target.alias("target"))
-    live = cut(dirs.join(sizes, by).withColumn("prefix", F.lit("")).withColumn("depth", F.lit(0)))
-    done: DataFrame | None = None
-    while True:
-        rest = F.when(F.col("prefix") == "", F.col("dir")).otherwise(F.expr("substring(dir, length(prefix) + 2)"))
-        head = F.when(F.col("dir") != F.col("prefix"), F.substring_index(rest, "/", 1))
-        grp = live.withColumn("head", head).groupBy(*by, "prefix").agg(F.sum("n").alias("total"), F.countDistinct("head").alias("kids"))
-        judged = live.withColumn("head", head).join(grp, [*by, "prefix"])
+    dirs = cut(files.select(*by, "root", dirname(inner).alias("dir")).groupBy(*by, "root", "dir").agg(F.count(F.lit(1)).alias("n")))
+    segs = F.filter(F.split("dir", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(segs)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(segs, F.lit(1), i), "/").alias("prefix")))
+    sums = dirs.select(*by, "root", "n", F.explode(above).alias("a")).groupBy(*by, "root", "a.level", "a.prefix").agg(F.sum("n").alias("total"))
+    placed = [*by, "root"]
+    parent = F.when(F.col("level") > 0, F.when(F.col("level") == 1, "").otherwise(F.regexp_replace("prefix", "/[^/]*$", "")))
+    tree = sums.withColumn("parent", parent)
+    kids = tree.where("level > 0").groupBy(*placed, F.col("parent").alias("prefix")).agg(F.count(F.lit(1)).alias("kids"))
+    tree = tree.join(kids, [*placed, "prefix"], "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
+    target = F.greatest(F.lit(6), F.least(F.lit(60), F.floor(F.sum("total") / 12)))
+    tree = cut(tree.join(tree.where("level = 0").groupBy(*by).agg(target.alias("target")), by))
+
+    def judged(df: DataFrame) -> DataFrame:
+        """Where nothing above has ended the walk, whether this directory does."""
         small = (F.col("depth") >= 3) | ((F.col("total") <= F.col("target")) & ~((F.col("depth") == 0) & (F.col("total") > 12)))
-        final = small | (F.col("kids") == 0) | F.col("head").isNull()
-        judged = cut(judged.withColumn("final", final))
-        settled = judged.where("final").select(*by, "root", "prefix", "dir", "n")
-        done = settled if done is None else done.unionByName(settled)
-        live = judged.where("NOT final").select(
-            *by, "root", "dir", "n", "target", F.concat_ws("/", F.nullif("prefix", F.lit("")), "head").alias("prefix"),
-            (F.col("depth") + F.when(F.col("kids") > 1, 1).otherwise(0)).alias("depth"))
-        if live.isEmpty():
-            break
-        live = cut(live)
-    return done.select(*by, "root", F.col("prefix").alias("key"), F.concat_ws("/", F.nullif("root", F.lit("")), F.nullif("prefix", F.lit(""))).alias("path"), "dir", "n")
+        ends = F.col("ended") | small | (F.col("kids") == 0)
+        return df.select(*placed, "level", "prefix", F.when(F.col("ended"), F.col("key")).otherwise(F.col("prefix")).alias("key"), ends.alias("ended"),
+                         (F.col("depth") + F.when(F.col("kids") > 1, 1).otherwise(0)).alias("depth"))
+
+    now = cut(judged(tree.where("level = 0").withColumns({"key": F.lit(""), "ended": F.lit(False), "depth": F.lit(0)})))
+    chosen = now
+    for level in range(1, (tree.agg(F.max("level")).first()[0] or 0) + 1):
+        up = now.select(*placed, F.col("prefix").alias("parent"), "key", "ended", "depth")
+        now = cut(judged(tree.where(F.col("level") == level).join(up, [*placed, "parent"])))
+        chosen = chosen.unionByName(now)
+    out = dirs.join(chosen.select(*placed, F.col("prefix").alias("dir"), "key"), [*placed, "dir"])
+    return out.select(*by, "root", "key", F.concat_ws("/", F.nullif("root", F.lit("")), F.nullif("key", F.lit(""))).alias("path"), "dir", "n")
 
 
 def components(files: DataFrame, apps: DataFrame, keys: Keys, max_components: int = 40) -> DataFrame:

@@ -56,13 +56,13 @@ def _cands(keys: Column, space: str, start: int = 0) -> Column:
 
 def file_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
     """``(keys, space, key, target, n)``: smallest path per key and how many paths share it."""
+    segs = F.split("path", "/")
     lang, path = F.col("language"), F.col("path")
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     mod_parts = F.split(F.regexp_replace(stem, r"(^|/)__init__$", ""), "/")
     py_keys = F.when(stem != "__init__", F.transform(F.sequence(F.lit(1), F.size(mod_parts)), lambda i: F.array_join(
         F.slice(mod_parts, i, F.size(mod_parts)), ".")))
     name = F.regexp_replace(basename("path"), r"\.[^.]*$", "")
-    segs = F.split("path", "/")
     # The package starts below the first directory named after the source set.
     marker = F.coalesce(*[F.nullif(F.array_position(segs, m), F.lit(0)) for m in ("java", "kotlin", "scala", "groovy")])
     pkg_segs = F.slice(segs, (marker + 1).cast("int"), F.greatest(F.size(segs) - marker - 1, F.lit(0)).cast("int"))
@@ -74,7 +74,6 @@ def file_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
     def entries(space: str, arr: Column) -> Column:
         return F.coalesce(F.transform(arr, lambda k: F.struct(F.lit(space).alias("space"), k.alias("key"))), empty)
 
-    suffixes = F.transform(F.sequence(F.lit(2), F.greatest(F.size(segs), F.lit(2))), lambda i: F.array_join(F.slice(segs, i, F.size(segs)), "/"))
     all_keys = F.concat(
         entries("path", F.array(path)),
         entries("py", F.when(lang == "Python", py_keys)),
@@ -82,13 +81,28 @@ def file_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
         entries("jvmp", F.when(lang.isin(*JVM_LANGUAGES), jvm_prefixes)),
         entries("net", F.when(lang == "C#", F.array(name))),
         entries("godir", F.when(lang == "Go", F.array(dirname("path")))),
-        entries("tail", F.when(F.size(segs) > 1, F.filter(suffixes, lambda s: s != ""))),
     )
     base = files.select(*keys, "path", F.explode(all_keys).alias("k")).select(*keys, F.col("k.space").alias("space"), F.col("k.key").alias("key"), "path")
     plain = base.where("key <> ''").groupBy(*keys, "space", "key").agg(F.min("path").alias("target"), F.count(F.lit(1)).alias("n"))
     return plain.unionByName(_npm_index(files, manifests, keys)).unionByName(_crate_index(files, manifests, keys))
 
 
+def tail_index(files: DataFrame, asked: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, space, key, target, n)`` of path suffixes that questions ask for, from ``asked(keys, key)``.
+
+    Only files with a name that is asked for are spelled out, in as many suffixes as are asked for of that name, by
+    their numbers of segments; one join with the asked suffixes then leaves those that occur.
+    """
+    want = asked.select(*keys, "key").distinct().withColumn("name", basename("key")).withColumn("long", F.size(F.split("key", "/")))
+    names = want.groupBy(*keys, "name").agg(F.collect_set("long").alias("longs"))  # at most as many as paths are deep
+    segs = F.split("path", "/")
+    spelled = files.select(*keys, "path", basename("path").alias("name")).join(names, [*keys, "name"]).select(
+        *keys, "path", F.explode(F.filter("longs", lambda n: n < F.size(segs))).alias("n")).select(
+        *keys, "path", F.array_join(F.slice(segs, F.size(segs) - F.col("n") + 1, F.col("n")), "/").alias("key"))
+    return spelled.groupBy(*keys, "key").agg(F.min("path").alias("target"), F.count(F.lit(1)).alias("n")).join(
+        want.select(*keys, "key"), [*keys, "key"], "left_semi").select(*keys, F.lit("tail").alias("space"), "key", "target", "n")
+
+
 def _npm_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
     """Workspace package name -> its entry file."""
     pk = manifests.where("ecosystem = 'npm' AND name <> ''").groupBy(*keys, "name").agg(F.max_by("dir", "path").alias("dir"))
@@ -180,7 +194,8 @@ def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, aliases:
     index = file_index(files, manifests, keys)
     listed = q.select(*by, F.explode(_candidates(q)).alias("c")).select(*by, F.col("c.prio").alias("prio"), F.col("c.space").alias("space"), F.col("c.key").alias("key"))
     listed = listed.unionByName(_alias_candidates(q, aliases, keys, by)).unionByName(_go_candidates(q, manifests, keys, by))
-    hits = listed.join(index, [*keys, "space", "key"])
+    tails = tail_index(files, listed.where("space = 'tail'"), keys)
+    hits = listed.join(index.unionByName(tails), [*keys, "space", "key"])
     single = hits.where("space <> 'tail'").select(*by, "prio", "target")
     unique = hits.where("space = 'tail'").groupBy(*by, "prio").agg(F.min("target").alias("target"), F.sum("n").alias("n")).where("n = 1")
     answer = single.unionByName(unique.select(*by, "prio", "target")).groupBy(*by).agg(F.min_by("target", "prio").alias("internal_file"))
@@ -218,11 +233,17 @@ def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, aliases:
 
 
 def _alias_candidates(q: DataFrame, aliases: DataFrame, keys: Keys, by: list[str]) -> DataFrame:
-    """Path aliases: the longest matching prefix first. Prefixes are exploded, so this is an equi-join."""
+    """Path aliases: the longest matching prefix first.
+
+    A module is cut only to the lengths that prefixes of its repository have, so this is an equi-join on few rows.
+    """
     m = F.col("module")
+    known = aliases.where("prefix <> ''").select(*keys, "prefix", "path", "ord", F.col("target").alias("to")).distinct()
+    lengths = known.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # a number for each length
     js = q.where(F.col("language").isin(*JS_LANGUAGES) & ~m.startswith("."))
-    pre = js.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.left(m, i))).alias("prefix"))
-    met = pre.join(aliases.where("prefix <> ''").select(*keys, "prefix", "path", "ord", F.col("target").alias("to")).distinct(), [*keys, "prefix"])
+    js = js.join(lengths, keys) if keys else js.withColumn("lengths", lengths.select("lengths").scalar())
+    pre = js.select(*by, F.explode(F.filter("lengths", lambda n: n <= F.length(m))).alias("n")).select(*by, F.left(m, F.col("n")).alias("prefix"))
+    met = pre.join(known, [*keys, "prefix"])
     first = met.groupBy(*by, "prefix").agg(F.collect_set("to").alias("tos"))
     target = normal_path(_join(F.col("to"), F.expr("substring(module, length(prefix) + 1)")))
     probes = [""] + list(JS_EXTENSIONS) + [f"/index{e}" for e in JS_EXTENSIONS]

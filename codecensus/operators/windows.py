@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from codecensus.session import broadcast_if_small, cut
+
 Keys = list[str]
 GROUP_LIMIT = 1000
 SLICES = 64
@@ -23,7 +25,8 @@ def top_per_group(df: DataFrame, keys: Keys, order, n: int, rank: str | None = N
     if n > GROUP_LIMIT:
         # Beyond Spark's threshold the cut before the shuffle does not apply: deal every group
         # out over slices, cut each slice to n, and only rank what is left.
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+        salt = F.pmod(F.xxhash64(*plain) if plain else F.monotonically_increasing_id(), F.lit(SLICES))
         part = W.partitionBy(*keys, "__salt").orderBy(*_cols(order))
         df = df.withColumn("__salt", salt).withColumn("__pre", F.row_number().over(part)).where(F.col("__pre") <= n).drop("__salt", "__pre")
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*_cols(order)))).where(F.col(name) <= n)
@@ -129,6 +132,21 @@ def merge_evidence(df: DataFrame, keys: Keys, order, file="file", line="line", s
     return top_per_group(once, keys, order, limit, rank="rank")
 
 
+def numbered(df: DataFrame, keys: Keys, order: list, name: str = "n") -> DataFrame:
+    """Global 0-based position per group without one task per group.
+
+    Rows are range-partitioned by (keys, order); a partition's offset is the number of
+    the group's rows in earlier partitions, so only counts meet, never the rows.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = cut(df.repartitionByRange(width, *cols).withColumn("__p", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = counts.withColumn("__off", F.coalesce(F.sum("__c").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    local = placed.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*cols[len(keys):])))
+    return local.join(broadcast_if_small(before), [*keys, "__p"]).withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("long")).drop("__p", "__off", "__r")
+
+
 def select_by(df: DataFrame, **wanted) -> DataFrame:
     """Rows whose named columns hold one of the given values: point look-ups by id, kind, severity and so on.
 

@@ -127,18 +127,10 @@ def fan_instability(spark, d):
 
 
 @query("orphan_parts", """
-SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (
-  SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-06-01')""")
-def orphan_parts(spark, d):
-    e = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1992-06-01").cast("timestamp")).select(
-        F.col("l_suppkey").cast("long").alias("source"), F.col("l_partkey").alias("target"))
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return G.orphans(nodes, e.select((-F.col("source") - 1).alias("source"), "target"), [])
-
-
+SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey - l_partkey % 3 FROM lineitem)""")
 @query("orphan_parts_all", """
 SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey - l_partkey % 3 FROM lineitem)""")
-def orphan_parts_all(spark, d):
+def orphan_parts(spark, d):
     """Edges of all lineitems, each to the first of three neighbouring parts."""
     e = table(spark, d, "lineitem").select((-F.col("l_suppkey").cast("long") - 1).alias("source"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("target"))
     return G.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("node")), e, [])
@@ -216,6 +208,41 @@ def graph_cycles(spark, d):
     return G.components(ring_links(spark, d), [])
 
 
+def _impact_sql(links: str) -> str:
+    return f"""
+WITH RECURSIVE {links}, walk(node, above) AS (
+  SELECT target, source FROM links UNION SELECT l.target, w.above FROM walk w JOIN links l ON l.source = w.node),
+nodes AS (SELECT source AS node FROM links UNION SELECT target FROM links)
+SELECT n.node, count(DISTINCT above) FILTER (above <> n.node)::BIGINT AS dependents FROM nodes n LEFT JOIN walk w ON w.node = n.node GROUP BY n.node"""
+
+
+@query("impact_counts", _impact_sql(PART_SQL))
+def impact_counts(spark, d):
+    """How many parts lead to each part, over any number of links."""
+    links = part_links(spark, d)
+    return G.impact_counts(G.endpoints_of(links, []), links, [])
+
+
+@query("impact_counts_cycles", _impact_sql(RING_SQL))
+def impact_counts_cycles(spark, d):
+    """The same on rings of customers with links between rings."""
+    links = ring_links(spark, d)
+    return G.impact_counts(G.endpoints_of(links, []), links, [])
+
+
+@query("flow_reach", f"""
+WITH RECURSIVE {RING_SQL}, walk(start, node, depth) AS (
+  SELECT DISTINCT source, source, 0 FROM links
+  UNION SELECT w.start, l.target, w.depth + 1 FROM walk w JOIN links l ON l.source = w.node WHERE w.depth < 40),
+least AS (SELECT start, node, min(depth)::INT AS depth FROM walk GROUP BY 1, 2)
+SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node)::INT AS seq, count(*) OVER (PARTITION BY start) AS total
+FROM least WHERE depth > 0 QUALIFY seq <= 12""")
+def flow_reach(spark, d):
+    """The twelve nearest customers of each, over rings and the links between them, and how many it reaches in all."""
+    links = ring_links(spark, d)
+    return G.flow_reach(links, links.select(F.col("source").alias("start")).distinct(), [], 12)
+
+
 def _pagerank_sql(rounds: int = 30) -> str:
     ctes = [TRADE_SQL, "e AS MATERIALIZED (SELECT repo, source, target FROM lifted)",
             "n AS MATERIALIZED (SELECT repo, node, count(*) OVER (PARTITION BY repo) AS cnt FROM (SELECT repo, source AS node FROM e UNION SELECT repo, target FROM e))",

@@ -38,16 +38,10 @@ def first_wins(spark, d):
 
 
 @query("forward_fill", """
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
-def forward_fill(spark, d):
-    c = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.substring("text", 1, 12)))
-    return W.forward_fill(c.select("conv_id", "turn", "head"), ["conv_id"], "turn", "head", "section", chunk_rows=4).select("conv_id", "turn", "section")
-
-
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
 @query("forward_fill_texts", """
 SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations""")
-def forward_fill_texts(spark, d):
-    """As ``forward_fill``, over whole texts."""
+def forward_fill(spark, d):
     c = table(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("text")))
     return W.forward_fill(c.select("conv_id", "turn", "head"), ["conv_id"], "turn", "head", "section", chunk_rows=4).select("conv_id", "turn", "section")
 
@@ -156,7 +150,17 @@ def workspace_members(spark, d):
     return GR.workspace_members(m, dirs, KEYS).select("root")
 
 
-@query("component_split")
+@query("component_split", """
+WITH RECURSIVE f AS (SELECT lang || '/' || source || '/' || doc_id % 7 AS dir FROM documents),
+d AS (SELECT dir, count(*) AS n, string_split(dir, '/') AS s FROM f GROUP BY dir),
+t AS (SELECT array_to_string(s[1:i], '/') AS prefix, i AS level, sum(n) AS total FROM (SELECT *, unnest(range(0, len(s) + 1)) AS i FROM d) GROUP BY 1, 2),
+k AS (SELECT CASE WHEN level = 1 THEN '' ELSE array_to_string(string_split(prefix, '/')[1:level - 1], '/') END AS prefix, count(*) AS kids FROM t WHERE level > 0 GROUP BY 1),
+n AS (SELECT t.*, coalesce(kids, 0) AS kids, greatest(6, least(60, (SELECT sum(n) FROM d) // 12)) AS target FROM t LEFT JOIN k USING (prefix)),
+w(dir, level, key, depth, ended) AS (SELECT dir, -1, '', 0, false FROM d
+  UNION ALL SELECT w.dir, w.level + 1, CASE WHEN ended THEN key ELSE n.prefix END, depth + CASE WHEN kids > 1 THEN 1 ELSE 0 END,
+    ended OR depth >= 3 OR kids = 0 OR (total <= target AND NOT (depth = 0 AND total > 12))
+  FROM w JOIN n ON n.level = w.level + 1 AND n.prefix = array_to_string(string_split(w.dir, '/')[1:n.level], '/'))
+SELECT key AS path, sum(n)::BIGINT AS files FROM (SELECT dir, arg_max(key, level) AS key FROM w GROUP BY dir) JOIN d USING (dir) GROUP BY key""")
 def component_split(spark, d):
     """Directory tree of all documents, split until every part is small."""
     f = table(spark, d, "documents").select(
@@ -184,36 +188,84 @@ def import_resolution(spark, d):
     return RS.resolve(i, f, none, alias, KEYS).select("repo", "file", "module", "internal_file", "external_package", "stdlib", "unresolved")
 
 
+@query("resolve_aliases", r"""
+WITH f AS (SELECT p_brand AS repo, 'app/src/' || CASE WHEN p_partkey % 2 = 0 THEN 'lib/' ELSE '' END || 'm' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '/index.ts' ELSE '.tsx' END AS path, p_partkey AS k FROM part),
+q AS (SELECT f.repo, f.path AS file, f.k, unnest(['@/m' || k, '@lib/m' || (k + 25), '~' || k, '@none/m' || k, '@/none' || k]) AS module FROM f),
+a AS (SELECT q.*, CASE WHEN module LIKE '@lib/%' THEN 'app/src/lib/' || module[6:] WHEN module LIKE '@/%' THEN 'app/src/' || module[3:] END AS base FROM q)
+SELECT a.repo, a.file, a.module, coalesce(t.path, '') AS internal_file, t.path IS NULL AS external
+FROM a LEFT JOIN f t ON t.repo = a.repo AND t.path IN (a.base || '.tsx', a.base || '/index.ts')""")
+def resolve_aliases(spark, d):
+    """TypeScript modules named by aliases of their repository, a longer prefix before a shorter."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    path = F.concat(F.lit("app/src/"), F.when(k % 2 == 0, "lib/").otherwise(""), F.lit("m"), k, F.when(k % 3 == 0, "/index.ts").otherwise(".tsx"))
+    f = p.select(F.col("p_brand").alias("repo"), path.alias("path"), F.lit("TypeScript").alias("language"))
+    mods = F.array(F.concat(F.lit("@/m"), k), F.concat(F.lit("@lib/m"), k + 25), F.concat(F.lit("~"), k), F.concat(F.lit("@none/m"), k), F.concat(F.lit("@/none"), k))
+    i = p.select(F.col("p_brand").alias("repo"), path.alias("file"), F.lit("TypeScript").alias("language"), F.explode(mods).alias("module"), F.lit(1).alias("line"), F.lit("").alias("raw"), F.lit(False).alias("relative"))
+    none = spark.createDataFrame([], "repo string, path string, dir string, ecosystem string, name string, module_path string")
+    pairs = F.array(*[F.struct(F.lit(a).alias("prefix"), F.lit(t).alias("target")) for a, t in (("@/", "app/src"), ("@lib/", "app/src/lib"), ("@", "nowhere"))])
+    alias = f.select("repo").distinct().select("repo", F.lit("tsconfig.json").alias("path"), F.posexplode(pairs).alias("ord", "a")).select("repo", "path", "ord", "a.prefix", "a.target")
+    return RS.resolve(i, f, none, alias, KEYS).select("repo", "file", "module", "internal_file", (F.col("internal_file") == "").alias("external"))
+
+
+@query("resolve_pathlike", r"""
+WITH f AS (SELECT p_brand AS repo, 'd' || p_partkey % 4 || '/inc/' || CASE WHEN p_partkey % 5 = 0 THEN 'same' ELSE 'h' || p_partkey END || '.h' AS path FROM part GROUP BY 1, 2),
+q AS (SELECT p_brand AS repo, p_partkey AS k, unnest(['inc/h' || p_partkey || '.h', 'inc/same.h', 'h' || p_partkey, 'd' || p_partkey % 4 || '/inc/h' || p_partkey || '.h', './h' || (p_partkey + 25), 'none.h']) AS module FROM part),
+c AS (SELECT DISTINCT repo, module, k % 4 AS site FROM q),
+full_path AS (SELECT c.*, CASE WHEN module LIKE './%' THEN 'd' || site || '/inc/' || module[3:] ELSE module END || '.h' AS spelled, ltrim(module, './') AS bare FROM c),
+near AS (SELECT p.repo, p.module, p.site, f.path FROM full_path p JOIN f ON f.repo = p.repo AND f.path = spelled),
+tail AS (SELECT p.repo, p.module, p.site, min(f.path) AS path FROM full_path p JOIN f ON f.repo = p.repo AND (f.path LIKE '%/' || bare OR f.path LIKE '%/' || bare || '.h')
+  GROUP BY ALL HAVING count(DISTINCT f.path) = 1)
+SELECT q.repo, q.k, q.module, coalesce(n.path, t.path, '') AS internal_file FROM q
+LEFT JOIN near n ON n.repo = q.repo AND n.module = q.module AND n.site = q.k % 4 LEFT JOIN tail t ON t.repo = q.repo AND t.module = q.module AND t.site = q.k % 4""")
+def resolve_pathlike(spark, d):
+    """C includes: by path, from the including file, and by a suffix that only one file of the repository has."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    path = F.concat(F.lit("d"), k % 4, F.lit("/inc/"), F.when(k % 5 == 0, "same").otherwise(F.concat(F.lit("h"), k)), F.lit(".h"))
+    f = p.select(F.col("p_brand").alias("repo"), path.alias("path"), F.lit("C").alias("language")).distinct()
+    mods = F.array(F.concat(F.lit("inc/h"), k, F.lit(".h")), F.lit("inc/same.h"), F.concat(F.lit("h"), k), F.concat(F.lit("d"), k % 4, F.lit("/inc/h"), k, F.lit(".h")), F.concat(F.lit("./h"), k + 25), F.lit("none.h"))
+    i = p.select(F.col("p_brand").alias("repo"), F.concat(F.lit("d"), k % 4, F.lit("/inc/by.c")).alias("file"), F.lit("C").alias("language"), F.explode(mods).alias("module"), k.alias("line"), F.lit("").alias("raw"))
+    i = i.withColumn("relative", F.col("module").startswith("."))
+    none = spark.createDataFrame([], "repo string, path string, dir string, ecosystem string, name string, module_path string")
+    alias = spark.createDataFrame([], "repo string, path string, ord int, prefix string, target string")
+    return RS.resolve(i, f, none, alias, KEYS).select("repo", F.col("line").alias("k"), "module", "internal_file")
+
+
 # -------------------------------------------------------------- dependencies
 
 def _deps(spark, d):
-    """Parts as declared packages, early lineitems as locked, late ones as used."""
-    cut = F.lit("1994-01-01").cast("timestamp")
+    """All parts as declared packages, all lineitems as locked or used by their status.
+
+    Some parts are locked, used or both under names that no part declares, so every join has matches and rows without.
+    """
     p = table(spark, d, "part")
-    li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate")
-    name = lambda k: F.concat(F.lit("pkg_"), k)
-    declared = p.where(F.col("p_size") <= 40).select(
-        F.lit("r").alias("repo"), F.concat("p_brand", F.lit("/package.json")).alias("declared_in"), F.col("p_partkey").cast("int").alias("ord"), name(F.col("p_partkey")).alias("name"),
+    li = table(spark, d, "lineitem").select("l_partkey", "l_linestatus")
+    k = F.col("l_partkey")
+    declared = p.select(
+        F.lit("r").alias("repo"), F.concat("p_brand", F.lit("/package.json")).alias("declared_in"), F.col("p_partkey").cast("int").alias("ord"), F.concat(F.lit("pkg_"), "p_partkey").alias("name"),
         F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat(F.lit("^"), "p_size")).otherwise(F.col("p_size").cast("string")).alias("version"),
         F.lit("npm").alias("ecosystem"), F.when(F.col("p_size") % 10 == 0, "dev").otherwise("runtime").alias("scope"), F.lit(True).alias("direct"), F.lit("").alias("purl"))
-    locked = li.where(F.col("l_shipdate") < cut).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("r").alias("repo"), F.lit("package-lock.json").alias("declared_in"), F.col("l_partkey").cast("int").alias("ord"), name(F.col("l_partkey")).alias("name"),
+    locked = li.where(F.col("l_linestatus") == "F").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("r").alias("repo"), F.lit("package-lock.json").alias("declared_in"), k.cast("int").alias("ord"), F.concat(F.when(k % 5 == 0, "sub_").otherwise("pkg_"), k).alias("name"),
         F.concat(F.lit("9."), "n").alias("version"), F.lit("npm").alias("ecosystem"), F.lit("runtime").alias("scope"), F.lit(False).alias("direct"), F.lit("").alias("purl"))
-    used = li.where(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")).select(F.when(F.col("l_partkey") % 3 == 0, name(F.col("l_partkey"))).otherwise(F.concat(F.lit("pkg-"), "l_partkey")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
+    named = F.concat(F.when(k % 7 == 0, "sub-").when(k % 11 == 0, "extra_").when(k % 3 == 0, "pkg_").otherwise("pkg-"), k)
+    used = li.where(F.col("l_linestatus") != "F").groupBy(named.alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
     usage = used.select(F.lit("r").alias("repo"), "name", F.lit("npm").alias("ecosystem"), "n_files", F.array(F.concat("name", F.lit(".js"))).alias("files"), F.array(F.lit("app")).alias("apps"))
     return declared, locked, usage
 
 
 DEPS_SQL = """
-dc AS (SELECT 'pkg_' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '^' || p_size ELSE p_size::VARCHAR END AS v, CASE WHEN p_size % 10 = 0 THEN 'dev' ELSE 'runtime' END AS scope, p_brand || '/package.json' AS f FROM part WHERE p_size <= 40),
-lk AS (SELECT 'pkg_' || l_partkey AS name, '9.' || count(*) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01' GROUP BY l_partkey),
-us AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 'pkg_' || l_partkey ELSE 'pkg-' || l_partkey END AS name, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY 1),
+dc AS (SELECT 'pkg_' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '^' || p_size ELSE p_size::VARCHAR END AS v, CASE WHEN p_size % 10 = 0 THEN 'dev' ELSE 'runtime' END AS scope, p_brand || '/package.json' AS f FROM part),
+lk AS (SELECT CASE WHEN l_partkey % 5 = 0 THEN 'sub_' ELSE 'pkg_' END || l_partkey AS name, '9.' || count(*) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_partkey),
+us AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'sub-' WHEN l_partkey % 11 = 0 THEN 'extra_' WHEN l_partkey % 3 = 0 THEN 'pkg_' ELSE 'pkg-' END || l_partkey AS name, count(*) AS n FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1),
 dep AS (SELECT coalesce(dc.name, lk.name) AS name, CASE WHEN dc.name IS NULL THEN lk.v WHEN lk.name IS NOT NULL AND (dc.v = '' OR dc.v LIKE '^%') THEN lk.v ELSE dc.v END AS version,
   coalesce(scope, 'runtime') AS scope, dc.name IS NOT NULL AS direct, coalesce(dc.f, 'package-lock.json') AS f FROM dc FULL OUTER JOIN lk ON dc.name = lk.name),
 full_dep AS (SELECT dep.*, us.name IS NOT NULL AS used FROM dep LEFT JOIN us ON replace(us.name, '-', '_') = dep.name)"""
 
 
 @query("reconcile", f"WITH {DEPS_SQL} SELECT name, version, scope, direct, used, array_to_string(list_filter([CASE WHEN direct AND NOT used THEN 'unused' END, CASE WHEN version = '' THEN 'unpinned' END], lambda x: x IS NOT NULL), ',') AS marks FROM full_dep")
+@query("reconcile_all", f"WITH {DEPS_SQL} SELECT name, version, scope, direct, used, array_to_string(list_filter([CASE WHEN direct AND NOT used THEN 'unused' END, CASE WHEN version = '' THEN 'unpinned' END], lambda x: x IS NOT NULL), ',') AS marks FROM full_dep")
 def reconcile(spark, d):
     return _reconciled(*_deps(spark, d))
 
@@ -225,6 +277,7 @@ def _reconciled(declared, locked, usage):
 
 
 @query("undeclared", f"WITH {DEPS_SQL} SELECT name, n AS n_files FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep) AND name NOT LIKE '%7'")
+@query("undeclared_all", f"WITH {DEPS_SQL} SELECT name, n AS n_files FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep) AND name NOT LIKE '%7'")
 def undeclared(spark, d):
     return _undeclared(*_deps(spark, d))
 
@@ -241,6 +294,12 @@ SELECT 'CC-DEP-NOLOCK' AS identifier, '' AS package, arg_min(f, name) AS file, '
 UNION ALL SELECT 'CC-DEP-UNPINNED', name, f, 'low' FROM full_dep WHERE scope <> 'dev' AND version = ''
 UNION ALL SELECT 'CC-DEP-UNUSED', name, f, 'info' FROM full_dep WHERE direct AND NOT used AND scope <> 'dev'
 UNION ALL SELECT 'CC-DEP-MISSING', name, name || '.js', 'medium' FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep)""")
+@query("dependency_findings_all", f"""
+WITH {DEPS_SQL}
+SELECT 'CC-DEP-NOLOCK' AS identifier, '' AS package, arg_min(f, name) AS file, 'low' AS severity FROM full_dep
+UNION ALL SELECT 'CC-DEP-UNPINNED', name, f, 'low' FROM full_dep WHERE scope <> 'dev' AND version = ''
+UNION ALL SELECT 'CC-DEP-UNUSED', name, f, 'info' FROM full_dep WHERE direct AND NOT used AND scope <> 'dev'
+UNION ALL SELECT 'CC-DEP-MISSING', name, name || '.js', 'medium' FROM us WHERE replace(name, '-', '_') NOT IN (SELECT name FROM dep)""")
 def dependency_findings(spark, d):
     return _dependency_findings(spark, *_deps(spark, d))
 
@@ -255,53 +314,6 @@ def _dependency_findings(spark, declared, locked, usage):
     return out.select("identifier", "package", "file", "severity")
 
 
-def _deps_all(spark, d):
-    """All parts as declared packages, all lineitems as locked or used by their status.
-
-    Some parts are locked, used or both under names that no part declares, so every join has matches and rows without.
-    """
-    p = table(spark, d, "part")
-    li = table(spark, d, "lineitem").select("l_partkey", "l_linestatus")
-    k = F.col("l_partkey")
-    declared = p.select(
-        F.lit("r").alias("repo"), F.concat("p_brand", F.lit("/package.json")).alias("declared_in"), F.col("p_partkey").cast("int").alias("ord"), F.concat(F.lit("pkg_"), "p_partkey").alias("name"),
-        F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, F.concat(F.lit("^"), "p_size")).otherwise(F.col("p_size").cast("string")).alias("version"),
-        F.lit("npm").alias("ecosystem"), F.when(F.col("p_size") % 10 == 0, "dev").otherwise("runtime").alias("scope"), F.lit(True).alias("direct"), F.lit("").alias("purl"))
-    locked = li.where(F.col("l_linestatus") == "F").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("r").alias("repo"), F.lit("package-lock.json").alias("declared_in"), k.cast("int").alias("ord"), F.concat(F.when(k % 5 == 0, "sub_").otherwise("pkg_"), k).alias("name"),
-        F.concat(F.lit("9."), "n").alias("version"), F.lit("npm").alias("ecosystem"), F.lit("runtime").alias("scope"), F.lit(False).alias("direct"), F.lit("").alias("purl"))
-    named = F.concat(F.when(k % 7 == 0, "sub-").when(k % 11 == 0, "extra_").when(k % 3 == 0, "pkg_").otherwise("pkg-"), k)
-    used = li.where(F.col("l_linestatus") != "F").groupBy(named.alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
-    usage = used.select(F.lit("r").alias("repo"), "name", F.lit("npm").alias("ecosystem"), "n_files", F.array(F.concat("name", F.lit(".js"))).alias("files"), F.array(F.lit("app")).alias("apps"))
-    return declared, locked, usage
-
-
-DEPS_ALL_SQL = """
-dc AS (SELECT 'pkg_' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '^' || p_size ELSE p_size::VARCHAR END AS v, CASE WHEN p_size % 10 = 0 THEN 'dev' ELSE 'runtime' END AS scope, p_brand || '/package.json' AS f FROM part),
-lk AS (SELECT CASE WHEN l_partkey % 5 = 0 THEN 'sub_' ELSE 'pkg_' END || l_partkey AS name, '9.' || count(*) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_partkey),
-us AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'sub-' WHEN l_partkey % 11 = 0 THEN 'extra_' WHEN l_partkey % 3 = 0 THEN 'pkg_' ELSE 'pkg-' END || l_partkey AS name, count(*) AS n FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1),""" + DEPS_SQL[DEPS_SQL.index("\ndep AS"):]
-
-
-def _over_all(name: str) -> str:
-    """The SQL of a query, over whole tables."""
-    return ORACLES[name].replace(DEPS_SQL, DEPS_ALL_SQL)
-
-
-@query("reconcile_all", _over_all("reconcile"))
-def reconcile_all(spark, d):
-    return _reconciled(*_deps_all(spark, d))
-
-
-@query("undeclared_all", _over_all("undeclared"))
-def undeclared_all(spark, d):
-    return _undeclared(*_deps_all(spark, d))
-
-
-@query("dependency_findings_all", _over_all("dependency_findings"))
-def dependency_findings_all(spark, d):
-    return _dependency_findings(spark, *_deps_all(spark, d))
-
-
 @query("advisories", """
 WITH v AS (SELECT p_brand AS repo, replace(p_name, ' ', '-') AS name, p_size || '.' || (p_partkey % 10) || '.0' AS version, p_size FROM part),
 a AS (SELECT replace(p_name, ' ', '-') AS name, max(p_size) AS top, 'ADV-' || min(p_partkey) AS id FROM part GROUP BY 1)

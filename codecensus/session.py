@@ -70,6 +70,16 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """Truncate lineage in a loop, by a written table.
+
+    A checkpoint keeps the size its plan was estimated at. A join is estimated at the product of its sides, so in a loop
+    of joins that number grows without bound, planning with it, and no side ever looks small enough to broadcast. A
+    written table has the size it has.
+    """
+    return stored(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a CPU-heavy pass over few input splits.
 

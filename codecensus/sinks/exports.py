@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.operators.graph import edge_order
-from codecensus.operators.windows import top_per_group
+from codecensus.operators.windows import numbered, top_per_group
 
 Keys = list[str]
 SEMI = "; "
@@ -119,25 +119,6 @@ def package_ref() -> Column:
     return F.when(F.col("version") == "", generic).when(F.col("purl") != "", F.col("purl")).otherwise(F.concat_ws("@", generic, "version"))
 
 
-def numbered(df: DataFrame, keys: Keys, order: list, name: str = "n") -> DataFrame:
-    """Global 0-based position per group without one task per group.
-
-    Rows are range-partitioned by (keys, order); a partition's offset is the number of
-    the group's rows in earlier partitions, so only counts meet, never the rows.
-    """
-    from codecensus.session import broadcast_if_small, cut
-
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql import Window as W
-
-    cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = cut(df.repartitionByRange(width, *cols).withColumn("__p", F.spark_partition_id()))
-    counts = placed.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = counts.withColumn("__off", F.coalesce(F.sum("__c").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    local = placed.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*cols[len(keys):])))
-    return local.join(broadcast_if_small(before), [*keys, "__p"]).withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("long")).drop("__p", "__off", "__r")
-
-
 def cyclonedx_components(deps: DataFrame, keys: Keys, tool: str = "codecensus") -> DataFrame:
     """One CycloneDX component per dependency, as a struct column."""
     prop = lambda k, v: F.struct(F.lit(f"{tool}:{k}").alias("name"), v.alias("value"))

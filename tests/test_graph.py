@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codecensus.operators import graph as G
 from codecensus.operators import windows as W
@@ -98,3 +99,78 @@ def test_fold_and_overflow(spark):
     assert ("r", "+2 more") in more and ("s", "a") in more and len(more) == 10
     small = {(r.repo, r.label): (r.n, r.merged) for r in W.merge_smallest(df, ["repo"], "label", "n", 5).collect()}
     assert small[("r", "(other)")] == (21, 6) and small[("s", "a")] == (1, 0) and len(small) == 6
+
+
+def closure(pairs):
+    reach = {a: {b for x, b in pairs if x == a} for p in pairs for a in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, r in reach.items():
+            more = set().union(*[reach[b] for b in r]) - r if r else set()
+            r |= more
+            changed |= bool(more)
+    return reach
+
+
+def shapes():
+    rnd = random.Random(11)
+    ring = lambda names: list(zip(names, names[1:] + names[:1]))
+    r = [f"r{k:02d}" for k in range(13)]
+    yield "a ring alone", ring(r)
+    yield "a ring with a tail in and out", ring(r) + [("x", "r05"), ("y", "x"), ("r09", "z"), ("z", "zz")]
+    yield "two rings at one node", ring(r[:9]) + ring(["r00", *r[10:]])
+    yield "a ring of two ways", ring(r[:10]) + [("r03", "m1"), ("m1", "m2"), ("m2", "r07")]
+    yield "a long path", list(zip(r, r[1:]))
+    yield "two paths that meet", list(zip(r[:9], r[1:10])) + [("r00", "q1"), ("q1", "q2"), ("q2", "r09")]
+    yield "a pair, a self edge and nothing", [("a", "b"), ("b", "a"), ("c", "c")]
+    for n, m in ((20, 24), (20, 30), (30, 33), (12, 40)):
+        yield f"random {n} {m}", sorted({(f"n{rnd.randrange(n):02d}", f"n{rnd.randrange(n):02d}") for _ in range(m)})
+
+
+def test_components_and_impact_of_shapes(spark):
+    """All shapes in one run, each a repository of its own, forward and backward."""
+    rows, want, counts = [], {}, {}
+    for name, pairs in shapes():
+        for repo, way in ((name, pairs), (f"{name} back", [(b, a) for a, b in pairs])):
+            reach = closure(way)
+            rows += [(repo, a, b, "imports", 1) for a, b in way]
+            want |= {(repo, a): min(b for b in [a, *r] if a == b or a in reach[b]) for a, r in reach.items() if any(b != a and a in reach[b] for b in r)}
+            counts |= {(repo, n): sum(n in r for a, r in reach.items() if a != n) for n in reach}
+    e = spark.createDataFrame(rows, "repo string, source string, target string, kind string, weight long")
+    assert {(r.repo, r.node): r.component for r in G.components(e, ["repo"]).collect()} == want
+    assert {(r.repo, r.node): r.dependents for r in G.impact_counts(G.endpoints_of(e, ["repo"]), e, ["repo"]).collect()} == counts
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []  # the whole is 17 doublings
+    monkeypatch.setattr(G, "cut", lambda df, real=G.cut: rounds.append(1) or real(df))
+    ring = spark.range(n).select(F.col("id").alias("source"), ((F.col("id") + 1) % n).alias("target"))
+    inside = G.chains(ring, [])[1]
+    assert len(rounds) < 25 and inside.agg(F.count("*"), F.min("component"), F.max("component")).first()[:] == (n, 0, 0)
+
+
+def test_impact_beyond_one_bitmap(spark):
+    n = 70_000
+    e = spark.range(n).select(F.col("id").alias("source"), F.lit(-1).cast("long").alias("target")).union(spark.createDataFrame([(-1, -2)], "source long, target long"))
+    got = {r.node: r.dependents for r in G.impact_counts(G.endpoints_of(e, []), e, []).where("node < 1").collect()}
+    assert got == {0: 0, -1: n, -2: n + 1}
+
+
+@pytest.mark.parametrize(("k", "depth"), [(3, None), (4, 2)])
+def test_nearest_equals_brute_force(spark, k, depth):
+    rnd = random.Random(5)
+    pairs = sorted({(f"n{rnd.randrange(30):02d}", f"n{rnd.randrange(30):02d}") for _ in range(60)} | {("n00", f"m{j:03d}") for j in range(40)})
+    want = set()
+    starts = ["n00", "n03", "n07"]
+    reach = closure(pairs)
+    for s in starts:
+        seen, level, hop, order = {s}, [s], 0, []
+        while level and (depth is None or hop < depth):
+            hop += 1
+            level = sorted({b for a, b in pairs if a in level} - seen)
+            seen |= set(level)
+            order += [(n, hop) for n in level]
+        want |= {(s, n, h, i + 1, len(reach.get(s, set()) - {s})) for i, (n, h) in enumerate(order[:k])}
+    got = G.flow_reach(edges(spark, pairs), spark.createDataFrame([("r", s) for s in starts], "repo string, start string"), ["repo"], k, depth)
+    assert {(r.start, r.node, r.depth, r.seq, r.total) for r in got.collect()} == want
