@@ -5,13 +5,12 @@ of T + S shingles, one each S = max(1, T / 4) shingles, so that every run of T s
 whole template resembles it by at least 0.4, one with four fifths of it by 0.3. With 24 bands of one row the chance to meet
 in no band is 5e-6 and 2e-4. What meets is confirmed by the exact share of the template's shingles in the document.
 
-A template can only be confirmed where one of its shingles occurs, so each has a guard: words of which every choice of
-four fifths of its shingles holds one. Texts and windows without a guard word of any template are passed over.
+A template can only be confirmed where enough of its weight occurs, so each has a guard: words of which every choice of
+shingles with four fifths of its weight holds one. Texts and windows without a guard word of any template are passed over.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -50,15 +49,22 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def guard_words(templates: dict[str, str], percent: int = SIMILAR_PERCENT, size: int = SHINGLE) -> list[str]:
-    """Words such that a text with ``percent`` of a template's shingles holds one of them: longest words first."""
-    chosen: set[str] = set()
-    for text in templates.values():
+    """Words such that a text with ``percent`` of a template's weight holds one of them: longest words first."""
+    sets = {}
+    for name, text in templates.items():
         found = [w for w in re.split(GAP, text.lower()) if w]
-        shingles = {tuple(found[i : i + size]) for i in range(len(found) - size + 1)}
-        most_free = math.ceil(len(shingles) * percent / 100 - 1e-9) - 1  # so few may hold no guard word
-        while (free := [s for s in shingles if not chosen & set(s)]) and len(free) > most_free:
-            counts = Counter(w for s in free for w in set(s))
-            chosen.add(max(counts, key=lambda w: (len(w) >= 7, counts[w] * len(w), w)))
+        sets[name] = {tuple(found[i : i + size]) for i in range(len(found) - size + 1)}
+    held = Counter(s for shingles in sets.values() for s in shingles)
+    weight = {s: max(1, 1000 // n) for s, n in held.items()}  # as weighted_shingles has it
+    chosen: set[str] = set()
+    for shingles in sets.values():
+        total = sum(weight[s] for s in shingles)
+        while (free := [s for s in shingles if not chosen & set(s)]) and 100 * sum(weight[s] for s in free) >= percent * total:
+            gain: Counter = Counter()
+            for s in free:
+                for w in set(s):
+                    gain[w] += weight[s]
+            chosen.add(max(gain, key=lambda w: (len(w) >= 7, gain[w] * len(w), w)))
     return sorted(chosen)
 
 
