@@ -13,7 +13,7 @@ from codecensus.operators import resolve as RS
 from codecensus.operators import review as RV
 from codecensus.operators import security as SE
 from codecensus.operators import windows as W
-from codecensus.plans.registry import ORACLES, query, table
+from codecensus.plans.registry import query, table
 from codecensus.sinks import exports as X
 from codecensus.sources import files as SF
 from codecensus.sources import tables as T
@@ -188,6 +188,20 @@ def import_resolution(spark, d):
     return RS.resolve(i, f, none, alias, KEYS).select("repo", "file", "module", "internal_file", "external_package", "stdlib", "unresolved")
 
 
+@query("saved_model_rows", """
+SELECT source AS repo, 'texts' AS section, doc_id AS id, text AS name, n_chars AS size, CASE WHEN doc_id % 2 = 0 THEN lang || ',' || n_chars ELSE lang END AS tags FROM documents
+UNION ALL SELECT p_brand, 'parts', p_partkey, p_name, p_size, '' FROM part""")
+def saved_model_rows(spark, d):
+    """Two sections of many repositories, saved as model lines and read again by the types found in them."""
+    x = table(spark, d, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("n_chars").alias("size"),
+                                            F.when(F.col("doc_id") % 2 == 0, F.array("lang", F.col("n_chars").cast("string"))).otherwise(F.array("lang")).alias("tags"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.expr("cast(array() as array<string>)").alias("tags"))
+    items = T.model_items(X.model_lines({"texts": x, "parts": p}, KEYS))
+    both = [T.section_rows(items, n).withColumn("section", F.lit(n)) for n in ("texts", "parts")]
+    cols = ["repo", "section", F.col("id").cast("long").alias("id"), "name", F.col("size").cast("long").alias("size"), F.array_join(F.col("tags").cast("array<string>"), ",").alias("tags")]
+    return both[0].select(*cols).unionByName(both[1].select(*cols))
+
+
 @query("resolve_aliases", r"""
 WITH f AS (SELECT p_brand AS repo, 'app/src/' || CASE WHEN p_partkey % 2 = 0 THEN 'lib/' ELSE '' END || 'm' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '/index.ts' ELSE '.tsx' END AS path, p_partkey AS k FROM part),
 q AS (SELECT f.repo, f.path AS file, f.k, unnest(['@/m' || k, '@lib/m' || (k + 25), '~' || k, '@none/m' || k, '@/none' || k]) AS module FROM f),

@@ -98,6 +98,49 @@ def read_model(spark: SparkSession, path: str, section: str, repo: str) -> DataF
     return _defaults(raw.select(F.lit(repo).alias("repo"), F.explode(section).alias("x")).select("repo", "x.*"))
 
 
+def model_items(lines: DataFrame) -> DataFrame:
+    """``(repo, section, item)`` of model lines ``(repo, section, json)``; the item is a VARIANT that keeps every key."""
+    return lines.select("repo", "section", F.parse_json("json").alias("item"))
+
+
+def read_models(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\.json$") -> DataFrame:
+    """``(repo, section, ord, item)`` of all saved model documents below ``path``, read in one pass.
+
+    Every top-level key is a section: a list gives a row for each entry, anything else one row with the position 0.
+    Nothing is left out, known or not. The repository is the first group of ``repo_pattern`` in the file's path.
+    """
+    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), repo_pattern, 1).alias("repo"), F.parse_json("value").alias("doc"))
+    parts = raw.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()).select(F.col("key").alias("section"), F.col("value").alias("part")))
+    is_list = F.schema_of_variant("part").startswith("ARRAY")
+    many = parts.where(is_list).select("repo", "section", "part").lateralJoin(
+        spark.tvf.variant_explode(F.col("part").outer()).select(F.col("pos").alias("ord"), F.col("value").alias("item"))).select("repo", "section", "ord", "item")
+    return many.unionByName(parts.where(~is_list).select("repo", "section", F.lit(0).alias("ord"), F.col("part").alias("item")))
+
+
+def item_schema(items: DataFrame, section: str) -> str:
+    """Type of a section's items over all repositories, as it is found in them."""
+    found = items.where(F.col("section") == section).agg(F.schema_of_variant_agg("item")).first()[0]
+    return found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+
+
+def section_rows(items: DataFrame, section: str, fields: str | None = None, aside: str | None = None) -> DataFrame:
+    """Rows of one section with its columns typed; ``fields`` is a struct's inside (``a int, b array<string>``).
+
+    Without it the columns of a known section are used, and those found in the items of any other. With ``aside`` the
+    items stay beside the columns under that name, with the keys that no column has.
+    """
+    of = items.where(F.col("section") == section)
+    if fields is not None:
+        kind = f"struct<{fields}>"
+    elif section in MODEL_SECTIONS:
+        kind = MODEL_SECTIONS[section]
+    else:
+        kind = item_schema(items, section)
+    typed = of.select("repo", "item", F.variant_get("item", "$", kind).alias("x"))
+    plain = typed.select("repo", "x.*") if aside is None else typed.select("repo", F.col("item").alias(aside), "x.*")
+    return _defaults(plain) if section in MODEL_SECTIONS and fields is None and aside is None else plain
+
+
 def _defaults(df: DataFrame) -> DataFrame:
     """Missing text is '', missing numbers 0, missing flags false, missing lists empty."""
     cols = []

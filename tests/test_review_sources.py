@@ -85,3 +85,37 @@ def test_text_helpers(spark):
     assert [r[0] for r in paths.select(X.normal_path("p")).collect()] == ["a/c", "../x", "a/b", "q"]
     t = spark.createDataFrame([("a\r\nb\x0cc\n",), ("",), ("x",)], "t string")
     assert [(r[0], r[1]) for r in t.select(X.line_total("t"), X.lines("t")).collect()] == [(3, ["a", "b", "c"]), (0, []), (1, ["x"])]
+
+
+def test_models_of_many_repositories_in_one_pass(spark, tmp_path):
+    import json
+
+    one = {"notes": [{"id": "n1", "size": 3, "tags": ["a", "b"], "extra": {"k": 1.5}}, {"id": "n2", "size": None, "tags": []}], "version": 7, "empty": []}
+    two = {"notes": [{"id": "n3", "size": 4_000_000_000, "tags": ["c"], "more": True}], "version": 8}
+    for name, doc in (("one", one), ("two", two)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    items = T.read_models(spark, str(tmp_path)).persist()
+    got = {(r.repo, r.section, r.ord) for r in items.where("item IS NOT NULL").collect()}
+    assert got == {("one", "notes", 0), ("one", "notes", 1), ("two", "notes", 0), ("one", "version", 0), ("two", "version", 0)}
+    rows = T.section_rows(items, "notes", "id string, size bigint, tags array<string>", aside="saved").selectExpr("repo", "id", "size", "tags", "to_json(saved) AS saved").collect()
+    assert {(r.repo, r.id, r.size, tuple(r.tags)) for r in rows} == {("one", "n1", 3, ("a", "b")), ("one", "n2", None, ()), ("two", "n3", 4_000_000_000, ("c",))}
+    assert {json.loads(r.saved).get("more") for r in rows} == {None, True} and any(json.loads(r.saved).get("extra") == {"k": 1.5} for r in rows)
+    # Without a schema the columns are those found, of all repositories together.
+    found = T.section_rows(items, "notes")
+    assert set(found.columns) == {"repo", "id", "size", "tags", "extra", "more"} and found.count() == 3
+    items.unpersist()
+
+
+def test_model_lines_come_back_as_the_same_tables(spark):
+    from codecensus.sinks.exports import model_lines
+
+    tables = {
+        "files": spark.createDataFrame([("r", "a.py", 10, True, 0.5), ("s", "b\"\n.py", None, False, None)], "repo string, path string, loc bigint, test boolean, share double"),
+        "apps": spark.createDataFrame([("r", "x", ["p", "q"], [(1, "t")], {"k": "v"}), ("s", None, [], [], None)], "repo string, name string, roots array<string>, parts array<struct<n:int,l:string>>, env map<string,string>"),
+        "nothing": spark.createDataFrame([], "repo string, id string"),
+    }
+    items = T.model_items(model_lines(tables, ["repo"]))
+    for name, table in tables.items():
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != "repo").replace("` ", "`:")
+        back = T.section_rows(items, name, fields)
+        assert back.columns == table.columns and sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
