@@ -191,7 +191,7 @@ def _with_scalar(df: DataFrame, per_graph: DataFrame, keys: Keys) -> DataFrame:
     return df
 
 
-def _trim(edges: DataFrame, keys: Keys, rounds: int = 3) -> DataFrame:
+def _trim(edges: DataFrame, keys: Keys, rounds: int = 2) -> DataFrame:
     """Drop edges whose ends cannot lie on a cycle (no way in, or no way out). Long tails are left to the contraction of chains."""
     n = edges.count()
     for _ in range(rounds):
@@ -240,8 +240,7 @@ def contract(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame, DataFr
     ``members(keys, node, before, after)``: nodes of a chain with the nodes it leads from and to. A node of a chain lies on
     a cycle just if those two do, and on the same.
     """
-    links, rings = chains(edges, keys)
-    links = cut(links)
+    links, rings = chains(edges, keys)  # both of a stored table
     if links.isEmpty() and rings.isEmpty():
         return None
     at = links.select(*keys, F.col("node").alias("source"), F.col("tail").alias("from_tail"))
@@ -253,7 +252,7 @@ def contract(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame, DataFr
     ends = cut(head.join(last, [*keys, "tail"]))
     kept = placed.where("from_tail IS NULL AND to_tail IS NULL").select(*keys, "source", "target")
     short = ends.where("before <> after").select(*keys, F.col("before").alias("source"), F.col("after").alias("target"))
-    return cut(kept.unionByName(short).distinct()), cut(links.join(ends, [*keys, "tail"]).select(*keys, "node", "before", "after")), cut(rings)
+    return cut(kept.unionByName(short).distinct()), links.join(ends, [*keys, "tail"]).select(*keys, "node", "before", "after"), rings
 
 
 def components(edges: DataFrame, keys: Keys) -> DataFrame:
