@@ -80,10 +80,10 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _postings(reps: DataFrame, least_matches: int, coordinates: int) -> DataFrame:
     """(key, id, at, weight): the prefix of each set, rarest pairs first, without pairs that only one set holds."""
-    posted = reps.select("id", F.col("first.doc_id").alias("at"), F.explode("signature").alias("key"))
+    posted = reps.select("id", F.explode("signature").alias("key"))
     common = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = posted.join(common, "key").groupBy("id").agg(F.first("at").alias("at"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs"))
-    held = held.where(F.size("pairs") >= least_matches)
+    held = posted.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs"))
+    held = held.where(F.size("pairs") >= least_matches).join(reps.select("id", F.col("first.doc_id").alias("at")), "id")
     # c - m + 1 places, of which the pairs nobody else holds take the first.
     room = F.lit(coordinates - least_matches + 1) - (F.lit(coordinates) - F.size("pairs"))
     weight = F.aggregate("pairs", F.lit(0).cast("long"), lambda s, p: s + p["df"])
@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = short.alias("x").join(short.alias("y"), F.expr("x.hub = y.hub and x.id < y.id and x.c != y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = _rare_shingle_pairs(members.where(F.col("members") > SHORT).select("id", "c").distinct(), sets, percent)
     more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent)
-    classes = components(links.union(more), "a", "b")
+    # The first classes are stars already, so the second search starts from them and not from the links.
+    classes = components(found.select("id", "component").union(more), "id", "component")
 
     placed = reps.select("set_key", "first", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", "first", F.coalesce("component", "id").alias("class"))
