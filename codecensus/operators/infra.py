@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import formats as M
+from codecensus.functions import yaml_rows as Y
 from codecensus.functions.classify import image_system
 from codecensus.functions.matching import groups_sql, unmarked
 from codecensus.functions.text import basename, slug
@@ -54,37 +55,45 @@ def dockerfiles(files: DataFrame, keys: Keys) -> DataFrame:
         (F.size(_all(stage, 1)) > 1).alias("multistage"))
 
 
+def _outlined(files: DataFrame, keys: Keys, fmt: str) -> DataFrame:
+    """``(keys, file, y)``: the rows of the first document of files of a format."""
+    head = r"\A(?:[ \t]*(?:#[^\n]*)?\r?\n)*+---[ \t]*(?:#[^\n]*)?\r?\n"
+    text = F.split(F.regexp_replace("text", head, ""), r"(?m)^---(?=[ \t\r]|$)", 2)[0]
+    return _routed(files, keys, fmt).select(*keys, "file", Y.yaml_rows(text).alias("y"))
+
+
+def _children(rows: Column) -> Column:
+    """The keys at the top of ``under`` a path, in order, once each."""
+    return F.array_distinct(F.transform(rows, lambda r: r["path"][0]))
+
+
+def _named(rows: Column, name: Column) -> Column:
+    """The rows below one of these keys."""
+    return F.transform(F.filter(rows, lambda r: (F.size(r["path"]) > 1) & (r["path"][0] == name)),
+                       lambda r: F.struct(F.slice(r["path"], F.lit(2), F.size(r["path"])).alias("path"), r["value"].alias("value"), r["line"].alias("line"), r["text"].alias("text")))
+
+
 def containers(files: DataFrame, keys: Keys) -> DataFrame:
     """Services of compose files."""
-    top = M.yaml_blocks(M.yaml_even("text"), 0)
-    services = M.yaml_blocks(M.yaml_inner(M.yaml_child(top, "services")), 1)
-    rows = _routed(files, keys, "compose").select(*keys, "file", F.explode(services).alias("b"))
-    rows = rows.select(*keys, "file", M.yaml_key(F.col("b")).alias("name"), M.yaml_blocks(M.yaml_inner(F.col("b")), 2).alias("parts"))
-    part = lambda key: M.yaml_child(F.col("parts"), key)
-    child_keys = lambda block: F.transform(M.yaml_blocks(M.yaml_inner(block), 3), M.yaml_key)
-    items = lambda key: M.yaml_items(part(key), 3)
-    build = F.when(M.yaml_scalar(part("build")) != "", M.yaml_scalar(part("build"))).otherwise(
-        M.yaml_scalar(M.yaml_child(M.yaml_blocks(M.yaml_inner(part("build")), 3), "context")))
-    env = F.when(F.size(items("environment")) > 0, F.transform(items("environment"), lambda e: F.substring_index(e, "=", 1))).otherwise(child_keys(part("environment")))
-    depends = F.when(F.size(items("depends_on")) > 0, items("depends_on")).otherwise(child_keys(part("depends_on")))
-    return rows.select(
-        *keys, "file", "name", M.yaml_scalar(part("image")).alias("image"), build.alias("build"), items("ports").alias("ports"), env.alias("env_keys"),
-        depends.alias("depends_on"), items("volumes").alias("volumes"))
+    rows = _outlined(files, keys, "compose").select(*keys, "file", Y.under(F.col("y"), "services").alias("s"))
+    rows = rows.select(*keys, "file", "s", F.explode(_children(F.col("s"))).alias("name")).select(*keys, "file", "name", _named(F.col("s"), F.col("name")).alias("y"))
+    y = F.col("y")
+    build = F.when(Y.value_at(y, "build") != "", Y.value_at(y, "build")).otherwise(Y.value_at(y, "build", "context"))
+    return rows.where(F.size("y") > 0).select(
+        *keys, "file", "name", Y.value_at(y, "image").alias("image"), build.alias("build"), Y.list_at(y, "ports").alias("ports"),
+        F.transform(Y.list_at(y, "environment"), lambda e: F.substring_index(e, "=", 1)).alias("env_keys"), Y.list_at(y, "depends_on").alias("depends_on"), Y.list_at(y, "volumes").alias("volumes"))
 
 
 def kubernetes(files: DataFrame, keys: Keys) -> DataFrame:
     """Objects of manifests that may hold several documents."""
     src = _routed(files, keys, "kubernetes").where(F.col("text").contains("apiVersion") & F.col("text").contains("kind:"))
-    docs = src.select(*keys, "file", F.posexplode(F.split(M.yaml_even("text"), r"(?m)^---[^\n]*$")).alias("doc", "text"))
-    docs = docs.withColumn("top", M.yaml_blocks(F.col("text"), 0)).where(M.yaml_scalar(M.yaml_child(F.col("top"), "kind")) != "")
-    meta = M.yaml_blocks(M.yaml_inner(M.yaml_child(F.col("top"), "metadata")), 1)
-    spec = M.yaml_child(F.col("top"), "spec")
-    inside = lambda key: F.transform(F.regexp_extract_all(spec, F.lit(rf"(?m)^\s+(?:- )?{key}:[ \t]*([^\n]+)$"), F.lit(1)), M.unquote)
-    return docs.select(
-        *keys, "file", "doc", M.yaml_scalar(M.yaml_child(F.col("top"), "kind")).alias("kind"), M.yaml_scalar(M.yaml_child(meta, "name")).alias("name"),
-        M.yaml_scalar(M.yaml_child(meta, "namespace")).alias("namespace"), inside("image").alias("images"),
-        F.concat(inside("containerPort"), inside("port")).alias("ports"),
-        F.expr("try_cast(nullif(regexp_extract(text, '(?m)^  replicas:[ \\t]*([0-9]+)', 1), '') as int)").alias("replicas"))
+    docs = src.select(*keys, "file", F.posexplode(Y.documents(F.col("text"))).alias("doc", "d")).select(*keys, "file", "doc", Y.yaml_rows(F.col("d.text")).alias("y"))
+    y = F.col("y")
+    spec = Y.under(y, "spec")
+    return docs.where(Y.value_at(y, "kind") != "").select(
+        *keys, "file", "doc", Y.value_at(y, "kind").alias("kind"), Y.value_at(y, "metadata", "name").alias("name"), Y.value_at(y, "metadata", "namespace").alias("namespace"),
+        Y.values_at(spec, "**", "image").alias("images"), F.concat(Y.values_at(spec, "**", "containerPort"), Y.values_at(spec, "**", "port")).alias("ports"),
+        Y.value_at(y, "spec", "replicas").try_cast("int").alias("replicas"))
 
 
 def terraform(files: DataFrame, keys: Keys) -> DataFrame:
@@ -101,7 +110,7 @@ JOB = "array<struct<name:string,stage:string,runs_on:string,uses:array<string>,c
 
 
 def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
-    """CI definitions with triggers and jobs."""
+    """CI definitions with triggers and jobs. A command is a one-line ``run`` or the first line of a longer one."""
     none = M.empty_strings()
 
     def job(name: Column, stage: Column | str = "", runs: Column | str = "", uses=None, commands=None, needs=None) -> Column:
@@ -109,31 +118,25 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
         return F.struct(name.alias("name"), lit(stage).alias("stage"), lit(runs).alias("runs_on"), (none if uses is None else uses).alias("uses"),
                         (none if commands is None else commands).alias("commands"), (none if needs is None else needs).alias("needs"))
 
-    top = M.yaml_blocks(M.yaml_even("text"), 0)
-    trig = F.when(M.yaml_child(top, "on") != "", M.yaml_child(top, "on")).otherwise(M.yaml_child(top, "true"))
-    names = F.transform(M.yaml_blocks(M.yaml_inner(trig), 1), M.yaml_key)
-    inline = M.yaml_items(trig, 1)
-    triggers = F.when(F.size(inline) > 0, inline).when(F.size(names) > 0, names).when(M.yaml_scalar(trig) != "", F.array(M.yaml_scalar(trig))).otherwise(none)
-
-    def action_job(b: Column) -> Column:
-        parts = M.yaml_blocks(M.yaml_inner(b), 2)
-        need = M.yaml_child(parts, "needs")
-        listed = M.yaml_items(need, 3)
-        return job(
-            M.yaml_key(b), "", M.yaml_scalar(M.yaml_child(parts, "runs-on")),
-            F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?uses:[ \t]*([^\n]+)$"), F.lit(1)), M.unquote),
-            F.regexp_extract_all(b, F.lit(r"(?m)^\s+(?:- )?run:[ \t]*(?:[|>][-+]?[ \t]*\n\s*)?([^\n]+)"), F.lit(1)),
-            F.when(F.size(listed) > 0, listed).when(M.yaml_scalar(need) != "", F.array(M.yaml_scalar(need))).otherwise(none))
-
-    acts = F.transform(M.yaml_blocks(M.yaml_inner(M.yaml_child(top, "jobs")), 1), action_job)
-    actions = _routed(files, keys, "actions").select(
-        *keys, "file", F.lit("GitHub Actions").alias("system"),
-        F.when(M.yaml_scalar(M.yaml_child(top, "name")) != "", M.yaml_scalar(M.yaml_child(top, "name"))).otherwise(basename("file")).alias("name"),
-        triggers.alias("triggers"), acts.cast(JOB).alias("jobs"))
-    is_job = lambda b: ~M.yaml_key(b).isin(*NOT_JOBS) & b.rlike(r"(?m)^  (script|steps|stage)\s*:")
-    generic_jobs = F.transform(F.filter(top, is_job), lambda b: job(M.yaml_key(b), M.yaml_scalar(M.yaml_child(M.yaml_blocks(M.yaml_inner(b), 1), "stage"))))
-    generic = _routed(files, keys, "pipeline").select(
-        *keys, "file", basename("file").alias("system"), basename("file").alias("name"), none.alias("triggers"), generic_jobs.cast(JOB).alias("jobs"))
+    y = F.col("y")
+    jobs = Y.under(y, "jobs")
+
+    def action_job(name: Column) -> Column:
+        rows = _named(jobs, name)
+        steps = F.filter(rows, lambda r: (F.size(r["path"]) == 3) & (r["path"][0] == "steps"))
+        runs = F.filter(steps, lambda r: (r["path"][2] == "run") & (r["value"] != ""))
+        first = F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["path"][1] != r["path"][1]))
+        return job(name, "", F.concat_ws(", ", Y.list_at(rows, "runs-on")), Y.values_at(rows, "steps", "*", "uses"), F.transform(first, lambda r: r["value"]), Y.list_at(rows, "needs"))
+
+    is_map = lambda name: F.exists(jobs, lambda r: (F.size(r["path"]) > 1) & (r["path"][0] == name))
+    triggers = F.when(F.size(Y.list_at(y, "on")) > 0, Y.list_at(y, "on")).otherwise(Y.list_at(y, "true"))
+    actions = _outlined(files, keys, "actions").select(
+        *keys, "file", F.lit("GitHub Actions").alias("system"), F.when(Y.value_at(y, "name") != "", Y.value_at(y, "name")).otherwise(basename("file")).alias("name"),
+        triggers.alias("triggers"), F.transform(F.filter(_children(jobs), is_map), action_job).cast(JOB).alias("jobs"))
+    tops = F.array_distinct(F.transform(F.filter(y, lambda r: (F.size(r["path"]) == 2) & r["path"][1].isin("script", "steps", "stage") & ~r["path"][0].isin(*NOT_JOBS)), lambda r: r["path"][0]))
+    generic = _outlined(files, keys, "pipeline").select(
+        *keys, "file", basename("file").alias("system"), basename("file").alias("name"), none.alias("triggers"),
+        F.transform(tops, lambda name: job(name, Y.value_at(_named(y, name), "stage"))).cast(JOB).alias("jobs"))
     stages = F.transform(_all(r"stage\(['\"]([^'\"]+)", 1), lambda s: job(s))
     jenkins = _routed(files, keys, "jenkins").select(
         *keys, "file", F.lit("Jenkins").alias("system"), basename("file").alias("name"), none.alias("triggers"), stages.cast(JOB).alias("jobs"))
@@ -141,25 +144,27 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
 
 
 def serverless(files: DataFrame, keys: Keys) -> DataFrame:
-    """Services with provider, runtime and functions."""
-    top = M.yaml_blocks(M.yaml_even("text"), 0)
-    provider = M.yaml_blocks(M.yaml_inner(M.yaml_child(top, "provider")), 1)
+    """Services with provider, runtime and functions; an event is named by its first key or by itself."""
+    y = F.col("y")
+    fns = Y.under(y, "functions")
 
-    def fn(b: Column) -> Column:
-        parts = M.yaml_blocks(M.yaml_inner(b), 2)
-        events = F.regexp_extract_all(M.yaml_child(parts, "events"), F.lit(r"(?m)^\s+- ([^:\n]+):?"), F.lit(1))
-        return F.struct(M.yaml_key(b).alias("name"), M.yaml_scalar(M.yaml_child(parts, "handler")).alias("handler"), events.alias("events"))
+    def fn(name: Column) -> Column:
+        rows = _named(fns, name)
+        events = F.filter(rows, lambda r: (F.size(r["path"]).between(2, 3)) & (r["path"][0] == "events") & ~r["text"])
+        first = F.filter(events, lambda r, k: (k == 0) | (F.get(events, k - 1)["path"][1] != r["path"][1]))
+        return F.struct(name.alias("name"), Y.value_at(rows, "handler").alias("handler"),
+                        F.transform(first, lambda r: F.when(F.size(r["path"]) == 3, F.get(r["path"], F.lit(2))).otherwise(r["value"])).alias("events"))
 
-    return _routed(files, keys, "serverless").select(
-        *keys, "file", M.yaml_scalar(M.yaml_child(top, "service")).alias("service"), M.yaml_scalar(M.yaml_child(provider, "name")).alias("provider"),
-        M.yaml_scalar(M.yaml_child(provider, "runtime")).alias("runtime"),
-        F.transform(M.yaml_blocks(M.yaml_inner(M.yaml_child(top, "functions")), 1), fn).alias("functions"))
+    return _outlined(files, keys, "serverless").select(
+        *keys, "file", Y.value_at(y, "service").alias("service"), Y.value_at(y, "provider", "name").alias("provider"), Y.value_at(y, "provider", "runtime").alias("runtime"),
+        F.transform(_children(fns), fn).alias("functions"))
 
 
 def helm(files: DataFrame, keys: Keys) -> DataFrame:
-    top = M.yaml_blocks(M.yaml_even("text"), 0)
-    field = lambda k: M.yaml_scalar(M.yaml_child(top, k)).alias(k)
-    return _routed(files, keys, "helm").select(*keys, "file", field("name"), field("version"), field("description"))
+    """Name, version and description of charts; a description over several lines is joined by blanks."""
+    y = F.col("y")
+    whole = lambda k: F.concat_ws(" ", F.transform(F.filter(y, lambda r: (F.size(r["path"]) == 1) & (r["path"][0] == k) & (r["value"] != "")), lambda r: r["value"])).alias(k)
+    return _outlined(files, keys, "helm").select(*keys, "file", whole("name"), whole("version"), whole("description"))
 
 
 def image_uses(cont: DataFrame, k8s: DataFrame, tf: DataFrame, keys: Keys) -> DataFrame:
