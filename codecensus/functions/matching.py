@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from codecensus.functions.guards import guard_sql
+from codecensus.functions.guards import guard_sql, literal_guards
 from codecensus.functions.text import strip
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -79,6 +79,36 @@ def hits_sql(text: str, pattern: str, index: int, low: str | None = None) -> str
     return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN {found} END"
 
 
+def rule_table_sql(rules: list[dict]) -> str:
+    """SQL for a constant array with one entry per rule: number ``i``, ``pattern``, ``guards`` and scope. The keys
+    ``languages``, ``files`` and ``not_files`` of a rule may be missing; a missing one is NULL in the table."""
+    def texts(values) -> str:
+        return "array(" + ", ".join(map(quoted, values)) + ")" if values else "cast(NULL AS array<string>)"
+
+    def path(value) -> str:
+        return quoted("(?i)" + value) if value else "cast(NULL AS string)"
+
+    return "array(" + ", ".join(
+        f"named_struct('i', {r['i']}, 'pattern', {quoted('(?m)' + r['pattern'])}, 'guards', {texts(literal_guards(r['pattern']))}, "
+        f"'languages', {texts(r.get('languages'))}, 'files', {path(r.get('files'))}, 'not_files', {path(r.get('not_files'))})" for r in rules) + ")"
+
+
+def table_hits_sql(text: str, low: str, table: str) -> str:
+    """The hits of all rules of a table, in its order, as in ``hits_sql``.
+
+    The rules are data: the table says which of them are in scope of the row (columns ``language`` and ``path``) and which
+    have a guard that occurs in the lower-cased text, and only for these one shared expression looks for matches. With a
+    copy of that expression for each rule, planning took longer than scanning.
+    """
+    met = (
+        "(r.languages IS NULL OR array_contains(r.languages, language)) "
+        f"AND (r.guards IS NULL OR exists(r.guards, g -> contains({low}, g))) "
+        "AND (r.files IS NULL OR path RLIKE r.files) AND (r.not_files IS NULL OR NOT path RLIKE r.not_files)"
+    )
+    found = _marked_lines(text, "r.pattern", f"{OPEN}$0{CLOSE}", OPEN, f"translate(q, '{CLOSE}', '')", f"'text', {{text}}, 'hit', substring_index(p.p[k], '{CLOSE}', 1)", "r.i")
+    return f"flatten(transform(filter(filter({table}, r -> {met}), r -> {text} RLIKE r.pattern), r -> {found}))"
+
+
 def groups_sql(text: str, pattern: str, groups: int, index: int) -> str:
     """SQL for ``array<struct<i:int, line:int, col:int, g:array<string>, text:string>>`` of one rule.
 

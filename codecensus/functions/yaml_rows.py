@@ -4,8 +4,8 @@
 top down to the row; an item of a list adds its number. Every key has a row, with an empty value if all it has stands
 below it. The fold carries a stack of open keys with their indents, so any nesting step will do, also lists that stand as
 deep as their key. Lines of block scalars and of values that run on are rows of their own with ``text`` set, trimmed and
-under the path of their key; flow lists and maps, over one or several lines, become rows as well (one level; what is
-nested in them stays written as it is). Comments, quotes, anchors and tags are taken off; aliases and merge keys stay as
+under the path of their key; flow lists and maps, over one or several lines, become rows as well (three levels
+deep). Comments, quotes, anchors and tags are taken off; aliases and merge keys stay as
 they are written. One document at a time: split a text with ``documents`` first.
 """
 
@@ -23,7 +23,9 @@ _KEY = r"""^("(?:[^"\\]|\\.)*+"|'[^']*+'|[^\s"'\[{#&*!|>%@`\-][^:]*+(?::(?=\S)[^
 _DASHES = r"^[ \t]*(?:-(?:[ \t]+|$))*"
 _BLOCK = r"^[|>][-+0-9]*$"
 # Pieces of a flow list or map: quoted texts and nested brackets are not cut.
-_PIECE = r"""(?:[^,"'\[\]{}]|"(?:[^"\\]|\\.)*+"|'[^']*+'|\[[^\]]*+\]|\{[^}]*+\})+"""
+_LIST, _MAP = r"\[(?:[^\[\]]|\[[^\]]*+\])*+\]", r"\{(?:[^{}]|\{[^}]*+\})*+\}"
+_PIECE = rf"""(?:[^,"'\[\]{{}}]|"(?:[^"\\]|\\.)*+"|'[^']*+'|{_LIST}|{_MAP})+"""
+FLOW_LEVELS = 3
 
 
 def documents(text: Column) -> Column:
@@ -136,7 +138,9 @@ def yaml_rows(text: Column | str) -> Column:
 
     # The tokens are bound to a variable, so that every chunk reads the same array.
     rows = F.transform(F.array(_tokens(F.coalesce(t, F.lit("")))), fold)[0]
-    return F.flatten(F.transform(rows, _spread_flow))
+    for _ in range(FLOW_LEVELS):
+        rows = F.flatten(F.transform(rows, _spread_flow))
+    return rows
 
 
 def _is(path: Column, pattern: tuple[str, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import classify as C
 from codecensus.functions import evidence as V
-from codecensus.functions.matching import docstring_spans, hits_sql, in_spans, quoted, unmarked
+from codecensus.functions.matching import docstring_spans, hits_sql, in_spans, quoted, rule_table_sql, table_hits_sql, unmarked
 from codecensus.functions.text import entropy, lines, slug, strip
 from codecensus.operators.windows import first_wins
 from codecensus.rules import secrets as K
@@ -32,18 +32,14 @@ def _scope_sql(rule: dict) -> str:
     return " AND ".join(tests)
 
 
-def _rule_sql(rule: dict, index: int) -> str:
-    """Raw hits of one rule, guarded by its scope."""
-    if rule["id"] in S.WHOLE_FILE_RULES:
-        hit = (
-            "NOT text RLIKE '(?m)^\\\\s*USER\\\\s+\\\\w'" if rule["id"] == "docker-root"
-            else "text RLIKE 'kind:\\\\s*(Deployment|StatefulSet|DaemonSet)' AND NOT contains(text, 'limits:')"
-        )
-        first = f"array(named_struct('i', {index}, 'line', 1, 'col', 0, 'text', btrim(substring_index(text, '\\n', 1), ' \\t\\r'), 'hit', ''))"
-        found = f"CASE WHEN {hit} THEN {first} END"
-    else:
-        found = hits_sql("text", rule["pattern"], index, "low")
-    return f"coalesce(CASE WHEN {_scope_sql(rule)} THEN {found} END, cast(array() as {HIT}))"
+def _whole_sql(rule: dict, index: int) -> str:
+    """The hit of a rule on the whole file, guarded by its scope."""
+    hit = (
+        "NOT text RLIKE '(?m)^\\\\s*USER\\\\s+\\\\w'" if rule["id"] == "docker-root"
+        else "text RLIKE 'kind:\\\\s*(Deployment|StatefulSet|DaemonSet)' AND NOT contains(text, 'limits:')"
+    )
+    first = f"array(named_struct('i', {index}, 'line', 1, 'col', 0, 'text', btrim(substring_index(text, '\\n', 1), ' \\t\\r'), 'hit', ''))"
+    return f"coalesce(CASE WHEN {_scope_sql(rule)} AND {hit} THEN {first} END, cast(array() as {HIT}))"
 
 
 def _meta(rules: list[dict]) -> Column:
@@ -68,13 +64,15 @@ def _first_per_rule(hits: Column, limits: Column) -> Column:
 def scan_rules(files: DataFrame, keys: list[str], rules=S.RULES, max_per_rule: int | None = None, id_prefix: str = "CC-") -> DataFrame:
     """Findings of all rules over ``files(keys, path, language, text)``.
 
-    Every rule is a literal pattern, guarded by its language and path scope, so a regex
-    runs only where it applies and compiles once per task. ``rules`` may be extended. Every hit
+    Rules are entries of a constant table. Per file only those are looked for whose language and path fit and
+    of which a guard occurs in the text. ``rules`` may be extended. Every hit
     is a finding, but for rules that report a file once; ``max_per_rule`` limits the others.
     """
     rules = list(rules)
     path = F.col("path")
-    raw = F.expr("concat(" + ", ".join(_rule_sql(r, i) for i, r in enumerate(rules)) + ")")
+    matched = rule_table_sql([{**r, "i": i} for i, r in enumerate(rules) if r["id"] not in S.WHOLE_FILE_RULES])
+    parts = [table_hits_sql("text", "low", matched)] + [_whole_sql(r, i) for i, r in enumerate(rules) if r["id"] in S.WHOLE_FILE_RULES]
+    raw = F.expr("concat(" + ", ".join(parts) + ")")
     scanned = (
         files.where(F.col("text") != "")
         .select(*keys, "path", "language", unmarked("text").alias("text"), F.lower("text").alias("low"))

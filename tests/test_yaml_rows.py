@@ -46,7 +46,7 @@ def plain(rows):
 def test_rows(spark):
     got = plain(spark.createDataFrame([(TEXT,)], "text string").select(yaml_rows("text").alias("y")).first().y)
     assert got == [
-        ("name", "a: b", 2, False), ("on", "", 3, False), ("on/push", "", 4, False), ("on/push/branches", "[main, dev]", 4, False), ("on/push/tags", "v*", 4, False),
+        ("name", "a: b", 2, False), ("on", "", 3, False), ("on/push", "", 4, False), ("on/push/branches", "", 4, False), ("on/push/branches/0", "main", 4, False), ("on/push/branches/1", "dev", 4, False), ("on/push/tags", "v*", 4, False),
         ("on/schedule", "", 5, False), ("on/schedule/0/cron", "0 5 * * *", 6, False),
         ("list", "", 7, False), ("list/0", "a", 7, False), ("list/1", "b, c", 7, False), ("list/2", "d", 7, False),
         ("jobs", "", 9, False), ("jobs/build", "", 10, False), ("jobs/build/runs-on", "ubuntu", 11, False), ("jobs/build/steps", "", 12, False),
