@@ -4,7 +4,9 @@ Generators with high recall propose overlapping spans in whole texts. Each span
 stands around it; boosted trees estimate how likely it is personal data, and a threshold calibrated for each kind on the
 spans of all held-out documents decides. The trees learn from a bounded sample of the other documents, dealt out evenly by
 kind and document: a span is a positive if the strict format check of
-its kind accepts it (Luhn sum, octets, top-level domain, digit count). The checks themselves are no features, so that spans
+its kind accepts it (Luhn sum, octets, top-level domain, digit count), or if it is such a span written another way where
+it stands (``written_otherwise``: ``[at]``, dots, slashes, other prefixes), which no strict check accepts. Negatives are
+the loose spans of the texts themselves, and addresses whose host has lost its dots. The checks are no features, so that spans
 that look alike but are mistyped or written another way are found as well. Spans that pass a strict check always stay.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,15 +33,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_EMAIL = re.compile(r"[^\s@<>(),;:\"']{1,64}(?:@|\x20?\[at\]\x20?|\x20?\(at\)\x20?)[^\s@<>(),;:\"']{2,255}")
+_LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])")
+_LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{1,7}(?![0-9])")
 _LOOSE_CALL = re.compile(r"(?<![\w.])(?:\+|00)?\(?[0-9][0-9().\x20/-]{7,22}[0-9](?!\w)")
 _CONTEXT = re.compile(r"mail|contact|write|phone|tel|call|fax|mobile|card|visa|credit|account|iban|ip|host|addr", re.IGNORECASE)
 
 FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "length", "digits", "letters", "separators", "groups", "longest_group", "starts_plus", "brackets",
-            "word_before", "word_after", "keyword")
+            "word_before", "word_after", "keyword", "dots", "at_sign")
 #: Documents whose spans the trees may learn from, and spans of these, a fourth of them for each kind; spans of a kind from one document.
 SAMPLE_DOCUMENTS, SAMPLE_SPANS = 3000, 4000
 DOCUMENT_SPANS = 4
-PRECISION = 0.9
+PRECISION, RECALL, LEAST = 0.9, 0.95, 0.6
+#: Characters on both sides of a span that is written another way; features look no farther.
+AROUND = 40
 
 
 def luhn(digits: str) -> bool:
@@ -78,6 +85,9 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text or "at]" in text or "at)" in text:
         found |= {(m.start(), 0, m.end()) for m in _LOOSE_EMAIL.finditer(text)}
     found |= {(m.start(), 1, m.end()) for m in _IP.finditer(text)}
+    if "[.]" in text or "(.)" in text:
+        found |= {(m.start(), 1, m.end()) for m in _LOOSE_IP.finditer(text)}
+    found |= {(m.start(), 2, m.end()) for m in _LOOSE_CARD.finditer(text)}
     found |= {(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 11 <= sum(map(str.isdecimal, m[0])) <= 20}
     found |= {(m.start(), 3, m.end()) for m in _LOOSE_CALL.finditer(text) if 9 <= sum(map(str.isdecimal, m[0])) <= 15}
     return sorted(found)
@@ -89,11 +99,42 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     before, after = text[start - 1 : start], text[end : end + 1]
     return [float(x) for x in (
         *(kind == k for k in range(4)), end - start, sum(map(len, groups)), sum(map(str.isalpha, span)), sum(c in " .-/" for c in span), len(groups),
-        max(map(len, groups), default=0), span.startswith("+"), "(" in span, before.isalnum(), after.isalnum(), bool(_CONTEXT.search(text, max(0, start - 30), start)))]
+        max(map(len, groups), default=0), span.startswith("+"), "(" in span, before.isalnum(), after.isalnum(), bool(_CONTEXT.search(text, max(0, start - 30), start)), span.count("."), "@" in span)]
+
+
+def written_otherwise(span: str, kind: int) -> list[tuple[str, bool]]:
+    """Forms of a strict span that no strict check accepts, and whether they still are personal data; the span itself
+    decides which of several ways is taken."""
+    dice = zlib.crc32(span.encode())
+    if kind == 0:
+        name, host = span.split("@")
+        at = (" [at] ", "[at]", " (at) ", "(at)")[dice % 4]
+        return [(name + at + host, True), (name + (at, "@")[dice // 4 % 2] + host.replace(".", ""), False)]
+    if kind == 1:
+        return [(("[.]", "(.)")[dice % 2].join(span.split(".")), True)]
+    if kind == 2:
+        digits = re.sub("[^0-9]", "", span)
+        return [("./_"[dice % 3].join(digits[k : k + 4] for k in range(0, len(digits), 4)), True)]
+    return [(("00" + span[1:], "00 " + span[1:], "00" + re.sub(r"[^0-9]+", "/", span[1:]))[dice % 3], True)]
+
+
+def planted(text: str, start: int, kind: int, end: int) -> list[tuple[bool, list[float]]]:
+    """(label, features) of a strict span written otherwise in its place, as the generators would propose it."""
+    out = []
+    for form, good in written_otherwise(text[start:end], kind):
+        lead = text[max(0, start - AROUND) : start]
+        window = lead + form + text[end : end + AROUND]
+        strict = set(base_spans(window))
+        shared = lambda x: min(x[2], len(lead) + len(form)) - max(x[0], len(lead))  # noqa: E731, B023
+        near = [x for x in loose_spans(window) if x[1] == kind and x not in strict and shared(x) > 0]
+        if near:
+            out.append((good, features(window, *max(near, key=shared))))
+    return out
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, counts, base_sha256, found) of (row, doc_id, text); found: spans with label and features."""
+    """(row, doc_id, counts, base_sha256, found) of (row, doc_id, text); found: spans with label and
+    features; planted ones are for learning only."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
             out = []
@@ -103,14 +144,16 @@ def proposals(docs: DataFrame) -> DataFrame:
                 strict = set(base)
                 count = [sum(k == n for _, k, _ in base) for n in range(4)]
                 said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-                spans = [{"start": s, "kind": k, "stop": e, "strict": (s, k, e) in strict, "features": features(text, s, k, e)} for s, k, e in sorted({*base, *loose_spans(text)})]
+                spans = [{"start": s, "kind": k, "stop": e, "strict": (s, k, e) in strict, "planted": False, "label": float((s, k, e) in strict), "features": features(text, s, k, e)}
+                         for s, k, e in sorted({*base, *loose_spans(text)})]
+                spans += [{"start": s, "kind": k, "stop": e, "strict": False, "planted": True, "label": float(good), "features": x} for s, k, e in base for good, x in planted(text, s, k, e)]
                 out.append((*count, hashlib.sha256(said.encode()).hexdigest(), spans))
             facts = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found"])
             yield pd.concat([batch[["row", "doc_id"]].reset_index(drop=True), facts], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInPandas(scan, f"row long, doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-                                  "found array<struct<start: long, kind: int, stop: long, strict: boolean, features: array<double>>>")
+                                  "found array<struct<start: long, kind: int, stop: long, strict: boolean, planted: boolean, label: double, features: array<double>>>")
 
 
 def _vectors(spans: DataFrame) -> DataFrame:
@@ -126,7 +169,7 @@ def fitting_sample(rows: DataFrame) -> DataFrame:
     """(kind, strict, features, label) of a bounded sample of (dice, found): for each kind the same number of documents, and of
     these first one span each, then the next. Equal dice are one document."""
     def some(kind: int) -> Column:
-        dealt = F.array_sort(F.transform(F.filter("found", lambda f: f["kind"] == kind), lambda f: F.struct(F.xxhash64(f["start"], f["stop"]).alias("order"), f.alias("f"))))
+        dealt = F.array_sort(F.transform(F.filter("found", lambda f: f["kind"] == kind), lambda f: F.struct(F.xxhash64(f["start"], f["stop"], f["planted"], f["label"]).alias("order"), f.alias("f"))))
         return F.struct(F.lit(kind).alias("kind"), F.slice(dealt, 1, DOCUMENT_SPANS).alias("some"))
 
     of_kind = rows.select("dice", F.explode(F.array(*[some(k) for k in range(len(KINDS))])).alias("x")).select("dice", "x.*").where(F.size("some") > 0)
@@ -140,30 +183,36 @@ def fitting_sample(rows: DataFrame) -> DataFrame:
     chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("dice"))).where(F.col("n") <= most)
     spans = chosen.select("dice", "kind", F.posexplode("some").alias("nth", "x")).withColumn(
         "n", F.row_number().over(Window.partitionBy("kind").orderBy("nth", "dice"))).where(F.col("n") <= SAMPLE_SPANS // len(KINDS))
-    return spans.orderBy("kind", "n").select("kind", "x.f.strict", "x.f.features", F.col("x.f.strict").cast("double").alias("label"))
+    return spans.orderBy("kind", "n").select("kind", "x.f.strict", "x.f.features", "x.f.label")
 
 
 def train(rows: DataFrame, seed: int = 11) -> tuple[GBTClassificationModel, dict[int, float]] | None:
     """Trees and a threshold for each kind, from (doc_id, found); nothing if only one class is seen.
 
     A bounded sample of half of the documents fits the trees. On all spans of all others the lowest chance is found at and
-    above which ``PRECISION`` of a kind's spans are positives, one half at least; a kind without one, or that no held-out
-    document holds, gets no threshold and adds no span.
+    above which ``PRECISION`` of a kind's spans are positives, planted ones aside, one half at least. Spans of the texts that are personal data
+    written otherwise count as negatives there, as nobody labelled them; so the chance that ``RECALL`` of the planted
+    ones reach will do as well, ``LEAST`` at least. A kind without either, or that no held-out document holds, gets no
+    threshold and adds no span.
     """
     halves = rows.select("found", F.xxhash64("doc_id", "found", F.lit(seed)).alias("dice")).withColumn("fit", F.pmod("dice", F.lit(2)) == 0)
     sample = cut(fitting_sample(halves.where("fit")).coalesce(1))
     if sample.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, maxBins=16).fit(_vectors(sample))
-    held = halves.where("not fit").select(F.explode("found").alias("f")).select("f.kind", "f.features", F.col("f.strict").cast("double").alias("label"))
+    held = halves.where("not fit").select(F.explode("found").alias("f")).select("f.kind", "f.features", "f.planted", "f.label")
     scored = _chance(model, held).withColumn("chance", F.floor(F.col("chance") * 100) / 100)
+    own, written = F.when(F.col("planted"), 0.0).otherwise(F.col("label")), F.when(F.col("planted"), F.col("label")).otherwise(0.0)
     limits: dict[int, float] = {}
-    seen: dict[int, tuple[int, int]] = {}
-    for row in scored.groupBy("kind", "chance").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("chance")).collect():
-        good, n = seen.get(row["kind"], (0, 0))
-        seen[row["kind"]] = good, n = good + row["good"], n + row["n"]
-        if good >= PRECISION * n and row["chance"] >= 0.5:
-            limits[row["kind"]] = row["chance"]
+    seen: dict[int, tuple[float, int, float]] = {}
+    rows_of = scored.groupBy("kind", "chance").agg(F.sum(own).alias("good"), F.count_if(~F.col("planted")).alias("n"), F.sum(written).alias("written")).orderBy(F.desc("chance")).collect()
+    total = {k: sum(r["written"] for r in rows_of if r["kind"] == k) for k in range(len(KINDS))}
+    for row in rows_of:
+        kind, chance = row["kind"], row["chance"]
+        good, n, reached = seen.get(kind, (0.0, 0, 0.0))
+        seen[kind] = good + row["good"], n + row["n"], reached + row["written"]
+        if (row["n"] and seen[kind][0] >= PRECISION * seen[kind][1] and chance >= 0.5) or (reached < RECALL * total[kind] and chance >= LEAST):
+            limits[kind] = chance
     return model, limits
 
 
@@ -186,7 +235,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         model, limits = trained
         # A strict span settles every span that touches it.
         strict = F.filter("found", lambda f: f["strict"])
-        free = rows.select("row", F.explode(F.filter("found", lambda f: ~f["strict"] & ~F.exists(strict, lambda b: (b["start"] < f["stop"]) & (f["start"] < b["stop"])))).alias("f"))
+        free = rows.select("row", F.explode(F.filter("found", lambda f: ~f["strict"] & ~f["planted"] & ~F.exists(strict, lambda b: (b["start"] < f["stop"]) & (f["start"] < b["stop"])))).alias("f"))
         limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
         added = _chance(model, free.select("row", "f.*")).where(F.col("chance") >= F.try_element_at(limit, F.col("kind")))
         added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("added"))

@@ -109,6 +109,39 @@ def test_personal_data_added_beside_a_document_of_many_spans(spark):
     assert got[25].spans == "card:12:28" and got[25].n_card == 0 and got[first].n_ip == 4500
 
 
+def test_personal_data_written_otherwise(spark):
+    """Learnt from strict spans alone: spans written another way are found, decoys are left alone; precision and recall."""
+    import random
+
+    rng = random.Random(4)
+    words = "the report of last week was sent to all of them and nobody knew why it came so late".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def card(wrong):
+        stem = f"4{rng.randrange(10**14):014}"
+        return stem + str((next(d for d in range(10) if pii_redaction.luhn(f"{stem}{d}")) + wrong) % 10)
+
+    def strict(kind):
+        return (f"{rng.choice(words)}.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", ".".join(str(rng.randrange(256)) for _ in range(4)), card(0),
+                f"+{rng.randrange(1, 99)} {rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}")[kind]
+
+    decoys = (lambda: card(1 + rng.randrange(8)), lambda: f"user@host{rng.randrange(9999)}", lambda: f"build 900.{rng.randrange(99)}.3.4")
+    learn = [(k, f"{prose(9)} {strict(k % 4)} {prose(5)} {rng.choice(decoys)()} {prose(3)}", "s") for k in range(800)]
+    held, truth = [], {}
+    for k in range(1000, 1400):
+        form = pii_redaction.written_otherwise(strict(k % 4), k % 4)[0][0]
+        lead = prose(7) + " "
+        truth[k] = (k % 4, len(lead), len(lead) + len(form)) if k % 3 else None
+        held.append((k, f"{lead}{form if k % 3 else rng.choice(decoys)()} {prose(6)}", "s"))
+    got = {r.doc_id: r for r in pii_redaction.find_personal_data(spark.createDataFrame(learn + held, SCHEMA)).collect()}
+    added = {k: [x.split(":") for x in got[k].spans.split(",") if x] for k in truth if got[k].n_added}
+    right = [k for k, spans in added.items() if truth[k] and any(
+        x == pii_redaction.KINDS[truth[k][0]] and int(s) < truth[k][2] and truth[k][1] < int(e) for x, s, e in spans)]
+    wanted = sum(t is not None for t in truth.values())
+    assert len(right) >= 0.9 * wanted and len(right) >= 0.9 * len(added), (len(right), wanted, len(added))
+    assert sum(got[k].n_added for k in range(800)) <= 8
+
+
 def test_personal_data_with_and_without_training(spark):
     rows = [(k, f"call +1 (017) 555-{7000 + k} or mail a{k}@b{k}.com, host 10.0.0.{k}, build 900.{k}.3.4" if k % 2 else f"pay 4539578763621486 for {10**11 + k * 7}", "s") for k in range(60)]
     rows += [(100, None, None), (101, "", None), (101, "", None), (102, "write to me at[at]home.org", "s")]
