@@ -4,7 +4,7 @@
 top down to the row; an item of a list adds its number. Every key has a row, with an empty value if all it has stands
 below it. The fold carries a stack of open keys with their indents, so any nesting step will do, also lists that stand as
 deep as their key. Lines of block scalars and of values that run on are rows of their own with ``text`` set, trimmed and
-under the path of their key; flow lists and maps, over one or several lines, become rows as well (three levels
+under the path of their key; flow lists and maps, over one or several lines, become rows as well (six levels
 deep). Comments, quotes, anchors and tags are taken off; aliases and merge keys stay as
 they are written. One document at a time: split a text with ``documents`` first.
 """
@@ -23,9 +23,16 @@ _KEY = r"""^("(?:[^"\\]|\\.)*+"|'[^']*+'|[^\s"'\[{#&*!|>%@`\-][^:]*+(?::(?=\S)[^
 _DASHES = r"^[ \t]*(?:-(?:[ \t]+|$))*"
 _BLOCK = r"^[|>][-+0-9]*$"
 # Pieces of a flow list or map: quoted texts and nested brackets are not cut.
-_LIST, _MAP = r"\[(?:[^\[\]]|\[[^\]]*+\])*+\]", r"\{(?:[^{}]|\{[^}]*+\})*+\}"
-_PIECE = rf"""(?:[^,"'\[\]{{}}]|"(?:[^"\\]|\\.)*+"|'[^']*+'|{_LIST}|{_MAP})+"""
-FLOW_LEVELS = 3
+FLOW_LEVELS = 6
+
+
+def _nested(levels: int) -> str:
+    """A bracketed text with brackets in it, so many levels deep."""
+    inside = r"""[^\[\]{}"']|"(?:[^"\\]|\\.)*+"|'[^']*+'|["']"""
+    return r"[\[{](?:" + inside + ("|" + _nested(levels - 1) if levels > 1 else "") + r")*+[\]}]"
+
+
+_PIECE = r"""(?:[^,"'\[\]{}]|"(?:[^"\\]|\\.)*+"|'[^']*+'|""" + _nested(FLOW_LEVELS - 1) + ")++"
 
 
 def documents(text: Column) -> Column:

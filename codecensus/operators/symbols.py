@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions.matching import block_comments_removed, docstring_spans, groups_sql, in_spans, quoted, unmarked
-from codecensus.functions.text import route
+from codecensus.functions.text import route, strip
 from codecensus.rules import languages as L
 
 Keys = list[str]
@@ -77,6 +77,55 @@ def _once_per_line(rows: DataFrame, keys: Keys) -> DataFrame:
     return rows.groupBy(*by, "language", "relative").agg(F.min("raw").alias("raw")).select(*rows.columns)
 
 
+# Fixed value: what opens a decorator, function or class.
+_HEAD = r"^[ \t]*(?:@[\w.]+|(?:async[ \t]+)?def[ \t]|class[ \t])"
+
+
+def heads_joined(text: Column) -> Column:
+    """Python text in which decorators and heads of functions and classes that run over several lines stand on their first
+    line, without comments; empty lines take the place of the others, so that no line gets another number.
+
+    One fold over the lines, in chunks. A head whose brackets never close ends at the next head or at the end.
+    """
+    strings = "array<string>"
+    none = F.expr(f"cast(array() as {strings})")
+    quoted_or_comment = r"""\"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|#.*+$"""
+    no_comment = r"""^((?:[^"'#]++|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|["'])*+)#.*$"""
+
+    def state(opened, head, held, out) -> Column:
+        return F.struct(opened.cast("int").alias("open"), head.alias("head"), held.cast("int").alias("held"), out.alias("out"))
+
+    def flushed(a: Column) -> Column:
+        """What is held, with an empty line for each line it took in."""
+        return F.when(a["open"] > 0, F.concat(a["out"], F.array(a["head"]), F.array_repeat(F.lit(""), a["held"]))).otherwise(a["out"])
+
+    def step(a: Column, line: Column) -> Column:
+        plain = F.regexp_replace(line, quoted_or_comment, "")
+        count = lambda marks: F.length(plain) - F.length(F.translate(plain, marks, ""))
+        grown = count("([{") - count(")]}")
+        is_head = line.rlike(_HEAD)
+        clean = F.when(line.contains("#"), F.regexp_replace(line, no_comment, "$1")).otherwise(line)
+        joined = F.concat(a["head"], F.lit(" "), strip(clean))
+        more = F.when(a["open"] + grown > 0, state(a["open"] + grown, joined, a["held"] + 1, a["out"])).otherwise(
+            state(F.lit(0), F.lit(""), F.lit(0), F.concat(a["out"], F.array(joined), F.array_repeat(F.lit(""), a["held"] + 1))))
+        begins = is_head & (grown > 0)
+        return F.when((a["open"] > 0) & ~is_head, more).when(begins, state(grown, F.rtrim(clean), F.lit(0), flushed(a))).otherwise(
+            state(F.lit(0), F.lit(""), F.lit(0), F.array_append(flushed(a), line)))
+
+    def fold(every: Column) -> Column:
+        start = F.struct(F.lit(0).alias("open"), F.lit("").alias("head"), F.lit(0).alias("held"), F.expr(f"cast(array() as array<{strings}>)").alias("done"))
+
+        def chunk(s: Column, k: Column) -> Column:
+            return F.aggregate(F.slice(every, k * 256 + 1, F.lit(256)), state(s["open"], s["head"], s["held"], none), step, lambda e: F.struct(
+                e["open"].alias("open"), e["head"].alias("head"), e["held"].alias("held"), F.array_append(s["done"], e["out"]).alias("done")))
+
+        rest = lambda s: flushed(F.struct(s["open"].alias("open"), s["head"].alias("head"), s["held"].alias("held"), F.flatten(s["done"]).alias("out")))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / 256).cast("int")), start, chunk, rest)
+
+    runs_on = text.rlike("(?m)" + _HEAD + r"[^\n]*[(,\[{][ \t]*(?:#[^\n]*)?\r?$")
+    return F.when(runs_on, F.array_join(F.transform(F.array(F.split(text, "\n")), fold)[0], "\n")).otherwise(text)
+
+
 def python_outline(files: DataFrame, keys: Keys) -> DataFrame:
     """Classes and functions of Python files with qualified names and their decorators.
 
@@ -87,7 +136,8 @@ def python_outline(files: DataFrame, keys: Keys) -> DataFrame:
         r"""^([ \t]*)(?:@([\w.]+)(?:\((?:\s*[rf]?["']([^"'\n]*)["'])?([^\n]*))?|((?:async[ \t]+)?def|class)[ \t]+(\w+)([^\n]*))"""
     )
     src = bodies(files.where(F.col("language") == "Python"), keys).withColumn("docs", F.expr(docstring_spans("body")))
-    found = src.select(*keys, "path", "docs", F.expr(groups_sql("body", pattern, 7, 0)).alias("raw"))
+    heads = src.select(*keys, "path", "docs", heads_joined(F.col("body")).alias("body"))
+    found = heads.select(*keys, "path", "docs", F.expr(groups_sql("body", pattern, 7, 0)).alias("raw"))
     items = F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
         F.filter("raw", lambda x: ~in_spans(F.col("docs"), x["line"], x["col"])))
     deco = "struct<chain:string,path:string,rest:string>"

@@ -191,3 +191,32 @@ def image_rules(spark, d):
                  F.replace(_pick([s[2] for s in COMPOSE], k), F.lit("{w}"), _word()).alias("text"))
     none = f.limit(0)
     return I.image_uses(I.containers(f, KEYS), I.kubernetes(none, KEYS), I.terraform(none, KEYS), KEYS).select("repo", "file", "service", "name")
+
+
+# Heads over several lines, of one to several arguments, with comments and brackets in strings; and calls, which are none.
+HEADS = (
+    ("Python", "a.py", "@router.post(  # note (\n    '/v1/{w}',\n    tags=['a)'],\n)\nasync def make_{w}(\n    self, a: int,  # first\n    *args,\n):\n    call(\n        1)\n"),
+    ("Python", "a.py", "class C_{w}(\n    Base,\n):\n    @app.route(\n        '/x/{w}', methods=[\n            'PUT', 'GET'])\n    def run(self,\n            b=1):\n        pass\n"),
+    ("Python", "a.py", "@task\ndef one_{w}(): pass\nx = [\n    call(\n        2)]\n"),
+)
+_P = "p AS (SELECT *, p_size % 4 AS head, replace(p_name, ' ', '_') AS w, p_partkey % 3 AS k FROM part)"
+
+
+@query("python_heads", rf"""
+WITH {_P}
+SELECT {REPO_SQL}a.py' AS file, 'make_' || w AS name, 'function' AS kind, (head + 5)::INT AS line, 'def make_' || w || '(self, a, args)' AS signature FROM p WHERE k = 0
+UNION ALL SELECT {REPO_SQL}a.py', unnest(['C_' || w, 'C_' || w || '.run']), unnest(['class', 'method']), (head + unnest([1, 7]))::INT, unnest(['class C_' || w || '( Base, )', 'def run(self, b)']) FROM p WHERE k = 1
+UNION ALL SELECT {REPO_SQL}a.py', 'one_' || w, 'function', (head + 2)::INT, 'def one_' || w || '()' FROM p WHERE k = 2""")
+def python_heads(spark, d):
+    """Classes and functions whose heads run over several lines."""
+    return SY.symbols(dealt(spark, d, HEADS), KEYS).select("repo", "file", "name", "kind", "line", "signature")
+
+
+@query("python_routes", rf"""
+WITH {_P}
+SELECT {REPO_SQL}a.py' AS file, 'http' AS kind, 'POST' AS method, '/v1/' || w AS path, 'make_' || w AS handler, (head + 5)::INT AS line FROM p WHERE k = 0
+UNION ALL SELECT {REPO_SQL}a.py', 'http', unnest(['PUT', 'GET']), '/x/' || w, 'C_' || w || '.run', (head + 7)::INT FROM p WHERE k = 1
+UNION ALL SELECT {REPO_SQL}a.py', 'event', 'TASK', 'one_' || w, 'one_' || w, (head + 2)::INT FROM p WHERE k = 2""")
+def python_routes(spark, d):
+    """Routes and tasks whose decorators run over several lines."""
+    return SY.endpoints(dealt(spark, d, HEADS), KEYS).select("repo", "file", "kind", "method", "path", "handler", "line")

@@ -154,3 +154,46 @@ def test_other_languages(spark):
     lines = {(r.path, r.line) for r in S.endpoints(f, ["repo"]).where("file = 'g.graphql'").collect()}
     assert lines == {("user", 2), ("all", 3)}
     assert {r.path for r in S.entry_files(f, ["repo"]).collect()} == {"main.go", "l.rs", "c.c", "t.sh"}
+
+
+def test_heads_over_several_lines(spark):
+    from pyspark.sql import functions as F
+
+    from codecensus.operators.symbols import endpoints, heads_joined, symbols
+
+    text = '''import x
+@router.post(  # note (
+    "/v1/{id}",
+    tags=["a)", 'b'],
+)
+async def make(
+    self, a: int,  # first
+    *args,
+):
+    call(
+        1)
+
+
+class A(
+    Base,
+):
+    @app.route(
+        "/x", methods=[
+            "PUT", "GET"])
+    def run(self,
+            b=1):
+        pass
+
+
+def broken(
+def fine(): pass
+'''
+    frame = spark.createDataFrame([("r", "a.py", "Python", "source", text)], "repo string, path string, language string, kind string, text string")
+    joined = frame.select(heads_joined(F.col("text"))).first()[0].split("\n")
+    assert len(joined) == len(text.split("\n"))
+    assert joined[1:9] == ['@router.post( "/v1/{id}", tags=["a)", \'b\'], )', "", "", "", "async def make( self, a: int, *args, ):", "", "", ""]
+    assert joined[9:11] == ["    call(", "        1)"] and joined[-3:] == ["def broken(", "def fine(): pass", ""]
+    got = {(r.name, r.line, r.signature) for r in symbols(frame, ["repo"]).collect()}
+    assert got == {("make", 6, "def make(self, a, args)"), ("A", 14, "class A( Base, )"), ("A.run", 20, "def run(self, b)"), ("broken", 25, "def broken()"), ("fine", 26, "def fine()")}
+    routes = {(r.method, r.path, r.handler, r.line) for r in endpoints(frame, ["repo"]).collect()}
+    assert routes == {("POST", "/v1/{id}", "make", 6), ("PUT", "/x", "A.run", 20), ("GET", "/x", "A.run", 20)}

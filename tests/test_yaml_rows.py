@@ -70,6 +70,7 @@ def test_lookups_and_documents(spark):
 
 def test_long_texts_take_linear_time(spark):
     text = "items:\n" + "".join(f"  - name: n{k}\n    ports: [1, {k}]\n" for k in range(20000))
+    text += "flow: [" + ", ".join(f"'a {k}', {{b: [{k}]}}" for k in range(10000)) + "]\nwords: " + "w 'q' " * 20000 + " # end\n"
     at = time.time()
     n = spark.createDataFrame([(text,)], "text string").select(F.size(yaml_rows("text"))).first()[0]
-    assert n == 1 + 20000 * 4 and time.time() - at < 60
+    assert n == 1 + 20000 * 4 + 1 + 10000 * 4 + 1 and time.time() - at < 60
