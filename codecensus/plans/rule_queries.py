@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.operators import infra as I
+from codecensus.operators import resolve as RS
 from codecensus.operators import security as SE
 from codecensus.operators import symbols as SY
 from codecensus.operators import systems as S
@@ -220,3 +221,36 @@ UNION ALL SELECT {REPO_SQL}a.py', 'event', 'TASK', 'one_' || w, 'one_' || w, (he
 def python_routes(spark, d):
     """Routes and tasks whose decorators run over several lines."""
     return SY.endpoints(dealt(spark, d, HEADS), KEYS).select("repo", "file", "kind", "method", "path", "handler", "line")
+
+
+# What every part asks for: (language, asking file, module, relative), and which files it brings: (language, path, parts that bring it: every so many).
+ASKED = (
+    ("Go", "svc/main.go", "github.com/acme/svc/p{k}", False), ("Go", "svc/main.go", "github.com/o{k}/b/c", False), ("Go", "svc/main.go", "net{k}", False),
+    ("Java", "j/src/main/java/com/acme/p{k}/Repo.java", "com.acme.p{k}.Repo", False), ("Java", "j/src/main/java/com/acme/p{k}/Repo.java", "java.util.L{k}", False),
+    ("Java", "j/src/main/java/com/acme/p{k}/Repo.java", "org.x.y{k}.Z", False),
+    ("C#", "n/Use.cs", "Acme.Orders{k}", False), ("C#", "n/Use.cs", "System.T{k}", False),
+    ("Rust", "rs{k}/src/main.rs", "c_{k}", False), ("Rust", "rs{k}/src/main.rs", "util", True), ("Rust", "rs{k}/src/main.rs", "std", False), ("Rust", "rs{k}/src/main.rs", "crate", False),
+)
+BROUGHT = (("Go", "svc/p{k}/x.go", 2), ("Java", "j/src/main/java/com/acme/p{k}/Repo.java", 1), ("C#", "n/Orders{k}.cs", 3), ("Rust", "crates/c-{k}/src/lib.rs", 2), ("Rust", "rs{k}/src/util.rs", 3))
+
+
+@query("resolve_languages", f"""
+WITH a(language, file, module) AS (VALUES {', '.join(f"('{x[0]}', '{x[1]}', '{x[2]}')" for x in ASKED)}),
+q AS (SELECT p_brand AS repo, p_partkey AS k, language, module AS shape, replace(file, '{{k}}', p_partkey::VARCHAR) AS file, replace(module, '{{k}}', p_partkey::VARCHAR) AS module FROM part, a),
+r AS (SELECT *, CASE
+  WHEN shape LIKE '%svc/p%' AND k % 2 = 0 THEN 'svc/p' || k || '/x.go' WHEN shape LIKE 'com.%' THEN file WHEN shape LIKE 'Acme%' AND k % 3 = 0 THEN 'n/Orders' || k || '.cs'
+  WHEN shape LIKE 'c!_%' ESCAPE '!' AND k % 2 = 0 THEN 'crates/c-' || k || '/src/lib.rs' WHEN shape = 'util' AND k % 3 = 0 THEN 'rs' || k || '/src/util.rs' ELSE '' END AS internal_file,
+  shape IN ('std') OR shape LIKE 'net%' OR shape LIKE 'java.%' OR shape LIKE 'System%' AS stdlib FROM q),
+s AS (SELECT *, CASE WHEN internal_file <> '' OR stdlib OR shape = 'crate' OR shape LIKE '%svc/p%' THEN '' WHEN language = 'Go' THEN 'github.com/o' || k || '/b' WHEN language = 'Java' THEN 'org.x.y' || k ELSE module END AS external_package FROM r)
+SELECT repo, file, module, internal_file, external_package, stdlib, internal_file = '' AND external_package = '' AND NOT stdlib AS unresolved FROM s""")
+def resolve_languages(spark, d):
+    """Go modules, JVM packages, .NET namespaces and Rust crates: to a file of the repository, a package, the standard library or nothing."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("k"))
+    text = lambda shape: F.replace(F.lit(shape), F.lit("{k}"), F.col("k").cast("string"))
+    brought = F.array(*[F.struct(F.lit(x[0]).alias("language"), text(x[1]).alias("path"), (F.col("k") % x[2] == 0).alias("there")) for x in BROUGHT])
+    f = p.select("repo", F.explode(brought).alias("x")).where("x.there").select("repo", "x.path", "x.language")
+    asked = F.array(*[F.struct(F.lit(x[0]).alias("language"), text(x[1]).alias("file"), text(x[2]).alias("module"), F.lit(x[3]).alias("relative")) for x in ASKED])
+    i = p.select("repo", F.explode(asked).alias("x")).select("repo", "x.*", F.lit(1).alias("line"), F.lit("").alias("raw"))
+    mods = p.select("repo").distinct().select("repo", F.lit("svc/go.mod").alias("path"), F.lit("svc").alias("dir"), F.lit("go").alias("ecosystem"), F.lit("").alias("name"), F.lit("github.com/acme/svc").alias("module_path"))
+    alias = spark.createDataFrame([], "repo string, path string, ord int, prefix string, target string")
+    return RS.resolve(i, f, mods, alias, KEYS).select("repo", "file", "module", "internal_file", "external_package", "stdlib", "unresolved")
