@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions.packages import normal_name
 from codecensus.functions.text import ancestors, basename, dirname, normal_path
+from codecensus.session import shuffled
 
 Keys = list[str]
 
@@ -96,21 +97,21 @@ def tail_index(files: DataFrame, asked: DataFrame, keys: Keys) -> DataFrame:
     want = asked.select(*keys, "key").distinct().withColumn("name", basename("key")).withColumn("long", F.size(F.split("key", "/")))
     names = want.groupBy(*keys, "name").agg(F.collect_set("long").alias("longs"))  # at most as many as paths are deep
     segs = F.split("path", "/")
-    spelled = files.select(*keys, "path", basename("path").alias("name")).join(names, [*keys, "name"]).select(
+    spelled = files.select(*keys, "path", basename("path").alias("name")).join(shuffled(names), [*keys, "name"]).select(
         *keys, "path", F.explode(F.filter("longs", lambda n: n < F.size(segs))).alias("n")).select(
         *keys, "path", F.array_join(F.slice(segs, F.size(segs) - F.col("n") + 1, F.col("n")), "/").alias("key"))
     return spelled.groupBy(*keys, "key").agg(F.min("path").alias("target"), F.count(F.lit(1)).alias("n")).join(
-        want.select(*keys, "key"), [*keys, "key"], "left_semi").select(*keys, F.lit("tail").alias("space"), "key", "target", "n")
+        shuffled(want.select(*keys, "key")), [*keys, "key"], "left_semi").select(*keys, F.lit("tail").alias("space"), "key", "target", "n")
 
 
 def _npm_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFrame:
     """Workspace package name -> its entry file."""
     pk = manifests.where("ecosystem = 'npm' AND name <> ''").groupBy(*keys, "name").agg(F.max_by("dir", "path").alias("dir"))
     listed = pk.select(*keys, "name", F.posexplode(F.array(*[_join(F.col("dir"), F.lit(e)) for e in NPM_ENTRIES])).alias("prio", "path"))
-    exact = listed.join(files.select(*keys, "path"), [*keys, "path"]).select(*keys, "name", "prio", "path")
+    exact = listed.join(shuffled(files.select(*keys, "path")), [*keys, "path"]).select(*keys, "name", "prio", "path")
     inside = (
         files.where(F.col("path").rlike(r"\.(ts|js|tsx)$")).select(*keys, "path", F.explode(ancestors("path")).alias("dir"))
-        .join(pk, [*keys, "dir"]).groupBy(*keys, "name").agg(F.min("path").alias("path")).withColumn("prio", F.lit(99))
+        .join(shuffled(pk), [*keys, "dir"]).groupBy(*keys, "name").agg(F.min("path").alias("path")).withColumn("prio", F.lit(99))
     )
     return exact.unionByName(inside.select(*exact.columns)).groupBy(*keys, F.col("name").alias("key")).agg(
         F.min_by("path", "prio").alias("target")).select(*keys, F.lit("npm").alias("space"), "key", "target", F.lit(1).cast("long").alias("n"))
@@ -125,7 +126,7 @@ def _crate_index(files: DataFrame, manifests: DataFrame, keys: Keys) -> DataFram
         *keys, F.replace("name", F.lit("-"), F.lit("_")).alias("key"), "dir", F.concat(F.lit("1"), "path").alias("o"))
     where = seen.unionByName(named).groupBy(*keys, "key").agg(F.min_by("dir", "o").alias("dir"))
     listed = where.select(*keys, "key", F.posexplode(F.array(*[_join(F.col("dir"), F.lit(f"src/{f}")) for f in ("lib.rs", "main.rs")])).alias("prio", "path"))
-    return listed.join(files.select(*keys, "path"), [*keys, "path"]).groupBy(*keys, "key").agg(F.min_by("path", "prio").alias("target")).select(
+    return listed.join(shuffled(files.select(*keys, "path")), [*keys, "path"]).groupBy(*keys, "key").agg(F.min_by("path", "prio").alias("target")).select(
         *keys, F.lit("crate").alias("space"), "key", "target", F.lit(1).cast("long").alias("n"))
 
 
@@ -195,12 +196,12 @@ def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, aliases:
     listed = q.select(*by, F.explode(_candidates(q)).alias("c")).select(*by, F.col("c.prio").alias("prio"), F.col("c.space").alias("space"), F.col("c.key").alias("key"))
     listed = listed.unionByName(_alias_candidates(q, aliases, keys, by)).unionByName(_go_candidates(q, manifests, keys, by))
     tails = tail_index(files, listed.where("space = 'tail'"), keys)
-    hits = listed.join(index.unionByName(tails), [*keys, "space", "key"])
+    hits = listed.join(shuffled(index.unionByName(tails)), [*keys, "space", "key"])
     single = hits.where("space <> 'tail'").select(*by, "prio", "target")
     unique = hits.where("space = 'tail'").groupBy(*by, "prio").agg(F.min("target").alias("target"), F.sum("n").alias("n")).where("n = 1")
     answer = single.unionByName(unique.select(*by, "prio", "target")).groupBy(*by).agg(F.min_by("target", "prio").alias("internal_file"))
     in_module = _go_modules(q, manifests, keys, by).select(*by, F.lit(True).alias("in_module")).distinct()
-    solved = q.join(answer, by, "left").join(in_module, by, "left")
+    solved = q.join(shuffled(answer), by, "left").join(shuffled(in_module), by, "left")
     hit = F.col("internal_file").isNotNull()
     m, lang = F.col("module"), F.col("language")
     npm = F.when(F.regexp_extract(m, NPM_NAME, 1) != "", F.regexp_extract(m, NPM_NAME, 1)).otherwise(m)
@@ -229,7 +230,7 @@ def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, aliases:
         *by, F.coalesce("internal_file", F.lit("")).alias("internal_file"), "external_package",
         F.when(F.col("external_package") != "", eco).otherwise("").alias("ecosystem"), "stdlib",
         (~hit & ~F.col("stdlib") & (F.col("external_package") == "")).alias("unresolved"))
-    return asked.join(solved, by).drop("site")
+    return asked.join(shuffled(solved), by).drop("site")
 
 
 def _alias_candidates(q: DataFrame, aliases: DataFrame, keys: Keys, by: list[str]) -> DataFrame:
@@ -241,9 +242,9 @@ def _alias_candidates(q: DataFrame, aliases: DataFrame, keys: Keys, by: list[str
     known = aliases.where("prefix <> ''").select(*keys, "prefix", "path", "ord", F.col("target").alias("to")).distinct()
     lengths = known.groupBy(*keys).agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # a number for each length
     js = q.where(F.col("language").isin(*JS_LANGUAGES) & ~m.startswith("."))
-    js = js.join(lengths, keys) if keys else js.withColumn("lengths", lengths.select("lengths").scalar())
+    js = js.join(shuffled(lengths), keys) if keys else js.withColumn("lengths", lengths.select("lengths").scalar())
     pre = js.select(*by, F.explode(F.filter("lengths", lambda n: n <= F.length(m))).alias("n")).select(*by, F.left(m, F.col("n")).alias("prefix"))
-    met = pre.join(known, [*keys, "prefix"])
+    met = pre.join(shuffled(known), [*keys, "prefix"])
     first = met.groupBy(*by, "prefix").agg(F.collect_set("to").alias("tos"))
     target = normal_path(_join(F.col("to"), F.expr("substring(module, length(prefix) + 1)")))
     probes = [""] + list(JS_EXTENSIONS) + [f"/index{e}" for e in JS_EXTENSIONS]
@@ -257,7 +258,7 @@ def _go_modules(q: DataFrame, manifests: DataFrame, keys: Keys, by: list[str]) -
     go = q.where("language = 'Go'")
     pre = go.select(*by, F.explode(F.transform(_prefixes(F.split("module", "/")), lambda p: F.array_join(p, "/"))).alias("mod"))
     mods = manifests.where("ecosystem = 'go' AND module_path <> ''").groupBy(*keys, F.col("module_path").alias("mod")).agg(F.min_by("dir", "path").alias("dir"))
-    return pre.join(mods, [*keys, "mod"]).groupBy(*by).agg(F.max_by(F.struct("mod", "dir"), F.length("mod")).alias("best")).select(*by, "best.mod", "best.dir")
+    return pre.join(shuffled(mods), [*keys, "mod"]).groupBy(*by).agg(F.max_by(F.struct("mod", "dir"), F.length("mod")).alias("best")).select(*by, "best.mod", "best.dir")
 
 
 def _go_candidates(q: DataFrame, manifests: DataFrame, keys: Keys, by: list[str]) -> DataFrame:
@@ -279,9 +280,9 @@ def external_usage(resolved: DataFrame, app_of_file: DataFrame, keys: Keys, max_
     used = resolved.where("external_package <> ''").select(
         *keys, normal_name("external_package", "ecosystem").alias("name"), "ecosystem", "file").distinct()
     by = [*keys, "name", "ecosystem"]
-    apps = used.join(app_of_file.select(*keys, F.col("path").alias("file"), "app"), [*keys, "file"], "left").groupBy(*by).agg(
+    apps = used.join(shuffled(app_of_file.select(*keys, F.col("path").alias("file"), "app")), [*keys, "file"], "left").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_set(F.nullif("app", F.lit("")))).alias("apps"))
-    return apps.join(capped_list(used, by, ["file"], F.col("file"), max_files, "files"), by)
+    return apps.join(shuffled(capped_list(used, by, ["file"], F.col("file"), max_files, "files")), by)
 
 
 def unresolved_counts(resolved: DataFrame, keys: Keys) -> DataFrame:
