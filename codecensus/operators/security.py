@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import classify as C
 from codecensus.functions import evidence as V
-from codecensus.functions.matching import docstring_spans, hits_sql, in_spans, quoted, rule_table_sql, table_hits_sql, unmarked
+from codecensus.functions.matching import LONG_LINE, docstring_spans, hits_sql, in_spans, quoted, rule_table_sql, table_hits_sql, unmarked
 from codecensus.functions.text import entropy, lines, slug, strip
 from codecensus.operators.windows import first_wins
 from codecensus.rules import secrets as K
@@ -120,8 +120,14 @@ def redact(value: Column) -> Column:
     return F.concat(F.substring(value, 1, 4), F.lit("****"))
 
 
+def _long_lines(text: str) -> Column:
+    """``array<struct<line, text>>`` of the lines that a hit does not show whole; NULL without one."""
+    numbered = F.transform(F.split(text, "\n"), lambda l, n: F.struct((n + 1).alias("line"), F.btrim(l, F.lit(" \t\r\f")).alias("text"), F.length(l).alias("n")))
+    return F.when(F.length(text) > LONG_LINE, F.filter(numbered, lambda x: x["n"] > LONG_LINE))
+
+
 def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy: float = K.MIN_ENTROPY, id_prefix: str = "CC-") -> DataFrame:
-    """Redacted credential findings over ``files(keys, path, text)``."""
+    """Redacted credential findings over ``files(keys, path, text)``. The snippet is the whole line, however long."""
     path = F.col("path")
     rules = list(rules)
     # The secret is group 1, so the mark goes around the whole match and the value is cut out later.
@@ -129,9 +135,11 @@ def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy
         f"coalesce({hits_sql('text', r[2], i, 'low')}, cast(array() as {HIT}))" for i, r in enumerate(rules)) + ")")
     found = (
         files.where(F.col("text") != "").select(*keys, "path", unmarked("text").alias("text"), F.lower("text").alias("low"))
-        .select(*keys, "path", raw.alias("raw"), F.when(path.rlike(r"\.pyi?$"), F.expr(docstring_spans("text"))).alias("docs"))
-        .select(*keys, "path", F.explode(F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
+        .select(*keys, "path", raw.alias("raw"), _long_lines("text").alias("long"), F.when(path.rlike(r"\.pyi?$"), F.expr(docstring_spans("text"))).alias("docs"))
+        .select(*keys, "path", "long", F.explode(F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
             F.filter("raw", lambda h: ~in_spans(F.col("docs"), h["line"], h["col"])))).alias("h"))
+        # A hit shows only a part of a long line; all hits of a file share its long lines.
+        .withColumn("shown", F.coalesce(F.get(F.filter("long", lambda x: x["line"] == F.col("h.line")), F.lit(0))["text"], F.col("h.text"))).drop("long")
     )
     value, entropic = F.lit(None).cast("string"), [i for i, r in enumerate(rules) if r[0] in K.ENTROPY_RULES]
     for i, r in enumerate(rules):
@@ -141,7 +149,7 @@ def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy
     real = (
         found.withColumn("value", value).withColumn("m", F.element_at(meta, F.col("h.i") + 1))
         .where((F.col("value") != "") & ~F.col("value").rlike(K.PLACEHOLDER) & ~F.col("value").rlike(K.PROSE))
-        .where(~V.is_pattern_definition(F.col("h.text")))
+        .where(~V.is_pattern_definition("shown"))
         .where(~F.col("h.i").isin(entropic) | (entropy("value") >= min_entropy))
     )
     mild = path.rlike(K.MILD_PATH)
@@ -151,7 +159,7 @@ def scan_secrets(files: DataFrame, keys: list[str], rules=K.SECRETS, min_entropy
         F.col("m.title").alias("title"),
         F.when(mild, C.downgrade("m.severity")).otherwise(F.col("m.severity")).alias("severity"),
         F.lit("secret").alias("category"), path.alias("file"), F.col("h.line").alias("line"),
-        F.replace(F.col("h.text"), F.col("value"), redact(F.col("value"))).alias("snippet"),
+        F.replace(F.col("shown"), F.col("value"), redact(F.col("value"))).alias("snippet"),
         F.lit(K.CWE).alias("cwe"), F.lit("").alias("package"), F.lit("").alias("version"), F.lit("").alias("fixed_version"),
         F.concat(F.lit(id_prefix + "SECRET-"), F.upper("m.id")).alias("identifier"),
         F.when(mild, "low").otherwise("high").alias("confidence"), F.lit(K.REMEDIATION).alias("remediation"),

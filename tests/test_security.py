@@ -102,6 +102,16 @@ def test_secrets(spark):
     assert doc == []
 
 
+def test_secret_in_a_long_line(spark):
+    """The whole line is shown and judged, at either end of a long line and beside short ones."""
+    fill, secret = "word " * 600, "PAYMENT_SECRET = '3f9a1c77b45d4e2a9a11c8f7d6e5b402'"
+    far = f"  {fill}{secret} {fill}end  "
+    src = "\n".join([secret, far, f"re.compile('[a-z]+') {fill}(?P<x>\\w+) [^a] {fill}{secret}"])
+    rows = scan_secrets(files(spark, ("app/c.py", "Python", "source", src)), ["repo"]).where("identifier = 'CC-SECRET-HIGH-ENTROPY'").collect()
+    hidden = lambda line: line.strip().replace("3f9a1c77b45d4e2a9a11c8f7d6e5b402", "3f9a****")
+    assert {r.line: r.snippet for r in rows} == {1: hidden(secret), 2: hidden(far)}
+
+
 def test_optional_imports(spark):
     src = "try:\n    import yaml\n    from toml.x import y\nexcept ImportError:\n    yaml = None\ntry:\n    import os\nexcept ValueError:\n    pass\n"
     assert {r.name for r in optional_imports(files(spark, ("a.py", "Python", "source", src)), ["repo"]).collect()} == {"yaml", "toml"}
