@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, functions as F
 
 from codecensus.operators.windows import capped_list, numbered, top_per_group
-from codecensus.session import cut as checkpoint, cut_round as cut
+from codecensus.session import cut as checkpoint, cut_round as cut, shuffled
 
 Keys = list[str]
 
@@ -105,10 +105,10 @@ def _spread(steps: DataFrame, start: DataFrame, keys: Keys, max_depth: int | Non
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = (
             frontier.select(*keys, "start", F.col("node").alias("at"))
-            .join(steps, [*keys, "at"])
+            .join(shuffled(steps), [*keys, "at"])
             .select(*by)
             .distinct()
-            .join(seen.select(*by), by, "left_anti")
+            .join(shuffled(seen.select(*by)), by, "left_anti")
             .withColumn("depth", F.lit(depth))
         )
         ahead = cut(ahead)
@@ -197,7 +197,7 @@ def _trim(edges: DataFrame, keys: Keys, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         has_out = edges.select(*keys, F.col("source").alias("target")).distinct()
         has_in = edges.select(*keys, F.col("target").alias("source")).distinct()
-        edges = cut(edges.join(has_out, [*keys, "target"], "left_semi").join(has_in, [*keys, "source"], "left_semi"))
+        edges = cut(edges.join(shuffled(has_out), [*keys, "target"], "left_semi").join(shuffled(has_in), [*keys, "source"], "left_semi"))
         left = edges.count()
         if left in (0, n):
             break
@@ -216,9 +216,9 @@ def chains(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
     node = [*keys, "node"]
     out = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.first("target").alias("next")).where("o = 1")
     into = edges.groupBy(*keys, F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("i")).where("i = 1")
-    single = cut(out.join(into, node, "left_semi").select(*node, "next"))
+    single = cut(out.join(shuffled(into), node, "left_semi").select(*node, "next"))
     inner = single.select(*keys, F.col("node").alias("next"), F.lit(True).alias("goes"))
-    state = cut(single.join(inner, [*keys, "next"], "left").select(
+    state = cut(single.join(shuffled(inner), [*keys, "next"], "left").select(
         *node, F.when(F.col("goes"), F.col("next")).otherwise(F.col("node")).alias("at"), F.col("goes").isNull().alias("done"), F.col("node").alias("low"), F.lit(True).alias("moved")))
     settled, before = state.where("done"), None
     while True:
@@ -227,7 +227,7 @@ def chains(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
             break
         before = now[0]
         there = state.select(*keys, F.col("node").alias("at"), F.col("at").alias("onward"), F.col("done").alias("ended"), F.col("low").alias("lower"))
-        going = state.where("NOT done").join(there, [*keys, "at"]).select(
+        going = state.where("NOT done").join(shuffled(there), [*keys, "at"]).select(
             *node, F.col("onward").alias("at"), F.col("ended").alias("done"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("moved"))
         state = cut(going.unionByName(state.where("done")))
         settled = state.where("done")
@@ -246,13 +246,13 @@ def contract(edges: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame, DataFr
     at = links.select(*keys, F.col("node").alias("source"), F.col("tail").alias("from_tail"))
     to = links.select(*keys, F.col("node").alias("target"), F.col("tail").alias("to_tail"))
     ring = rings.select(*keys, F.col("node").alias("source"))
-    placed = cut(edges.join(ring, [*keys, "source"], "left_anti").join(at, [*keys, "source"], "left").join(to, [*keys, "target"], "left"))
+    placed = cut(edges.join(shuffled(ring), [*keys, "source"], "left_anti").join(shuffled(at), [*keys, "source"], "left").join(shuffled(to), [*keys, "target"], "left"))
     head = placed.where("from_tail IS NULL AND to_tail IS NOT NULL").select(*keys, F.col("to_tail").alias("tail"), F.col("source").alias("before"))
     last = placed.where("from_tail = source AND to_tail IS NULL").select(*keys, F.col("from_tail").alias("tail"), F.col("target").alias("after"))
-    ends = cut(head.join(last, [*keys, "tail"]))
+    ends = cut(head.join(shuffled(last), [*keys, "tail"]))
     kept = placed.where("from_tail IS NULL AND to_tail IS NULL").select(*keys, "source", "target")
     short = ends.where("before <> after").select(*keys, F.col("before").alias("source"), F.col("after").alias("target"))
-    return cut(kept.unionByName(short).distinct()), links.join(ends, [*keys, "tail"]).select(*keys, "node", "before", "after"), rings
+    return cut(kept.unionByName(short).distinct()), links.join(shuffled(ends), [*keys, "tail"]).select(*keys, "node", "before", "after"), rings
 
 
 def components(edges: DataFrame, keys: Keys) -> DataFrame:
@@ -284,12 +284,12 @@ def components(edges: DataFrame, keys: Keys) -> DataFrame:
     name = lambda n, c: found.select(*keys, F.col("node").alias(n), F.col("component").alias(c))
     for members in reversed(put_back):
         # The two ends are on one cycle, or are one node, which then is on a cycle by this chain.
-        both = members.join(name("before", "cb"), [*keys, "before"], "left").join(name("after", "ca"), [*keys, "after"], "left").select(
+        both = members.join(shuffled(name("before", "cb")), [*keys, "before"], "left").join(shuffled(name("after", "ca")), [*keys, "after"], "left").select(
             *keys, "node", "before", F.col("cb").isNull().alias("alone"), F.coalesce("cb", "before").alias("component"), F.coalesce("ca", "after").alias("other")).where("component = other")
         both = cut(both)
         found = cut(found.unionByName(both.select(*keys, "component", "node")).unionByName(both.where("alone").select(*keys, "component", F.col("before").alias("node")).distinct()))
     smallest = found.groupBy(*keys, "component").agg(F.min("node").alias("least"))
-    return cut(found.join(smallest, [*keys, "component"]).select(*keys, F.col("least").alias("component"), "node"))
+    return cut(found.join(shuffled(smallest), [*keys, "component"]).select(*keys, F.col("least").alias("component"), "node"))
 
 
 def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
@@ -300,7 +300,7 @@ def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
         colour = cut(endpoints_of(left, keys).withColumn("colour", F.col("node")))
         while True:
             sent = left.join(
-                colour.select(*keys, F.col("node").alias("source"), "colour"), [*keys, "source"]
+                shuffled(colour.select(*keys, F.col("node").alias("source"), "colour")), [*keys, "source"]
             ).select(*keys, F.col("target").alias("node"), "colour")
             nxt = cut(
                 colour.withColumn("old", F.col("colour"))
@@ -312,8 +312,8 @@ def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
             if not moved:
                 break
         tinted = (
-            left.join(colour.select(*keys, F.col("node").alias("source"), F.col("colour").alias("cs")), [*keys, "source"])
-            .join(colour.select(*keys, F.col("node").alias("target"), F.col("colour").alias("ct")), [*keys, "target"])
+            left.join(shuffled(colour.select(*keys, F.col("node").alias("source"), F.col("colour").alias("cs"))), [*keys, "source"])
+            .join(shuffled(colour.select(*keys, F.col("node").alias("target"), F.col("colour").alias("ct"))), [*keys, "target"])
         )
         inner = cut(tinted.where("cs = ct").select(*keys, "source", "target", F.col("cs").alias("colour")))
         member = cut(colour.where(F.col("node") == F.col("colour")).select(*keys, "colour", "node"))
@@ -321,9 +321,9 @@ def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
         for hop in count(1):
             frontier = cut(
                 frontier.select(*keys, "colour", F.col("node").alias("target"))
-                .join(inner, [*keys, "colour", "target"])
+                .join(shuffled(inner), [*keys, "colour", "target"])
                 .select(*keys, "colour", F.col("source").alias("node")).distinct()
-                .join(member, [*keys, "colour", "node"], "left_anti")
+                .join(shuffled(member), [*keys, "colour", "node"], "left_anti")
             )
             if frontier.isEmpty():
                 break
@@ -331,12 +331,12 @@ def _coloured(left: DataFrame, keys: Keys) -> DataFrame:
             if hop % 8 == 0:  # keeps the plan short
                 member = cut(member)
         sized = member.groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        found = found.unionByName(member.join(sized.select(*keys, "colour"), [*keys, "colour"]).select(*keys, F.col("colour").alias("component"), "node"))
+        found = found.unionByName(member.join(shuffled(sized.select(*keys, "colour")), [*keys, "colour"]).select(*keys, F.col("colour").alias("component"), "node"))
         # What was settled leaves the graph, so do edges between colours.
         settled = member.select(*keys, F.col("node").alias("source"))
         left = _trim(cut(
-            inner.select(*keys, "source", "target").join(settled, [*keys, "source"], "left_anti")
-            .join(settled.withColumnRenamed("source", "target"), [*keys, "target"], "left_anti")
+            inner.select(*keys, "source", "target").join(shuffled(settled), [*keys, "source"], "left_anti")
+            .join(shuffled(settled.withColumnRenamed("source", "target")), [*keys, "target"], "left_anti")
         ), keys)
     return found
 
@@ -349,11 +349,11 @@ def condensed(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | N
         scc = components(links, keys)
     all_nodes = nodes.select(*node).unionByName(endpoints_of(links, keys)).distinct()
     group = cut(
-        all_nodes.join(scc, node, "left").select(*node, F.coalesce("component", "node").alias("grp"))
+        all_nodes.join(shuffled(scc), node, "left").select(*node, F.coalesce("component", "node").alias("grp"))
     )
     dag = cut(
-        links.join(group.select(*keys, F.col("node").alias("source"), F.col("grp").alias("gs")), [*keys, "source"])
-        .join(group.select(*keys, F.col("node").alias("target"), F.col("grp").alias("gt")), [*keys, "target"])
+        links.join(shuffled(group.select(*keys, F.col("node").alias("source"), F.col("grp").alias("gs"))), [*keys, "source"])
+        .join(shuffled(group.select(*keys, F.col("node").alias("target"), F.col("grp").alias("gt"))), [*keys, "target"])
         .where("gs <> gt").select(*keys, F.col("gs").alias("source"), F.col("gt").alias("target")).distinct()
     )
     return group, dag
@@ -369,15 +369,15 @@ def peeled(group: DataFrame, dag: DataFrame, keys: Keys) -> DataFrame:
     left = dag.withColumn("ready", F.lit(False))
     done = cut(
         group.select(*keys, F.col("grp").alias("node")).distinct()
-        .join(dag.select(*keys, F.col("source").alias("node")), node, "left_anti")
+        .join(shuffled(dag.select(*keys, F.col("source").alias("node"))), node, "left_anti")
         .withColumn("layer", F.lit(0))
     )
     for depth in count(1):
         # Edges into settled nodes fall away; sources that keep no edge are this layer.
         open_nodes = left.select(*keys, F.col("source").alias("target"), F.lit(True).alias("open")).distinct()
-        now = left.join(open_nodes, [*keys, "target"], "left").select(*keys, "source", "target", F.col("open").isNotNull().alias("open"))
+        now = left.join(shuffled(open_nodes), [*keys, "target"], "left").select(*keys, "source", "target", F.col("open").isNotNull().alias("open"))
         held = now.groupBy(*keys, "source").agg(F.max("open").alias("waits"))
-        now = cut(now.join(held, [*keys, "source"]).where("open OR NOT waits"))
+        now = cut(now.join(shuffled(held), [*keys, "source"]).where("open OR NOT waits"))
         ready = now.where("NOT waits").select(*keys, F.col("source").alias("node")).distinct().withColumn("layer", F.lit(depth))
         if ready.isEmpty():
             break
@@ -395,7 +395,7 @@ def layers(nodes: DataFrame, edges: DataFrame, keys: Keys, scc: DataFrame | None
     """
     node = [*keys, "node"]
     group, dag = condensed(nodes, edges, keys, scc)
-    return group.join(peeled(group, dag, keys), [*keys, "grp"]).select(*node, "layer").join(nodes.select(*node), node, "left_semi")
+    return group.join(shuffled(peeled(group, dag, keys)), [*keys, "grp"]).select(*node, "layer").join(shuffled(nodes.select(*node)), node, "left_semi")
 
 
 def impact_counts(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
@@ -411,27 +411,27 @@ def impact_counts(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     # Layers from the top: 0 has no edge coming in.
     flipped = dag.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
     layer = peeled(group, flipped, keys)
-    placed = numbered(group.join(layer, grp), keys, ["layer", "grp", "node"], "number")
+    placed = numbered(group.join(shuffled(layer), grp), keys, ["layer", "grp", "node"], "number")
     placed = cut(placed)
     bits = lambda b: F.bitmap_or_agg(b).alias("bits")
     own = cut(placed.groupBy(*grp, "layer", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
     size = placed.groupBy(*grp).agg(F.count(F.lit(1)).alias("size"))
-    used = cut(dag.join(layer.withColumnRenamed("grp", "target"), [*keys, "target"]).select(*keys, F.col("source").alias("grp"), "target", "layer"))
+    used = cut(dag.join(shuffled(layer.withColumnRenamed("grp", "target")), [*keys, "target"]).select(*keys, F.col("source").alias("grp"), "target", "layer"))
     # What a node hands on: itself and what leads to it.
     whole = own.where("layer = 0").select(*grp, "bucket", "bits")
     reach: DataFrame | None = None
     for depth in range(1, (layer.agg(F.max("layer")).first()[0] or 0) + 1):
-        into = cut(used.where(F.col("layer") == depth).select(*grp, "target").join(whole, grp).groupBy(*keys, F.col("target").alias("grp"), "bucket").agg(bits("bits")))
+        into = cut(used.where(F.col("layer") == depth).select(*grp, "target").join(shuffled(whole), grp).groupBy(*keys, F.col("target").alias("grp"), "bucket").agg(bits("bits")))
         counted = into.groupBy(*grp).agg(F.sum(F.bitmap_count("bits")).alias("above"))
         reach = counted if reach is None else reach.unionByName(counted)
         passed = into.unionByName(own.where(F.col("layer") == depth).select(*grp, "bucket", "bits")).groupBy(*grp, "bucket").agg(bits("bits"))
         whole = whole.unionByName(cut(passed))
         if depth % 16 == 0:
             whole, reach = cut(whole), cut(reach)
-    known = group.join(size, grp)
-    known = known.join(reach, grp, "left") if reach is not None else known.withColumn("above", F.lit(0).cast("long"))
+    known = group.join(shuffled(size), grp)
+    known = known.join(shuffled(reach), grp, "left") if reach is not None else known.withColumn("above", F.lit(0).cast("long"))
     return known.select(*keys, "node", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).cast("long").alias("dependents")).join(
-        nodes.select(*keys, "node"), [*keys, "node"], "left_semi")
+        shuffled(nodes.select(*keys, "node")), [*keys, "node"], "left_semi")
 
 
 def nearest(edges: DataFrame, start: DataFrame, keys: Keys, k: int, max_depth: int | None = None) -> DataFrame:
@@ -447,10 +447,10 @@ def nearest(edges: DataFrame, start: DataFrame, keys: Keys, k: int, max_depth: i
     seen = cut(start.select(*begin, F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("seq")).distinct())
     frontier = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        new = frontier.select(*begin, F.col("node").alias("at")).join(steps, [*keys, "at"]).select(*begin, "node").distinct().join(
-            seen.select(*begin, "node"), [*begin, "node"], "left_anti")
+        new = frontier.select(*begin, F.col("node").alias("at")).join(shuffled(steps), [*keys, "at"]).select(*begin, "node").distinct().join(
+            shuffled(seen.select(*begin, "node")), [*begin, "node"], "left_anti")
         held = seen.groupBy(*begin).agg((F.count(F.lit(1)) - 1).cast("int").alias("held")).where(F.col("held") < k)
-        first = top_per_group(new, begin, ["node"], k, rank="place").join(held, begin).where(F.col("place") + F.col("held") <= k)
+        first = top_per_group(new, begin, ["node"], k, rank="place").join(shuffled(held), begin).where(F.col("place") + F.col("held") <= k)
         frontier = cut(first.select(*begin, "node", F.lit(depth).alias("depth"), (F.col("place") + F.col("held")).alias("seq")))
         if frontier.isEmpty():
             break
@@ -465,7 +465,7 @@ def flow_reach(edges: DataFrame, start: DataFrame, keys: Keys, k: int, max_depth
     near = nearest(edges, start, keys, k, max_depth)
     back = edges.select(*keys, F.col("target").alias("source"), F.col("source").alias("target"))
     total = impact_counts(start.select(*keys, F.col("start").alias("node")).distinct(), back, keys)
-    return near.join(total.select(*keys, F.col("node").alias("start"), F.col("dependents").alias("total")), [*keys, "start"])
+    return near.join(shuffled(total.select(*keys, F.col("node").alias("start"), F.col("dependents").alias("total"))), [*keys, "start"])
 
 
 def system_edges(systems: DataFrame, keys: Keys) -> DataFrame:
