@@ -45,33 +45,45 @@ def documents(text: Column) -> Column:
         lambda a: a["out"])
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, in which the value is a variable: it is worked out once, wherever ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bare(value: Column) -> Column:
     """A value without tag, anchor and quotes."""
-    v = F.regexp_replace(F.btrim(value, F.lit(" \t\r")), r"^(?:[&!][^\s]*+[ \t]*)+", "")
-    quoted = (F.length(v) > 1) & (F.left(v, F.lit(1)) == F.right(v, F.lit(1))) & F.left(v, F.lit(1)).isin('"', "'")
-    return F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    quoted = lambda v: (F.length(v) > 1) & (F.left(v, F.lit(1)) == F.right(v, F.lit(1))) & F.left(v, F.lit(1)).isin('"', "'")
+    return bound(F.regexp_replace(F.btrim(value, F.lit(" \t\r")), r"^(?:[&!][^\s]*+[ \t]*)+", ""),
+                 lambda v: F.when(quoted(v), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
 def _tokens(text: Column) -> Column:
     """``array<struct<line, first, raw, indent, item, body>>``: one token for each dash in front of a line and one for the rest."""
     def of_line(raw: Column, n: Column) -> Column:
-        dashes = F.regexp_extract(raw, _DASHES, 0)
-        marks = F.filter(F.sequence(F.lit(1), F.greatest(F.length(dashes), F.lit(1))), lambda k: F.substr(dashes, k, F.lit(1)) == "-")
-        rest = F.substr(raw, F.length(dashes) + 1)
-        clean = F.btrim(F.when(rest.startswith("#"), "").when(rest.contains(" #") | rest.contains("\t#"), F.regexp_replace(rest, _COMMENT, "$1")).otherwise(rest), F.lit(" \t\r"))
         token = lambda first, indent, item, body: F.struct(
             (n + 1).cast("int").alias("line"), first.alias("first"), raw.alias("raw"), indent.cast("int").alias("indent"), F.lit(item).alias("item"), body.alias("body"))
-        items = F.transform(marks, lambda k, i: token(i == 0, k - 1, True, F.lit("")))
-        return F.concat(items, F.array(token(F.size(marks) == 0, F.length(dashes), False, clean)))
+
+        def cut_at(dashes: Column) -> Column:
+            rest = F.substr(raw, F.length(dashes) + 1)
+            clean = F.btrim(F.when(rest.startswith("#"), "").when(rest.contains(" #") | rest.contains("\t#"), F.regexp_replace(rest, _COMMENT, "$1")).otherwise(rest), F.lit(" \t\r"))
+            marks = F.filter(F.sequence(F.lit(1), F.length(dashes)), lambda k: F.substr(dashes, k, F.lit(1)) == "-")
+            items = F.transform(marks, lambda k, i: token(i == 0, k - 1, True, F.lit("")))
+            last = F.array(token(~dashes.contains("-"), F.length(dashes), False, clean))
+            return F.when(dashes.contains("-"), F.concat(items, last)).otherwise(last)
+
+        return bound(F.regexp_extract(raw, _DASHES, 0), cut_at)
 
     return F.flatten(F.transform(F.split(text, "\n"), of_line))
 
 
 def _open(value: Column) -> Column:
     """How many brackets of a text are not closed."""
-    plain = F.regexp_replace(value, r"""\"(?:[^"\\]|\\.)*+"|'[^']*+'""", "")
-    count = lambda marks: F.length(plain) - F.length(F.translate(plain, marks, ""))
-    return count("[{") - count("]}")
+    left_out = lambda plain, marks: F.length(F.translate(plain, marks, ""))
+    return bound(F.regexp_replace(value, r"""\"(?:[^"\\]|\\.)*+"|'[^']*+'""", ""), lambda plain: left_out(plain, "]}") - left_out(plain, "[{"))
+
+
+def _is_flow(value: Column) -> Column:
+    return value.startswith("[") | value.startswith("{")
 
 
 def _step(a: Column, t: Column) -> Column:
@@ -90,26 +102,33 @@ def _step(a: Column, t: Column) -> Column:
     inside = (a["block"] >= 0) & (blank | (width > a["block"]))
     spoken = F.when(t["first"] & ~blank, row(a["stack"], F.btrim(t["raw"], F.lit(" \t\r")), t["line"], True)).otherwise(none)
     joined = F.concat(a["flow"], F.lit(" "), F.when(t["raw"].rlike(r"^\s*#"), "").otherwise(F.btrim(F.regexp_replace(t["raw"], _COMMENT, "$1"), F.lit(" \t\r"))))
-    on = F.when(~t["first"], state(a["stack"], no_block, a["flow"], a["at"], none)).when(_open(joined) > 0, state(a["stack"], no_block, joined, a["at"], none)).otherwise(
-        state(a["stack"], no_block, no_flow, no_line, row(a["stack"], joined, a["at"], False)))
+    on = F.when(~t["first"], state(a["stack"], no_block, a["flow"], a["at"], none)).otherwise(bound(joined, lambda j: F.when(
+        _open(j) > 0, state(a["stack"], no_block, j, a["at"], none)).otherwise(state(a["stack"], no_block, no_flow, no_line, row(a["stack"], j, a["at"], False)))))
     # A dash closes what stands deeper and the item before it; the key it belongs to may stand as deep as the dash.
     above = F.filter(a["stack"], lambda e: (e["indent"] < t["indent"]) | ((e["indent"] == t["indent"]) & ~e["item"]))
     before = F.filter(a["stack"], lambda e: e["item"] & (e["indent"] == t["indent"]))
     n = F.coalesce(F.try_element_at(before, F.lit(1))["n"] + 1, F.lit(0))
     entry = lambda item, key, k: F.array(F.struct(t["indent"].alias("indent"), F.lit(item).alias("item"), key.alias("key"), k.alias("n")))
     item = state(F.concat(above, entry(True, n.cast("string"), n)), no_block, no_flow, no_line, none)
-    key = F.regexp_extract(t["body"], _KEY, 1)
-    parents = F.filter(a["stack"], lambda e: e["indent"] < t["indent"])
-    stack = F.when(key != "", F.concat(parents, entry(False, bare(key), F.lit(0)))).otherwise(parents)
-    raw_value = F.btrim(F.when(key != "", F.regexp_replace(t["body"], _KEY, "")).otherwise(t["body"]), F.lit(" \t\r"))
-    value = F.regexp_replace(raw_value, r"^(?:[&!][^\s]*+[ \t]*)+", "")
-    owner = F.when(key != "", t["indent"]).otherwise(F.coalesce(F.try_element_at(parents, F.lit(-1))["indent"], F.lit(0)))
-    deeper = (key == "") & ~value.rlike(r"^[\[{]") & ~F.coalesce(F.try_element_at(parents, F.lit(-1))["item"], F.lit(False))
-    line = (
-        F.when(value.rlike(_BLOCK), state(stack, owner, no_flow, no_line, F.when(key != "", row(stack, F.lit(""), t["line"], False)).otherwise(none)))
-        .when(value.rlike(r"^[\[{]") & (_open(value) > 0), state(stack, no_block, value, t["line"], none))
-        .when(deeper, state(stack, no_block, no_flow, no_line, row(stack, bare(value), t["line"], True)))
-        .otherwise(state(stack, no_block, no_flow, no_line, row(stack, F.when(value.rlike(r"^[\[{]"), value).otherwise(bare(value)), t["line"], False))))
+
+    def with_key(key: Column) -> Column:
+        parents = F.filter(a["stack"], lambda e: e["indent"] < t["indent"])
+        raw_value = F.btrim(F.when(key != "", F.regexp_replace(t["body"], _KEY, "")).otherwise(t["body"]), F.lit(" \t\r"))
+        value = F.regexp_replace(raw_value, r"^(?:[&!][^\s]*+[ \t]*)+", "")
+        stack = F.when(key != "", F.concat(parents, entry(False, bare(key), F.lit(0)))).otherwise(parents)
+        return bound(F.struct(key.alias("key"), value.alias("value"), parents.alias("parents"), stack.alias("stack")), with_value)
+
+    def with_value(b: Column) -> Column:
+        key, value, stack, last = b["key"], b["value"], b["stack"], F.try_element_at(b["parents"], F.lit(-1))
+        owner = F.when(key != "", t["indent"]).otherwise(F.coalesce(last["indent"], F.lit(0)))
+        deeper = (key == "") & ~_is_flow(value) & ~F.coalesce(last["item"], F.lit(False))
+        return (
+            F.when(value.rlike(_BLOCK), state(stack, owner, no_flow, no_line, F.when(key != "", row(stack, F.lit(""), t["line"], False)).otherwise(none)))
+            .when(_is_flow(value) & (_open(value) > 0), state(stack, no_block, value, t["line"], none))
+            .when(deeper, state(stack, no_block, no_flow, no_line, row(stack, bare(value), t["line"], True)))
+            .otherwise(state(stack, no_block, no_flow, no_line, row(stack, F.when(_is_flow(value), value).otherwise(bare(value)), t["line"], False))))
+
+    line = bound(F.regexp_extract(t["body"], _KEY, 1), with_key)
     return (F.when(inside, state(a["stack"], a["block"], no_flow, no_line, spoken)).when(a["flow"] != "", on).when(t["item"], item)
             .when(t["body"] == "", state(a["stack"], no_block, no_flow, no_line, none)).otherwise(line))
 
@@ -144,9 +163,11 @@ def yaml_rows(text: Column | str) -> Column:
         return F.aggregate(chunks, start, chunk, lambda s: F.flatten(s["done"]))
 
     # The tokens are bound to a variable, so that every chunk reads the same array.
-    rows = F.transform(F.array(_tokens(F.coalesce(t, F.lit("")))), fold)[0]
+    rows = bound(_tokens(F.coalesce(t, F.lit(""))), fold)
+    # Rows are only read again where a flow list or map is left among them.
+    left = lambda rows: F.exists(rows, lambda r: ~r["text"] & _is_flow(r["value"]))
     for _ in range(FLOW_LEVELS):
-        rows = F.flatten(F.transform(rows, _spread_flow))
+        rows = bound(rows, lambda rs: F.when(left(rs), F.flatten(F.transform(rs, _spread_flow))).otherwise(rs))
     return rows
 
 

@@ -10,6 +10,7 @@ from codecensus.functions.classify import image_system
 from codecensus.functions.matching import groups_sql, unmarked
 from codecensus.functions.text import basename, slug
 from codecensus.operators.windows import capped_list
+from codecensus.session import once
 
 Keys = list[str]
 # Top-level keys of pipeline files that are no jobs.
@@ -59,7 +60,7 @@ def _outlined(files: DataFrame, keys: Keys, fmt: str) -> DataFrame:
     """``(keys, file, y)``: the rows of the first document of files of a format."""
     head = r"\A(?:[ \t]*(?:#[^\n]*)?\r?\n)*+---[ \t]*(?:#[^\n]*)?\r?\n"
     text = F.split(F.regexp_replace("text", head, ""), r"(?m)^---(?=[ \t\r]|$)", 2)[0]
-    return _routed(files, keys, fmt).select(*keys, "file", Y.yaml_rows(text).alias("y"))
+    return _routed(files, keys, fmt).select(*keys, "file", once(Y.yaml_rows(text), "y"))
 
 
 def _children(rows: Column) -> Column:
@@ -75,8 +76,8 @@ def _named(rows: Column, name: Column) -> Column:
 
 def containers(files: DataFrame, keys: Keys) -> DataFrame:
     """Services of compose files."""
-    rows = _outlined(files, keys, "compose").select(*keys, "file", Y.under(F.col("y"), "services").alias("s"))
-    rows = rows.select(*keys, "file", "s", F.explode(_children(F.col("s"))).alias("name")).select(*keys, "file", "name", _named(F.col("s"), F.col("name")).alias("y"))
+    rows = _outlined(files, keys, "compose").select(*keys, "file", once(Y.under(F.col("y"), "services"), "s"))
+    rows = rows.select(*keys, "file", "s", F.explode_outer(_children(F.col("s"))).alias("name")).select(*keys, "file", "name", once(_named(F.col("s"), F.col("name")), "y"))
     y = F.col("y")
     build = F.when(Y.value_at(y, "build") != "", Y.value_at(y, "build")).otherwise(Y.value_at(y, "build", "context"))
     return rows.where(F.size("y") > 0).select(
@@ -87,10 +88,9 @@ def containers(files: DataFrame, keys: Keys) -> DataFrame:
 def kubernetes(files: DataFrame, keys: Keys) -> DataFrame:
     """Objects of manifests that may hold several documents."""
     src = _routed(files, keys, "kubernetes").where(F.col("text").contains("apiVersion") & F.col("text").contains("kind:"))
-    docs = src.select(*keys, "file", F.posexplode(Y.documents(F.col("text"))).alias("doc", "d")).select(*keys, "file", "doc", Y.yaml_rows(F.col("d.text")).alias("y"))
-    y = F.col("y")
-    spec = Y.under(y, "spec")
-    return docs.where(Y.value_at(y, "kind") != "").select(
+    docs = src.select(*keys, "file", F.posexplode(Y.documents(F.col("text"))).alias("doc", "d")).select(*keys, "file", "doc", once(Y.yaml_rows(F.col("d.text")), "y"))
+    y, spec = F.col("y"), F.col("spec")
+    return docs.where(Y.value_at(y, "kind") != "").select("*", once(Y.under(y, "spec"), "spec")).select(
         *keys, "file", "doc", Y.value_at(y, "kind").alias("kind"), Y.value_at(y, "metadata", "name").alias("name"), Y.value_at(y, "metadata", "namespace").alias("namespace"),
         Y.values_at(spec, "**", "image").alias("images"), F.concat(Y.values_at(spec, "**", "containerPort"), Y.values_at(spec, "**", "port")).alias("ports"),
         Y.value_at(y, "spec", "replicas").try_cast("int").alias("replicas"))
@@ -99,7 +99,7 @@ def kubernetes(files: DataFrame, keys: Keys) -> DataFrame:
 def terraform(files: DataFrame, keys: Keys) -> DataFrame:
     """Resource, data, module and provider blocks with their line."""
     found = groups_sql("text", r'^(resource|data|module|provider)\s+"([^"]+)"(?:\s+"([^"]+)")?', 3, 0)
-    rows = _routed(files, keys, "terraform").withColumn("text", unmarked("text")).select(*keys, "file", F.explode(F.expr(found)).alias("x"))
+    rows = _routed(files, keys, "terraform").withColumn("text", unmarked("text")).select(*keys, "file", F.explode_outer(F.expr(found)).alias("x")).where("x IS NOT NULL")
     g = F.col("x.g")
     return rows.select(
         *keys, "file", g[0].alias("block"), g[1].alias("type"), g[2].alias("name"),
@@ -118,19 +118,20 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
         return F.struct(name.alias("name"), lit(stage).alias("stage"), lit(runs).alias("runs_on"), (none if uses is None else uses).alias("uses"),
                         (none if commands is None else commands).alias("commands"), (none if needs is None else needs).alias("needs"))
 
-    y = F.col("y")
-    jobs = Y.under(y, "jobs")
+    y, jobs = F.col("y"), F.col("jobs")
 
     def action_job(name: Column) -> Column:
-        rows = _named(jobs, name)
+        return Y.bound(_named(jobs, name), lambda rows: action_rows(name, rows))
+
+    def action_rows(name: Column, rows: Column) -> Column:
         steps = F.filter(rows, lambda r: (F.size(r["path"]) == 3) & (r["path"][0] == "steps"))
         runs = F.filter(steps, lambda r: (r["path"][2] == "run") & (r["value"] != ""))
-        first = F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["path"][1] != r["path"][1]))
+        first = Y.bound(runs, lambda runs: F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["path"][1] != r["path"][1])))
         return job(name, "", F.concat_ws(", ", Y.list_at(rows, "runs-on")), Y.values_at(rows, "steps", "*", "uses"), F.transform(first, lambda r: r["value"]), Y.list_at(rows, "needs"))
 
     is_map = lambda name: F.exists(jobs, lambda r: (F.size(r["path"]) > 1) & (r["path"][0] == name))
     triggers = F.when(F.size(Y.list_at(y, "on")) > 0, Y.list_at(y, "on")).otherwise(Y.list_at(y, "true"))
-    actions = _outlined(files, keys, "actions").select(
+    actions = _outlined(files, keys, "actions").select("*", once(Y.under(y, "jobs"), "jobs")).select(
         *keys, "file", F.lit("GitHub Actions").alias("system"), F.when(Y.value_at(y, "name") != "", Y.value_at(y, "name")).otherwise(basename("file")).alias("name"),
         triggers.alias("triggers"), F.transform(F.filter(_children(jobs), is_map), action_job).cast(JOB).alias("jobs"))
     tops = F.array_distinct(F.transform(F.filter(y, lambda r: (F.size(r["path"]) == 2) & r["path"][1].isin("script", "steps", "stage") & ~r["path"][0].isin(*NOT_JOBS)), lambda r: r["path"][0]))
@@ -145,17 +146,18 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
 
 def serverless(files: DataFrame, keys: Keys) -> DataFrame:
     """Services with provider, runtime and functions; an event is named by its first key or by itself."""
-    y = F.col("y")
-    fns = Y.under(y, "functions")
+    y, fns = F.col("y"), F.col("fns")
 
     def fn(name: Column) -> Column:
-        rows = _named(fns, name)
+        return Y.bound(_named(fns, name), lambda rows: fn_rows(name, rows))
+
+    def fn_rows(name: Column, rows: Column) -> Column:
         events = F.filter(rows, lambda r: (F.size(r["path"]).between(2, 3)) & (r["path"][0] == "events") & ~r["text"])
-        first = F.filter(events, lambda r, k: (k == 0) | (F.get(events, k - 1)["path"][1] != r["path"][1]))
+        first = Y.bound(events, lambda events: F.filter(events, lambda r, k: (k == 0) | (F.get(events, k - 1)["path"][1] != r["path"][1])))
         return F.struct(name.alias("name"), Y.value_at(rows, "handler").alias("handler"),
                         F.transform(first, lambda r: F.when(F.size(r["path"]) == 3, F.get(r["path"], F.lit(2))).otherwise(r["value"])).alias("events"))
 
-    return _outlined(files, keys, "serverless").select(
+    return _outlined(files, keys, "serverless").select("*", once(Y.under(y, "functions"), "fns")).select(
         *keys, "file", Y.value_at(y, "service").alias("service"), Y.value_at(y, "provider", "name").alias("provider"), Y.value_at(y, "provider", "runtime").alias("runtime"),
         F.transform(_children(fns), fn).alias("functions"))
 
