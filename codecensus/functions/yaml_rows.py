@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from codecensus.functions.matching import bound
+
 ROW = "struct<path:array<string>,value:string,line:int,text:boolean>"
 STACK = "array<struct<indent:int,item:boolean,key:string,n:int>>"
 #: Tokens are folded in chunks of so many; a list that grows by one entry a step is copied each time.
@@ -45,11 +47,6 @@ def documents(text: Column) -> Column:
         lambda a: a["out"])
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)``, in which the value is a variable: it is worked out once, wherever ``use`` reads it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def bare(value: Column) -> Column:
     """A value without tag, anchor and quotes."""
     quoted = lambda v: (F.length(v) > 1) & (F.left(v, F.lit(1)) == F.right(v, F.lit(1))) & F.left(v, F.lit(1)).isin('"', "'")

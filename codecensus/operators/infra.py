@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codecensus.functions import formats as M
 from codecensus.functions import yaml_rows as Y
 from codecensus.functions.classify import image_system
-from codecensus.functions.matching import groups_sql, unmarked
+from codecensus.functions.matching import bound, groups_sql, unmarked
 from codecensus.functions.text import basename, slug
 from codecensus.operators.windows import capped_list
-from codecensus.session import once
+from codecensus.session import once, shuffled
 
 Keys = list[str]
 # Top-level keys of pipeline files that are no jobs.
@@ -121,12 +121,12 @@ def pipelines(files: DataFrame, keys: Keys) -> DataFrame:
     y, jobs = F.col("y"), F.col("jobs")
 
     def action_job(name: Column) -> Column:
-        return Y.bound(_named(jobs, name), lambda rows: action_rows(name, rows))
+        return bound(_named(jobs, name), lambda rows: action_rows(name, rows))
 
     def action_rows(name: Column, rows: Column) -> Column:
         steps = F.filter(rows, lambda r: (F.size(r["path"]) == 3) & (r["path"][0] == "steps"))
         runs = F.filter(steps, lambda r: (r["path"][2] == "run") & (r["value"] != ""))
-        first = Y.bound(runs, lambda runs: F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["path"][1] != r["path"][1])))
+        first = bound(runs, lambda runs: F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["path"][1] != r["path"][1])))
         return job(name, "", F.concat_ws(", ", Y.list_at(rows, "runs-on")), Y.values_at(rows, "steps", "*", "uses"), F.transform(first, lambda r: r["value"]), Y.list_at(rows, "needs"))
 
     is_map = lambda name: F.exists(jobs, lambda r: (F.size(r["path"]) > 1) & (r["path"][0] == name))
@@ -149,11 +149,11 @@ def serverless(files: DataFrame, keys: Keys) -> DataFrame:
     y, fns = F.col("y"), F.col("fns")
 
     def fn(name: Column) -> Column:
-        return Y.bound(_named(fns, name), lambda rows: fn_rows(name, rows))
+        return bound(_named(fns, name), lambda rows: fn_rows(name, rows))
 
     def fn_rows(name: Column, rows: Column) -> Column:
         events = F.filter(rows, lambda r: (F.size(r["path"]).between(2, 3)) & (r["path"][0] == "events") & ~r["text"])
-        first = Y.bound(events, lambda events: F.filter(events, lambda r, k: (k == 0) | (F.get(events, k - 1)["path"][1] != r["path"][1])))
+        first = bound(events, lambda events: F.filter(events, lambda r, k: (k == 0) | (F.get(events, k - 1)["path"][1] != r["path"][1])))
         return F.struct(name.alias("name"), Y.value_at(rows, "handler").alias("handler"),
                         F.transform(first, lambda r: F.when(F.size(r["path"]) == 3, F.get(r["path"], F.lit(2))).otherwise(r["value"])).alias("events"))
 
@@ -186,7 +186,7 @@ def image_systems(rows: DataFrame, keys: Keys, max_evidence: int = 12) -> DataFr
     by = [*keys, "name", "kind", "technology"]
     item = F.struct("file", "line", F.lit("").alias("snippet"), "note")
     listed = capped_list(rows, by, ["file", "line", "note"], item, max_evidence, "evidence")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("uses")).join(listed, by).withColumn("id", F.concat(F.lit("ext-"), slug("name")))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("uses")).join(shuffled(listed), by).withColumn("id", F.concat(F.lit("ext-"), slug("name")))
 
 
 def _build_dir(col: str) -> Column:
@@ -196,9 +196,9 @@ def _build_dir(col: str) -> Column:
 def container_edges(cont: DataFrame, apps: DataFrame, keys: Keys) -> DataFrame:
     """App -> app edges where the container of one depends on the container of the other."""
     at = apps.select(*keys, F.col("root").alias("build_dir"), F.col("id").alias("app"))
-    owned = cont.select(*keys, "file", "name", _build_dir("build").alias("build_dir"), "depends_on").where("build_dir <> ''").join(at, [*keys, "build_dir"])
+    owned = cont.select(*keys, "file", "name", _build_dir("build").alias("build_dir"), "depends_on").where("build_dir <> ''").join(shuffled(at), [*keys, "build_dir"])
     wants = owned.select(*keys, "file", F.col("name").alias("from_name"), F.col("app").alias("source"), F.explode("depends_on").alias("name"))
-    return wants.join(owned.select(*keys, "file", "name", F.col("app").alias("target")), [*keys, "file", "name"]).select(
+    return wants.join(shuffled(owned.select(*keys, "file", "name", F.col("app").alias("target"))), [*keys, "file", "name"]).select(
         *keys, "source", "target", F.lit("deploy").alias("kind"), F.lit(1).cast("long").alias("weight"), F.lit("depends_on").alias("label"),
         F.struct("file", F.concat(F.col("from_name"), F.lit(" -> "), "name").alias("note")).alias("evidence"))
 
@@ -209,8 +209,8 @@ def compose_systems(cont: DataFrame, uses: DataFrame, systems: DataFrame, apps:
     ``uses`` are all places of ``image_uses``; evidence lists are for show and are not read.
     """
     named = systems.select(*keys, "id", F.col("name").alias("system"))
-    service = uses.where("service <> ''").select(*keys, "file", F.col("service"), F.col("name").alias("system")).distinct().join(named, [*keys, "system"]).select(
+    service = uses.where("service <> ''").select(*keys, "file", F.col("service"), F.col("name").alias("system")).distinct().join(shuffled(named), [*keys, "system"]).select(
         *keys, "file", "id", F.col("service").alias("name"))
     at = apps.where("root <> ''").select(*keys, F.col("root").alias("build_dir"), F.col("id").alias("app"))
-    wants = cont.select(*keys, "file", _build_dir("build").alias("build_dir"), F.explode("depends_on").alias("name")).join(at, [*keys, "build_dir"])
-    return wants.join(service, [*keys, "file", "name"]).select(*keys, "id", "app").distinct()
+    wants = cont.select(*keys, "file", _build_dir("build").alias("build_dir"), F.explode("depends_on").alias("name")).join(shuffled(at), [*keys, "build_dir"])
+    return wants.join(shuffled(service), [*keys, "file", "name"]).select(*keys, "id", "app").distinct()

@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codecensus.functions.matching import block_comments_removed, docstring_spans, groups_sql, in_spans, quoted, unmarked
+from codecensus.functions.matching import block_comments_removed, bound, docstring_spans, groups_sql, in_spans, quoted, unmarked
 from codecensus.functions.text import route, strip
 from codecensus.rules import languages as L
+from codecensus.session import once
 
 Keys = list[str]
 MATCH = "array<struct<i:int,line:int,col:int,g:array<string>,text:string>>"
@@ -41,11 +42,11 @@ def bodies(files: DataFrame, keys: Keys) -> DataFrame:
     """Text to match on: block comments gone where the language has them."""
     text = unmarked("text")
     body = F.when(F.col("language").isin(*L.BLOCK_COMMENTS), block_comments_removed(text)).otherwise(text)
-    return files.where(F.col("text") != "").select(*keys, "path", "language", body.alias("body"))
+    return files.where(F.col("text") != "").select(*keys, "path", "language", once(body, "body"))
 
 
 def _spread(df: DataFrame, keys: Keys, rules, extra: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keys, "path", "language", *extra, F.explode(F.expr(_matches(rules))).alias("x")).select(
+    return df.select(*keys, "path", "language", *extra, F.explode_outer(F.expr(_matches(rules))).alias("x")).where("x IS NOT NULL").select(
         *keys, "path", "language", *extra, F.col("x.i").alias("i"), F.col("x.line").alias("line"),
         F.col("x.col").alias("col"), F.col("x.g").alias("g"), F.col("x.text").alias("m"))
 
@@ -100,17 +101,20 @@ def heads_joined(text: Column) -> Column:
         return F.when(a["open"] > 0, F.concat(a["out"], F.array(a["head"]), F.array_repeat(F.lit(""), a["held"]))).otherwise(a["out"])
 
     def step(a: Column, line: Column) -> Column:
-        plain = F.regexp_replace(line, quoted_or_comment, "")
-        count = lambda marks: F.length(plain) - F.length(F.translate(plain, marks, ""))
-        grown = count("([{") - count(")]}")
-        is_head = line.rlike(_HEAD)
+        left_out = lambda plain, marks: F.length(F.translate(plain, marks, ""))
+        grown = bound(F.regexp_replace(line, quoted_or_comment, ""), lambda plain: left_out(plain, ")]}") - left_out(plain, "([{"))
         clean = F.when(line.contains("#"), F.regexp_replace(line, no_comment, "$1")).otherwise(line)
-        joined = F.concat(a["head"], F.lit(" "), strip(clean))
-        more = F.when(a["open"] + grown > 0, state(a["open"] + grown, joined, a["held"] + 1, a["out"])).otherwise(
-            state(F.lit(0), F.lit(""), F.lit(0), F.concat(a["out"], F.array(joined), F.array_repeat(F.lit(""), a["held"] + 1))))
-        begins = is_head & (grown > 0)
-        return F.when((a["open"] > 0) & ~is_head, more).when(begins, state(grown, F.rtrim(clean), F.lit(0), flushed(a))).otherwise(
-            state(F.lit(0), F.lit(""), F.lit(0), F.array_append(flushed(a), line)))
+        as_is = state(F.lit(0), F.lit(""), F.lit(0), F.array_append(flushed(a), line))
+
+        def run_on(b: Column) -> Column:
+            joined = F.concat(a["head"], F.lit(" "), strip(clean))
+            more = F.when(a["open"] + b["grown"] > 0, state(a["open"] + b["grown"], joined, a["held"] + 1, a["out"])).otherwise(
+                state(F.lit(0), F.lit(""), F.lit(0), F.concat(a["out"], F.array(joined), F.array_repeat(F.lit(""), a["held"] + 1))))
+            return F.when((a["open"] > 0) & ~b["is_head"], more).when(b["is_head"] & (b["grown"] > 0), state(b["grown"], F.rtrim(clean), F.lit(0), flushed(a))).otherwise(as_is)
+
+        # Most lines are no heads and stand in none: their brackets are not counted.
+        return bound(line.rlike(_HEAD), lambda is_head: F.when((a["open"] == 0) & ~is_head, as_is).otherwise(
+            bound(F.struct(is_head.alias("is_head"), grown.alias("grown")), run_on)))
 
     def fold(every: Column) -> Column:
         start = F.struct(F.lit(0).alias("open"), F.lit("").alias("head"), F.lit(0).alias("held"), F.expr(f"cast(array() as array<{strings}>)").alias("done"))
@@ -126,8 +130,8 @@ def heads_joined(text: Column) -> Column:
     return F.when(runs_on, F.array_join(F.transform(F.array(F.split(text, "\n")), fold)[0], "\n")).otherwise(text)
 
 
-def python_outline(files: DataFrame, keys: Keys) -> DataFrame:
-    """Classes and functions of Python files with qualified names and their decorators.
+def python_outline(files: DataFrame, keys: Keys, marked: bool = False) -> DataFrame:
+    """Classes and functions of Python files with qualified names and their decorators; if ``marked``, with the frameworks of the file.
 
     One linear fold per file over the matched lines only; the state is the stack of open
     classes (by indent) and the decorators waiting for their definition.
@@ -135,9 +139,12 @@ def python_outline(files: DataFrame, keys: Keys) -> DataFrame:
     pattern = (
         r"""^([ \t]*)(?:@([\w.]+)(?:\((?:\s*[rf]?["']([^"'\n]*)["'])?([^\n]*))?|((?:async[ \t]+)?def|class)[ \t]+(\w+)([^\n]*))"""
     )
-    src = bodies(files.where(F.col("language") == "Python"), keys).withColumn("docs", F.expr(docstring_spans("body")))
-    heads = src.select(*keys, "path", "docs", heads_joined(F.col("body")).alias("body"))
-    found = heads.select(*keys, "path", "docs", F.expr(groups_sql("body", pattern, 7, 0)).alias("raw"))
+    src = bodies(files.where(F.col("language") == "Python"), keys)
+    kept = [*keys, "path"]
+    if marked:
+        src, kept = src.select("*", once(F.expr(_framework_sql()), "frameworks")), [*kept, "frameworks"]
+    heads = src.select(*kept, F.expr(docstring_spans("body")).alias("docs"), once(heads_joined(F.col("body")), "body"))
+    found = heads.select(*kept, "docs", once(F.expr(groups_sql("body", pattern, 7, 0)), "raw"))
     items = F.when(F.col("docs").isNull(), F.col("raw")).otherwise(
         F.filter("raw", lambda x: ~in_spans(F.col("docs"), x["line"], x["col"])))
     deco = "struct<chain:string,path:string,rest:string>"
@@ -166,7 +173,7 @@ def python_outline(files: DataFrame, keys: Keys) -> DataFrame:
     folded = F.aggregate(
         items, F.struct(empty_stack.alias("stack"), empty_deco.alias("wait"), F.expr(f"cast(array() as array<{item}>)").alias("out")),
         step, lambda a: a["out"])
-    return found.select(*keys, "path", F.explode(folded).alias("o")).select(*keys, F.col("path").alias("file"), "o.*")
+    return found.select(*kept, F.explode_outer(folded).alias("o")).where("o IS NOT NULL").select(*keys, F.col("path").alias("file"), *kept[len(keys) + 1:], "o.*")
 
 
 def symbols(files: DataFrame, keys: Keys, rules=L.SYMBOLS) -> DataFrame:
@@ -198,7 +205,7 @@ def frameworks(files: DataFrame, keys: Keys, rules=L.FRAMEWORKS) -> DataFrame:
     """``(keys, path, frameworks)``; files without any marker are left out."""
     marks = _framework_sql(rules)
     src = bodies(files, keys)
-    return src.select(*keys, "path", F.expr(marks).alias("frameworks")).where(F.size("frameworks") > 0)
+    return src.select(*keys, "path", once(F.expr(marks), "frameworks")).where(F.size("frameworks") > 0)
 
 
 def _framework_sql(rules=L.FRAMEWORKS) -> str:
@@ -222,7 +229,7 @@ def endpoints(files: DataFrame, keys: Keys, rules=L.ENDPOINTS) -> DataFrame:
     """``(keys, kind, method, path, handler, file, line, framework, description)``."""
     rules = list(rules)
     lang = F.col("language")
-    src = bodies(files, keys).withColumn("frameworks", F.expr(_framework_sql()))
+    src = bodies(files, keys).select("*", once(F.expr(_framework_sql()), "frameworks"))
     spring = r"""@RequestMapping\s*\(\s*(?:value\s*=\s*)?["']([^"']+)["']"""
     nest = r"""@Controller\(\s*[`'"]?([^`'")]*)[`'"]?\s*\)"""
     body = F.col("body")
@@ -262,8 +269,7 @@ def endpoints(files: DataFrame, keys: Keys, rules=L.ENDPOINTS) -> DataFrame:
 
 def python_endpoints(files: DataFrame, keys: Keys) -> DataFrame:
     """Routes, tasks and commands declared by decorators."""
-    marks = frameworks(files.where(F.col("language") == "Python"), keys).withColumnRenamed("path", "file")
-    d = python_outline(files, keys).where(F.size("deco") > 0).select(*keys, "file", "qual", "line", F.explode("deco").alias("d"))
+    d = python_outline(files, keys, marked=True).select(*keys, "file", "frameworks", "qual", "line", F.explode_outer("deco").alias("d")).where("d IS NOT NULL")
     d = d.withColumn("last", F.substring_index("d.chain", ".", -1))
     chain, last = F.col("d.chain"), F.col("last")
     listed = F.filter(
@@ -278,11 +284,11 @@ def python_endpoints(files: DataFrame, keys: Keys) -> DataFrame:
         .when(last.isin(*L.TASK_DECORATORS), F.array(F.lit("TASK")))
         .when(is_cli & ~last.isin(*L.ROUTE_DECORATORS), F.array(F.lit("CMD")))
     )
-    rows = d.where(methods.isNotNull()).select(*keys, "file", "qual", "line", chain.alias("chain"), F.col("d.path").alias("p"), F.explode(methods).alias("method"))
-    fw = F.array_intersect(F.array(*[F.lit(x) for x in L.PYTHON_WEB]), F.coalesce("frameworks", F.expr("cast(array() as array<string>)")))
+    rows = d.select(*keys, "file", "frameworks", "qual", "line", chain.alias("chain"), F.col("d.path").alias("p"), F.explode_outer(methods).alias("method")).where("method IS NOT NULL")
+    fw = F.array_intersect(F.array(*[F.lit(x) for x in L.PYTHON_WEB]), "frameworks")
     web = F.coalesce(F.try_element_at(fw, F.lit(1)), F.substring_index("chain", ".", 1))
     other = F.col("method").isin("TASK", "CMD")
-    return rows.join(marks, [*keys, "file"], "left").select(
+    return rows.select(
         *keys,
         F.when(F.col("method") == "WS", "websocket").when(F.col("method") == "TASK", "event").when(F.col("method") == "CMD", "cli").otherwise("http").alias("kind"),
         "method", F.when(other, F.col("qual")).otherwise(route(F.lit(""), F.col("p"))).alias("path"),
