@@ -18,7 +18,7 @@ from codecensus.plans.registry import query, table
 from codecensus.plans.text_queries import DEFINITION_SQL
 from codecensus.rules import secrets as K
 from codecensus.rules import systems as R
-from codecensus.session import spread
+from codecensus.session import spread, stored
 
 KEYS = ["repo"]
 
@@ -313,12 +313,11 @@ def infra_facts(spark, d):
     tf = fmt('resource "aws_s3_bucket" "%s" {\n}\n', word())
     f = part_files(spark, d, F.lit("Dockerfile"), docker, kind="infra").unionByName(part_files(spark, d, F.lit("docker-compose.yml"), compose, kind="infra")).unionByName(
         part_files(spark, d, F.lit("main.tf"), tf, kind="infra"))
-    c, t = I.containers(f, KEYS), I.terraform(f, KEYS)
+    c, t = stored(I.containers(f, KEYS)), stored(I.terraform(f, KEYS))
     df = I.dockerfiles(f, KEYS).select("repo", "file", F.lit("dockerfile").alias("what"), F.col("base_images")[0].alias("name"), F.col("ports")[0].cast("string").alias("detail"))
     by_file = ["repo", "path"]
-    g = f.select("repo", F.col("path"), F.col("kind"), "text", F.col("path").alias("p2"))
-    sysn = I.image_systems(I.image_uses(
-        I.containers(g, KEYS).withColumn("path", F.col("file")), I.kubernetes(g, KEYS).withColumn("path", F.col("file")), t.withColumn("path", F.col("file")), by_file), by_file)
+    placed = lambda df: df.withColumn("path", F.col("file"))
+    sysn = I.image_systems(stored(I.image_uses(placed(c), placed(I.kubernetes(f, KEYS)), placed(t), by_file)), by_file)
     return df.unionByName(c.select("repo", "file", F.lit("service").alias("what"), "name", F.col("image").alias("detail"))).unionByName(
         t.select("repo", "file", F.lit("resource").alias("what"), "name", F.col("type").alias("detail"))).unionByName(
         sysn.select("repo", F.col("path").alias("file"), F.lit("system").alias("what"), "name", F.explode("evidence").alias("e")).select("repo", "file", "what", "name", F.col("e.note").alias("detail")))

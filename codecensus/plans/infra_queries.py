@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codecensus.operators import infra as I
 from codecensus.plans.extract_queries import KEYS, REPO_SQL
 from codecensus.plans.registry import query, table
-from codecensus.session import spread
+from codecensus.session import spread, stored
 
 
 def _files(spark, d, name: Column | str, *texts: str) -> DataFrame:
@@ -112,7 +112,8 @@ def compose_links(spark, d):
     f = _files(spark, d, "compose.yml", *COMPOSE).withColumn("repo", F.concat(F.lit("r"), F.regexp_extract("path", r"^m(\d+)", 1)))
     p = table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("repo"), F.array(F.concat(F.lit("web"), F.col("p_size").cast("string")), F.lit("api")).alias("ids"))
     apps = p.select("repo", F.explode("ids").alias("id")).withColumn("root", F.concat(F.lit("apps/"), "id"))
-    c, none = I.containers(f, KEYS), f.limit(0)
-    uses = I.image_uses(c, I.kubernetes(none, KEYS), I.terraform(none, KEYS), KEYS)
+    # Several joins read the services and their images; written once, as in the census.
+    c, none = stored(I.containers(f, KEYS)), f.limit(0)
+    uses = stored(I.image_uses(c, I.kubernetes(none, KEYS), I.terraform(none, KEYS), KEYS))
     links = I.container_edges(c, apps, KEYS).select("repo", "source", "target", F.lit("app").alias("what"))
     return links.unionByName(I.compose_systems(c, uses, I.image_systems(uses, KEYS), apps, KEYS).select("repo", F.col("app").alias("source"), F.col("id").alias("target"), F.lit("system").alias("what")))
