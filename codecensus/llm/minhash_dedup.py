@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codecensus.llm.common import WordHashes, components, shingle_set, slices
+from codecensus.llm.common import WordHashes, components, packed, shingle_set, slices
 from codecensus.llm.native import bounded
 from codecensus.session import cut
 
@@ -90,14 +90,14 @@ def _postings(reps: DataFrame, least_matches: int, coordinates: int) -> DataFram
     return held.select("id", "at", weight.alias("weight"), F.explode(F.slice("pairs", 1, room)).alias("p")).select(F.col("p.key").alias("key"), "id", "at", "weight")
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least_matches: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, least_matches: int, percent: int, n: int) -> DataFrame:
     """The (a, b) of the given pairs whose signatures agree often enough and whose full sets are similar enough."""
     slim = reps.select("id", "n_shingles", "signature")
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    asked = cut(pairs.join(right, "b").join(left, "a").where(close & (agree >= least_matches)).select("a", "b", "na", "nb"))
+    asked = cut(packed(pairs.join(right, "b").join(left, "a").where(close & (agree >= least_matches)).select("a", "b", "na", "nb"), n))
     both = asked.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
     inter = F.size(F.array_intersect("xa", "xb"))
@@ -141,25 +141,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Texts are read whole, of any length. An empty table gives an empty result; other columns are ignored.
     """
     rows = cut(signatures(docs, id_col, text_col, coordinates, size))
+    n = rows.count()
     # Equal sets are one node, numbered once and for all by the checkpoint; its first row is where its text is read.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    reps = cut(rows.where("n_shingles > 0").groupBy("set_key").agg(
-        first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()))
-    stars = cut(_stars(_postings(reps, least_matches, coordinates)))
+    reps = cut(packed(rows.where("n_shingles > 0").groupBy("set_key").agg(
+        first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), n))
+    stars = cut(packed(_stars(_postings(reps, least_matches, coordinates)), n))
     ids = stars.select("id").union(stars.select("hub")).distinct().join(reps.select("id", "set_key", "first.doc_id", F.col("first.text_key").alias("key")), "id")
     texts = docs.select(F.col(id_col).alias("at"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    texts = texts.join(bounded(cut(ids)), F.expr("at <=> doc_id and text_key = key")).select("id", "text", "set_key")
+    texts = texts.join(bounded(cut(packed(ids, n))), F.expr("at <=> doc_id and text_key = key")).select("id", "text", "set_key")
     sets = cut(_shingle_sets(texts, size))
-    links = cut(_linked(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, sets, least_matches, percent))
+    links = cut(packed(_linked(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, sets, least_matches, percent, n), n))
     found = components(links, "a", "b").withColumnRenamed("node", "id")
 
     members = stars.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
     split = members.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members")).where("c0 != c1")
-    members = cut(members.join(split.select("hub", "members"), "hub"))
+    members = cut(packed(members.join(split.select("hub", "members"), "hub"), n))
     short = members.where(F.col("members") <= SHORT)
     pairs = short.alias("x").join(short.alias("y"), F.expr("x.hub = y.hub and x.id < y.id and x.c != y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = _rare_shingle_pairs(members.where(F.col("members") > SHORT).select("id", "c").distinct(), sets, percent)
-    more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent)
+    more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent, n)
     # The first classes are stars already, so the second search starts from them and not from the links.
     classes = components(found.select("id", "component").union(more), "id", "component")
 
@@ -167,6 +168,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "set_key", "first", F.coalesce("component", "id").alias("class"))
     named = placed.join(placed.groupBy("class").agg(F.min("first").alias("best")), "class").select("set_key", "best")
     empty = F.col("best").isNull()
-    return rows.join(named, "set_key", "left").select(
+    return packed(rows.join(named, "set_key", "left"), n).select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         (empty | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))).alias("kept"), "text_key")

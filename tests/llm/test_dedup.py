@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from codecensus.llm.common import components
 from codecensus.llm.line_dedup import dedup_lines
 from codecensus.llm.minhash_dedup import near_duplicates
 
@@ -119,3 +120,22 @@ def test_copies_do_not_make_boilerplate(spark):
 
 def test_line_dedup_of_nothing(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA).withColumn("_text2", F.lit(1))).columns == ["doc_id", "text", "source", "lang", "_text2", "_n_lines", "_n_dropped"]
+
+
+def test_small_tables_take_few_partitions(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3 * 50 + k}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = near_duplicates(docs)
+        classes = components(spark.createDataFrame([(i, i - 1) for i in range(1, 40) if i % 10], "a long, b long"), "a", "b")
+        # 64 partitions were written in every round, whatever the rows; only the table of smallest nodes may still have them.
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert classes.rdd.getNumPartitions() <= 64 + spark.sparkContext.defaultParallelism
+        assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i // 3 * 3) for i in range(60)}
+        assert {(r.node, r.component) for r in classes.collect()} == {(i, i // 10 * 10) for i in range(40)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
