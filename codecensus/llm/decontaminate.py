@@ -18,6 +18,8 @@ and is a window of the document, with the same fingerprint. So no pair is missed
 
 Bits are counted for all 64 places at once: a count is a few longs, the k-th of which holds the k-th binary digit of every
 place's count, and two counts are added by a chain of XOR and AND. Sums over pairs of words give those over four, eight, ...
+For windows of four and eight words, which every item asks for, the words are laid out side by side in a row instead: bits are
+then counted by compiled code, without an array in between.
 """
 
 
@@ -36,6 +38,8 @@ BLOCKS = RADIUS + 1
 BITS = 64 // BLOCKS
 SIZES = (4, 8, 16, 32, 64)
 SMALLEST, LARGEST = SIZES[0], SIZES[-1]
+#: Windows of up to so many words are laid out word by word.
+GATHERED = 8
 SIMILAR_PERCENT = 80
 
 
@@ -96,22 +100,58 @@ def _majority(counts: Column, size: int, hop: int) -> Column:
     return F.transform(counts, vote)
 
 
+def _small_windows(hashed: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """``windows`` of sizes up to ``GATHERED``: a row of its words for each, so that bits are counted by compiled code and not in arrays."""
+    long = [w for w in sizes if w]
+    h, most, hop = F.col("h"), max(long, default=1), min(long, default=2) // 2
+    n = F.floor((F.size(h) - 2 * hop) / hop).cast("int") + 1 if long else F.lit(0)
+    groups = F.transform(_starts(n), lambda i: F.struct(i.alias("at"), *[F.get(h, hop * i + k).alias(f"h{k}") for k in range(most)]))
+    if 0 in sizes:  # a short text stands at -1 and is its own hash
+        short = F.struct(F.lit(-1).alias("at"), F.xxhash64(h).alias("h0"), *[F.lit(None).cast("long").alias(f"h{k}") for k in range(1, most)])
+        groups = F.concat(F.filter(F.array(short), lambda _: F.size(h).between(1, SHINGLE - 1)), groups)
+    # Digits are columns, level by level: one expression for all would be too long to be compiled.
+    given = [F.coalesce(F.col(f"g.h{k}"), F.lit(0)).alias(f"_h{k}") for k in range(most)]
+    rows = exploded(hashed, groups, "g", *keep).select(*keep, F.col("g.at").alias("_at"), F.col(f"g.h{most - 1}").isNotNull().alias("_full"), *given)
+    at, h = F.col("_at"), [F.col(f"_h{k}") for k in range(most)]
+    every = []
+    if 0 in sizes:
+        every.append(F.when(at < 0, F.struct(F.lit(0).alias("size"), h[0].alias("fingerprint"))))
+    if 4 in sizes:
+        value = h[0].bitwiseAND(h[1].bitwiseOR(h[2]).bitwiseOR(h[3])).bitwiseOR(h[1].bitwiseAND(h[2]).bitwiseAND(h[3]))
+        every.append(F.when(at >= 0, F.struct(F.lit(4).alias("size"), value.alias("fingerprint"))))
+    if 8 in sizes:
+        counts = [[x] for x in h]
+        while len(counts) > 1:
+            level, names = {}, []
+            for m, (x, y) in enumerate(zip(counts[::2], counts[1::2], strict=True)):
+                digits, carry = [], None
+                for a, b in zip(x, y, strict=True):
+                    digits.append(a.bitwiseXOR(b) if carry is None else a.bitwiseXOR(b).bitwiseXOR(carry))
+                    carry = a.bitwiseAND(b) if carry is None else a.bitwiseAND(b).bitwiseOR(carry.bitwiseAND(a.bitwiseXOR(b)))
+                names.append([f"_c{len(counts)}_{m}_{d}" for d in range(len(digits) + 1)])
+                level |= dict(zip(names[-1], [*digits, carry], strict=True))
+            rows, counts = rows.withColumns(level), [[F.col(c) for c in n] for n in names]
+        *low, half, all_ = counts[0]
+        value = all_.bitwiseOR(half.bitwiseAND(reduce(lambda a, b: a.bitwiseOR(b), low, h[0])))
+        there = (at >= 0) & F.col("_full") & (at * hop % 4 == 0)
+        every.append(F.when(there, F.struct(F.lit(8).alias("size"), value.alias("fingerprint"))))
+    return exploded(rows, F.array(*every), "w", *keep).select(*keep, "w.size", "w.fingerprint")
+
+
 def windows(hashed: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     """(keep, size, fingerprint) of (keep, h): windows of each of the sizes, one each half of a window; size 0 are short texts."""
-    long = [w for w in sizes if w]
-    # Counts over 4 words stand 2 or 4 words apart, later ones half of their size.
-    first = 2 if SMALLEST in long else 4
-    df = hashed
-    if long:
-        df = df.withColumn("c2", _pairs(F.col("h"))).withColumn("c4", _added(F.col("c2"), 2, first // 2, 1))
-    digits, size, hop = 3, 4, 8 // first // 2
-    while size < max(long, default=0):
+    small, long = [w for w in sizes if w <= GATHERED], [w for w in sizes if w > GATHERED]
+    if not long:
+        return _small_windows(hashed, small or [0], *keep)
+    # Counts over 4 words stand 4 words apart, later ones half of their size.
+    df = hashed.withColumn("c2", _pairs(F.col("h"))).withColumn("c4", _added(F.col("c2"), 2, 2, 1))
+    digits, size, hop = 3, 4, 1
+    while size < max(long):
         df = df.withColumn(f"c{2 * size}", _added(F.col(f"c{size}"), digits, hop, 2 if hop == 2 else 1))
         digits, size, hop = digits + 1, 2 * size, 2
     every = [_sized(w, _majority(F.col(f"c{w}"), w, w // 2)) for w in long]
-    if 0 in sizes or not sizes:
-        every.append(F.array_compact(F.array(_short(F.col("h")))))
-    return exploded(df, F.flatten(F.array(*every)), "w", *keep).select(*keep, "w.size", "w.fingerprint")
+    large = exploded(df, F.flatten(F.array(*every)), "w", *keep).select(*keep, "w.size", "w.fingerprint")
+    return _small_windows(hashed, small, *keep).union(large) if small else large
 
 
 def _blocks(size: Column, fingerprint: Column) -> Column:

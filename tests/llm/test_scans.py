@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from codecensus.llm import pii_redaction, secret_scan
-from codecensus.llm.decontaminate import leaks, window_size
+from codecensus.llm.decontaminate import leaks, window_size, windows
 from codecensus.llm.license_scan import TEMPLATES, guard_words, scan_licenses
 
 SCHEMA = "doc_id long, text string, source string"
@@ -274,3 +275,20 @@ def test_guards_count_weight(spark):
     got = {tuple(r)[:4] for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates=templates).collect()}
     want = brute(docs, templates, lambda t: re.findall("[a-z0-9]+", t))
     assert got == want and {i for i, *_ in want} == set(range(40))
+
+
+def test_small_windows_are_counted_in_columns(spark):
+    rng = random.Random(4)
+    texts = {n: [rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (0, 1, 3, 4, 5, 7, 8, 9, 12, 21)}
+    hashed = spark.createDataFrame(list(texts.items()), "i long, h array<long>")
+    found = windows(hashed, [4, 8], "i")
+
+    def print_of(h):  # at half, the first word decides
+        ones = [sum(x >> b & 1 for x in h) for b in range(64)]
+        bits = sum((2 * n > len(h) or 2 * n == len(h) and h[0] >> b & 1) << b for b, n in enumerate(ones))
+        return bits - 2**64 if bits >> 63 else bits
+
+    expected = sorted((i, w, print_of(h[k : k + w])) for i, h in texts.items() for w in (4, 8) for k in range(0, len(h) - w + 1, w // 2))
+    assert sorted((r.i, r.size, r.fingerprint) for r in found.collect()) == expected
+    # One lambda lays the words out; before, others counted bits in arrays of structs.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") <= 1
