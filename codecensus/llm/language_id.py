@@ -135,6 +135,32 @@ class Model:
             "n_letters": letters, "phrase_length": letters / np.maximum(1, phrases[rows, best])}, index=texts.index)
 
 
+def _placed(moves: list[dict[int, int]], width: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, cells) of one automaton, see ``Model``: state 1 is number ``first`` of the model, state 0 and breaks have no cells."""
+    base = np.zeros(len(moves) - 1, np.int64)
+    own: list[int] = [-1 << 32] * width
+    free = tried_from = width
+    order = sorted(range(1, len(moves)), key=lambda s: (-sum(c != BREAK for c in moves[s]), s))
+    for state in order:
+        move = [(c, t) for c, t in moves[state].items() if c != BREAK]
+        if not move:
+            continue
+        while free < len(own) and own[free] >= 0:
+            free += 1
+        # A row with one move takes the first free cell; wider rows leave crowded cells behind for these.
+        low, at = min(c for c, _ in move), free if len(move) == 1 else max(free, tried_from)
+        begun = at
+        while any(at - low + c < len(own) and own[at - low + c] >= 0 for c, _ in move):
+            at += 1
+        if at - begun > 16:
+            tried_from = at - 8
+        base[state - 1] = at - low
+        own += [-1 << 32] * (at - low + width - len(own))
+        for c, t in move:
+            own[at - low + c] = (state + first - 1 << 32) + t + first - 1
+    return base, np.array(own, np.int64)
+
+
 def build(samples: dict[str, list[str]]) -> Model:
     """Model of labelled texts by language. Languages are in order of their names; of equal costs the first wins."""
     languages = sorted(samples)
@@ -144,8 +170,9 @@ def build(samples: dict[str, list[str]]) -> Model:
     width = len(alphabet) + FIRST
     # States 0 .. languages - 1 are the starts; they own no cell, so that every phrase is counted where it begins.
     start = np.tile(np.arange(len(languages))[:, None], width)
-    rows: list[tuple[int, dict[int, int]]] = []
-    first, cost = len(languages), []
+    # Languages take cells one after the other, so that the dicts of one at a time are held.
+    bases, cells, cost = [np.zeros(len(languages), np.int64)], [], []
+    first, begin = len(languages), 0
     for number, lang in enumerate(languages):
         symbols: list[int] = []
         for c in coded[lang]:
@@ -154,30 +181,13 @@ def build(samples: dict[str, list[str]]) -> Model:
         shift = first - 1  # state 0 of the automaton is the start itself
         for c, target in moves[0].items():
             start[number, c] = target + shift
-        rows += [(state + shift, {c: t + shift for c, t in m.items() if c != BREAK}) for state, m in enumerate(moves) if state]
-        first += len(moves) - 1
+        base, own = _placed(moves, width, first)
+        bases.append(base + begin)
+        cells.append(own)
+        first, begin = first + len(base), begin + len(own)
         cost.append(math.log(max(2, len(symbols))))
-    base = np.zeros(first, np.int64)
-    used: dict[int, tuple[int, int]] = {}
-    free = tried_from = width
-    for state, move in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
-        if not move:
-            continue
-        while free in used:
-            free += 1
-        # A row with one move takes the first free cell; wider rows leave crowded cells behind for these.
-        low, at = min(move), free if len(move) == 1 else max(free, tried_from)
-        begun = at
-        while any(at - low + c in used for c in move):
-            at += 1
-        if at - begun > 16:
-            tried_from = at - 8
-        base[state] = at - low
-        for c, t in move.items():
-            used[at - low + c] = (state, t)
-    cells = np.full(max([width, *used]) + width + 1, -1 << 32, np.int64)
-    for at, (state, target) in used.items():
-        cells[at] = (state << 32) + target
+    base = np.concatenate(bases)
+    cells = np.concatenate([*cells, np.full(2 * width + 1, -1 << 32, np.int64)])
     return Model(languages, np.array(cost), alphabet, base, cells, start)
 
 

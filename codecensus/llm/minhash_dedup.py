@@ -157,14 +157,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stars.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
     split = members.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members")).where("c0 != c1")
     members = cut(packed(members.join(split.select("hub", "members"), "hub"), n))
-    short = members.where(F.col("members") <= SHORT)
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.hub = y.hub and x.id < y.id and x.c != y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = _rare_shingle_pairs(members.where(F.col("members") > SHORT).select("id", "c").distinct(), sets, percent)
-    more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent, n)
-    # The first classes are stars already, so the second search starts from them and not from the links.
-    classes = components(found.select("id", "component").union(more), "id", "component")
-
-    placed = reps.select("set_key", "first", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").select(
+    classes = found
+    if not members.isEmpty():
+        short = members.where(F.col("members") <= SHORT)
+        pairs = short.alias("x").join(short.alias("y"), F.expr("x.hub = y.hub and x.id < y.id and x.c != y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        rest = _rare_shingle_pairs(members.where(F.col("members") > SHORT).select("id", "c").distinct(), sets, percent)
+        more = _linked(pairs.union(rest).distinct(), reps, sets, least_matches, percent, n)
+        # The first classes are stars already, so the second search starts from them and not from the links.
+        classes = components(found.select("id", "component").union(more), "id", "component").withColumnRenamed("node", "id")
+
+    placed = reps.select("set_key", "first", "id").join(classes, "id", "left").select(
         "set_key", "first", F.coalesce("component", "id").alias("class"))
     named = placed.join(placed.groupBy("class").agg(F.min("first").alias("best")), "class").select("set_key", "best")
     empty = F.col("best").isNull()

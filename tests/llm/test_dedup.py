@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codecensus.llm.common import components
 from codecensus.llm.line_dedup import dedup_lines
 from codecensus.llm.minhash_dedup import near_duplicates
+from codecensus.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, lang string"
@@ -139,3 +140,11 @@ def test_small_tables_take_few_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr("codecensus.llm.common.cut", lambda df, real=cut: tables.append(1) or real(df))
+    rows = [(10 * (i // 10), i) for i in range(1, 60)] + [(7, 7)]
+    found = components(spark.createDataFrame(rows, "a long, b long"), "a", "b")
+    assert len(tables) == 1 and {(r.node, r.component) for r in found.collect()} == {(i, 10 * (i // 10)) for i in range(60)}

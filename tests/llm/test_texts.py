@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from html.parser import HTMLParser
 
+import pandas as pd
 import pytest
 
 from codecensus.llm import language_id as L
@@ -219,3 +221,17 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 6 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(5), block=2, shard_documents=40).collect()))
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_automata_are_placed_one_at_a_time():
+    def peak(languages):
+        rnd = random.Random(3)
+        samples = {f"l{k}": ["".join(rnd.choices("abcdefgh ", k=4000))] for k in range(languages)}
+        tracemalloc.start()
+        model = L.build(samples)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert list(model.decide(pd.Series([s[0] for s in samples.values()])).lang_pred) == list(samples)
+        return most
+
+    assert peak(6) < 3 * peak(1)
