@@ -129,3 +129,53 @@ def guard_sql(pattern: str, low: str) -> str:
 
     g = literal_guards(pattern)
     return "(" + " OR ".join(f"contains({low}, {quoted(x)})" for x in g) + ")" if g else "true"
+
+
+def _trie(pieces: list[str]) -> str:
+    """A pattern for the longest of the pieces that begins here, with shared beginnings written once."""
+    import re
+
+    if pieces == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for x in pieces:
+        if x:
+            heads.setdefault(x[0], []).append(x[1:])
+    arms = [re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
+    if len(arms) > 4:
+        # An alternation is tried arm by arm, so a class in front of every four rules these out at once.
+        firsts = [re.escape(c) for c in sorted(heads)]
+        arms = [f"(?=[{''.join(firsts[k:k + 4])}])(?:{'|'.join(arms[k:k + 4])})" for k in range(0, len(arms), 4)]
+    return f"(?:{'|'.join(arms)})?" if "" in pieces else f"(?:{'|'.join(arms)})" if len(arms) > 1 else arms[0]
+
+
+def pieces_sql(patterns: list[str], low: str) -> str:
+    """SQL for the distinct guard pieces of all patterns that occur in the lower-cased text ``low``, found in one walk over it.
+
+    A search for each piece reads the text as often as there are pieces. Here every place is looked at once, also inside
+    other pieces, and gives the longest piece that begins there; pieces that this one begins with occur as well.
+    """
+    from codecensus.functions.matching import quoted
+
+    pieces = dict.fromkeys(x for p in patterns for x in literal_guards(p) or ())
+    if not pieces:
+        return "cast(array() AS array<string>)"
+    return f"array_distinct(regexp_extract_all({low}, {quoted('(?=(' + _trie(list(pieces)) + '))')}, 1))"
+
+
+def holds_sql(pattern: str, patterns: list[str], found: str, text: str) -> str:
+    """SQL test whether ``text`` holds a match of the pattern, upper or lower case, by the pieces ``found`` by ``pieces_sql``
+    of all ``patterns``. Only alternatives of which a piece occurs are looked for, so a common word of one costs no search for the others."""
+    from codecensus.functions.matching import quoted
+
+    if literal_guards(pattern) is None:
+        return f"{text} RLIKE {quoted('(?i)' + pattern)}"
+    every = dict.fromkeys(x for p in patterns for x in literal_guards(p) or ())
+    own = literal_guards(pattern)
+    tests = []
+    for alt in _alternatives(pattern):
+        # A piece that holds another one of its pattern is not among the pieces: it is found by that one.
+        g = tuple(x for x in own if any(x in y for y in literal_guards(alt)))
+        met = ", ".join(quoted(x) for x in every if x.startswith(g))
+        tests.append(f"(arrays_overlap({found}, array({met})) AND {text} RLIKE {quoted('(?i)' + alt)})")
+    return "(" + " OR ".join(tests) + ")"

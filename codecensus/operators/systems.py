@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codecensus.functions import evidence as V
 from codecensus.functions.classify import env_kind
-from codecensus.functions.guards import guard_sql
+from codecensus.functions.guards import holds_sql, pieces_sql
 from codecensus.functions.matching import docstring_spans, find_lines, in_spans, quoted
 from codecensus.functions.text import slug, strip
 from codecensus.operators.windows import capped_list, first_wins, top_per_group
 from codecensus.rules import systems as R
+from codecensus.session import once
 
 Keys = list[str]
 PROSE_KINDS = ("docs", "data")
@@ -23,9 +24,10 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
     array of one row, so no shuffle is needed to judge.
     """
     signatures = list(signatures)
+    patterns = [s[4] for s in signatures]
     text, path = F.col("text"), F.col("path")
     per_sig = ", ".join(
-        f"CASE WHEN {guard_sql(s[4], 'low')} AND text RLIKE {p} THEN named_struct('i', {i}, 'at', regexp_instr(text, {p}), 'hit', regexp_extract(text, {p}, 0)) END"
+        f"CASE WHEN {holds_sql(s[4], patterns, 'pieces', 'text')} THEN named_struct('i', {i}, 'at', regexp_instr(text, {p}), 'hit', regexp_extract(text, {p}, 0)) END"
         for i, (s, p) in enumerate((s, quoted("(?i)" + s[4])) for s in signatures))
     meta = F.expr("array(" + ", ".join(
         f"named_struct('id', {quoted(s[0])}, 'name', {quoted(s[1])}, 'kind', {quoted(s[2])}, 'technology', {quoted(s[3])})"
@@ -44,6 +46,7 @@ def signature_hits(files: DataFrame, keys: Keys, signatures=R.SIGNATURES) -> Dat
 
     hits = (
         files.where(F.col("text") != "").select(*keys, "path", "kind", "text", F.lower("text").alias("low"))
+        .select(*keys, "path", "kind", "text", once(F.expr(pieces_sql(patterns, "low")), "pieces"))
         .select(*keys, "path", "kind", "text", F.expr(f"array_compact(array({per_sig}))").alias("found"))
         .withColumn("docs", F.when(path.endswith(".py"), F.expr(docstring_spans("text"))))
         .select(*keys, "path", "kind", F.transform("found", place).alias("hits"))

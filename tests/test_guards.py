@@ -1,8 +1,11 @@
+import random
 import re
 
 import pytest
 
-from codecensus.functions.guards import literal_guards
+from codecensus.functions.guards import holds_sql, literal_guards, pieces_sql
+from codecensus.functions.matching import quoted
+from codecensus.operators.systems import signature_hits
 from codecensus.rules import secrets, security, systems
 
 SAMPLES = [
@@ -31,3 +34,23 @@ def test_shapes():
     assert literal_guards(r"x{2,3}hello|(?!no)world") == ("hello", "world")
     assert literal_guards(r"[abc]+") is None
     assert literal_guards(r"a\.b\(") == ("a.b(",)
+
+
+def test_one_walk_finds_what_a_search_for_each_piece_finds(spark):
+    patterns = [s[4] for s in systems.SIGNATURES]
+    pieces = sorted({x for p in patterns for x in literal_guards(p) or ()})
+    rnd = random.Random(4)
+    texts = ["", "nothing here", "from 'pg'", "ses SES ssns3://", "sseses", *pieces, *("".join(rnd.choices([*pieces, *"abs3-. \n'", "FROM"], k=12)) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "lower(text) AS low")
+    found = df.selectExpr("text", "low", f"{pieces_sql(patterns, 'low')} AS pieces")
+    for row in found.collect():
+        assert {x for x in pieces if any(p.startswith(x) for p in row.pieces)} == {x for x in pieces if x in row.low}
+    for p in patterns:
+        plain = f"text RLIKE {quoted('(?i)' + p)}"
+        assert found.where(f"({plain}) != ({holds_sql(p, patterns, 'pieces', 'text')})").count() == 0, p
+
+
+def test_signatures_do_not_read_a_text_once_for_each_piece(spark):
+    df = spark.createDataFrame([("r", "a", "source", "x")], "repo string, path string, kind string, text string")
+    plan = signature_hits(df, ["repo"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(low") == 0
